@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step holds at once (a longer text comes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,3 +75,59 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that none of the columns starts with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+    """left joined to right, of which each key has few rows: a key that holds a third of left's
+    rows is dealt to `salts` tasks, against as many copies of right's small rows."""
+    salt = f"{free_prefix([*left.columns, *right.columns])}salt"
+    spread = left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    return spread.join(copies, [*keys, salt], how).drop(salt)
+
+
+#: ASCII white space: the bytes 0x09 to 0x0D and 0x20.
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: A-Z to a-z; other bytes stay.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(1 << 16, np.uint64(0xD6E8FEB86659FD93), np.uint64), dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of other than ASCII white space) of consecutive texts: start, length, hash."""
+    solid = ~SPACES[data]
+    before = np.zeros(len(data), bool)
+    before[1:] = solid[:-1]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    before[heads] = False
+    first = solid & ~before
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return starts, starts, np.zeros(0, np.uint64)
+    which = np.cumsum(first) - 1
+    within = np.arange(len(data)) - starts[np.maximum(which, 0)]
+    weight = _POWERS[within & 0xFFFF]
+    if int(within[solid].max()) > 0xFFFF:
+        weight = weight * ((within >> 16).astype(np.uint64) * np.uint64(2) * _ODD + np.uint64(1))
+    terms = np.where(solid, (data.astype(np.uint64) + np.uint64(1)) * weight, np.uint64(0))
+    lengths = np.add.reduceat(solid.astype(np.int64), starts)
+    return starts, lengths, mixed(np.add.reduceat(terms, starts) + lengths.astype(np.uint64) * _ODD)

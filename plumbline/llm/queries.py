@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import sentencepiece_codec, topk, url_filter
-from plumbline.llm.common import table
+from plumbline.llm import chat, langid, mixing, near_dedup, quality, sentencepiece_codec, telephony, topk, url_filter
+from plumbline.llm.common import stored, table
 
 #: The rules of the URL query.
 URL_RULES = (
@@ -36,7 +36,41 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk_search, op3_url_filter)}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return telephony.digests(telephony.read(stored(spark, telephony.store(docs, "text"), "media")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.posterior(docs, labels, F.col("source"), F.col("lang")).select("doc_id", *quality.OUTPUTS)
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~langid.held_out())
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_topk_search, op3_url_filter, op5_mixing, op6_telephony, op7_quality, op8_near_dedup, op9_chat, op10_langid)
+}
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": r"""
