@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, langid, mixing, near_dedup, quality, sentencepiece_codec, telephony, topk, url_filter
+from plumbline.llm import chat, langid, mixing, near_dedup, quality, sentencepiece_codec, telephony, topk, url_filter, warc
 from plumbline.llm.common import stored, table
 
 #: The rules of the URL query.
@@ -36,6 +36,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = warc.write(pages, least=0)
+    captures = warc.fetch(archives, warc.find(warc.index(archives), pages))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
@@ -69,7 +76,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_topk_search, op3_url_filter, op5_mixing, op6_telephony, op7_quality, op8_near_dedup, op9_chat, op10_langid)
+    for f in (op1_sentencepiece, op2_topk_search, op3_url_filter, op4_warc, op5_mixing, op6_telephony, op7_quality, op8_near_dedup, op9_chat, op10_langid)
 }
 
 ORACLES: dict[str, str] = {
