@@ -258,12 +258,14 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text") -> DataFram
     return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """n_tokens and SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
-    joined = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """n_tokens and SHA-256 of the ids (decimal, joined by commas) and of the decoded text; more
+    columns on demand."""
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
