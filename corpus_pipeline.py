@@ -1,22 +1,79 @@
-"""The corpus pipeline: stages over the documents table."""
+"""The corpus pipeline: language ID, quality, near-duplicates, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Rejected are:
+documents without any letter (language ID), documents whose posterior of being good is under one
+half (quality), all but the smallest doc_id of each near-duplicate group, and what the mixture
+doesn't take; a document that the mixture takes twice occurs twice.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm import langid, mixing, near_dedup, quality, sentencepiece_codec
 from plumbline.llm.common import stored, table
 
-STAGES: list = []
+#: Rows up to which the ids of dropped documents are broadcast.
+BROADCAST_DROPPED = 1_000_000
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told, as they hold no letter."""
+    model = langid.fit(docs, ~langid.held_out())
+    return langid.identify(docs, model).filter("lang_pred <> 'und'").select(docs.columns)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are more likely bad than good."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.posterior(docs, labels, F.col("source"), F.col("lang")).filter("keep").select(docs.columns)
+
+
+def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each near-duplicate group."""
+    found = stored(spark, near_dedup.near_duplicates(docs), "near")
+    dropped = found.filter("not kept").select("doc_id").distinct()
+    few = dropped.count() <= BROADCAST_DROPPED
+    left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if repeated.limit(1).count():  # rows of one doc_id are one document
+        rest = left.filter("doc_id is null")
+        left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest)
+    return left.select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mixture of sources does."""
+    mixed = mixing.mix(docs, F.array("source")).filter("copies > 0")
+    return mixed.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids, and the digests of ids and of their decoded text."""
+    model = sentencepiece_codec.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = sentencepiece_codec.encode_decode(docs.select("doc_id", "source", "text"), model)
+    return sentencepiece_codec.digests(encoded, "source", "ids")
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality classifier", good),
+    ("MinHash near-dedup", once),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding and decoding", tokens),
+]
 
-#: SQL can't express the stages.
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages in turn; each reads what its predecessor wrote."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(spark, docs, name)
+            docs = stored(spark, docs, f"stage-{i}")
     return docs
