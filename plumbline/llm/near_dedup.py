@@ -40,7 +40,7 @@ FAR = 22
 #: Bounds of a block: shingles and documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 1500
 #: Rows up to which the documents of candidate groups are broadcast to the scan.
-BROADCAST_NODES = 500_000
+BROADCAST_NODES = 200_000
 
 _FACTORS = mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = mixed(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
