@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from plumbline.plans import queries_retrieval, queries_text
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_PARTS = (queries_text, queries_retrieval)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: text for part in _PARTS for name, text in part.ORACLES.items()}
