@@ -29,10 +29,11 @@ def auc(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def items(rows: DataFrame, *columns: str) -> list[np.ndarray]:
-    found = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).orderBy(*columns).limit(MOST_ITEMS + 1).toArrow()
+    names = [f"c{i}" for i in range(len(columns))]
+    found = rows.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)]).orderBy(*names).limit(MOST_ITEMS + 1).toArrow()
     if found.num_rows > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items to resample")
-    return [found.column(c).to_numpy() for c in columns]
+    return [found.column(n).to_numpy() for n in names]
 
 
 def replicates(spark: SparkSession, n: int, seed: int, stat: Callable[[np.random.Generator], float], parts: int = 0) -> DataFrame:

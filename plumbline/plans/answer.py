@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.config import Config
 from plumbline.functions import text as T
 from plumbline.operators import dense, fusion, sparse, trust
+from plumbline.sources.shared import stored
 
 DECLINED = "Not answerable from this corpus."
 
@@ -57,17 +58,23 @@ def extractive(hits: DataFrame, seen_before: Column | None = None) -> DataFrame:
     return found.select("qid", F.concat(quoted, F.lit(" [1]")).alias("answer"))
 
 
+def own_citations(answers: DataFrame) -> DataFrame:
+    """What the extractive generator cites: the top passage, for its one claim."""
+    return answers.select("qid", F.lit(0).alias("claim_idx"), F.lit(1).alias("cited_rank"))
+
+
 def citations_of(answers: DataFrame) -> DataFrame:
-    """qid, claim_idx, cited_rank (from 1)."""
+    """qid, claim_idx, cited_rank (from 1), as the text's marks say."""
     each = answers.select("qid", F.explode(T.citations(F.col("answer"))).alias("c"))
     return each.select("qid", F.col("c.claim").alias("claim_idx"), (F.col("c.passage") + 1).alias("cited_rank"))
 
 
-def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: Config, generated: DataFrame | None = None) -> DataFrame:
+def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: Config, generated: DataFrame | None = None, citations: DataFrame | None = None) -> DataFrame:
     """One wide row of metrics, aggregates and verdicts a question; null is undefined.
 
     questions: qid, question, qvec; hits: qid, rank, passage, vec; answers: qid, answer. The
     entailment of all claims and passages is computed once and feeds both metrics that need it.
+    Citations are parsed from the answers unless they are given.
     """
     claims = answers.select("qid", F.posexplode(T.sentences(F.col("answer"))).alias("claim_idx", "claim"))
     nli = trust.nli_matrix(claims, hits)
@@ -76,7 +83,7 @@ def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: C
     vectors = vectors.select("id.qid", "id.claim_idx", "vec")
     out = questions.select("qid")
     faith = trust.faithfulness(questions, support)
-    attr = trust.attribution(questions, support, nli, citations_of(answers), config.support_threshold)
+    attr = trust.attribution(questions, support, nli, citations_of(answers) if citations is None else citations, config.support_threshold)
     rel = trust.relevance(questions, hits)
     short = trust.conciseness(questions, vectors)
     for part in (faith, attr.withColumnRenamed("f1", "attribution"), rel.withColumnRenamed("context_relevance", "relevance"), short):
@@ -100,10 +107,7 @@ def answer_all(passages: DataFrame, vectors: DataFrame, questions: DataFrame, co
     asked = questions.join(qvec.withColumnRenamed("vec", "qvec"), "qid", "left")
     hits = retrieve(passages, vectors, questions, qvec, config)
     texts = passages.select("passage_id", F.coalesce("source_text", "text").alias("passage") if "source_text" in passages.columns else F.col("text").alias("passage"))
-    full = hits.join(texts, "passage_id").join(vectors, "passage_id", "left").join(questions, "qid").persist()
-    try:
-        made = extractive(full) if answers is None else answers
-        out = measure(asked, full, made, config).join(made, "qid", "left")
-        return out.withColumn("answer", F.when(F.col("abstained"), F.lit(DECLINED)).otherwise(F.col("answer")))
-    finally:
-        full.unpersist()
+    full = stored(hits.join(texts, "passage_id").join(vectors, "passage_id", "left").join(questions, "qid"), "hits")
+    made = extractive(full) if answers is None else answers
+    out = measure(asked, full, made, config, citations=own_citations(made) if answers is None else None).join(made, "qid", "left")
+    return out.withColumn("answer", F.when(F.col("abstained"), F.lit(DECLINED)).otherwise(F.col("answer")))

@@ -10,6 +10,7 @@ from plumbline.operators import dense, perturb, resample, trust
 from plumbline.plans import agentic, answer
 from plumbline.plans import sql as S
 from plumbline.plans.queries_text import PASSAGES, passages_of, table
+from plumbline.sources.shared import stored
 
 QUERIES, ORACLES = {}, {}
 CONFIG = Config(retrieval_mode="dense", retrieval_gate=0.75, abstain_threshold=0.12, support_threshold=0.12)
@@ -37,12 +38,12 @@ def talk(spark, sf_dir):
 def setting(spark, sf_dir):
     """passages, vectors, questions, and hits with their texts and vectors."""
     t = talk(spark, sf_dir)
-    p = passages_of(spark, sf_dir).select("passage_id", "text")
-    v = dense.hash_counts(p, "passage_id", "text")
+    p = stored(passages_of(spark, sf_dir).select("passage_id", "text"), "passages")
+    v = stored(dense.hash_counts(p, "passage_id", "text"), "vectors")
     questions = t.select("qid", "question")
     hits = answer.retrieve(p, v, questions, dense.hash_counts(questions, "qid", "question"), CONFIG)
     full = hits.join(p.withColumnRenamed("text", "passage"), "passage_id").join(v, "passage_id").join(questions, "qid")
-    return p, v, t, full
+    return p, v, t, stored(full, "hits")
 
 
 def nli_of(spark, sf_dir):
@@ -115,8 +116,7 @@ def extractive_answers(spark, sf_dir):
 claims as (select qid, i - 1 as claim_idx, sentences[i] as claim from (select qid, sentences, unnest(range(1, len(sentences) + 1)) as i from cs)),
 nli as (select c.qid, claim_idx, rank, len(list_intersect({S.word_set('h.text')}, {S.word_set('c.claim')})) / cast(len(list_distinct(list_concat({S.word_set('h.text')}, {S.word_set('c.claim')}))) as double) as e from claims c join full_hits h using (qid)),
 support as (select qid, claim_idx, max(e) as s from nli group by all),
-raw as (select qid, string_split(regexp_replace(answer, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)) as s from answers),
-cites as (select qid, i - 1 as claim_idx, cast(regexp_extract(s[i], '\[(\d+)\]', 1) as integer) as rank from (select qid, s, unnest(range(1, len(s) + 1)) as i from raw) where regexp_matches(s[i], '\[[1-9]')),
+cites as (select qid, 0 as claim_idx, 1 as rank from answers),
 p as (select cites.qid, avg(case when e >= 0.12 then 1.0 else 0 end) as p from cites left join nli using (qid, claim_idx, rank) group by 1),
 r as (select support.qid, avg(case when cites.qid is not null then 1.0 else 0 end) as r from support left join cites using (qid, claim_idx) where s >= 0.12 group by 1),
 m as (select qid, coalesce(p, 1) as p, coalesce(r, 1) as r from talk left join p using (qid) left join r using (qid))
@@ -126,7 +126,7 @@ def attribution_prf(spark, sf_dir):
     answers = answer.extractive(hits)
     claims = answers.select("qid", F.posexplode(answer.T.sentences(F.col("answer"))).alias("claim_idx", "claim"))
     nli = trust.nli_matrix(claims, hits)
-    out = trust.attribution(t, trust.claim_support(nli), nli, answer.citations_of(answers), CONFIG.support_threshold)
+    out = trust.attribution(t, trust.claim_support(nli), nli, answer.own_citations(answers), CONFIG.support_threshold)
     return out.select("qid", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
@@ -231,7 +231,8 @@ def perturbations(spark, sf_dir):
 
 
 def _rounds(spark, sf_dir):
-    p, v, t, _ = setting(spark, sf_dir)
+    p = passages_of(spark, sf_dir).select("passage_id", "text")
+    v, t = dense.hash_counts(p, "passage_id", "text"), talk(spark, sf_dir)
     return agentic.iterate(p, v, t.select("qid", "question"), CONFIG)
 
 

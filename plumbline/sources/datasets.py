@@ -66,9 +66,9 @@ def judgments(spark: SparkSession, path: str) -> DataFrame:
 def answers(spark: SparkSession, path: str) -> DataFrame:
     """question, text, citations of recorded answers: a map from question to a text or a struct."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("question", "v"))
-    got = F.from_json("v", "text string, answer string, citations map<int, int>")
+    got = F.from_json("v", "text string, answer string, citations map<string, int>")
     plain = ~F.startswith(F.ltrim("v"), F.lit("{"))
-    out = rows.select("question", F.when(plain, F.col("v")).otherwise(F.coalesce(got["text"], got["answer"])).alias("text"), F.when(~plain, got["citations"]).alias("citations"))
+    out = rows.select("question", F.when(plain, F.col("v")).otherwise(F.coalesce(got["text"], got["answer"])).alias("text"), F.when(~plain, F.transform_keys(got["citations"], lambda k, v: k.cast("int"))).alias("citations"))
     return out
 
 
