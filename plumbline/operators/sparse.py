@@ -53,15 +53,17 @@ def search(
     Only postings of terms that queries hold leave the scan's tasks.
     """
     wanted = queries.select(qid, F.explode(T.tokens(F.col(qtext))).alias("term")).groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = small(wanted.select("term").distinct())
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # bounds all three tables below
+    mark = F.broadcast if few else lambda df: df
+    terms = mark(wanted.select("term").distinct())
     found = passages.select(key, T.tokens(F.col(text)).alias("terms"))
     each = found.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(terms, "term", "left_semi")
     posted = each.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     totals = stats(passages, text)
     weights = term_weights(posted, totals).join(F.broadcast(totals))
-    query_terms = wanted.join(small(weights), "term").withColumn("w", F.col("qtf") * F.col("idf") * (k1 + 1))
+    query_terms = wanted.join(mark(weights), "term").withColumn("w", F.col("qtf") * F.col("idf") * (k1 + 1))
     tf = F.col("tf")
-    scored = posted.join(small(query_terms.select(qid, "term", "w", "avgdl")), "term")
+    scored = posted.join(mark(query_terms.select(qid, "term", "w", "avgdl")), "term")
     part = F.col("w") * tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = scored.groupBy(qid, key).agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
     return top(scores, k, qid, F.desc("score"), F.asc(key)).select(qid, key, "score", "rank")
