@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import salted_join
+from plumbline.llm.common import salted_join, stored
 
 #: The marks of the rendered format.
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -50,40 +50,51 @@ def rotate(
         F.coalesce(role, F.lit(UNKNOWN)).alias("speaker"),
         F.coalesce(text, F.lit("")).alias("body"),
     )
-    people = rows.filter(F.col("speaker") != SYSTEM).select("conv", F.col("speaker").alias("perspective")).distinct()
-    counted = rows.groupBy("conv", "conv_id", "at", "speaker", "body").agg(F.count(F.lit(1)).alias("copies"))
-    own = F.col("speaker") == F.col("perspective")
     head = (
-        F.when(F.col("speaker") == SYSTEM, F.lit(f"{START}system\n"))
-        .when(own, F.lit(f"{START}assistant\n"))
-        .otherwise(F.concat(F.lit(f"{START}user name="), safe(F.col("speaker")), F.lit("\n")))
+        F.when(F.col("speaker") == SYSTEM, F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), safe(F.col("speaker")), F.lit("\n")))
     )
-    pieces = (
-        salted_join(counted, people, ["conv"], "inner")
-        .withColumn("head", head)
-        .withColumn("piece", F.concat("head", safe(F.col("body")), F.lit(END)))
-        .withColumn("size", F.length("piece").cast("long"))
-        .withColumn("span", F.floor(F.col("at") / (BLOCK * BLOCK)))
-        .withColumn("block", F.floor(F.col("at") / BLOCK))
+    mine = F.lit(f"{START}assistant\n")
+    counted = (
+        rows.groupBy("conv", "conv_id", "at", "speaker", "body")
+        .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("part", F.pmod(F.xxhash64("body"), F.lit(PARTS)))
+        .withColumn("rest", F.length(safe(F.col("body"))).cast("long") + len(END))
+        .withColumn("other_head", F.length(head).cast("long"))
     )
+    counted = stored(rows.sparkSession, counted, "turns")
+    own = F.col("speaker") == F.col("perspective")
+    size = F.col("rest") + F.when(own, F.length(mine)).otherwise(F.col("other_head"))
+    # sums of lengths alone, so that texts don't move; one small row a speaker and part
+    slim = counted.groupBy("conv", "at", "part", "speaker", "other_head").agg(F.sum(F.col("rest") * F.col("copies")).alias("rests"), F.sum("copies").alias("copies"))
+    people = counted.filter(F.col("speaker") != SYSTEM).select("conv", F.col("speaker").alias("perspective")).distinct()
     keys = ["conv", "perspective", "span", "block", "at", "part"]
-    total = [F.sum(F.col("size") * F.col("copies")).alias("size"), F.sum("copies").alias("copies")]
-    parts = pieces.groupBy(*keys).agg(*total)
+    each_size = F.col("rests") + F.col("copies") * F.when(own, F.length(mine)).otherwise(F.col("other_head"))
+    parts = (
+        salted_join(slim, people, ["conv"], "inner")
+        .withColumn("span", F.floor(F.col("at") / (BLOCK * BLOCK)))
+        .withColumn("block", F.floor(F.col("at") / BLOCK))
+        .groupBy(*keys)
+        .agg(F.sum(each_size).alias("size"), F.sum("copies").alias("copies"))
+    )
+    parts = stored(rows.sparkSession, parts, "parts")
     offsets = None
     for depth, order in ((2, ["span"]), (3, ["block"]), (4, ["at", "part"])):
         level = keys[:depth] + order
-        sums = parts if depth == 4 else parts.groupBy(*level).agg(*total)
+        sums = parts if depth == 4 else parts.groupBy(*level).agg(F.sum("size").alias("size"), F.sum("copies").alias("copies"))
         before = Window.partitionBy(*keys[:depth]).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select(*level, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_{depth}") for c in ("size", "copies")))
         offsets = sums if offsets is None else sums.join(offsets, keys[:depth])
-    before = Window.partitionBy(*keys).orderBy("speaker", "body").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.join(offsets, keys)
-    for c, amount in (("size", F.col("size") * F.col("copies")), ("copies", F.col("copies"))):
-        placed = placed.withColumn(f"{c}_5", F.coalesce(F.sum(amount).over(before), F.lit(0)))
-    start, place = (sum((F.col(f"{c}_{d}") for d in (3, 4, 5)), F.col(f"{c}_2")) for c in ("size", "copies"))
+    start, place = (F.col(f"{c}_2") + F.col(f"{c}_3") + F.col(f"{c}_4") for c in ("size", "copies"))
+    offsets = offsets.select("conv", "at", "part", "perspective", start.alias("start"), place.alias("place"))
+    # the texts move once, to the few rows of their part; perspectives come after
+    before = Window.partitionBy("conv", "at", "part", "perspective").orderBy("speaker", "body").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.join(offsets, ["conv", "at", "part"]).withColumn("size", size)
+    placed = placed.withColumn("start", F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(before), F.lit(0)))
+    placed = placed.withColumn("place", F.col("place") + F.coalesce(F.sum("copies").over(before), F.lit(0)))
     each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    each = each.withColumn("start", start + F.col("copy") * F.col("size")).withColumn("position", place + F.col("copy"))
+    each = each.withColumn("start", F.col("start") + F.col("copy") * F.col("size")).withColumn("position", F.col("place") + F.col("copy"))
+    head = F.when(own, mine).otherwise(head)
+    each = each.withColumn("piece", F.concat(head, safe(F.col("body")), F.lit(END))).withColumn("head", head)
     return each.select(
         "conv_id",
         "perspective",
