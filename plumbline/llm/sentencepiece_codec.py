@@ -29,7 +29,7 @@ from plumbline.llm.common import list_array, slices
 MARK = "▁"
 OUTPUTS = ("ids", "begins", "ends", "decoded")
 #: Segments, and pieces of segments, after which a worker forgets what it has looked up.
-KEPT_SEGMENTS, KEPT_PIECES = 400_000, 4_000_000
+KEPT_SEGMENTS, KEPT_PIECES = 250_000, 2_000_000
 
 
 def model_bytes(path: str) -> bytes:
