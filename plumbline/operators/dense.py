@@ -66,7 +66,7 @@ def search(
         q, names = np.array(block), np.array(ids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = None
+            best, least = None, np.full(len(q), -np.inf)  # least: what a row must reach for each query
             step = max(1, HELD // max(1, len(q)))
             for batch in batches:
                 n = batch.num_rows
@@ -75,19 +75,22 @@ def search(
                 m = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
                 rows = batch.column("key").to_numpy()
                 for a in range(0, n, step):
-                    s, there = scores(q, m[a : a + step]), rows[a : a + step]
-                    r = np.repeat(np.arange(len(q)), len(there))
-                    found = (r, np.tile(there, len(q)), s.ravel())
+                    there = rows[a : a + step]
+                    v = -sign * scores(q, m[a : a + step])  # the larger the better
                     if skip_same:
-                        found = tuple(x[names[r] != found[1]] for x in found)
+                        v[names[:, None] == there[None, :]] = -np.inf
+                    bar = least if len(there) <= k else np.maximum(least, np.partition(v, len(there) - k, axis=1)[:, len(there) - k])
+                    r, c = np.nonzero((v >= bar[:, None]) & (v > -np.inf))
+                    found = (r, there[c], v[r, c])
                     if best is not None:
                         found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
-                    order = np.lexsort((found[1], sign * found[2], found[0]))
+                    order = np.lexsort((found[1], -found[2], found[0]))
                     group = found[0][order]
-                    order = order[np.arange(len(order)) - np.searchsorted(group, group) < k]
-                    best = tuple(x[order] for x in found)
+                    place = np.arange(len(order)) - np.searchsorted(group, group)
+                    least[group[place == k - 1]] = found[2][order[place == k - 1]]
+                    best = tuple(x[order[place < k]] for x in found)
             if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["qid", "key", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(-sign * best[2])], names=["qid", "key", "score"])
 
         def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             inner = x @ y.T
