@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
-from plumbline.functions import text as T
 from plumbline.operators.sparse import top
 
 DIM = 64
+#: Tokens whose buckets a worker keeps.
+KEPT_TOKENS = 500_000
 #: Bytes of query vectors that a task holds; more queries are searched in turns.
 QUERY_BYTES = 32 << 20
 #: Scores that a task holds at once.
 HELD = 2 << 20
 
 
+_buckets: dict[str, int] = {}
+
+
+def bucket(token: str) -> int:
+    if token not in _buckets:
+        if len(_buckets) >= KEPT_TOKENS:
+            _buckets.clear()
+        _buckets[token] = hashlib.md5(token.encode()).digest()[-1] % DIM  # the low bits of the whole digest
+    return _buckets[token]
+
+
 def hash_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, vec: how often each of DIM buckets has a white-space token, by MD5. No token: none."""
-    words = F.filter(F.split(T.squeeze(F.lower(F.col(text))), " "), lambda w: w != "")
-    token = rows.select(key, F.explode(words).alias("token"))
-    bucket = F.conv(F.right(F.md5(F.col("token").cast("binary")), F.lit(2)), 16, 10).cast("int") % DIM
-    counts = token.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))  # at most DIM entries
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
-    return found.select(key, dense.alias("vec"))
+    """key, vec: how often each of DIM buckets has a white-space token of the lower-cased text, by
+    MD5. Texts without token have no row. It stands where a model's embedder would, in Arrow batches."""
+    slim = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = T_.StructType([T_.StructField(key, slim.schema["key"].dataType), T_.StructField("vec", T_.ArrayType(T_.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [(t or "").lower().split() for t in batch.column("text").to_pylist()]
+            kept = [i for i, t in enumerate(tokens) if t]
+            counts = [np.bincount([bucket(w) for w in tokens[i]], minlength=DIM).astype(np.float64) for i in kept]
+            flat = np.concatenate(counts) if counts else np.zeros(0)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * DIM), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(kept, pa.int64())), vec], names=[key, "vec"])
+
+    return slim.mapInArrow(run, schema)
 
 
 def dot(a: Column, b: Column) -> Column:

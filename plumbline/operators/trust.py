@@ -9,20 +9,31 @@ from plumbline.functions import text as T
 from plumbline.operators import dense
 
 
+def entailment(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two word sets; 0 where both are empty."""
+    both = F.size(F.array_intersect(a, b)).cast("double")
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
+
+
 def lexical_nli(pairs: DataFrame, premise: str, hypothesis: str) -> DataFrame:
-    """pairs with entailment (Jaccard of word sets) and the rest split between the other two."""
-    a, b = T.word_set(F.col(premise)), T.word_set(F.col(hypothesis))
-    sets = pairs.withColumn("_a", a).withColumn("_b", b)
-    both, either = F.size(F.array_intersect("_a", "_b")), F.size(F.array_union("_a", "_b"))
-    e = F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(0.0))
-    out = sets.withColumn("entailment", e).drop("_a", "_b")
+    """pairs with entailment, and the rest split between neutral and contradiction."""
+    return _all_three(pairs, entailment(T.word_set(F.col(premise)), T.word_set(F.col(hypothesis))))
+
+
+def _all_three(pairs: DataFrame, e: Column) -> DataFrame:
+    out = pairs.withColumn("entailment", e)
     return out.withColumn("neutral", (1 - F.col("entailment")) / 2).withColumn("contradiction", (1 - F.col("entailment")) / 2)
 
 
 def nli_matrix(claims: DataFrame, hits: DataFrame, qid: str = "qid", text: str = "passage") -> DataFrame:
-    """qid, claim_idx, rank, entailment, neutral, contradiction: computed once for all metrics."""
-    pairs = claims.join(hits.select(qid, "rank", text), qid)
-    return lexical_nli(pairs, text, "claim").select(qid, "claim_idx", "rank", "entailment", "neutral", "contradiction")
+    """qid, claim_idx, rank, entailment, neutral, contradiction: computed once for all metrics.
+
+    Word sets are made before the join, once a text, not once a pair.
+    """
+    a = hits.select(qid, "rank", T.word_set(F.col(text)).alias("premise"))
+    b = claims.select(qid, "claim_idx", T.word_set(F.col("claim")).alias("hypothesis"))
+    pairs = _all_three(b.join(a, qid), entailment(F.col("premise"), F.col("hypothesis")))
+    return pairs.select(qid, "claim_idx", "rank", "entailment", "neutral", "contradiction")
 
 
 def claim_support(nli: DataFrame, qid: str = "qid") -> DataFrame:
