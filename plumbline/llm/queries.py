@@ -80,6 +80,30 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_topk_search": """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+x as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from e q join e c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from x)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
+    "op9_chat": """
+with r as (
+  select conv_id, turn, coalesce(role, 'unknown') as speaker, replace(coalesce(text, ''), '<|im_', '<| im_') as body from conversations),
+p as (select distinct conv_id, speaker as perspective from r where speaker <> 'system'),
+x as (
+  select r.*, perspective, case when speaker = 'system' then '<|im_start|>system' when speaker = perspective then '<|im_start|>assistant'
+    else '<|im_start|>user name=' || replace(speaker, '<|im_', '<| im_') end || chr(10) as head from r join p using (conv_id)),
+y as (select *, head || body || '<|im_end|>' || chr(10) as piece from x),
+z as (
+  select *, row_number() over w - 1 as position, cast(sum(length(piece)) over w as bigint) as e from y
+  window w as (partition by conv_id, perspective order by turn rows unbounded preceding))
+select conv_id, perspective, turn, position, speaker, piece, e - length(piece) as start, e as "end",
+       case when speaker = perspective then e - length(piece) + length(head) end as loss_start,
+       case when speaker = perspective then e - 1 end as loss_end
+from z""",
     "op3_url_filter": r"""
 with urls as (
   select page_id, row_number() over () as n,
