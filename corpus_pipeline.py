@@ -17,6 +17,8 @@ from plumbline.llm.common import stored, table
 
 #: Rows up to which the ids of dropped documents are broadcast.
 BROADCAST_DROPPED = 1_000_000
+#: Documents of this similarity or more, in percent, are near-duplicates; op8 alone asks for 85.
+NEAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each near-duplicate group."""
-    found = stored(spark, near_dedup.near_duplicates(docs), "near")
+    found = stored(spark, near_dedup.near_duplicates(docs, percent=NEAR), "near")
     dropped = found.filter("not kept").select("doc_id").distinct()
     few = dropped.count() <= BROADCAST_DROPPED
     left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")

@@ -1,11 +1,12 @@
 """Near-duplicate documents: a multi-index Hamming join of b-bit MinHash signatures.
 
-A document is the set of its distinct shingles of five words. Its signature has CHUNKS * PLACES
+A document is the set of its distinct shingles of five words. Its signature has chunks * places
 symbols of 16 bits, each from one MinHash. Two signatures that differ in fewer than
-CHUNKS * (ERRORS + 1) places agree, by the pigeonhole principle, in some chunk but for at most
+chunks * (ERRORS + 1) places agree, by the pigeonhole principle, in some chunk but for at most
 ERRORS = 1 of its places; so each chunk is indexed once for each place that may be wrong, under
-the other places. All pairs below that distance meet under a key. At the least similarity that
-links, 0.85, a pair meets with probability over 0.9998, and the nearer, the surer.
+the other places. All pairs below that distance meet under a key. The chunks are sized for the
+least similarity that links (`scheme`): a pair of just that similarity, 0.85 or 0.80, meets with
+probability over 0.9998, and the nearer, the surer.
 
 Exact copies are one class from the start. Documents that meet are not paired: each key ties its
 members to the least of them, and the connected groups of these ties are cut into blocks of
@@ -22,6 +23,7 @@ read whole; columns of the table other than id and text play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,40 @@ from plumbline.llm.components import components
 SHINGLE = 5
 CHUNKS, PLACES, ERRORS = 7, 7, 1
 SYMBOLS = CHUNKS * PLACES
-#: Signatures that differ in more places are not compared in full: at similarity 0.85 that
-#: happens to fewer than one pair in a million.
-FAR = 22
 #: Bounds of a block: shingles and documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 1500
 #: Rows up to which the documents of candidate groups are broadcast to the scan.
 BROADCAST_NODES = 200_000
 
-_FACTORS = mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+class Scheme(NamedTuple):
+    """Chunks of places, and far: signatures that differ in more places are not compared in full,
+    which happens to fewer than one pair in a million of the least similarity that links."""
+
+    chunks: int
+    places: int
+    far: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.places
+
+
+#: For links from the similarity (in percent) on, the strictest first.
+SCHEMES = {85: Scheme(CHUNKS, PLACES, 22), 80: Scheme(9, 6, 26)}
+MOST_SYMBOLS = max(x.symbols for x in SCHEMES.values())
+
+
+def scheme(percent: int) -> Scheme:
+    """The scheme that is sized for links of percent or more."""
+    for least, found in SCHEMES.items():
+        if percent >= least:
+            return found
+    raise ValueError(f"no signature is sized for a similarity of {percent} %")
+
+
+_FACTORS = mixed(np.arange(1, MOST_SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = mixed(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -66,16 +93,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
     """Set x symbol, 16 bits each; zeros for an empty set."""
-    out = np.zeros((len(sets), SYMBOLS), np.uint16)
+    out = np.zeros((len(sets), symbols), np.uint16)
     sizes = np.array([len(s) for s in sets])
     own = np.flatnonzero(sizes)
     if not len(own):
         return out
     flat = np.concatenate(sets)
     heads = (np.cumsum(sizes) - sizes)[own]
-    for k in range(SYMBOLS):
+    for k in range(symbols):
         x = flat * _FACTORS[k]
         x ^= x >> np.uint64(32)
         least = np.minimum.reduceat(x * _FACTORS[k], heads)
@@ -83,22 +110,23 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def keys(sigs: np.ndarray) -> np.ndarray:
+def keys(sigs: np.ndarray, places: int = PLACES) -> np.ndarray:
     """Signature x key: for each chunk, and each of its places, the chunk without that place."""
-    terms = mixed(sigs.astype(np.uint64) + np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(1 << 16) + np.uint64(1))
-    chunks = terms.reshape(len(sigs), CHUNKS, PLACES)
+    n = sigs.shape[1]
+    terms = mixed(sigs.astype(np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(1 << 16) + np.uint64(1))
+    chunks = terms.reshape(len(sigs), n // places, places)
     rest = chunks.sum(axis=2, keepdims=True, dtype=np.uint64) - chunks
-    return mixed(rest + np.arange(SYMBOLS, dtype=np.uint64).reshape(CHUNKS, PLACES)[None]).reshape(len(sigs), SYMBOLS).view(np.int64)
+    return mixed(rest + np.arange(n, dtype=np.uint64).reshape(n // places, places)[None]).reshape(len(sigs), n).view(np.int64)
 
 
-def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
+def sketches(docs: DataFrame, text: str, key: str, symbols: int = SYMBOLS) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (of the whole set), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(*text_buffer(part.column("text")))
-                sigs = signatures(sets)
+                sigs = signatures(sets, symbols)
                 f1 = np.array([np.add.reduce(mixed(s)) for s in sets], np.uint64).view(np.int64)
                 f2 = np.array([np.add.reduce(mixed(s ^ _FACTORS[0])) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -110,16 +138,16 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
-def index_keys(classes: DataFrame) -> DataFrame:
-    """key, node: SYMBOLS rows for each class."""
+def index_keys(classes: DataFrame, plan: Scheme) -> DataFrame:
+    """key, node: plan.symbols rows for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, plan.symbols)
             nodes = batch.column("node").to_numpy()
             for a in range(0, len(nodes), 2000):
-                made = keys(sigs[a : a + 2000])
-                yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(np.repeat(nodes[a : a + 2000], SYMBOLS))], names=["key", "node"])
+                made = keys(sigs[a : a + 2000], plan.places)
+                yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(np.repeat(nodes[a : a + 2000], plan.symbols))], names=["key", "node"])
 
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
@@ -144,7 +172,7 @@ class Forest:
 def confirm(sets: list[np.ndarray], sigs: np.ndarray, split: int, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets: those before split against those after, or,
     with split 0, all among each other."""
-    n = len(sets)
+    n, plan = len(sets), scheme(percent)
     forest, links = Forest(n), []
     right = np.arange(split, n)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -161,9 +189,9 @@ def confirm(sets: list[np.ndarray], sigs: np.ndarray, split: int, percent: int)
         if not len(others):
             continue
         far = np.zeros(len(others), np.uint8)
-        for k in range(SYMBOLS):
+        for k in range(plan.symbols):
             far += sigs[others, k] != sigs[i, k]
-        others = others[far <= FAR]
+        others = others[far <= plan.far]
         if not len(others):
             continue
         at = np.searchsorted(vocabulary, sets[i])
@@ -197,7 +225,7 @@ def tile_links(members: DataFrame, percent: int) -> DataFrame:
         nodes = tile.column("node").to_numpy()[order]
         raw, sig = tile.column("shingles").to_pylist(), tile.column("sig").to_pylist()
         sets = [np.frombuffer(raw[i], np.uint64) for i in order]
-        sigs = np.frombuffer(b"".join(sig[i] for i in order), np.uint16).reshape(-1, SYMBOLS)
+        sigs = np.frombuffer(b"".join(sig[i] for i in order), np.uint16).reshape(-1, scheme(percent).symbols)
         split = int((blocks == row).sum()) if row != col else 0
         if row != col and split in (0, len(sets)):
             return
@@ -233,12 +261,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     component_id is the smallest doc_id that a document reaches over links; it is kept where it
     is its own component_id.
     """
-    spark = docs.sparkSession
-    sketch = stored(spark, sketches(docs, text, key), "sketches")
+    spark, plan = docs.sparkSession, scheme(percent)
+    sketch = stored(spark, sketches(docs, text, key, plan.symbols), "sketches")
     whole = ["n_shingles", "f1", "f2"]
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(spark, usable.groupBy(*whole).agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
-    index = index_keys(classes)
+    index = index_keys(classes, plan)
     met = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     ties = index.join(met.select("key", "low"), "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     groups = stored(spark, components(ties), "groups")
@@ -247,7 +275,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         for batch in batches:
             for part in slices(batch, "text"):
                 found = shingle_sets(*text_buffer(part.column("text")))
-                sig = [x.tobytes() for x in signatures(found)]
+                sig = [x.tobytes() for x in signatures(found, plan.symbols)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), part.column("grp"), pa.array(list(map(len, found)), pa.int64()), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
                     names=["node", "grp", "n", "sig", "shingles"],
