@@ -1,8 +1,9 @@
 """Bootstrap intervals, permutation tests, weight draws: replicates are dealt to tasks.
 
-The arrays that are resampled are a benchmark's scores (bounded by MOST_ITEMS and collected once);
-replicates, which are many, are distributed. Replicate r of a seed always draws the same numbers,
-whichever task runs it.
+The rows that are resampled are tallied first: what is collected, once, is each distinct row and how
+often it occurs (at most MOST_ITEMS distinct ones, however many rows). Drawing rows is drawing how
+often each distinct one comes, so the replicates are those of the rows themselves. Replicates, which
+are many, are distributed. Replicate r of a seed always draws the same numbers, whichever task runs it.
 """
 
 from __future__ import annotations
@@ -11,29 +12,42 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Distinct rows that are collected.
 MOST_ITEMS = 1_000_000
+#: Rows of a block of a ranking; a task counts the discordant pairs of two blocks.
+BLOCK_ROWS = 250_000
 
 
-def auc(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Area under the ROC curve by average ranks; NaN with one class."""
+def auc(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """Area under the ROC curve by average ranks, of rows that occur counts times; NaN with one class."""
     pos = labels == 1
-    n_pos, n_neg = int(pos.sum()), int((~pos).sum())
+    counts = np.ones(len(scores)) if counts is None else counts.astype(float)
+    n_pos, n_neg = counts[pos].sum(), counts[~pos].sum()
     if not n_pos or not n_neg:
         return float("nan")
-    values, place, counts = np.unique(scores, return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(counts) - (counts - 1) / 2)[place]
-    return float((ranks[pos].sum() - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg))
+    values, place = np.unique(scores, return_inverse=True)
+    each = np.bincount(place, counts, len(values))
+    ranks = (np.cumsum(each) - (each - 1) / 2)[place]
+    return float(((ranks * counts)[pos].sum() - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg))
 
 
 def items(rows: DataFrame, *columns: str) -> list[np.ndarray]:
+    """The columns of the distinct rows, in order, and how often each occurs."""
     names = [f"c{i}" for i in range(len(columns))]
-    found = rows.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)]).orderBy(*names).limit(MOST_ITEMS + 1).toArrow()
+    found = rows.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
+    found = found.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).limit(MOST_ITEMS + 1).toArrow()
     if found.num_rows > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items to resample")
-    return [found.column(n).to_numpy() for n in names]
+        raise ValueError(f"more than {MOST_ITEMS} distinct items to resample")
+    return [found.column(n).to_numpy() for n in (*names, "n")]
+
+
+def drawn(rng: np.random.Generator, counts: np.ndarray) -> np.ndarray:
+    """How often each distinct row comes in as many draws as there are rows."""
+    return rng.multinomial(counts.sum(), counts / counts.sum())
 
 
 def replicates(spark: SparkSession, n: int, seed: int, stat: Callable[[np.random.Generator], float], parts: int = 0) -> DataFrame:
@@ -55,68 +69,72 @@ def interval(values: DataFrame, point: float, alpha: float = 0.05) -> DataFrame:
 
 def bootstrap_auc(rows: DataFrame, score: str = "score", label: str = "label", n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Interval of the AUC; each class is resampled apart, so no replicate lacks one."""
-    s, y = items(rows, score, label)
-    pos, neg = s[y == 1], s[y != 1]
+    s, y, n_of = items(rows, score, label)
+    pos = y == 1
 
     def stat(rng: np.random.Generator) -> float:
-        a, b = rng.choice(pos, len(pos)), rng.choice(neg, len(neg))
-        return auc(np.concatenate([a, b]), np.concatenate([np.ones(len(a)), np.zeros(len(b))]))
+        now = np.empty_like(n_of)
+        now[pos], now[~pos] = drawn(rng, n_of[pos]), drawn(rng, n_of[~pos])
+        return auc(s, y, now)
 
-    if not len(pos) or not len(neg):
+    if pos.all() or not pos.any():
         nan = float("nan")
         return rows.sparkSession.createDataFrame([(nan, nan, nan)], "point double, ci_lo double, ci_hi double")
-    return interval(replicates(rows.sparkSession, n, seed, stat), auc(s, y), alpha)
+    return interval(replicates(rows.sparkSession, n, seed, stat), auc(s, y, n_of), alpha)
 
 
 def bootstrap_mean(rows: DataFrame, value: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    (v,) = items(rows.filter(F.col(value).isNotNull()), value)
-    return interval(replicates(rows.sparkSession, n, seed, lambda rng: float(rng.choice(v, len(v)).mean()) if len(v) else float("nan")), float(v.mean()) if len(v) else float("nan"), alpha)
+    v, n_of = items(rows.filter(F.col(value).isNotNull()), value)
+    mean = lambda times: float((v * times).sum() / times.sum()) if len(v) else float("nan")
+    return interval(replicates(rows.sparkSession, n, seed, lambda rng: mean(drawn(rng, n_of) if len(v) else n_of)), mean(n_of), alpha)
 
 
 def bootstrap_paired_difference(rows: DataFrame, a: str, b: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Interval of mean(a) - mean(b), rows resampled together."""
-    x, y = items(rows, a, b)
+    x, y, n_of = items(rows, a, b)
     d = x - y
-    return interval(replicates(rows.sparkSession, n, seed, lambda rng: float(rng.choice(d, len(d)).mean())), float(d.mean()), alpha)
+    mean = lambda times: float((d * times).sum() / times.sum())
+    return interval(replicates(rows.sparkSession, n, seed, lambda rng: mean(drawn(rng, n_of))), mean(n_of), alpha)
 
 
 def bootstrap_ratio(rows: DataFrame, a: str, b: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Interval of sum(a) / sum(b); replicates with an empty denominator drop out."""
-    x, y = items(rows, a, b)
+    x, y, n_of = items(rows, a, b)
 
-    def stat(rng: np.random.Generator) -> float:
-        at = rng.integers(0, len(x), len(x))
-        below = y[at].sum()
-        return float(x[at].sum() / below) if below else float("nan")
+    def ratio(times: np.ndarray) -> float:
+        below = (y * times).sum()
+        return float((x * times).sum() / below) if below else float("nan")
 
-    return interval(replicates(rows.sparkSession, n, seed, stat), float(x.sum() / y.sum()) if y.sum() else float("nan"), alpha)
+    return interval(replicates(rows.sparkSession, n, seed, lambda rng: ratio(drawn(rng, n_of))), ratio(n_of), alpha)
 
 
-def permutation_test(rows: DataFrame, a: str, b: str, label: str, n: int = 10_000, seed: int = 0) -> DataFrame:
-    """difference, p: is the AUC of score a from that of score b? Each item's two scores are swapped
-    by a coin in each replicate; p is (as extreme + 1) / (n + 1)."""
-    x, y, lab = items(rows, a, b, label)
-    real = auc(x, lab) - auc(y, lab)
+def swapped(rows: DataFrame, x: np.ndarray, y: np.ndarray, n_of: np.ndarray, difference: Callable, n: int, seed: int) -> DataFrame:
+    """difference, p of a test that swaps x and y of each row by a coin: of a distinct row that
+    occurs often, as many are swapped as its coins say."""
+    x, y = np.concatenate([x, y]), np.concatenate([y, x])
+    real = difference(x, y, np.concatenate([n_of, np.zeros_like(n_of)]))
 
     def stat(rng: np.random.Generator) -> float:
-        swap = rng.random(len(x)) < 0.5
-        return auc(np.where(swap, y, x), lab) - auc(np.where(swap, x, y), lab)
+        swap = rng.binomial(n_of, 0.5)
+        return difference(x, y, np.concatenate([n_of - swap, swap]))
 
     found = replicates(rows.sparkSession, n, seed, stat).agg(F.count_if(F.abs("value") >= abs(real) - 1e-12).alias("extreme"))
     return found.select(F.lit(real).alias("difference"), ((F.col("extreme") + 1) / (n + 1)).alias("p"))
 
 
-def label_permutation_test(rows: DataFrame, score: str, label_a: str, label_b: str, n: int = 10_000, seed: int = 0) -> DataFrame:
-    """As permutation_test, with one score and two labellings that are swapped."""
-    s, x, y = items(rows, score, label_a, label_b)
-    real = auc(s, x) - auc(s, y)
+def permutation_test(rows: DataFrame, a: str, b: str, label: str, n: int = 10_000, seed: int = 0) -> DataFrame:
+    """difference, p: is the AUC of score a from that of score b? Each item's two scores are swapped
+    by a coin in each replicate; p is (as extreme + 1) / (n + 1)."""
+    x, y, lab, n_of = items(rows, a, b, label)
+    twice = np.concatenate([lab, lab])
+    return swapped(rows, x, y, n_of, lambda u, v, times: auc(u, twice, times) - auc(v, twice, times), n, seed)
 
-    def stat(rng: np.random.Generator) -> float:
-        swap = rng.random(len(s)) < 0.5
-        return auc(s, np.where(swap, y, x)) - auc(s, np.where(swap, x, y))
 
-    found = replicates(rows.sparkSession, n, seed, stat).agg(F.count_if(F.abs("value") >= abs(real) - 1e-12).alias("extreme"))
-    return found.select(F.lit(real).alias("difference"), ((F.col("extreme") + 1) / (n + 1)).alias("p"))
+def label_permutation_test(rows: DataFrame, score: str, label_a: str, label_b: str, n: int = 10_000, seed: int = 0) -> DataFrame:
+    """As permutation_test, with one score and two labellings that are swapped."""
+    s, x, y, n_of = items(rows, score, label_a, label_b)
+    twice = np.concatenate([s, s])
+    return swapped(rows, x, y, n_of, lambda u, v, times: auc(twice, u, times) - auc(twice, v, times), n, seed)
 
 
 def dirichlet_weights(spark: SparkSession, names: tuple, n: int = 10_000, seed: int = 0) -> DataFrame:
@@ -135,9 +153,117 @@ def weight_sensitivity(rows: DataFrame, weights: DataFrame, names: tuple, key: s
     return both.select(key, "sample", arith.alias("t_arith"), geom.alias("t_geom"))
 
 
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs of which the earlier one is larger, by a stable partition for each bit from the top."""
+    total, r, n = 0, np.asarray(ranks, np.int32), len(ranks)
+    place = np.arange(n, dtype=np.int32)
+    heads = np.zeros(n, np.int32)  # where the run of equal higher bits begins
+    for bit in range(int(r.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (r >> bit) & 1
+        upto = np.cumsum(one, dtype=np.int32)
+        before = upto - one
+        before -= before[heads]  # ones before it in its run
+        is_one = one.astype(bool)
+        total += int(before.sum(dtype=np.int64)) - int(before[is_one].sum(dtype=np.int64))
+        if bit:  # each run's zeros, in their order, then its ones
+            last = np.append(np.flatnonzero(heads[1:] != heads[:-1]), n - 1)
+            zeros = np.empty(n, np.int32)
+            zeros[heads[last]] = last + 1 - heads[last] - (before + one)[last]
+            middle = heads + zeros[heads]
+            to = np.where(is_one, middle + before, place - before)
+            moved, start = np.empty_like(r), np.empty_like(heads)
+            moved[to], start[to] = r, np.where(is_one, middle, heads)
+            r, heads = moved, start
+    return total
+
+
+def discordant(a: np.ndarray, g: np.ndarray) -> int:
+    """Pairs that a and g order differently; a pair that either ties isn't one."""
+    by_g = np.argsort(g, kind="stable")
+    a, g = a[by_g], g[by_g]
+    ranks = np.concatenate([[0], np.cumsum(g[1:] != g[:-1])]) if len(g) else np.zeros(0, int)
+    return inversions(ranks[np.argsort(a, kind="stable")])
+
+
+def _tile(keys: np.ndarray, left: np.ndarray, a: np.ndarray, g: np.ndarray, own: bool) -> int:
+    """Discordant pairs of rows of unlike keys: in one block (own), or between left and the others."""
+    if not own:
+        return discordant(a, g) - discordant(a[left], g[left]) - discordant(a[~left], g[~left])
+    found = discordant(a, g)
+    for at in _repeated(keys):
+        found -= discordant(a[at], g[at])
+    return found
+
+
+def _repeated(keys: np.ndarray) -> list[np.ndarray]:
+    """The places of each key that occurs more than once."""
+    order = np.argsort(keys, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(keys[order])) + 1)
+    return [p for p in parts if len(p) > 1]
+
+
+def _pairs(keys: np.ndarray, left: np.ndarray, own: bool) -> int:
+    if not own:
+        return int(left.sum()) * int((~left).sum())
+    return len(keys) * (len(keys) - 1) // 2 - sum(len(p) * (len(p) - 1) // 2 for p in _repeated(keys))
+
+
+def _tiles(rows: DataFrame, blocks: Column) -> DataFrame:
+    """rows (with key) once for each tile (row, col) of two blocks that they are in."""
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return each.withColumn("row", F.least("block", "other")).withColumn("col", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def _rate(counted: DataFrame) -> DataFrame:
+    total = counted.agg(F.sum("discordant").alias("d"), F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("pairs"))
+    return total.select(F.try_divide("d", "pairs").alias("rate"), "pairs")
+
+
 def disagreement(sampled: DataFrame, key: str = "qid") -> DataFrame:
-    """rate: how often two rows are ordered differently by the two aggregates."""
-    a = sampled.select("sample", F.col(key).alias("i"), F.col("t_arith").alias("a1"), F.col("t_geom").alias("g1"))
-    b = sampled.select("sample", F.col(key).alias("j"), F.col("t_arith").alias("a2"), F.col("t_geom").alias("g2"))
-    pairs = a.join(b, "sample").filter("i < j")
-    return pairs.agg(F.avg(((F.col("a1") - F.col("a2")) * (F.col("g1") - F.col("g2")) < 0).cast("double")).alias("rate"), F.count(F.lit(1)).alias("pairs"))
+    """rate: how often two rows of a sample are ordered differently by the two aggregates; pairs.
+
+    Pairs aren't made: a task counts the inversions between two blocks of at most about BLOCK_ROWS
+    rows, exactly. Rows without key or aggregate are left out; rows of one key are no pair.
+    """
+    rows = sampled.select("sample", F.col(key).cast("long").alias("key"), "t_arith", "t_geom").dropna()
+    sizes = rows.groupBy("sample").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
+    tiled = _tiles(rows.join(F.broadcast(sizes), "sample").withColumnRenamed("blocks", "n"), F.col("n"))
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, a, g, block = (table.column(c).to_numpy() for c in ("key", "t_arith", "t_geom", "block"))
+        row, col = table.column("row")[0].as_py(), table.column("col")[0].as_py()
+        left, own = block == row, row == col
+        return pa.table({"discordant": [_tile(keys, left, a, g, own)], "pairs": [_pairs(keys, left, own)]})
+
+    return _rate(tiled.groupBy("sample", "row", "col").applyInArrow(count, "discordant long, pairs long"))
+
+
+def weight_disagreement(rows: DataFrame, weights: DataFrame, names: tuple, key: str = "qid") -> DataFrame:
+    """rate, pairs: disagreement(weight_sensitivity(...)) of all rows under all weightings.
+
+    The rows are dealt once to tiles and groups of weightings, not once a weighting; a task ranks its
+    tile under each weighting of its group. The weightings are collected.
+    """
+    spark = rows.sparkSession
+    w = weights.orderBy("sample").select(*names).toPandas().to_numpy()
+    slim = rows.select(F.col(key).cast("long").alias("key"), *[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    blocks = max(1, -(-slim.count() // BLOCK_ROWS))
+    groups = max(1, min(len(w), -(-8 * spark.sparkContext.defaultParallelism // (blocks * (blocks + 1) // 2))))
+    tiled = _tiles(slim, F.lit(blocks).cast("long")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, block = table.column("key").to_numpy(), table.column("block").to_numpy()
+        row, col, grp = (table.column(c)[0].as_py() for c in ("row", "col", "grp"))
+        left, own = block == row, row == col
+        m = [table.column(c).to_numpy() for c in names]
+        some = np.minimum.reduce(m) > 0
+        logs = [np.log(np.where(some, x, 1.0)) for x in m]
+        found, mine = 0, w[grp::groups]
+        for weighting in mine:  # added in the order of names, so equal rows tie
+            a = sum((x * c for c, x in zip(weighting, m, strict=True)), np.zeros(len(keys)))
+            g = np.where(some, np.exp(sum((x * c for c, x in zip(weighting, logs, strict=True)), np.zeros(len(keys)))), 0.0)
+            found += _tile(keys, left, a, g, own)
+        return pa.table({"discordant": [found], "pairs": [_pairs(keys, left, own) * len(mine)]})
+
+    return _rate(tiled.groupBy("grp", "row", "col").applyInArrow(count, "discordant long, pairs long"))

@@ -213,13 +213,13 @@ def nested_unnest_counts(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return resample.bootstrap_auc(scored(spark, sf_dir), n=2000)
+    return resample.bootstrap_auc(scored(spark, sf_dir))
 
 
 @query()
 def bootstrap_means(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("y", F.col("label").cast("double"))
-    parts = [resample.bootstrap_mean(rows, "score", 2000), resample.bootstrap_paired_difference(rows, "score", "y", 2000), resample.bootstrap_ratio(rows, "score", "y", 2000)]
+    parts = [resample.bootstrap_mean(rows, "score"), resample.bootstrap_paired_difference(rows, "score", "y"), resample.bootstrap_ratio(rows, "score", "y")]
     names = ("mean", "difference", "ratio")
     out = None
     for name, part in zip(names, parts, strict=True):
@@ -231,12 +231,12 @@ def bootstrap_means(spark, sf_dir):
 @query()
 def paired_permutation(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("other", 1 - F.col("score"))
-    return resample.permutation_test(rows, "score", "other", "label", 2000)
+    return resample.permutation_test(rows, "score", "other", "label")
 
 
 @query()
 def label_permutation(spark, sf_dir):
-    return resample.label_permutation_test(scored(spark, sf_dir), "score", "label", "toxic", 2000)
+    return resample.label_permutation_test(scored(spark, sf_dir), "score", "label", "toxic")
 
 
 @query("""with r as (select case doc_id % 3 when 0 then 'single' when 1 then 'iterative' else 'routed' end as arm, quality = 1 as answerable, toxic = 1 or n_chars < 1500 as abstained, n_chars / 20000.0 as trust, doc_id % 4 as calls from documents join labels using (doc_id))

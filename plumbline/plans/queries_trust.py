@@ -199,17 +199,31 @@ _SAMPLED = f"""w(sample, wa, wb, wc, wd) as (values {_VALUES}), {_ROWS},
 s as (select qid, sample, wa * a + wb * b + wc * c + wd * d as ta, case when least(a, b, c, d) <= 0 then 0 else exp(wa * ln(nullif(a, 0)) + wb * ln(nullif(b, 0)) + wc * ln(nullif(c, 0)) + wd * ln(nullif(d, 0))) end as tg from r, w)"""
 
 
-def sampled(spark, sf_dir):
+def rated(spark, sf_dir):
+    """qid and its four metrics, of all labelled documents."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     share = lambda m, plus, of: (F.col("doc_id") % m + plus) / float(of)
-    rows = d.select(F.col("doc_id").alias("qid"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias(NAMES[0]), share(7, 0, 7).alias(NAMES[1]), share(11, 1, 12).alias(NAMES[2]), share(13, 1, 14).alias(NAMES[3]))
+    return d.select(F.col("doc_id").alias("qid"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias(NAMES[0]), share(7, 0, 7).alias(NAMES[1]), share(11, 1, 12).alias(NAMES[2]), share(13, 1, 14).alias(NAMES[3]))
+
+
+def sampled(spark, sf_dir):
+    rows = rated(spark, sf_dir)
     weights = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(_weights())], "sample int, " + ", ".join(f"{n} double" for n in NAMES))
     return resample.weight_sensitivity(rows, weights, NAMES)
 
 
 @query(f"with {_SAMPLED} select sample, round(avg(ta), 6) as mean_arith, round(stddev_samp(ta), 6) as std_arith, round(avg(tg), 6) as mean_geom, round(avg(case when ta >= 0.5 and tg = 0 then 1.0 else 0 end), 6) as masked from s group by sample")
 def weight_sensitivity(spark, sf_dir):
-    s = sampled(spark, sf_dir)
+    return _sensitivity(sampled(spark, sf_dir))
+
+
+@query()
+def weight_sensitivity_all(spark, sf_dir):
+    """weight_sensitivity under the operator's 10,000 draws."""
+    return _sensitivity(resample.weight_sensitivity(rated(spark, sf_dir), resample.dirichlet_weights(spark, NAMES), NAMES))
+
+
+def _sensitivity(s):
     masked = ((F.col("t_arith") >= 0.5) & (F.col("t_geom") == 0)).cast("double")
     return s.groupBy("sample").agg(F.round(F.avg("t_arith"), 6).alias("mean_arith"), F.round(F.stddev_samp("t_arith"), 6).alias("std_arith"), F.round(F.avg("t_geom"), 6).alias("mean_geom"), F.round(F.avg(masked), 6).alias("masked"))
 
@@ -221,6 +235,14 @@ def ranking_disagreement(spark, sf_dir):
     return resample.disagreement(groups).select(F.round("rate", 6).alias("rate"), "pairs")
 
 
+@query()
+def ranking_disagreement_all(spark, sf_dir):
+    """All pairs of documents under the operator's 10,000 draws; ranking_disagreement, as its SQL,
+    has 40 averages of documents and 20 draws."""
+    found = resample.weight_disagreement(rated(spark, sf_dir), resample.dirichlet_weights(spark, NAMES), NAMES)
+    return found.select(F.round("rate", 6).alias("rate"), "pairs")
+
+
 @query()
 def perturbations(spark, sf_dir):
     """Every edit of every recorded answer, with retrieved passages and the others as distractors."""
