@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import ids
 from plumbline.functions import text as T
 from plumbline.operators import dense, fusion, irmetrics, reshape, sparse
 from plumbline.plans import sql as S
@@ -142,7 +143,7 @@ best as (select qid, passage_id // 10000 as doc_id, min(rank) as r from hit wher
 t as (select qid, doc_id, row_number() over (partition by qid order by r) as rank from best) select qid, doc_id, cast(rank as integer) as rank from t where rank <= {K}""")
 def collapse_to_documents(spark, sf_dir):
     hits = sparse.search(passages_of(spark, sf_dir), asked(spark, sf_dir), 4 * K, key="passage_id")
-    return fusion.collapse(hits.withColumn("doc_id", F.expr("passage_id div 10000")), "doc_id", K)
+    return fusion.collapse(hits.withColumn("doc_id", ids.major_of(F.col("passage_id"), ids.PASSAGES)), "doc_id", K)
 
 
 @query(f"""with {DENSE}, m as (select qid, max(score) as s from dense where rank <= 5 group by qid)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import ids
 from plumbline.functions import text as T
 from plumbline.operators import chunks
 from plumbline.plans import sql as S
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def passages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """passage_id, doc_id, text of all documents."""
     found = chunks.chunk_passages(table(spark, sf_dir, "documents"), F.array("text"))
-    return found.select((F.col("doc_id") * 10000 + F.col("idx")).alias("passage_id"), "doc_id", "text")
+    return found.select(ids.pack(F.col("doc_id"), F.col("idx"), ids.PASSAGES).alias("passage_id"), "doc_id", "text")
 
 
 PASSAGES = S.chunk_ctes() + ", passages as (select doc_id * 10000 + idx as passage_id, doc_id, text from chunks)"

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
+from plumbline.functions import ids
 from plumbline.operators import dense, perturb, resample, trust
 from plumbline.plans import agentic, answer
 from plumbline.plans import sql as S
@@ -32,7 +33,7 @@ def talk(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
     a = t.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     b = t.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "question", "answer")
+    return a.join(b, ["conv_id", "turn"]).select(ids.pack(F.col("conv_id"), F.col("turn"), ids.TURNS).alias("qid"), "question", "answer")
 
 
 def setting(spark, sf_dir):
