@@ -195,8 +195,9 @@ def confirm(sets: list[np.ndarray], sigs: np.ndarray, split: int, percent: int)
         if not len(others):
             continue
         at = np.searchsorted(vocabulary, sets[i])
-        at = at[at < len(vocabulary)]
-        at = at[np.isin(vocabulary[at], sets[i], assume_unique=True)]
+        inside = at < len(vocabulary)
+        at = at[inside]
+        at = at[vocabulary[at] == sets[i][inside]]
         mark[at] = 1
         slots = others - split
         if 4 * int(sizes[others].sum()) < len(flat):
