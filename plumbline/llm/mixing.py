@@ -83,12 +83,8 @@ def flow(patterns: Sequence[tuple[frozenset, int]], quotas: dict, most: int) ->
         if size and sources:
             shared[find(next(iter(sources)))].append(i)
     for members in shared.values():
-        if len(members) == 1 and len(patterns[members[0]][0]) == 1:
-            (i,) = members
-            given[i] = min(most * patterns[i][1], quotas.get(next(iter(patterns[i][0])), 0))
-        else:
-            for i, words in _search({i: patterns[i] for i in members}, quotas, most).items():
-                given[i] = words
+        for i, words in _search({i: patterns[i] for i in members}, quotas, most).items():
+            given[i] = words
     return given
 
 
