@@ -22,8 +22,11 @@ NEAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told, as they hold no letter."""
+    """Drops documents whose language can't be told, as they hold no letter; without a labelled
+    document there is no model, and the letter alone decides."""
     model = langid.fit(docs, ~langid.held_out())
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return langid.identify(docs, model).filter("lang_pred <> 'und'").select(docs.columns)
 
 
