@@ -102,10 +102,13 @@ def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
         return out
     flat = np.concatenate(sets)
     heads = (np.cumsum(sizes) - sizes)[own]
+    x, high = np.empty_like(flat), np.empty_like(flat)  # one pair of arrays for all symbols
     for k in range(symbols):
-        x = flat * _FACTORS[k]
-        x ^= x >> np.uint64(32)
-        least = np.minimum.reduceat(x * _FACTORS[k], heads)
+        np.multiply(flat, _FACTORS[k], out=x)
+        np.right_shift(x, np.uint64(32), out=high)
+        np.bitwise_xor(x, high, out=x)
+        np.multiply(x, _FACTORS[k], out=x)
+        least = np.minimum.reduceat(x, heads)
         out[own, k] = (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
     return out
 
