@@ -1,5 +1,9 @@
 """Quality classification with hierarchical empirical Bayes over sites.
 
+host and path are columns that the caller names. `documents` has no url, so op7_quality and the
+pipeline pass stand-ins, source for the host and lang for the path: few large cells a source, which
+hardly need the shrinking that sparse paths get.
+
 A logistic classifier on a text's form gives each document's evidence. Sites have two levels:
 host, and path within a host. By grouped sums over all documents, a host's share of good
 documents is the posterior mean under a Beta prior fitted to all hosts by moments; a path's is
