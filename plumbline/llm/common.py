@@ -22,22 +22,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share. A local session without one gets a folder of its
+    own; a cluster without one is refused, as no folder of one machine serves it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "plumbline-checkpoints")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
 
 
+#: Folders that `stored` and `scratch` made and `discard` hasn't removed, in order.
+_made: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; nothing is there yet."""
+    _made.append(f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, outlives executors."""
-    path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made_so_far() -> int:
+    """A mark for `discard`."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Removes what was stored after the mark, but for the last `keep`: nothing may read it again."""
+    stop = max(since, len(_made) - keep)
+    for path in _made[since:stop]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    del _made[since:stop]
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string or binary column; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -85,12 +112,32 @@ def free_prefix(columns: list[str]) -> str:
     return prefix
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
-    """left joined to right, of which each key has few rows: a key that holds a third of left's
-    rows is dealt to `salts` tasks, against as many copies of right's small rows."""
-    salt = f"{free_prefix([*left.columns, *right.columns])}salt"
-    spread = left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+#: A key of more rows may be hot; of these, the MOST_HOT largest are. Any other key then holds less
+#: than a MOST_HOT-th of all rows.
+HOT_ROWS, MOST_HOT = 10_000, 1000
+
+
+def hot_keys(left: DataFrame, keys: list[str]) -> list[tuple]:
+    """The hot keys, by sums made in each task first; at most MOST_HOT come to the driver."""
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    return [tuple(r)[:-1] for r in counts.orderBy(F.desc("_n"), *keys).limit(MOST_HOT).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 16, hot: list[tuple] | None = None) -> DataFrame:
+    """left joined to right, of which each key has few rows: rows of a hot key are dealt to `salts`
+    tasks by a hash of the row (the same when a task runs again), against copies of the few rows
+    that right has for it. Keys that aren't hot are joined as they are."""
+    hot = hot_keys(left, keys) if hot is None else hot
+    if not hot:
+        return left.join(right, keys, how)
+    own = free_prefix([*left.columns, *right.columns])
+    salt, flag = f"{own}salt", f"{own}hot"
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*keys).schema.fields]
+    marks = F.broadcast(left.sparkSession.createDataFrame([(*k, True) for k in hot], ", ".join([*fields, f"`{flag}` boolean"])))
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
+    spread = left.join(marks, keys, "left").withColumn(salt, F.when(F.col(flag), part).otherwise(F.lit(0))).drop(flag)
+    dealt = F.when(F.col(flag), F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))
+    copies = right.join(marks, keys, "left").withColumn(salt, F.explode(dealt)).drop(flag)
     return spread.join(copies, [*keys, salt], how).drop(salt)
 
 
@@ -112,22 +159,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text whose words are found at once (a longer word comes alone).
+WORD_WINDOW = 1 << 18
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of other than ASCII white space) of consecutive texts: start, length, hash."""
+    found, a, n = [], 0, len(data)
+    while a < n:
+        b = min(n, a + WORD_WINDOW)
+        while b < n:  # a window ends behind a space or where a text begins
+            spaces = np.flatnonzero(SPACES[data[a:b]])
+            head = int(offsets[np.searchsorted(offsets, b, side="right") - 1])
+            cut = max(a + int(spaces[-1]) + 1 if len(spaces) else 0, head)
+            if cut > a:
+                b = cut
+                break
+            b = min(n, 2 * b - a)
+        heads = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)]
+        found.append(_words(data[a:b], heads - a, a))
+        a = b
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _words(data: np.ndarray, heads: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = ~SPACES[data]
-    before = np.zeros(len(data), bool)
-    before[1:] = solid[:-1]
-    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-    before[heads] = False
-    first = solid & ~before
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    first[heads] = solid[heads]
     starts = np.flatnonzero(first)
     if not len(starts):
         return starts, starts, np.zeros(0, np.uint64)
-    which = np.cumsum(first) - 1
-    within = np.arange(len(data)) - starts[np.maximum(which, 0)]
+    lengths = np.add.reduceat(solid, starts, dtype=np.int64)
+    begin = np.repeat(starts, np.diff(starts, append=len(data)))  # from the first word's start on
+    data, solid = data[starts[0] :], solid[starts[0] :]
+    within = np.arange(starts[0], starts[0] + len(data)) - begin
     weight = _POWERS[within & 0xFFFF]
-    if int(within[solid].max()) > 0xFFFF:
+    if int(lengths.max()) > 0xFFFF:
         weight = weight * ((within >> 16).astype(np.uint64) * np.uint64(2) * _ODD + np.uint64(1))
-    terms = np.where(solid, (data.astype(np.uint64) + np.uint64(1)) * weight, np.uint64(0))
-    lengths = np.add.reduceat(solid.astype(np.int64), starts)
-    return starts, lengths, mixed(np.add.reduceat(terms, starts) + lengths.astype(np.uint64) * _ODD)
+    terms = (data.astype(np.uint64) + np.uint64(1)) * weight
+    terms[~solid] = 0
+    hashes = np.add.reduceat(terms, starts - starts[0]) + lengths.astype(np.uint64) * _ODD
+    return starts + base, lengths, mixed(hashes)

@@ -45,7 +45,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(docs, F.col("source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
