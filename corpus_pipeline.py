@@ -51,7 +51,7 @@ def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mixture of sources does."""
-    mixed = mixing.mix(docs, F.array("source")).filter("copies > 0")
+    mixed = mixing.mix_sources(docs, F.col("source")).filter("copies > 0")
     return mixed.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
