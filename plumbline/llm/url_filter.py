@@ -6,9 +6,11 @@ URLs hold; a URL's tokens fetch candidate rules, and only those run their expres
 without such a token stand under the empty token, which every URL has. Of the rules that fit,
 the longest wins (then the last by code point); with none, pattern rules decide, and then `default`.
 
-All of it is DataFrame operations. The index is broadcast only while its rules are counted to
-be at most BROADCAST_RULES; beyond that it is joined by token, with the rules of each token
-dealt to SALTS parts so that a common token is no hot key.
+All of it is DataFrame operations. Up to FEW_RULES rules, the index is one value of the plan, a map
+from token to rules: each URL's tokens look up their rules within the scan, without a shuffle. Up to
+BROADCAST_RULES it is broadcast; beyond that it is joined by token, with the rules of each token
+dealt to SALTS parts so that a common token is no hot key. The results of these two are gathered by
+(key, host, path), on which alone a verdict depends, with a count of equal rows.
 
 Cases: a null URL or one without `://` has an empty host and path and fits no host rule;
 repeated rows are judged one by one; an empty table gives an empty result; no rules at all
@@ -24,14 +26,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_RULES, SALTS = 50_000, 16
+FEW_RULES, BROADCAST_RULES, SALTS = 64, 50_000, 16
 TOKEN = "[a-z0-9]+"
 
-#: The pattern rules that decide where no host rule fits.
+#: Words that stand as a whole step of a path, and endings of files, which are blocked
+#: where no host rule fits.
+STEPS, ENDINGS = ("login", "signin", "cart", "checkout"), ("exe", "zip", "iso")
+#: Each pattern is one literal, which is its token in the index.
 PATTERNS = (
-    ("login", "block", r"/(?:login|signin)(?:/|$)", ()),
-    ("cart", "block", r"/(?:cart|checkout)(?:/|$)", ()),
-    ("archive", "block", r"\.(?:exe|zip|iso)$", ()),
+    *((word, "block", rf"/{word}(?:/|$)", (word,)) for word in STEPS),
+    *((word, "block", rf"\.{word}$", (word,)) for word in ENDINGS),
 )
 
 
@@ -112,20 +116,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url:
     urls = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     urls = urls.withColumn("tokens", tokens_of(F.col("host"), F.col("path")))
     index = index_rules(spark, urls, rules)
-    each = urls.withColumn("row", F.monotonically_increasing_id()).select("row", "key", "host", "path", F.explode("tokens").alias("token"))
-    if len(rules) <= BROADCAST_RULES:
-        pairs = each.join(F.broadcast(index), "token", "left")
+    if len(rules) <= min(FEW_RULES, BROADCAST_RULES):
+        won = urls.select("key", "host", "path", looked_up(index, F.col("tokens"), F.col("host"), F.col("path")).alias("found"))
     else:
-        index = index.withColumn("salt", F.pmod(F.xxhash64("rule"), F.lit(SALTS)))
-        each = each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-        pairs = each.join(index, ["token", "salt"], "left")
-    fits = F.col("host").isNotNull() & (F.col("host") != "") & F.expr("rlike(concat(host, path), pattern)")
-    found = F.when(F.coalesce(fits, F.lit(False)), F.struct(F.col("weight"), F.col("rule"), F.col("verdict")))
-    won = (
-        pairs.select("row", "key", "host", "path", found.alias("found"))
-        .groupBy("row", "key", "host", "path")
-        .agg(F.max("found").alias("found"))
-    )
+        won = joined(urls, index, len(rules) <= BROADCAST_RULES)
     return won.select(
         F.col("key").alias(key),
         "host",
@@ -134,3 +128,37 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url:
         F.coalesce("found.verdict", F.lit(default)).alias("verdict"),
         F.when(F.col("found.weight") < 0, F.col("found.rule")).alias("pattern_rule"),
     )
+
+
+def looked_up(index: DataFrame, tokens: Column, host: Column, path: Column) -> Column:
+    """The best rule (weight, rule, verdict) of those that the tokens fetch from a small index."""
+    held: dict[str, list] = {}
+    for r in index.collect():  # at most FEW_RULES
+        held.setdefault(r["token"], []).append((r["weight"], r["rule"], r["verdict"], r["pattern"]))
+    kind = "array<struct<weight:int,rule:string,verdict:string,pattern:string>>"
+    entry = lambda r: F.struct(F.lit(r[0]).alias("weight"), *(F.lit(v).alias(n) for v, n in zip(r[1:], ("rule", "verdict", "pattern"), strict=True)))
+    by_token = F.create_map(*[x for t in sorted(held) for x in (F.lit(t), F.array(*map(entry, sorted(held[t]))))]) if held else F.lit(None).cast(f"map<string,{kind}>")
+    fetched = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(by_token, t)), lambda x: x.isNotNull()))
+    whole = F.concat(host, path)
+    fits = F.filter(fetched, lambda r: (host != "") & F.call_function("rlike", whole, r["pattern"]))
+    return F.array_max(F.transform(fits, lambda r: F.struct(r["weight"].alias("weight"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
+
+
+def joined(urls: DataFrame, index: DataFrame, few: bool) -> DataFrame:
+    """key, host, path and found for each of urls, by joins on tokens."""
+    # the null token meets no rule, so it stands once for each row
+    each = urls.select("key", "host", "path", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))).alias("token"))
+    if few:
+        pairs = each.join(F.broadcast(index), "token", "left")
+    else:
+        index = index.withColumn("salt", F.pmod(F.xxhash64("rule"), F.lit(SALTS)))
+        parts = F.when(F.col("token").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))
+        pairs = each.withColumn("salt", F.explode(parts)).join(index, ["token", "salt"], "left")
+    fits = F.col("host").isNotNull() & (F.col("host") != "") & F.expr("rlike(concat(host, path), pattern)")
+    found = F.when(F.coalesce(fits, F.lit(False)), F.struct(F.col("weight"), F.col("rule"), F.col("verdict")))
+    won = (
+        pairs.select("key", "host", "path", found.alias("found"), F.col("token").isNull().cast("long").alias("one"))
+        .groupBy("key", "host", "path")
+        .agg(F.max("found").alias("found"), F.sum("one").alias("rows"))
+    )
+    return won.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows", "copy")
