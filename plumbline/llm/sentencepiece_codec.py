@@ -1,14 +1,16 @@
 """SentencePiece encoding with spans in the source bytes, and decoding.
 
 Normalisation takes the longest prefix that the model's compiled character map (a double-array
-trie) knows, and records for each normalised byte which source byte it came from. Pieces never
+trie) knows, and records for each normalised byte which source byte it came from. All texts of a
+batch are normalised at once, every model by the same steps; the trie is walked only from bytes
+that start one of its prefixes (of which a model without a map has none). Pieces never
 hold a word mark after another character (checked when a model is loaded), so merges cannot
 cross the start of a word: the normalised text falls into independent segments, of which each
 is segmented once per worker and then looked up. Pieces are projected to source spans through
 the alignment.
 
-Cases: a null text counts as empty and gives empty lists; one very long word is one segment and
-is not kept; equal texts give equal rows, repeated rows stay; an empty table gives an empty
+Cases: a null text counts as empty and gives empty lists; one very long word is one segment, kept
+until the next batch at most where it is beyond KEPT_PIECES; equal texts give equal rows, repeated rows stay; an empty table gives an empty
 table; other columns pass through, except that an existing column named like an output
 (`ids`, `begins`, `ends`, `decoded`) is replaced.
 """
@@ -24,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import list_array, slices
+from plumbline.llm.common import list_array, slices, text_buffer
 
 MARK = "▁"
 OUTPUTS = ("ids", "begins", "ends", "decoded")
 #: Segments, and pieces of segments, after which a worker forgets what it has looked up.
 KEPT_SEGMENTS, KEPT_PIECES = 250_000, 2_000_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 19
 
 
 def model_bytes(path: str) -> bytes:
@@ -44,14 +48,19 @@ class CharMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.strings = blob[4 + size :]
-
-    def longest(self, data: bytes, at: int) -> tuple[bytes, int] | None:
-        """The replacement of the longest known prefix of data[at:], and that prefix's length."""
+        #: Whether a known prefix starts with a byte.
+        self.starts = np.zeros(256, bool)
+        if self.units:
+            root = self._offset(self.units[0])
+            self.starts[:] = [(root ^ b) < len(self.units) and self.units[root ^ b] & 0x800000FF == b for b in range(256)]
+
+    def longest(self, data: bytes, at: int, end: int) -> tuple[bytes, int] | None:
+        """The replacement of the longest known prefix of data[at:end], and that prefix's length."""
         units, node, found = self.units, 0, None
         if not units:
             return None
         node ^= self._offset(units[0])
-        for i in range(at, len(data)):
+        for i in range(at, end):
             node ^= data[i]
             if node >= len(units):
                 break
@@ -107,52 +116,65 @@ class Codec:
         self.ids, self.sizes = np.zeros(4096, np.int32), np.zeros(4096, np.int32)
         self.used = 0
 
-    def normalise(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text, and for each of its bytes (and its end) the source byte."""
-        data = text.encode()
-        if not data:
-            return "", np.zeros(1, np.int64)
-        if not self.map.units and not self.squeeze:
-            source = np.frombuffer(data, np.uint8)
-            align = np.repeat(np.arange(len(data)), np.where(source == 32, 3, 1))
-            lead = np.zeros(3 * self.prefix, np.int64)
-            return MARK * self.prefix + text.replace(" ", MARK), np.concatenate([lead, align, [len(data)]])
-        out, align = bytearray(), []
-        chunks, at = [], 0
-        while at < len(data):
-            hit = self.map.longest(data, at)
-            if hit is None:
-                width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-                hit = (data[at : at + width], width)
-            chunks.append((*hit, at))
-            at += hit[1]
-        end = len(data)
+    def normalise(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Normalised bytes of consecutive texts, their offsets, and the alignment: for each byte,
+        and for the end of each text, the byte of its own source text."""
+        n, texts = len(data), len(offsets) - 1
+        counts = np.ones(n, np.int64)  # bytes that each source byte gives
+        replaced = np.zeros(n, bool)
+        new, done, raw = [], 0, None
+        for at in np.flatnonzero(self.map.starts[data]).tolist():
+            if at < done or data[at] & 0xC0 == 0x80:
+                continue
+            raw = data.tobytes() if raw is None else raw
+            hit = self.map.longest(raw, at, int(offsets[np.searchsorted(offsets, at, side="right")]))
+            if hit is not None and raw[at : at + hit[1]] == hit[0]:
+                done = at + hit[1]
+            elif hit is not None:
+                new.append(hit[0])
+                done = at + hit[1]
+                counts[at:done] = 0
+                counts[at], replaced[at] = len(hit[0]), bool(hit[0])
+        source, text = np.arange(n), np.repeat(np.arange(texts), np.diff(offsets))
+        out = data
+        if done:
+            source = np.repeat(source, counts)
+            out, text = data[source], text[source]
+            out[replaced[source]] = np.frombuffer(b"".join(new), np.uint8)
+        ends = np.diff(offsets).copy()  # by text, the source byte behind its last
+        filled = ends > 0
         if self.squeeze:  # spaces at either end go, and runs of them become one
-            while chunks and chunks[0][0].strip(b" ") == b"":
-                chunks.pop(0)
-            while chunks and chunks[-1][0].strip(b" ") == b"":
-                end = chunks.pop()[2]
-        if not chunks:
-            return "", np.zeros(1, np.int64)
+            space = out == 32
+            first = np.cumsum(counts)[source] - counts[source]  # where what the source byte gave starts
+            solid = np.concatenate([[0], np.cumsum(~space)])
+            leading = solid[np.arange(len(out)) + 1] == solid[first]
+            begin = np.searchsorted(text, np.arange(texts))
+            after_space = (first == begin[text]) | space[first - 1]
+            kept = ~(space & leading & after_space)
+            out, source, text = out[kept], source[kept], text[kept]
+            filled = np.bincount(text, minlength=texts) > 0
+        align = source - offsets[text]
         if self.prefix:
-            out += MARK.encode()
-            align += [chunks[0][2]] * 3
-        after_space = self.squeeze
-        for new, _, start in chunks:
-            if after_space and self.squeeze:
-                new = new.lstrip(b" ")
-            for byte in new:
-                piece = MARK.encode() if byte == 32 else bytes((byte,))
-                out += piece
-                align += [start] * len(piece)
-            if new:
-                after_space = new.endswith(b" ")
-        if self.squeeze:
-            while out.endswith(MARK.encode()):
-                del out[-3:]
-                end = align[-3]
-                del align[-3:]
-        return out.decode(), np.array([*align, end], np.int64)
+            at = np.searchsorted(text, np.flatnonzero(filled))
+            has = (at < len(text)) & (np.append(text, -1)[at] == np.flatnonzero(filled))
+            align = np.insert(align, at, np.where(has, np.append(align, 0)[at], 0))
+            out, text = np.insert(out, at, 32), np.insert(text, at, np.flatnonzero(filled))
+        space = out == 32
+        sizes = np.where(space, 3, 1)
+        marks = np.repeat(space, sizes)
+        out, align, text = np.repeat(out, sizes), np.repeat(align, sizes), np.repeat(text, sizes)
+        out[marks] = np.tile(np.frombuffer(MARK.encode(), np.uint8), int(space.sum()))
+        if self.squeeze:  # marks at the end go, also those that the text itself held
+            first = np.flatnonzero((out[:-2] == 0xE2) & (out[1:-1] == 0x96) & (out[2:] == 0x81)) if len(out) > 2 else np.zeros(0, np.int64)
+            mark = np.zeros(len(out), bool)
+            mark[(first[:, None] + np.arange(3)).ravel()] = True
+            solid, last = np.flatnonzero(~mark), np.full(texts, -1)
+            last[text[solid]] = solid
+            tail = np.flatnonzero(np.arange(len(out)) > last[text])[::-1]
+            ends[text[tail]] = align[tail]  # the first mark that goes counts
+            out, align, text = (np.delete(x, tail) for x in (out, align, text))
+        bounds = np.searchsorted(text, np.arange(texts + 1))
+        return out, bounds, np.insert(align, bounds[1:], ends)
 
     def segments(self, norm: str) -> list:
         """Keys of the independent segments of a normalised text, in order.
@@ -195,10 +217,14 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, begins and ends (source bytes) of all texts, and the ids in each text."""
+        return self.encode_bytes(*text_buffer(pa.array(texts, pa.string())))
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if len(self.index) > KEPT_SEGMENTS or self.used > KEPT_PIECES:
             self._forget()
-        normal = [self.normalise(t) for t in texts]
-        keys = [self.segments(n) for n, _ in normal]
+        norm, bounds, align = self.normalise(data, offsets)
+        raw, cuts = norm.tobytes(), bounds.tolist()
+        keys = [self.segments(raw[a:b].decode()) for a, b in zip(cuts, cuts[1:], strict=False)]
         new = dict.fromkeys(k for ks in keys for k in ks if k not in self.index)
         if new:
             self._learn(list(new))
@@ -207,15 +233,12 @@ class Codec:
         total = int(counts.sum())
         where = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(total)
         ids, sizes = self.ids[where], self.sizes[where].astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), [len(ks) for ks in keys])
-        per = np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
+        owner = np.repeat(np.arange(len(keys)), [len(ks) for ks in keys])
+        per = np.bincount(owner, weights=counts, minlength=len(keys)).astype(np.int64)
         ends = np.cumsum(sizes)
         begins = ends - sizes
-        lengths = np.array([len(a) for _, a in normal], np.int64)
-        bases = np.cumsum(lengths) - lengths
-        # one more alignment entry than bytes in each text, so a text's norm starts at bases - its ordinal
-        shift = np.repeat(np.arange(len(texts)), per)
-        align = np.concatenate([a for _, a in normal]) if normal else np.zeros(0, np.int64)
+        # one more alignment entry than bytes in each text
+        shift = np.repeat(np.arange(len(keys)), per)
         return ids, align[begins + shift], align[ends + shift], per
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -245,9 +268,8 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            for part in slices(batch, text):
-                texts = [t or "" for t in part.column(text).to_pylist()]
-                ids, begins, ends, per = own.encode(texts)
+            for part in slices(batch, text, SLICE):
+                ids, begins, ends, per = own.encode_bytes(*text_buffer(part.column(text)))
                 cuts = np.cumsum(per)[:-1]
                 decoded = own.decode([a.tolist() for a in np.split(ids, cuts)])
                 lists = [list_array(a.astype(np.int32), per, pa.int32()) for a in (ids, begins, ends)]
@@ -259,13 +281,15 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text") -> DataFram
 
 
 def digests(encoded: DataFrame, *more: str) -> DataFrame:
-    """n_tokens and SHA-256 of the ids (decimal, joined by commas) and of the decoded text; more
-    columns on demand."""
+    """n_tokens, SHA-256 of the ids (decimal, joined by commas) and of the decoded text, a hash of
+    all spans, and the bytes that they cover; more columns on demand."""
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)) - F.try_element_at("begins", F.lit(1)), F.lit(0)).cast("long").alias("covered_bytes"),
         *more,
     )
