@@ -8,11 +8,16 @@ the other places. All pairs below that distance meet under a key. The chunks are
 least similarity that links (`scheme`): a pair of just that similarity, 0.85 or 0.80, meets with
 probability over 0.9998, and the nearer, the surer.
 
-Exact copies are one class from the start. Documents that meet are not paired: each key ties its
-members to the least of them, and the connected groups of these ties are cut into blocks of
-bounded size. A task compares two blocks: signatures first, then the full shingle sets, and only
-of documents that its own links don't connect yet. It returns a spanning forest of the confirmed
-links, so a group of any size gives no more rows than it has members in each tile.
+Exact copies are one class from the start. Documents that meet are not paired: under each key, the
+members are tied to the least of them if their signatures are near enough (`far` of the scheme).
+Where some member is too far from the least, its key's members are compared among each other, in
+blocks of bounded size, which gives a spanning forest of the near ones. So only signatures that are
+near tie documents, and keys that unlike documents share by chance don't join whole groups.
+
+The connected groups of these ties are cut into blocks of bounded size. A task compares two blocks:
+signatures first, then the full shingle sets, and only of documents that its own links don't connect
+yet. It returns a spanning forest of the confirmed links, so a group of any size gives no more rows
+than it has members in each tile.
 
 Cases: null and wordless texts have an empty set and link with nothing; one to four words are one
 shingle; rows of one doc_id count as one document for linking; a row without doc_id is kept,
@@ -22,7 +27,7 @@ read whole; columns of the table other than id and text play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, mixed, salted_join, slices, stored, text_buffer, words
+from plumbline.llm.common import HOT_ROWS, LOWER, MOST_HOT, mixed, salted_join, slices, stored, text_buffer, words
 from plumbline.llm.components import components
 
 SHINGLE = 5
@@ -38,11 +43,14 @@ CHUNKS, PLACES, ERRORS = 7, 7, 1
 SYMBOLS = CHUNKS * PLACES
 #: Bounds of a block: shingles and documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 1500
+#: Signatures in a block.
+BLOCK_SIGNATURES = 4096
+#: Bytes of text that one step reads.
+SLICE = 1 << 19
 #: Rows up to which the documents of candidate groups are broadcast to the scan.
 BROADCAST_NODES = 200_000
 
 
-
 class Scheme(NamedTuple):
     """Chunks of places, and far: signatures that differ in more places are not compared in full,
     which happens to fewer than one pair in a million of the least similarity that links."""
@@ -127,7 +135,7 @@ def sketches(docs: DataFrame, text: str, key: str, symbols: int = SYMBOLS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(*text_buffer(part.column("text")))
                 sigs = signatures(sets, symbols)
                 f1 = np.array([np.add.reduce(mixed(s)) for s in sets], np.uint64).view(np.int64)
@@ -214,26 +222,51 @@ def confirm(sets: list[np.ndarray], sigs: np.ndarray, split: int, percent: int)
     return links
 
 
-def tile_links(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: a spanning forest of each tile's confirmed links.
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places the signatures of each row differ."""
+    out = np.zeros(len(a), np.uint8)
+    for k in range(a.shape[1]):
+        out += a[:, k] != b[:, k]
+    return out
+
+
+def near_forest(sigs: np.ndarray, split: int, far: int) -> list[tuple[int, int]]:
+    """A spanning forest of the signatures that differ in at most far places: those before split
+    against those after, or, with split 0, all among each other."""
+    n = len(sigs)
+    forest, ties = Forest(n), []
+    columns = np.ascontiguousarray(sigs.T)
+    for i in range(split or n):
+        others = np.arange(i + 1 if not split else split, n)
+        others = others[forest.label[others] != forest.label[i]]
+        if not len(others):
+            continue
+        differ = np.zeros(len(others), np.uint8)
+        for column in columns:
+            differ += column[others] != column[i]
+        for j in others[differ <= far].tolist():
+            if forest.join(i, j):
+                ties.append((i, j))
+    return ties
+
+
+def tile_links(members: DataFrame, solve: Callable) -> DataFrame:
+    """a, b: what `solve` finds in each tile: a spanning forest of the links between its nodes.
 
-    members: group, row, col, block, node, sig, shingles; one row for each tile of a member.
-    Rows are dealt by tile and sorted, so a task holds one tile at a time.
+    members: grp, row, col, block, node and what solve needs; one row for each tile of a member.
+    Rows are dealt by tile and sorted, so a task holds one tile at a time. solve gets the tile,
+    sorted by block, and how many members are of its first block (0 where it has one block).
     """
 
-    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = pa.Table.from_batches(parts)
-        row, col = tile.column("row")[0].as_py(), tile.column("col")[0].as_py()
-        blocks = tile.column("block").to_numpy()
-        order = np.argsort(blocks, kind="stable")
-        nodes = tile.column("node").to_numpy()[order]
-        raw, sig = tile.column("shingles").to_pylist(), tile.column("sig").to_pylist()
-        sets = [np.frombuffer(raw[i], np.uint64) for i in order]
-        sigs = np.frombuffer(b"".join(sig[i] for i in order), np.uint16).reshape(-1, scheme(percent).symbols)
+    def tile(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(parts)
+        row, col = held.column("row")[0].as_py(), held.column("col")[0].as_py()
+        blocks = held.column("block").to_numpy()
+        held = held.take(pa.array(np.argsort(blocks, kind="stable")))
         split = int((blocks == row).sum()) if row != col else 0
-        if row != col and split in (0, len(sets)):
+        if row != col and split in (0, len(blocks)):
             return
-        found = confirm(sets, sigs, split, percent)
+        found, nodes = solve(held, split), held.column("node").to_numpy()
         if found:
             a, b = np.array(found).T
             yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
@@ -248,17 +281,82 @@ def tile_links(members: DataFrame, percent: int) -> DataFrame:
                     continue
                 tag = tuple(tags[:, a].tolist())
                 if held and tag != now:
-                    yield from solve(held)
+                    yield from tile(held)
                     held = []
                 held.append(batch.slice(a, b - a))
                 now = tag
         if held:
-            yield from solve(held)
+            yield from tile(held)
 
     dealt = members.repartition("grp", "row", "col").sortWithinPartitions("grp", "row", "col")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def blocked(members: DataFrame) -> DataFrame:
+    """One row for each tile of a member; members has grp, node and blocks (of its group)."""
+    zero = F.lit(0).cast("long")
+    return (
+        members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+        .withColumn("row", F.least("block", "other"))
+        .withColumn("col", F.greatest("block", "other"))
+        .drop("blocks", "other")
+    )
+
+
+def signed(column: pa.ChunkedArray, plan: Scheme) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, plan.symbols)
+
+
+def near_ties(classes: DataFrame, plan: Scheme) -> DataFrame:
+    """a, b: of all classes (node, sig) that meet under a key and are near by signature, links that
+    connect them."""
+    spark = classes.sparkSession
+    index = index_keys(classes, plan)
+    print_ = F.xxhash64("node", F.lit(1))  # equal sets of members have equal sums
+    met = index.groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(print_, 32)).alias("y")
+    )
+    met = stored(spark, met.filter("low < high").drop("high"), "met")
+    hot = [(r.key,) for r in met.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()]
+    few = met.count() <= BROADCAST_NODES
+    ties = index.join(F.broadcast(met), "key") if few else salted_join(index, met, ["key"], "inner", hot=hot)
+    ties = stored(spark, ties.filter("node <> low"), "ties")
+    sigs = classes.select("node", "sig")
+    pairs = ties.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+    pairs = salted_join(stored(spark, pairs, "pairs"), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), ["b"], "inner")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = apart(signed(batch.column("sa"), plan), signed(batch.column("sb"), plan)) <= plan.far
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], names=["a", "b", "near"])
+
+    pairs = pairs.select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long, near boolean")
+    # rows of one doc_id may have several signatures; one that is near is enough
+    pairs = stored(spark, pairs.groupBy("a", "b").agg(F.max("near").alias("near")), "measured")
+    near = pairs.filter("near").select("a", "b")
+    far = pairs.filter("not near").select(F.col("a").alias("node"), F.col("b").alias("low"))
+    n_far = far.count()
+    if not n_far:
+        return near
+    # keys of three or more, of which one is far from the least; of equal sets of members, one
+    some = ties.filter("n > 2")
+    some = some.join(F.broadcast(far), ["node", "low"], "left_semi") if n_far <= BROADCAST_NODES else some.join(far, ["node", "low"], "left_semi")
+    chosen = some.groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "low"), "key").alias("k"))
+    chosen = stored(spark, chosen.select("k.key", "k.low", F.ceil(F.col("n") / BLOCK_SIGNATURES).cast("long").alias("blocks")), "crowded")
+    n_chosen = chosen.count()
+    if not n_chosen:
+        return near
+    keys_ = chosen.select("key", "blocks")
+    small = ties.select("key", "node")
+    inside = small.join(F.broadcast(keys_), "key") if n_chosen <= BROADCAST_NODES else salted_join(small, keys_, ["key"], "inner", hot=hot)
+    inside = inside.select("key", "blocks", "node").union(chosen.select("key", "blocks", F.col("low").alias("node")))
+    inside = salted_join(stored(spark, inside, "inside"), sigs, ["node"], "inner").withColumnRenamed("key", "grp")
+    members = blocked(inside).select("grp", "row", "col", "block", "node", "sig")
+    return near.union(tile_links(members, lambda held, split: near_forest(signed(held.column("sig"), plan), split, plan.far)))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links where 100 * shared >= percent * union.
 
@@ -269,15 +367,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     sketch = stored(spark, sketches(docs, text, key, plan.symbols), "sketches")
     whole = ["n_shingles", "f1", "f2"]
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(spark, usable.groupBy(*whole).agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
-    index = index_keys(classes, plan)
-    met = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    ties = index.join(met.select("key", "low"), "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    groups = stored(spark, components(ties), "groups")
+    classes = usable.groupBy(*whole).agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
+    classes = stored(spark, classes, "classes")
+    groups = stored(spark, components(near_ties(classes, plan)), "groups")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 found = shingle_sets(*text_buffer(part.column("text")))
                 sig = [x.tobytes() for x in signatures(found, plan.symbols)]
                 yield pa.RecordBatch.from_arrays(
@@ -294,15 +390,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     if found.count() > n_nodes:  # rows of one doc_id
         found = stored(spark, found.dropDuplicates(["node", "shingles"]), "members-once")
     sizes = found.groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    sizes = stored(spark, sizes, "sizes")
     blocks = sizes.select("grp", F.greatest(F.ceil(F.col("n") / BLOCK_SHINGLES), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long").alias("blocks"))
-    members = (
-        salted_join(found, blocks, ["grp"], "inner")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("grp", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "node", "sig", "shingles")
-    )
-    labels = components(tile_links(members, percent))
-    owned = classes.drop("sig").join(labels, "node", "left").select(*whole, F.coalesce("component", "node").alias("component_id"))
-    out = salted_join(sketch.drop("sig"), owned, whole)
+    hot = [(r.grp,) for r in sizes.filter(F.col("docs") > HOT_ROWS).orderBy(F.desc("docs"), "grp").limit(MOST_HOT).collect()]
+    members = blocked(salted_join(found, blocks, ["grp"], "inner", hot=hot)).select("grp", "row", "col", "block", "node", "sig", "shingles")
+
+    def confirmed(held: pa.Table, split: int) -> list[tuple[int, int]]:
+        shingles = [np.frombuffer(x, np.uint64) for x in held.column("shingles").to_pylist()]
+        return confirm(shingles, signed(held.column("sig"), plan), split, percent)
+
+    labels = stored(spark, components(tile_links(members, confirmed)), "labels")
+    # only classes of several rows, and those that a link leads from, say more than a row's own id
+    owned = classes.drop("sig").join(labels, "node", "left").filter("rows > 1 or component is not null")
+    owned = stored(spark, owned.select(*whole, "rows", F.coalesce("component", "node").alias("component_id")), "owned")
+    hot = [tuple(r) for r in owned.filter(F.col("rows") > HOT_ROWS).orderBy(F.desc("rows"), *whole).limit(MOST_HOT).select(*whole).collect()]
+    few = owned.count() <= BROADCAST_NODES
+    owned, slim = owned.drop("rows"), sketch.drop("sig")
+    out = slim.join(F.broadcast(owned), whole, "left") if few else salted_join(slim, owned, whole, hot=hot)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
