@@ -1,15 +1,16 @@
 """Exact top-k search by inner product, in tiles.
 
-Queries and candidates are dealt evenly (by a hash of id and row) to query groups and candidate
-shards of a fixed size; each pair of a group and a shard is one tile, in one task: a matrix
-product, a partial selection of each query's k best, and one packed list for the whole group.
+Queries and candidates are dealt evenly (by a hash of the row) to query groups and candidate shards,
+as large as a task's memory allows (GROUP_ROWS, SHARD_ROWS, SIDE_BYTES), so that a candidate is
+copied once for every GROUP_ROWS queries; each pair of a group and a shard is one tile, in one task:
+a matrix product, a partial selection of each query's k best, and one packed list for the group.
 Lists of a group are then merged as a tree, FAN at a time, so no task reads more than FAN packed
 lists. Work is queries times candidates, which exact search needs; memory is that of one tile.
 
 Cases: rows whose id or vector is null, whose vector is empty or holds a null or non-finite
 component take no part; vectors of other lengths than a query's are no candidates of it; ties go
 to the smaller id; a repeated id counts as often as it occurs, and is never a candidate of a
-query of the same id; fewer candidates than k give all; empty tables give an empty result.
+query of the same id; with a scale, scores that don't fit 64 bits raise OverflowError; fewer candidates than k give all; empty tables give an empty result.
 Other columns are ignored.
 """
 
@@ -23,8 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a tile on either side, and packed lists that one merge reads.
-GROUP_ROWS, SHARD_ROWS, FAN = 1024, 16384, 16
+from plumbline.llm.common import salted_join, stored
+
+#: Rows of a tile on either side, bytes of vectors on either, and packed lists that one merge reads.
+GROUP_ROWS, SHARD_ROWS, SIDE_BYTES, FAN = 16384, 65536, 64 << 20, 16
 #: Scores of a tile that are held at once.
 HELD = 4 << 20
 
@@ -110,13 +113,19 @@ def top_k(
     whole = scale is not None
     number = np.int64 if whole else np.float64
     names = [x.split()[0] for x in PACKED.split(", ")]
-    c, q = usable(rows, key, vector), usable(queries, key, vector)
-    n_c, n_q = c.count(), q.count()
-    groups, shards = max(1, math.ceil(n_q / GROUP_ROWS)), max(1, math.ceil(n_c / SHARD_ROWS))
-    row = F.monotonically_increasing_id()
-    q = q.withColumn("qkey", row).withColumn("qgroup", F.pmod(F.xxhash64("id", "qkey"), F.lit(groups)))
-    c = c.withColumn("shard", F.pmod(F.xxhash64("id", row), F.lit(shards)))
-    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
+    spark = rows.sparkSession
+    c = usable(rows, key, vector)
+    # equal queries are asked once, so that a query's key is a hash of its row
+    q = usable(queries, key, vector).groupBy("id", "vec").agg(F.count(F.lit(1)).alias("copies"))
+    q = stored(spark, q.withColumn("qkey", F.xxhash64("id", "vec")), "queries")
+    n_q, size_q, most = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    n_c, size_c = c.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    groups = max(1, math.ceil(n_q / GROUP_ROWS), math.ceil(8 * size_q / SIDE_BYTES))
+    shards = max(1, math.ceil(n_c / SHARD_ROWS), math.ceil(8 * size_c / SIDE_BYTES))
+    shards = max(shards, min(n_c // 4096, math.ceil(2 * spark.sparkContext.defaultParallelism / groups)))  # work for all cores
+    asked = q.select("id", "vec", "qkey", F.pmod(F.col("qkey"), F.lit(groups)).alias("qgroup"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
+    c = c.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)))
     c = c.withColumn("qgroup", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
 
     def run(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -130,7 +139,9 @@ def top_k(
                 found.append((qkeys[r], qids[r], ids, scores))
         if not found:
             return pa.table({n: pa.array([], t) for n, t in zip(names, [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)})
-        return packed(at[0].as_py(), at[1].as_py(), *(np.concatenate(x) for x in zip(*found, strict=True)))
+        whole_list = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order = np.argsort(whole_list[0], kind="stable")  # lists stand in order of their query's key
+        return packed(at[0].as_py(), at[1].as_py(), *(x[order] for x in whole_list))
 
     def merge(at: tuple, lists: pa.Table) -> pa.Table:
         qkeys, qids, ids, scores = (
@@ -140,7 +151,7 @@ def top_k(
         kept = best(qkeys, ids, scores, k)
         return packed(at[0].as_py(), at[1].as_py(), qkeys[kept], qids[kept], ids[kept], scores[kept])
 
-    tiles = q.groupBy("qgroup", "shard").cogroup(c.groupBy("qgroup", "shard")).applyInArrow(run, PACKED)
+    tiles = asked.groupBy("qgroup", "shard").cogroup(c.groupBy("qgroup", "shard")).applyInArrow(run, PACKED)
     while shards > 1:
         shards = math.ceil(shards / FAN)
         tiles = tiles.withColumn("shard", F.floor(F.col("shard") / FAN)).groupBy("qgroup", "shard").applyInArrow(merge, PACKED)
@@ -151,8 +162,13 @@ def top_k(
                 qkeys, qids, ids = (np.frombuffer(x, np.int64) for x in (qkeys, qids, ids))
                 rank = np.arange(len(qkeys)) - np.searchsorted(qkeys, qkeys) + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids), pa.array(rank.astype(np.int32)), pa.array(ids), pa.array(np.frombuffer(scores, number))],
-                    names=["query_id", "rank", "vec_id", "score"],
+                    [pa.array(qkeys), pa.array(qids), pa.array(rank.astype(np.int32)), pa.array(ids), pa.array(np.frombuffer(scores, number))],
+                    names=["qkey", "query_id", "rank", "vec_id", "score"],
                 )
 
-    return tiles.mapInArrow(unpack, f"query_id long, rank int, vec_id long, score {'long' if whole else 'double'}")
+    out = tiles.mapInArrow(unpack, f"qkey long, query_id long, rank int, vec_id long, score {'long' if whole else 'double'}")
+    if most > 1:
+        again = q.filter("copies > 1").select("qkey", F.col("id").alias("query_id"), "copies")
+        out = salted_join(out, again, ["qkey", "query_id"])
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
+    return out.select("query_id", "rank", "vec_id", "score")

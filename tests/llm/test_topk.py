@@ -39,3 +39,25 @@ def test_few_rows_large_values_and_empty(spark):
     assert run(spark, rows, 20) == brute(rows, 20)
     assert run(spark, [], 20) == []
     assert run(spark, [(20, [0.5])], 3) == []
+
+
+def test_repeated_queries_and_rows(spark, monkeypatch):
+    """Rows of one id count as often as they occur, as queries and as candidates."""
+    monkeypatch.setattr(topk, "GROUP_ROWS", 3)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 4)
+    r = random.Random(5)
+    rows = [(i % 50, [r.choice([0.25, -0.5]), r.choice([1.5, 0.125])]) for i in range(60)]
+    rows += [(20, [0.25, 1.5])] * 3 + [(3, [0.5, 0.5])] * 4
+    assert run(spark, rows, 7) == brute(rows, 7)
+
+
+def test_candidates_are_copied_once_a_query_group(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "vec_id long, embedding array<float>")
+    plan = topk.top_k(df, df, 3, scale=1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 0" in plan or "[0]" in plan  # one group for a hundred queries
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [1e30]), (1, [1e30])]
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, rows, 1)
