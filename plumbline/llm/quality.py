@@ -17,8 +17,8 @@ broadcast while they are counted to be small, else against salted copies.
 
 Cases: a null text counts as empty; a null host or path is a site of its own; without labels of
 both kinds the evidence is 0.5 throughout and all are kept; labels for unknown ids and null
-labels are ignored, of repeated labels the largest counts; repeated rows are scored alike; an
-empty table gives an empty result; columns named like an output are replaced, others pass.
+labels are ignored, of repeated labels the largest counts, and of several texts of one id the
+one of the least features is learned from; repeated rows are scored alike; an empty table gives an empty result; columns named like an output are replaced, others pass.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from plumbline.llm.common import free_prefix, salted_join, slices, stored, text_buffer, words
 
 FIT_ROWS = 20_000
+#: Bytes of text that one step reads.
+SLICE = 1 << 19
 BROADCAST_SITES = 50_000
 #: Weight of the site's odds, strength of a path's prior, and the posterior below which a
 #: document is rejected.
@@ -121,29 +123,30 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 x = features(*text_buffer(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     rows = rows.join(F.broadcast(chosen.select(F.col("id").cast("long"), F.col("y").cast("double"))), "id")
-    found = rows.mapInArrow(run, "id long, y double, x array<double>").dropDuplicates(["id"]).toArrow().sort_by("id")
+    found = rows.mapInArrow(run, "id long, y double, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x")).toArrow().sort_by("id")
     x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
     return logistic(x, (found.column("y").to_numpy() > 0).astype(float))
 
 
-def with_evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with evidence: the classifier's probability of a good document."""
-    kept = [f for f in docs.schema.fields if f.name not in OUTPUTS]
+def with_evidence(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or these) with evidence: the classifier's probability of a good document."""
+    held = [f for f in docs.schema.fields if f.name not in OUTPUTS]
+    kept = [f for f in held if columns is None or f.name in columns]
     schema = T.StructType([*kept, T.StructField("evidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 found = model.evidence(features(*text_buffer(part.column(text))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(found)], names=[f.name for f in schema.fields])
 
-    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select([F.col(f"`{f.name}`") for f in held]).mapInArrow(run, schema)
 
 
 def prior(hosts: DataFrame) -> tuple[float, float]:
@@ -166,29 +169,32 @@ def logit(p: Column) -> Column:
     return F.ln(safe / (1 - safe))
 
 
-def posterior(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with evidence, host_rate, path_rate, quality (posterior) and keep."""
+def posterior(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text: str = "text", key: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or these) with evidence, host_rate, path_rate, quality (posterior) and keep.
+
+    Each text is read once by the classifier; its rows are written with their evidence, and both
+    the sums of sites and the posteriors are made from those.
+    """
     spark = docs.sparkSession
     model = fit(docs, labels, text, key)
     names = [c for c in docs.columns if c not in OUTPUTS]
+    wanted = names if columns is None else [c for c in columns if c in names]
     own = free_prefix(names)
-    site = [F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("~")).alias(f"{own}{n}") for x, n in ((host, "host"), (path, "path"))]
+    keys = [f"{own}host", f"{own}path"]
+    site = [F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("~")).alias(n) for x, n in zip((host, path), keys, strict=True)]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], *site)
-    slim = with_evidence(docs.select(F.col(f"`{text}`"), *site), model, text)
+    scored = stored(spark, with_evidence(rows, model, text, [*wanted, *keys]), "evidence")
     # one row a site, summed in each task before it is shuffled
-    sums = slim.groupBy(f"{own}host", f"{own}path").agg(F.count(F.lit(1)).alias(f"{own}n"), F.sum("evidence").alias(f"{own}good"))
-    sites = stored(spark, sums, "sites")
+    sites = stored(spark, scored.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{own}n"), F.sum("evidence").alias(f"{own}good")), "sites")
     hosts = sites.groupBy(f"{own}host").agg(F.sum(f"{own}n").alias("n"), F.sum(f"{own}good").alias("good"))
     mean, strength = prior(hosts)
     hosts = hosts.select(f"{own}host", F.col("n").alias(f"{own}host_n"), F.col("good").alias(f"{own}host_good"))
     few = sites.count() <= BROADCAST_SITES
     sites = sites.join(F.broadcast(hosts) if few else hosts, f"{own}host")
-    scored = with_evidence(rows, model, text)
-    keys = [f"{own}host", f"{own}path"]
     joined = scored.join(F.broadcast(sites), keys, "left") if few else salted_join(scored, sites, keys)
     e, n, good, host_n, host_good = (F.col(c) for c in ("evidence", f"{own}n", f"{own}good", f"{own}host_n", f"{own}host_good"))
     joined = joined.withColumn("host_rate", (host_good - e + strength * mean) / (host_n - 1 + strength))
     joined = joined.withColumn("path_rate", (good - e + PATH_STRENGTH * F.col("host_rate")) / (n - 1 + PATH_STRENGTH))
     odds = logit(e) + SITE_WEIGHT * (logit(F.col("path_rate")) - logit(F.lit(mean)))
     out = joined.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("quality") >= LEAST)
-    return out.select(*[F.col(f"`{c}`") for c in names], *OUTPUTS)
+    return out.select(*[F.col(f"`{c}`") for c in wanted], *OUTPUTS)

@@ -56,7 +56,7 @@ def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality.posterior(docs, labels, F.col("source"), F.col("lang")).select("doc_id", *quality.OUTPUTS)
+    return quality.posterior(docs, labels, F.col("source"), F.col("lang"), columns=["doc_id"])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
