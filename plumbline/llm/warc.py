@@ -49,6 +49,8 @@ BROADCAST_REPEATS, BROADCAST_ARCHIVES = 200_000, 50_000
 DIRECTORY_SLICE = 64
 #: Wanted keys that one search task takes, and bytes between two ranges that are read along.
 SEARCH_KEYS, GAP = 200_000, 1 << 16
+#: Files that one task of `fetch` reads from, on average.
+FILES = 4
 NO_ID = -(1 << 63)
 
 #: Fixed values of the WARC format.
@@ -262,9 +264,11 @@ def spans(places: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[
 def fetch(archives: DataFrame, places: DataFrame) -> DataFrame:
     """The captures at these places (archive, start, size): of each file only those byte ranges
     are read. Places of one file, at most ARCHIVE_RECORDS, go to one task."""
-    ranges = places.groupBy("archive").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
     files = archives.select("archive", "path")
-    few = files.count() <= BROADCAST_ARCHIVES
+    n_files = files.count()
+    few = n_files <= BROADCAST_ARCHIVES
+    # places are small, what they name isn't: some FILES files a task
+    ranges = places.repartition(-(-max(1, n_files) // FILES), "archive").groupBy("archive").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
     ranges = ranges.join(F.broadcast(files) if few else files, "archive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
