@@ -315,15 +315,11 @@ def mix(
     rest = {p: m for p, m in rest.items() if m > 0 and base[p] < most}
     turned = {p: s for p, s in start.items() if s}
 
-    def on_ring(rows: DataFrame) -> DataFrame:
-        """rows with draws counted from where their pattern starts on the ring."""
-        if not turned:
-            return rows
-        table = spark.createDataFrame(list(turned.items()), "pattern string, turn long")
-        moved = F.pmod(F.col("draw") - F.coalesce("turn", F.lit(0)), F.lit(RING))
-        return attach(rows, table, len(turned)).withColumn("draw", moved).drop("turn")
-
-    drawn = on_ring(slim.select("pattern", "size", "draw"))
+    moved = F.pmod(F.col("draw") - F.coalesce("turn", F.lit(0)), F.lit(RING))  # counted from where the pattern starts
+    drawn = slim.select("pattern", "size", "draw")
+    if turned and rest:
+        turns = spark.createDataFrame(list(turned.items()), "pattern string, turn long")
+        drawn = stored(spark, attach(drawn, turns, len(turned)).select("pattern", "size", moved.alias("draw")), "mix-draws")
     low = cuts(spark, drawn, rest)
     extra: dict[str, list[int]] = {p: [] for p in rest}
     if rest:
@@ -346,12 +342,13 @@ def mix(
     rows = []
     for r in found:
         p, counted = r["pattern"], set(r["names"]) if own is None else [r["mine"]]
-        rows.append((p, sum(by_source[s] for s in counted), float(sum((targets[s] for s in counted), Fraction(0))), base[p], low.get(p, 0), extra.get(p, [])))
-    table = spark.createDataFrame(rows, "pattern string, source_size long, target double, base long, low long, extra array<long>")
+        rows.append((p, sum(by_source[s] for s in counted), float(sum((targets[s] for s in counted), Fraction(0))), base[p], low.get(p, 0), extra.get(p, []), turned.get(p, 0)))
+    table = spark.createDataFrame(rows, "pattern string, source_size long, target double, base long, low long, extra array<long>, turn long")
     more = (F.col("draw") < F.col("low")) | F.array_contains("extra", F.col("draw"))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("base") + F.when(more, 1).otherwise(0))
     return (
-        attach(on_ring(sized), table, len(rows))
+        attach(sized, table, len(rows))
+        .withColumn("draw", moved)
         .withColumn("copies", copies.cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select("row.*", *outputs)
