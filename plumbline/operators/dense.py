@@ -16,7 +16,7 @@ from plumbline.operators.sparse import top
 DIM = 64
 #: Tokens whose buckets a worker keeps.
 KEPT_TOKENS = 500_000
-#: Bytes of query vectors that a task holds; more queries are searched in turns.
+#: Bytes of vectors that a task holds, of queries and, where these are more, of rows.
 QUERY_BYTES = 32 << 20
 #: Scores that a task holds at once.
 HELD = 2 << 20
@@ -66,78 +66,99 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size))
 
 
+def scored(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
+    """Query x row: cosine or inner product, or squared distance, rounded to 9 places."""
+    inner = q @ m.T
+    if metric == "dot":
+        return np.round(inner, 9)
+    q2, m2 = (q * q).sum(axis=1), (m * m).sum(axis=1)
+    if metric == "l2":
+        return np.round(np.maximum(q2[:, None] + m2[None, :] - 2 * inner, 0), 9)
+    length = np.sqrt(q2)[:, None] * np.sqrt(m2)[None, :]
+    return np.round(np.divide(inner, length, out=np.zeros_like(inner), where=length > 0), 9)
+
+
+def nearest(q: np.ndarray, names: np.ndarray, batches: Iterator[pa.RecordBatch], k: int, metric: str, skip_same: bool) -> pa.RecordBatch | None:
+    """qid, key, score: each query's k best of the rows (key, vec) that stream by."""
+    sign = 1.0 if metric == "l2" else -1.0
+    best, least = None, np.full(len(q), -np.inf)  # least: what a row must reach for each query
+    step = max(1, HELD // max(1, len(q)))
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        m = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        rows = batch.column("key").to_numpy()
+        for a in range(0, n, step):
+            there = rows[a : a + step]
+            v = -sign * scored(q, m[a : a + step], metric)  # the larger the better
+            if skip_same:
+                v[names[:, None] == there[None, :]] = -np.inf
+            bar = least if len(there) <= k else np.maximum(least, np.partition(v, len(there) - k, axis=1)[:, len(there) - k])
+            r, c = np.nonzero((v >= bar[:, None]) & (v > -np.inf))
+            found = (r, there[c], v[r, c])
+            if best is not None:
+                found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
+            order = np.lexsort((found[1], -found[2], found[0]))
+            group = found[0][order]
+            place = np.arange(len(order)) - np.searchsorted(group, group)
+            least[group[place == k - 1]] = found[2][order[place == k - 1]]
+            best = tuple(x[order[place < k]] for x in found)
+    if best is None:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(names[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(-sign * best[2])], names=["qid", "key", "score"])
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "doc_id", qid: str = "qid", skip_same: bool = False
 ) -> DataFrame:
     """qid, key, score, rank: each query's k best rows, exhaustively; ties go to the smaller key.
 
-    metric: `cosine` or `dot` (largest first), or `l2` (squared distance, smallest first). Queries
-    go to the tasks in bounded blocks; a task keeps each query's k best of its own rows, and only
-    those are shuffled. k beyond the rows gives all rows.
+    metric: `cosine` or `dot` (largest first), or `l2` (squared distance, smallest first). Query
+    vectors that are counted to be at most QUERY_BYTES go along with the scan of the rows. More are
+    dealt, by a hash, to groups of that size, and the rows to shards; a task gets one group and one
+    shard. Either way a task keeps each query's k best of its rows, and only those are shuffled. k
+    beyond the rows gives all rows.
     """
-    spark = vectors.sparkSession
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError("metric is cosine, dot or l2")
-    sign = 1.0 if metric == "l2" else -1.0
     kept = vectors.select(F.col(key).cast("long").alias("key"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
     asked = queries.select(F.col(qid).cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
-    block, ids, size, results = [], [], 0, []
-
-    def turn() -> DataFrame:
-        q, names = np.array(block), np.array(ids)
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    out = "qid long, key long, score double"
+    if not n:
+        return vectors.sparkSession.createDataFrame([], f"{qid} long, {key} long, score double, rank int")
+    if 8 * size <= QUERY_BYTES:
+        held = asked.toArrow()
+        q, names = _matrix(held), held.column("qid").to_numpy()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, least = None, np.full(len(q), -np.inf)  # least: what a row must reach for each query
-            step = max(1, HELD // max(1, len(q)))
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                m = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                rows = batch.column("key").to_numpy()
-                for a in range(0, n, step):
-                    there = rows[a : a + step]
-                    v = -sign * scores(q, m[a : a + step])  # the larger the better
-                    if skip_same:
-                        v[names[:, None] == there[None, :]] = -np.inf
-                    bar = least if len(there) <= k else np.maximum(least, np.partition(v, len(there) - k, axis=1)[:, len(there) - k])
-                    r, c = np.nonzero((v >= bar[:, None]) & (v > -np.inf))
-                    found = (r, there[c], v[r, c])
-                    if best is not None:
-                        found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
-                    order = np.lexsort((found[1], -found[2], found[0]))
-                    group = found[0][order]
-                    place = np.arange(len(order)) - np.searchsorted(group, group)
-                    least[group[place == k - 1]] = found[2][order[place == k - 1]]
-                    best = tuple(x[order[place < k]] for x in found)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(-sign * best[2])], names=["qid", "key", "score"])
-
-        def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            inner = x @ y.T
-            if metric == "dot":
-                return np.round(inner, 9)
-            x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
-            if metric == "l2":
-                return np.round(np.maximum(x2[:, None] + y2[None, :] - 2 * inner, 0), 9)
-            length = np.sqrt(x2)[:, None] * np.sqrt(y2)[None, :]
-            return np.round(np.divide(inner, length, out=np.zeros_like(inner), where=length > 0), 9)
-
-        return kept.mapInArrow(run, "qid long, key long, score double")
-
-    for r in asked.toLocalIterator():
-        block.append(r.vec)
-        ids.append(r.qid)
-        size += 8 * len(r.vec)
-        if size >= QUERY_BYTES:
-            results.append(turn())
-            block, ids, size = [], [], 0
-    if block:
-        results.append(turn())
-    if not results:
-        return spark.createDataFrame([], f"{qid} long, {key} long, score double, rank int")
-    found = results[0]
-    for more in results[1:]:
-        found = found.unionByName(more)
+            found = nearest(q, names, batches, k, metric, skip_same)
+            if found is not None:
+                yield found
+
+        found = kept.mapInArrow(run, out)
+    else:
+        groups, shards = _parts(n, size), _parts(*kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first())
+        each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))
+        left = asked.withColumn("grp", F.pmod(F.xxhash64("qid", "vec"), F.lit(groups))).withColumn("shard", each(shards))
+        right = kept.withColumn("shard", F.pmod(F.xxhash64("key", "vec"), F.lit(shards))).withColumn("grp", each(groups))
+
+        def tile(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+            found = nearest(_matrix(ours), ours.column("qid").to_numpy(), theirs.to_batches(), k, metric, skip_same) if ours.num_rows else None
+            empty = pa.schema([("qid", pa.int64()), ("key", pa.int64()), ("score", pa.float64())]).empty_table()
+            return empty if found is None else pa.Table.from_batches([found])
+
+        found = left.groupBy("grp", "shard").cogroup(right.groupBy("grp", "shard")).applyInArrow(tile, out)
     order = F.asc("score") if metric == "l2" else F.desc("score")
     return top(found, k, "qid", order, F.asc("key")).select(F.col("qid").alias(qid), F.col("key").alias(key), "score", "rank")
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    flat = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(rows.num_rows, -1) if rows.num_rows else flat.reshape(0, 1)
+
+
+def _parts(n: int, size: int) -> int:
+    """Parts of at most about QUERY_BYTES of vectors, and no more than there are rows."""
+    return max(1, min(n, -(-8 * size // QUERY_BYTES)))

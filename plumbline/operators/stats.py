@@ -1,8 +1,8 @@
 """How well a score tells two classes apart: ranks, curves, thresholds, percentiles.
 
 Rows are (score, label 0/1), with an optional list of grouping columns. Rank statistics come from
-one grouped count of each distinct score, and running sums over those counts, so tied and repeated
-scores cost nothing, and no window sees single rows.
+one grouped count of each distinct score, and running sums over those counts (`order.running`), so
+tied and repeated scores cost nothing, and no one task orders more scores than it can hold.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.order import running
+from plumbline.operators.sparse import small
+
 
 def tallies(rows: DataFrame, by: tuple = (), score: str = "score", label: str = "label") -> DataFrame:
     """by, score, pos, neg: counts at each distinct score; rows without score or label drop out."""
@@ -21,16 +24,18 @@ def _totals(tally: DataFrame, by: tuple) -> DataFrame:
     return tally.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
-def _with_totals(tally: DataFrame, by: tuple) -> DataFrame:
-    totals = F.broadcast(_totals(tally, by))
-    return tally.join(totals, list(by)) if by else tally.join(totals)
+def _curve(rows: DataFrame, by: tuple, score: str, label: str) -> DataFrame:
+    """by, score, pos, neg, tp, fp (of this score and above), n_pos, n_neg."""
+    t = running(tallies(rows, by, score, label), [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, by)
+    t = t.withColumn("tp", F.col("tp") + F.col("pos")).withColumn("fp", F.col("fp") + F.col("neg"))
+    totals = small(_totals(t, by))
+    return t.join(totals, list(by)) if by else t.join(totals)
 
 
 def roc_auc(rows: DataFrame, by: tuple = (), score: str = "score", label: str = "label") -> DataFrame:
     """by, n_pos, n_neg, auc: chance that a positive scores above a negative, ties half; NaN with one class."""
-    t = tallies(rows, by, score, label)
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
+    t = running(tallies(rows, by, score, label), [F.col("score")], {"below": F.col("neg")}, by)
+    wins = F.col("pos") * (F.col("below") + F.col("neg") / 2)
     out = t.withColumn("wins", wins).groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("wins").alias("wins"))
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / (F.col("n_pos").cast("double") * F.col("n_neg"))).otherwise(F.lit(float("nan")))
     return out.select(*by, "n_pos", "n_neg", auc.alias("auc"))
@@ -38,21 +43,16 @@ def roc_auc(rows: DataFrame, by: tuple = (), score: str = "score", label: str =
 
 def roc_curve(rows: DataFrame, by: tuple = (), score: str = "score", label: str = "label") -> DataFrame:
     """by, threshold, fpr, tpr: one point a distinct score, and the origin above the largest."""
-    t = _with_totals(tallies(rows, by, score, label), by)
-    upto = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    points = t.select(
-        *by, F.col("score").alias("threshold"), F.try_divide(F.sum("neg").over(upto), F.col("n_neg")).alias("fpr"), F.try_divide(F.sum("pos").over(upto), F.col("n_pos")).alias("tpr")
-    )
+    t = _curve(rows, by, score, label)
+    points = t.select(*by, F.col("score").alias("threshold"), F.try_divide("fp", "n_neg").alias("fpr"), F.try_divide("tp", "n_pos").alias("tpr"))
     origin = t.groupBy(*by).agg((F.max("score") + 1).alias("threshold")).select(*by, "threshold", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin.filter("threshold is not null"))
 
 
 def pr_auc(rows: DataFrame, by: tuple = (), score: str = "score", label: str = "label") -> DataFrame:
     """by, ap: average precision over distinct scores; NaN without positives."""
-    t = _with_totals(tallies(rows, by, score, label), by)
-    upto = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    precision = F.sum("pos").over(upto) / F.sum(F.col("pos") + F.col("neg")).over(upto)
-    part = t.withColumn("part", precision * F.try_divide(F.col("pos"), F.col("n_pos")))
+    t = _curve(rows, by, score, label)
+    part = t.withColumn("part", F.col("tp") / (F.col("tp") + F.col("fp")) * F.try_divide("pos", "n_pos"))
     both = F.when((F.max("n_pos") > 0) & (F.max("n_neg") > 0), F.sum("part")).otherwise(F.lit(float("nan")))
     return part.groupBy(*by).agg(both.alias("ap"))
 
@@ -71,15 +71,27 @@ def unit_grid(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.range(101).select((F.col("id") * 0.01).alias("tau"))
 
 
-def sweep(rows: DataFrame, grid: DataFrame, by: tuple = (), score: str = "score", label: str = "label") -> DataFrame:
-    """by, tau, tp, fp, fn, tn: predictions are score >= tau.
+def _binned(counted: DataFrame, grid: DataFrame, by: tuple, amounts: tuple) -> DataFrame:
+    """by, tau, and for each amount its sum at scores >= tau (name) and below (name_under).
 
-    Each distinct score is counted once and meets the few thresholds of the grid.
+    Each distinct score goes to one bin, the number of thresholds that it reaches; a group then has
+    no more rows than the grid has thresholds, and one more.
     """
-    t = tallies(rows, by, score, label).join(F.broadcast(grid))
-    over = F.col("score") >= F.col("tau")
-    amount = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
-    return t.groupBy(*by, "tau").agg(amount("pos", over).alias("tp"), amount("neg", over).alias("fp"), amount("pos", ~over).alias("fn"), amount("neg", ~over).alias("tn"))
+    taus = sorted(r[0] for r in grid.collect())  # a few thresholds
+    reached = F.size(F.filter(F.array(*map(F.lit, taus)), lambda t: F.col("score") >= t))
+    bins = counted.groupBy(*by, reached.alias("bin")).agg(*(F.sum(a).alias(a) for a in amounts))
+    lists = bins.groupBy(*by).agg(F.collect_list(F.struct("bin", *amounts)).alias("bins"))
+    part = lambda a, test: F.aggregate(F.filter("bins", test), F.lit(0).cast("long"), lambda s, x: s + x[a])
+    marks = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("tau")) for i, t in enumerate(taus)))
+    each = lists.withColumn("m", F.explode(marks))
+    over, under = lambda x: x["bin"] > F.col("m.i"), lambda x: x["bin"] <= F.col("m.i")
+    return each.select(*by, "m.tau", *(part(a, over).alias(a) for a in amounts), *(part(a, under).alias(f"{a}_under") for a in amounts))
+
+
+def sweep(rows: DataFrame, grid: DataFrame, by: tuple = (), score: str = "score", label: str = "label") -> DataFrame:
+    """by, tau, tp, fp, fn, tn: predictions are score >= tau."""
+    t = _binned(tallies(rows, by, score, label), grid, by, ("pos", "neg"))
+    return t.select(*by, "tau", F.col("pos").alias("tp"), F.col("neg").alias("fp"), F.col("pos_under").alias("fn"), F.col("neg_under").alias("tn"))
 
 
 def rates(counts: DataFrame) -> DataFrame:
@@ -117,9 +129,9 @@ def degenerate_f1(rows: DataFrame, label: str = "label") -> DataFrame:
 
 def retention_sweep(rows: DataFrame, grid: DataFrame, tier: str, positive: str, score: str = "score") -> DataFrame:
     """tau, tier, rate: the share of each tier's scores that pass; on the positive tier, retention."""
-    t = rows.groupBy(tier, F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(grid))
-    passed = F.sum(F.when(F.col("score") >= F.col("tau"), F.col("n")).otherwise(0)) / F.sum("n")
-    return t.groupBy("tau", tier).agg(passed.alias("rate")).withColumn("is_positive", F.col(tier) == positive)
+    t = rows.groupBy(tier, F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    passed = _binned(t, grid, (tier,), ("n",))
+    return passed.select("tau", tier, (F.col("n") / (F.col("n") + F.col("n_under"))).alias("rate"), (F.col(tier) == positive).alias("is_positive"))
 
 
 def recommended_threshold(retention: DataFrame, floor: float) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from plumbline.config import Config
 from plumbline.functions import text as T
 from plumbline.operators import dense, fusion, sparse, trust
+from plumbline.plans.models import Models, extractive, lexical_pair_score
 from plumbline.sources.shared import stored
 
 DECLINED = "Not answerable from this corpus."
+__all__ = ["DECLINED", "extractive", "lexical_pair_score"]
 
 
 def retrieve(passages: DataFrame, vectors: DataFrame, questions: DataFrame, qvectors: DataFrame, config: Config, k: int | None = None, scorer: Callable[[DataFrame], Column] | None = None) -> DataFrame:
@@ -36,28 +38,6 @@ def retrieve(passages: DataFrame, vectors: DataFrame, questions: DataFrame, qvec
     return fusion.rerank(pairs, score, k).select("qid", "passage_id", F.col("rerank_score").alias("score"), "rank")
 
 
-def lexical_pair_score(question: str = "qtext", text: str = "text") -> Column:
-    """A model-free pair score: the share of the question's words that the passage has."""
-    q, p = T.word_set(F.col(question)), T.word_set(F.col(text))
-    return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(q, p)).cast("double"), F.size(q).cast("double")), F.lit(0.0)), 9)
-
-
-def extractive(hits: DataFrame, seen_before: Column | None = None) -> DataFrame:
-    """qid, answer: the first sentence of the top passage, citing it. For a third of questions, by
-    hash, and only when first asked, the last passage is quoted instead, so the citation is wrong.
-
-    hits: qid, question, rank, passage.
-    """
-    found = hits.groupBy("qid", "question").agg(F.min_by("passage", "rank").alias("first"), F.max_by("passage", "rank").alias("last"), F.count(F.lit(1)).alias("n"))
-    # a number leaves the remainder of the sum of its hexadecimal digits, as 16 leaves 1
-    digits = F.split(F.sha1(F.col("question").cast("binary")), "")
-    by_three = F.aggregate(digits, F.lit(0), lambda s, d: s + F.coalesce(F.conv(F.nullif(d, F.lit("")), 16, 10).cast("int"), F.lit(0))) % 3
-    again = F.lit(False) if seen_before is None else seen_before
-    weak = (by_three == 1) & (F.col("n") >= 2) & ~again
-    quoted = T.first_sentence(F.when(weak, F.col("last")).otherwise(F.col("first")))
-    return found.select("qid", F.concat(quoted, F.lit(" [1]")).alias("answer"))
-
-
 def own_citations(answers: DataFrame) -> DataFrame:
     """What the extractive generator cites: the top passage, for its one claim."""
     return answers.select("qid", F.lit(0).alias("claim_idx"), F.lit(1).alias("cited_rank"))
@@ -69,45 +49,64 @@ def citations_of(answers: DataFrame) -> DataFrame:
     return each.select("qid", F.col("c.claim").alias("claim_idx"), (F.col("c.passage") + 1).alias("cited_rank"))
 
 
-def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: Config, generated: DataFrame | None = None, citations: DataFrame | None = None) -> DataFrame:
+def gated(questions: DataFrame, hits: DataFrame, config: Config) -> DataFrame:
+    """qid, context_relevance, top_similarity, passed: the gate that comes before generation."""
+    found = trust.relevance(questions, hits)
+    return found.withColumn("passed", F.col("top_similarity") >= config.retrieval_gate)
+
+
+def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: Config, generated: DataFrame | None = None, citations: DataFrame | None = None, gate: DataFrame | None = None, models: Models | None = None) -> DataFrame:
     """One wide row of metrics, aggregates and verdicts a question; null is undefined.
 
     questions: qid, question, qvec; hits: qid, rank, passage, vec; answers: qid, answer. The
     entailment of all claims and passages is computed once and feeds both metrics that need it.
-    Citations are parsed from the answers unless they are given.
+    Citations are parsed from the answers unless they are given; `gate` is what `gated` found.
+
+    Questions that the retrieval gate declines have no claims compared; of their metrics relevance
+    alone is defined. Of those that the support gate declines, it is faithfulness and the
+    contradiction rate. top_similarity and best_support tell what the gates saw.
     """
+    models = models or Models()
+    gate = stored(gated(questions, hits, config), "gate") if gate is None else gate
+    passed = gate.filter("passed").select("qid")
+    live, answers = questions.join(passed, "qid", "left_semi"), answers.join(passed, "qid", "left_semi")
     claims = answers.select("qid", F.posexplode(T.sentences(F.col("answer"))).alias("claim_idx", "claim"))
-    nli = trust.nli_matrix(claims, hits)
+    nli = models.nli.matrix(claims, hits.join(passed, "qid", "left_semi"))
     support = trust.claim_support(nli)
-    vectors = dense.hash_counts(claims.select(F.struct("qid", "claim_idx").alias("id"), "claim"), "id", "claim")
+    vectors = models.embedder.embed(claims.select(F.struct("qid", "claim_idx").alias("id"), "claim"), "id", "claim")
     vectors = vectors.select("id.qid", "id.claim_idx", "vec")
-    out = questions.select("qid")
-    faith = trust.faithfulness(questions, support)
-    attr = trust.attribution(questions, support, nli, citations_of(answers) if citations is None else citations, config.support_threshold)
-    rel = trust.relevance(questions, hits)
-    short = trust.conciseness(questions, vectors)
-    for part in (faith, attr.withColumnRenamed("f1", "attribution"), rel.withColumnRenamed("context_relevance", "relevance"), short):
+    faith = trust.faithfulness(live, support)
+    attr = trust.attribution(live, support, nli, citations_of(answers) if citations is None else citations.join(passed, "qid", "left_semi"), config.support_threshold)
+    short = trust.conciseness(live, vectors)
+    out = gate.drop("passed").withColumnRenamed("context_relevance", "relevance")
+    for part in (faith, attr.withColumnRenamed("f1", "attribution"), short):
         out = out.join(part, "qid", "left")
     if generated is not None:
-        out = out.join(trust.answer_relevance(questions, generated), "qid", "left")
+        out = out.join(trust.answer_relevance(live, generated), "qid", "left")
     scores = trust.aggregates(out, config.weights)
     out = out.join(scores, "qid").withColumn("reason", trust.gates(F.col("top_similarity"), F.col("best_support"), config.retrieval_gate, config.abstain_threshold))
-    declined = F.col("reason").isNotNull()
+    declined, unsupported = F.col("reason").isNotNull(), F.col("best_support") < config.abstain_threshold
     zero = lambda c: F.when(declined, F.lit(0.0)).otherwise(F.col(c)).alias(c)
-    kept = [c for c in out.columns if c not in ("t_arith", "t_geom", "reason")]
+    hidden = {"relevance": unsupported} | dict.fromkeys(("attribution", "precision", "recall", "conciseness", "answer_relevance"), declined)
+    kept = [F.when(~F.coalesce(hidden[c], F.lit(False)), F.col(c)).alias(c) if c in hidden else F.col(c) for c in out.columns if c not in ("t_arith", "t_geom", "reason")]
     out = out.select(*kept, zero("t_arith"), zero("t_geom"), declined.alias("abstained"), F.col("reason").alias("abstain_reason"))
     return out.withColumn("is_trustworthy", trust.trustworthy(F.col("abstained"), F.col("t_geom")))
 
 
-def answer_all(passages: DataFrame, vectors: DataFrame, questions: DataFrame, config: Config | None = None, answers: DataFrame | None = None) -> DataFrame:
+def answer_all(
+    passages: DataFrame, vectors: DataFrame, questions: DataFrame, config: Config | None = None, answers: DataFrame | None = None, models: Models | None = None
+) -> DataFrame:
     """Answers and measures a table of questions (qid, question); `answers` (qid, answer) are
-    recorded ones, otherwise the extractive generator writes them."""
-    config = config or Config()
-    qvec = dense.hash_counts(questions, "qid", "question")
+    recorded ones, otherwise the models' generator writes them, for questions that pass the gate."""
+    config, models = config or Config(), models or Models()
+    qvec = models.embedder.embed(questions, "qid", "question")
     asked = questions.join(qvec.withColumnRenamed("vec", "qvec"), "qid", "left")
-    hits = retrieve(passages, vectors, questions, qvec, config)
+    hits = retrieve(passages, vectors, questions, qvec, config, scorer=models.scorer)
     texts = passages.select("passage_id", F.coalesce("source_text", "text").alias("passage") if "source_text" in passages.columns else F.col("text").alias("passage"))
     full = stored(hits.join(texts, "passage_id").join(vectors, "passage_id", "left").join(questions, "qid"), "hits")
-    made = extractive(full) if answers is None else answers
-    out = measure(asked, full, made, config, citations=own_citations(made) if answers is None else None).join(made, "qid", "left")
+    gate = stored(gated(asked, full, config), "gate")
+    made = models.generator.generate(full.join(gate.filter("passed").select("qid"), "qid", "left_semi")) if answers is None else answers
+    cited = own_citations(made) if answers is None and models.generator.cites_first else None
+    generated = models.back_questions(made, config) if config.answer_relevance else None
+    out = measure(asked, full, made.select("qid", "answer"), config, generated, cited, gate, models).join(made.select("qid", "answer"), "qid", "left")
     return out.withColumn("answer", F.when(F.col("abstained"), F.lit(DECLINED)).otherwise(F.col("answer")))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ids
 from plumbline.functions import text as T
-from plumbline.operators import dense, fusion, irmetrics, reshape, sparse
+from plumbline.operators import dense, fusion, irmetrics, judge, reshape, sparse
 from plumbline.plans import sql as S
 from plumbline.plans.answer import lexical_pair_score
 from plumbline.plans.queries_text import PASSAGES, passages_of, table
+from plumbline.sources.shared import stored
 
 QUERIES, ORACLES = {}, {}
 K = 10
@@ -31,9 +32,7 @@ def asked(spark, sf_dir):
 
 def relevant(spark, sf_dir):
     """qid, doc_id: documents that hold a benchmark item's text."""
-    items = sparse.small(asked(spark, sf_dir))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(items, F.contains(docs["text"], items["qtext"])).select("qid", "doc_id")
+    return stored(judge.containing(table(spark, sf_dir, "documents"), asked(spark, sf_dir)), "relevant")
 
 
 def sparse_hits(spark, sf_dir, k):
@@ -167,32 +166,60 @@ def ndcg_recall_mrr_at_k(spark, sf_dir):
     return out.select("qid", *(F.round(c, 6).alias(c) for c in ("ndcg", "recall", "mrr", "mrr_at_k")))
 
 
-@query(f"""with {RRF}, ranked as (select 'sparse' as config, qid, doc_id, rank from sparse where rank <= 20 union all select 'dense', qid, doc_id, rank from dense where rank <= 20
-  union all select 'hybrid', qid, doc_id, rank from hybrid where rank <= 20), {BINARY}
-select config, round(avg(ndcg), 6) as ndcg, round(avg(recall), 6) as recall, round(avg(mrr), 6) as mrr, coalesce(bool_and(mrr >= 0.98), false) as saturated from scored group by config""")
+KS = (3, 5, 10)
+LEGS = ("dense", "sparse", "hybrid")
+#: Three modes, plain and with the best 20 reordered by word overlap, cut off at three depths.
+GRID = f"""{RRF}, legs20 as ({" union all ".join(f"select '{x}' as config, qid, doc_id, rank from {x} where rank <= 20" for x in LEGS)}),
+words as (select item_id, {S.word_set('text')} as q from benchmark), texts as (select doc_id, {S.word_set('text')} as p from documents),
+paired as (select config, qid, doc_id, rank, round(coalesce(len(list_intersect(q, p)) / cast(nullif(len(q), 0) as double), 0), 9) as score from legs20 join words on item_id = qid join texts using (doc_id)),
+ranked as (select config, qid, doc_id, rank from legs20 union all select config || '+rerank', qid, doc_id, row_number() over (partition by config, qid order by score desc, rank) from paired),
+{S.RELEVANT}, rel as (select distinct * from relevant), n_rel as (select qid, count(*) as n from rel group by qid), ks as (select unnest([3, 5, 10]) as k),
+hit as (select config, k, h.qid, sum(1 / log2(rank + 1)) as dcg, count(distinct h.doc_id) as hit, min(rank) as first from ranked h join rel r on h.qid = r.qid and h.doc_id = r.doc_id, ks where rank <= k group by all),
+cells as (select config, k, item_id as qid from (select distinct config from ranked), ks, benchmark),
+scored as (select c.config, c.k, c.qid, coalesce(dcg / list_sum(list_transform(range(1, least(n, c.k) + 1), lambda i: 1 / log2(i + 1))), 0) as ndcg, coalesce(hit / n, 0) as recall, coalesce(1 / first, 0) as mrr
+  from cells c left join n_rel using (qid) left join hit on hit.config = c.config and hit.k = c.k and hit.qid = c.qid)"""
+
+
+@query(f"with {GRID} select config, cast(k as integer) as k, round(avg(ndcg), 6) as ndcg, round(avg(recall), 6) as recall, round(avg(mrr), 6) as mrr, coalesce(bool_and(mrr >= 0.98), false) as saturated from scored group by config, k")
 def ablation_grid(spark, sf_dir):
     q, rel = asked(spark, sf_dir), relevant(spark, sf_dir)
     deep = fusion.depth(K)
-    s, d = sparse_hits(spark, sf_dir, deep).persist(), dense_hits(spark, sf_dir, deep).persist()
+    s, d = stored(sparse_hits(spark, sf_dir, deep), "sparse"), stored(dense_hits(spark, sf_dir, deep), "dense")
     arms = {"sparse": s.filter("rank <= 20"), "dense": d.filter("rank <= 20"), "hybrid": fusion.rrf(d, s, 20)}
-    out = None
+    legs = None
     for name, hits in arms.items():
-        part = irmetrics.binary_metrics(q, hits, rel, K).withColumn("config", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("config").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "recall", "mrr")), irmetrics.saturated(F.col("mrr")).alias("saturated"))
+        part = hits.select(F.lit(name).alias("config"), "qid", "doc_id", "rank")
+        legs = part if legs is None else legs.unionByName(part)
+    legs = stored(legs, "legs")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = legs.join(sparse.small(q), "qid").join(texts, "doc_id").withColumn("both", F.struct("config", "qid"))
+    again = fusion.rerank(pairs, lexical_pair_score(), 20, qid="both").select(F.concat("both.config", F.lit("+rerank")).alias("config"), "both.qid", "doc_id", "rank")
+    out = irmetrics.grid_metrics(q, stored(legs.unionByName(again), "ranked"), rel, KS)
+    return out.groupBy("config", "k").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "recall", "mrr")), irmetrics.saturated(F.col("mrr")).alias("saturated"))
+
+
+@query("select round(20 / cast(count(*) as double), 6) as ratio, 20 / cast(count(*) as double) > 0.3 as too_large from documents")
+def candidate_ratio(spark, sf_dir):
+    return irmetrics.candidate_ratio(20, table(spark, sf_dir, "documents")).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(f"""with {BM25}, {S.RELEVANT}, gains as (select qid, doc_id, 2 as gain from (select distinct * from relevant) union all
-  select b.item_id, d.doc_id, 1 from benchmark b join documents d on contains(d.text, left(b.text, 20)) and not contains(d.text, b.text)),
+INNER = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '')"
+ANCHORED = f"""inner_words as (select qid, unnest(list_distinct(w[2 : len(w) - 1])) as word from (select item_id as qid, {INNER} as w from benchmark)),
+doc_words as (select doc_id, unnest(list_distinct({INNER})) as word from documents),
+word_df as (select word, count(*) as n from doc_words where word in (select word from inner_words) group by word),
+anchors as (select qid, word from (select qid, i.word, row_number() over (partition by qid order by coalesce(n, 0), i.word) as r from inner_words i left join word_df d on d.word = i.word) where r = 1)"""
+
+
+@query(f"""with {BM25}, {ANCHORED},
+gains as (select a.qid, w.doc_id, case when contains(d.text, b.text) then 2 else 1 end as gain from anchors a join doc_words w on w.word = a.word join documents d on d.doc_id = w.doc_id join benchmark b on b.item_id = a.qid),
 best as (select qid, gain, row_number() over (partition by qid order by gain desc) as r from gains),
 ideal as (select qid, sum(gain / log2(r + 1)) as i from best where r <= {K} group by qid),
 dcg as (select s.qid, sum(gain / log2(rank + 1)) as d from sparse s join gains g on g.qid = s.qid and g.doc_id = s.doc_id where rank <= {K} group by s.qid)
 select item_id as qid, round(coalesce(d / i, 0), 6) as ndcg from benchmark left join ideal on ideal.qid = item_id left join dcg on dcg.qid = item_id""")
 def graded_ndcg(spark, sf_dir):
-    items = sparse.small(asked(spark, sf_dir))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    part = docs.join(items, F.contains(docs["text"], F.left(items["qtext"], F.lit(20))))
-    gains = part.select("qid", "doc_id", F.when(F.contains("text", F.col("qtext")), 2).otherwise(1).alias("gain"))
+    """Gain 2 for documents with the item's whole text, 1 for others with its rarest inner word."""
+    found = judge.anchored(table(spark, sf_dir, "documents"), asked(spark, sf_dir))
+    gains = stored(found.select("qid", "doc_id", F.when(F.col("whole"), 2).otherwise(1).alias("gain")), "gains")
     return irmetrics.graded_ndcg(asked(spark, sf_dir), sparse_hits(spark, sf_dir, K), gains, K).select("qid", F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -202,7 +229,18 @@ def hard_negatives(spark, sf_dir):
     return irmetrics.hard_negatives(sparse_hits(spark, sf_dir, 20), relevant(spark, sf_dir), 5)
 
 
-@query()
+HARD = """rel as (select distinct qid, doc_id from relevant),
+unlike as (select qid, doc_id, rank from sparse where rank <= 20 and (qid, doc_id) not in (select qid, doc_id from rel)),
+hard as (select qid, doc_id, row_number() over (partition by qid order by rank) as place from unlike)"""
+EASY = """ring as (select doc_id, row_number() over (order by md5('0|' || doc_id), doc_id) - 1 as p from documents), size as (select count(*) as n from documents),
+begin as (select item_id as qid, coalesce(r, 0) as r, cast('0x' || left(md5('1|' || item_id), 8) as bigint) % n as s, n from benchmark left join (select qid, count(*) as r from rel group by qid) c on c.qid = item_id, size),
+want as (select qid, i, (s + i) % n as p from (select *, unnest(range(0, least(5 + r, n))) as i from begin)),
+open as (select w.qid, i, ring.doc_id from want w join ring using (p) where (w.qid, ring.doc_id) not in (select qid, doc_id from rel)),
+easy as (select qid, doc_id, row_number() over (partition by qid order by i) as place from open)"""
+
+
+@query(f"""with {BM25}, {S.RELEVANT}, {HARD}, {EASY} select qid, doc_id, 'positive' as tier, 1 as gain from rel
+union all select qid, doc_id, 'random', 0 from easy where place <= 5 union all select qid, doc_id, 'hard', 0 from hard where place <= 5""")
 def pair_assembly(spark, sf_dir):
     """Judged pairs: relevant ones, random ones and hard ones, with their gain."""
     rel = relevant(spark, sf_dir).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import resample, reshape
 from plumbline.operators import stats as D
+from plumbline.operators.sparse import small
 from plumbline.plans import sql as S
 from plumbline.plans.queries_text import table
 
@@ -132,7 +133,7 @@ select x.lang as source, y.lang as target, round(x.tau, 6) as tau, round(y.f1, 6
 def tau_transfer(spark, sf_dir):
     swept = _swept(spark, sf_dir, ("lang",))
     best = D.best_tau_by_f1(swept, ("lang",)).select(F.col("lang").alias("source"), "tau")
-    return F.broadcast(best).join(swept.select(F.col("lang").alias("target"), "tau", "f1"), "tau").select("source", "target", *r6("tau", "f1"))
+    return small(best).join(swept.select(F.col("lang").alias("target"), "tau", "f1"), "tau").select("source", "target", *r6("tau", "f1"))
 
 
 _P = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -157,15 +158,29 @@ def score_distribution(spark, sf_dir):
     )
 
 
-@query("""with x as (select label, cast(embedding[1] as double) as v from embeddings)
-select label, round(avg(case when v < 0 then 1.0 else 0 end), 6) as negative, round(avg(greatest(0, v)), 6) as clamped, round(avg((1 + v) / 2), 6) as affine from x group by label""")
+@query("""with x as (select label, cast(unnest(embedding) as double) as v from embeddings)
+select label, count(*) as n, round(avg(case when v < 0 then 1.0 else 0 end), 6) as negative, round(avg(greatest(0, v)), 6) as clamped, round(avg((1 + v) / 2), 6) as affine from x group by label""")
 def clamp_vs_affine(spark, sf_dir):
-    v = F.col("embedding")[0].cast("double")
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(
-        F.round(F.avg((v < 0).cast("double")), 6).alias("negative"), F.round(F.avg(F.greatest(F.lit(0.0), v)), 6).alias("clamped"), F.round(F.avg((1 + v) / 2), 6).alias("affine")
+    """All components of all embeddings, as they would be if clamped at 0, or mapped from -1..1 to 0..1."""
+    each = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("v"))
+    v = F.col("v").cast("double")
+    return each.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((v < 0).cast("double")), 6).alias("negative"), F.round(F.avg(F.greatest(F.lit(0.0), v)), 6).alias("clamped"), F.round(F.avg((1 + v) / 2), 6).alias("affine")
     )
 
 
+_SIGNED = "shifted as (select label, unnest(['raw', 'affine', 'clamped']) as mapping, unnest([s, (1 + s) / 2, greatest(0, s)]) as score from (select label, round(2 * score - 1, 6) as s from scored))"
+
+
+@query(f"with {S.SCORED}, {_SIGNED}, {auc_cte('mapping', 'shifted').replace('partition by lang', 'partition by mapping')} select mapping, round(auc, 6) as auc from a")
+def mapping_auc(spark, sf_dir):
+    """The AUC of signed scores, mapped affinely, which changes no rank, and clamped, which ties the negative ones."""
+    s = F.round(2 * F.col("score") - 1, 6)
+    kinds = F.array(*(F.struct(F.lit(n).alias("mapping"), x.alias("score")) for n, x in (("raw", s), ("affine", (1 + s) / 2), ("clamped", F.greatest(F.lit(0.0), s)))))
+    each = scored(spark, sf_dir).select("label", F.explode(kinds).alias("k")).select("label", "k.mapping", "k.score")
+    return D.roc_auc(each, ("mapping",)).select("mapping", *r6("auc"))
+
+
 @query("select quality, toxic, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from labels group by quality, toxic")
 def class_balance(spark, sf_dir):
     from pyspark.sql import Window

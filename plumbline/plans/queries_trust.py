@@ -54,10 +54,15 @@ def nli_of(spark, sf_dir):
     return t, trust.nli_matrix(claims, hits)
 
 
-def scorecard(spark, sf_dir):
+def put(spark, sf_dir):
+    """questions with their vectors, questions with answers, and hits."""
     _, _, t, hits = setting(spark, sf_dir)
     qvec = dense.hash_counts(t, "qid", "question").withColumnRenamed("vec", "qvec")
-    asked = t.select("qid", "question").join(qvec, "qid", "left")
+    return t.select("qid", "question").join(qvec, "qid", "left"), t, hits
+
+
+def scorecard(spark, sf_dir):
+    asked, t, hits = put(spark, sf_dir)
     return answer.measure(asked, hits, t.select("qid", "answer"), CONFIG)
 
 
@@ -133,12 +138,16 @@ def attribution_prf(spark, sf_dir):
 
 @query(f"with {SCORES} select qid, round(relevance, 6) as context_relevance, round(top_similarity, 6) as top_similarity from metrics")
 def context_relevance(spark, sf_dir):
-    return scorecard(spark, sf_dir).select("qid", F.round("relevance", 6).alias("context_relevance"), F.round("top_similarity", 6).alias("top_similarity"))
+    asked, _, hits = put(spark, sf_dir)
+    return trust.relevance(asked, hits).select("qid", F.round("context_relevance", 6).alias("context_relevance"), F.round("top_similarity", 6).alias("top_similarity"))
 
 
 @query(f"with {SCORES} select qid, round(conciseness, 6) as conciseness from metrics")
 def conciseness(spark, sf_dir):
-    return scorecard(spark, sf_dir).select("qid", F.round("conciseness", 6).alias("conciseness"))
+    t = talk(spark, sf_dir)
+    claims = t.select("qid", F.posexplode(answer.T.sentences(F.col("answer"))).alias("claim_idx", "claim"))
+    vectors = dense.hash_counts(claims.select(F.struct("qid", "claim_idx").alias("id"), "claim"), "id", "claim")
+    return trust.conciseness(t, vectors.select("id.qid", "id.claim_idx", "vec")).select("qid", F.round("conciseness", 6).alias("conciseness"))
 
 
 @query(f"""with {S.TALK}, {S.hash_ctes('qv', 'talk', 'qid', 'question')}, {S.hash_ctes('av', 'talk', 'qid', 'answer')}
@@ -163,12 +172,20 @@ def trust_aggregates(spark, sf_dir):
     return out.select("doc_id", F.round("t_arith", 6).alias("t_arith"), F.round("t_geom", 6).alias("t_geom"))
 
 
-CARD = """select qid, round(faithfulness, 6) as faithfulness, round(attribution, 6) as attribution, round(relevance, 6) as relevance, round(conciseness, 6) as conciseness,
-  abstained, case when abstained then 0 else round(t_arith, 6) end as t_arith, case when abstained then 0 else round(t_geom, 6) end as t_geom, (not abstained and t_geom >= 0.5) as is_trustworthy
-from (select *, top_similarity < 0.75 or best_support < 0.12 as abstained from aggregated)"""
+#: What is defined after the gates: relevance alone after the first, faithfulness and the contradiction rate after the second.
+GATED = """gated as (select qid, case when not g1 then faithfulness end as faithfulness, case when not g1 then contradiction_rate end as contradiction_rate, case when not g1 and not g2 then attribution end as attribution,
+  case when g1 or not g2 then relevance end as relevance, case when not g1 and not g2 then conciseness end as conciseness, g1 or g2 as abstained, t_arith, t_geom
+  from (select *, top_similarity < 0.75 as g1, best_support < 0.12 as g2 from aggregated))"""
+CARD = f""", {GATED} select qid, round(faithfulness, 6) as faithfulness, round(attribution, 6) as attribution, round(relevance, 6) as relevance, round(conciseness, 6) as conciseness,
+  abstained, case when abstained then 0 else round(t_arith, 6) end as t_arith, case when abstained then 0 else round(t_geom, 6) end as t_geom, (not abstained and t_geom >= 0.5) as is_trustworthy from gated"""
 
 
-@query(f"with {SCORES.replace('ln(attribution)', 'ln(nullif(attribution, 0))').replace('ln(faithfulness)', 'ln(nullif(faithfulness, 0))').replace('ln(relevance)', 'ln(nullif(relevance, 0))').replace('ln(conciseness)', 'ln(nullif(conciseness, 0))')} {CARD}")
+_SAFE = SCORES
+for _m in ("attribution", "faithfulness", "relevance", "conciseness"):  # the logarithm of 0 is taken for no row that needs it
+    _SAFE = _SAFE.replace(f"ln({_m})", f"ln(nullif({_m}, 0))")
+
+
+@query(f"with {_SAFE} {CARD}")
 def trust_scorecard(spark, sf_dir):
     out = scorecard(spark, sf_dir)
     r = [F.round(c, 6).alias(c) for c in ("faithfulness", "attribution", "relevance", "conciseness")]
@@ -182,7 +199,7 @@ def abstention_gates(spark, sf_dir):
     return out.groupBy(gate.alias("gate")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {SCORES}, l as (unpivot (select faithfulness, contradiction_rate, relevance, conciseness from metrics) on faithfulness, contradiction_rate, relevance, conciseness into name metric value v)
+@query(f"""with {_SAFE}, {GATED}, l as (select unnest(['faithfulness', 'contradiction_rate', 'relevance', 'conciseness']) as metric, unnest([faithfulness, contradiction_rate, relevance, conciseness]) as v from gated)
 select metric, count(v) as n, round(avg(v), 6) as mean, round(median(v), 6) as median from l group by metric""")
 def metric_summary_mean_median(spark, sf_dir):
     names = ["faithfulness", "contradiction_rate", "relevance", "conciseness"]
@@ -244,12 +261,79 @@ def ranking_disagreement_all(spark, sf_dir):
     return found.select(F.round("rate", 6).alias("rate"), "pairs")
 
 
-@query()
+def _paraphrased() -> str:
+    """CTEs that end in told(key, answer, text): each rule replaces its first match, with its capital."""
+    steps, last = [], "answers_"
+    for i, (old, new) in enumerate(perturb.SYNONYMS):
+        steps.append(rf"""para_{i} as (select key, answer, regexp_replace(text, '(?i)\b{old}\b', case when regexp_matches(regexp_extract(text, '(?i)\b{old}\b'), '^[A-Z]') then '{new[0].upper() + new[1:]}' else '{new}' end) as text from {last})""")
+        last = f"para_{i}"
+    opened = f"'In other words, ' || lower(left({S.strip('answer')}, 1)) || substr({S.strip('answer')}, 2)"
+    return "answers_ as (select key, answer, answer as text from edited), " + ", ".join(steps) + f", told as (select key, case when text = answer then {opened} else text end as text from {last} where {S.strip('answer')} <> '')"
+
+
+_CLOSED = rf"(regexp_replace(answer, '\s+$', '') || case when regexp_matches(regexp_replace(answer, '\s+$', ''), '[.!?]$') then '' else '.' end)"
+def _names(x: str) -> str:
+    return rf"list_distinct(regexp_extract_all({x}, '\b({perturb.NAME})\b', 1))"
+
+
+
+def _digest(edit: str, name: str) -> str:
+    return f"md5('{edit}|' || seed || '|' || key || '|' || {name})"
+
+
+def _drawn(edit: str, below: str, what: str = "") -> str:
+    return f"(cast('0x' || left({_digest(edit, chr(39) + what + chr(39))}, 8) as bigint) % ({below}))"
+
+
+def _values(pairs) -> str:
+    return ", ".join("(" + ", ".join("'" + x + "'" for x in (p if isinstance(p, tuple) else (p,))) + ")" for p in pairs)
+
+
+EDITED = rf"""{HITS},
+lists as (select h.qid, list(p.text order by rank) as passages from hits h join passages p using (passage_id) group by h.qid),
+pool as (select list(text) as pool from (select distinct text from passages order by md5(text) limit 100)),
+edited as (select cast(talk.qid as varchar) as key, coalesce(answer, '') as answer, coalesce(passages, []) as passages, list_filter(pool, lambda x: not list_contains(coalesce(passages, []), x)) as others
+  from talk left join lists using (qid), pool),
+each as (select *, unnest([0, 1, 2]) as seed from edited),
+named as (select key, seed, answer, {_names('answer')} as own, {_names("array_to_string(passages, chr(10))")} as other from each),
+swaps as (select key, seed, answer, a, b from (select *, unnest(other) as b from (select *, unnest(own) as a from named)) where not contains(lower(a), lower(b)) and not contains(lower(b), lower(a))),
+swapped as (select key, seed, answer, min_by({{'a': a, 'b': b}}, {_digest('entity_swap', "a || '|' || b")}) as c from swaps group by all),
+pieces as (select key, seed, string_split(regexp_replace(answer, '({perturb.NUMBER})', chr(1) || '\1' || chr(1), 'g'), chr(1)) as p from each),
+places as (select *, list_filter(range(1, len(p), 2), lambda i: length(p[i + 1]) <= {perturb.NUMBER_CHARS}) as spots from pieces),
+numbers as (select key, seed, p, spots[cast({_drawn('number_corruption', 'len(spots)', 'place')} as integer) + 1] as i from places where len(spots) > 0),
+parts as (select *, p[i + 1] as old, cast(replace(p[i + 1], '.', '') as hugeint) as n, case when contains(p[i + 1], '.') then length(p[i + 1]) - position('.' in p[i + 1]) else 0 end as d from numbers),
+scaled as (select *, cast(power(10, d) as hugeint) as unit, case {_drawn('number_corruption', '4', 'factor')} when 0 then n * 10 when 1 then n * 100 when 2 then (n + 5) // 10 else (n + 50) // 100 end as m from parts),
+jumped as (select *, case when n = 0 then (50 + {_drawn('number_corruption', '949', 'zero')}) * unit when abs(m - n) < 2 * unit then n + (50 + {_drawn('number_corruption', '450', 'jump')}) * unit else m end as new from scaled),
+shown as (select key, seed, p, i, cast(new // unit as varchar) || case when d > 0 then '.' || lpad(cast(new % unit as varchar), cast(d as integer), '0') else '' end as new from jumped),
+reversals(phrase, new) as (values {_values(perturb.REVERSALS)}),
+reversed as (select key, seed, answer, min_by({{'p': phrase, 'n': new}}, {_digest('negation', "phrase || '|' || new")}) as c from each, reversals where regexp_matches(answer, '(?i)\b' || phrase || '\b') group by all),
+stock as (select [{", ".join("'" + x + "'" for x in perturb.UNSUPPORTED)}] as s),
+{_paraphrased()},
+{S.sentence_ctes('said', 'each', 'key, seed, answer', 'answer')},
+again as (select key, seed, answer, sentences[cast({_drawn('duplication', 'len(sentences)')} as integer) + 1] as s from said where len(sentences) > 0),
+far as (select key, seed, answer, min_by(o, {_digest('off_topic_padding', 'o')}) as o from (select key, seed, answer, unnest(case when len(others) > 0 then others else passages end) as o from each) where {S.strip('o')} <> '' and {S.strip('answer')} <> '' group by all),
+{S.sentence_ctes('off', 'far', 'key, seed, answer, o', 'o')},
+made as (
+  select key, 'original' as operator, cast(null as bigint) as seed, answer as text from edited
+  union all select key, 'entity_swap', seed, regexp_replace(answer, '\b\Q' || c.a || '\E\b', c.b) from swapped
+  union all select key, 'number_corruption', seed, array_to_string(list_transform(p, lambda x, j: case when j = i + 1 then new else x end), '') from shown
+  union all select key, 'negation', seed, regexp_replace(answer, '(?i)\b' || c.p || '\b', c.n) from reversed
+  union all select key, 'unsupported_addition', seed, {_CLOSED} || ' ' || s[cast({_drawn('unsupported_addition', str(len(perturb.UNSUPPORTED)))} as integer) + 1] from each, stock where {S.strip('answer')} <> ''
+  union all select told.key, 'paraphrase', seed, told.text from told join each using (key)
+  union all select key, 'duplication', seed, case when instr(answer, s) > 0 then substr(answer, 1, instr(answer, s) + length(s) - 1) || ' ' || substr(answer, instr(answer, s)) else {_CLOSED} || ' ' || s end from again
+  union all select key, 'off_topic_padding', seed, {_CLOSED} || ' ' || {S.strip("case when len(sentences) > 0 then sentences[1] else " + S.strip('o') + " end")} from off)"""
+
+
+@query(f"with {EDITED} select key as qid, operator, seed, text, operator in ('entity_swap', 'number_corruption', 'negation', 'unsupported_addition') as hallucinated from made")
 def perturbations(spark, sf_dir):
-    """Every edit of every recorded answer, with retrieved passages and the others as distractors."""
-    _, _, t, hits = setting(spark, sf_dir)
+    """Every edit of every recorded answer, with retrieved passages; what is padded comes from a
+    hundred passages of the corpus, chosen by digest, that weren't retrieved for the question."""
+    p, _, t, hits = setting(spark, sf_dir)
     lists = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "passage"))).alias("p"))
-    rows = t.join(lists, "qid", "left").select("qid", "answer", F.col("p.passage").alias("passages"), F.array("question").alias("distractors"))
+    pool = [r.text for r in p.select("text").distinct().orderBy(F.md5(F.col("text").cast("binary"))).limit(100).collect()]
+    passages = F.coalesce("p.passage", F.array().cast("array<string>"))
+    others = F.array_except(F.array(*map(F.lit, pool)) if pool else F.array().cast("array<string>"), passages)
+    rows = t.join(lists, "qid", "left").select("qid", "answer", passages.alias("passages"), others.alias("distractors"))
     return perturb.apply_all(rows)
 
 

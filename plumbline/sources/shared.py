@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder; a folder of our own only where none is set."""
+    """The cluster's folder. A local session without one gets a folder of its own; a cluster without
+    one is refused, as no folder of one machine serves it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "plumbline-checkpoints")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
