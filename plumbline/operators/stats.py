@@ -20,6 +20,13 @@ def tallies(rows: DataFrame, by: tuple = (), score: str = "score", label: str =
     return usable.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
+def dropped(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """no_score, no_label, used: rows that tallies leaves out, and why (a missing score counts first), and the others."""
+    bad = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    lost = ~bad & F.col(label).isNull()
+    return rows.agg(F.count_if(bad).alias("no_score"), F.count_if(lost).alias("no_label"), F.count_if(~bad & ~lost).alias("used"))
+
+
 def _totals(tally: DataFrame, by: tuple) -> DataFrame:
     return tally.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 

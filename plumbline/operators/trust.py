@@ -128,3 +128,23 @@ def gates(top_similarity: Column, best_support: Column, gate: float = 0.30, thre
 
 def trustworthy(abstained: Column, t_geom: Column) -> Column:
     return ~abstained & (t_geom >= 0.5)
+
+
+def cited_by(citations: DataFrame, qid: str = "qid") -> DataFrame:
+    """qid, cited_rank, claims: the claims, in order, that cite each passage, by its rank."""
+    return citations.groupBy(qid, "cited_rank").agg(F.array_sort(F.collect_set("claim_idx")).alias("claims"))
+
+
+def real_answers(answered: DataFrame) -> DataFrame:
+    """Rows that were answered, with text."""
+    return answered.filter(~F.col("abstained") & (T.strip(F.coalesce("answer", F.lit(""))) != ""))
+
+
+def attribution_inputs(rows: DataFrame, answer: str = "answer", reference: str = "reference") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """claims, hits and citations of rows (qid, answer, reference): the answer as one claim, which
+    cites its one passage. Every row must have both texts, or it corresponds to nothing: an error."""
+    both = F.col(answer).isNotNull() & F.col(reference).isNotNull()
+    sure = lambda c: F.when(both, F.col(c)).otherwise(F.raise_error(F.concat(F.lit("no answer or reference: "), F.col("qid").cast("string"))).cast("string"))
+    claims = rows.select("qid", F.lit(0).alias("claim_idx"), sure(answer).alias("claim"))
+    hits = rows.select("qid", F.lit(1).alias("rank"), sure(reference).alias("passage"))
+    return claims, hits, rows.select("qid", F.lit(0).alias("claim_idx"), F.lit(1).alias("cited_rank"))

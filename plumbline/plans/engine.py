@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
-from plumbline.operators import dense, fusion, trust
+from plumbline.operators import fusion, trust
 from plumbline.plans import agentic, answer
+from plumbline.plans.models import Models
 from plumbline.sources import corpus, store
 from plumbline.sources.shared import stored
-
-EMBEDDER = "hash-64"
-
+from plumbline.streaming import traces
 
 class Engine:
     """Passages and their vectors, with the questions that can be put to them.
 
-    Questions are tables (qid, question), or lists of strings; answers are tables.
+    Questions are tables (qid, question), or lists of strings; answers are tables. `models` are what
+    embeds, judges, scores and writes; an index is tied to the name of its embedder.
     """
 
-    def __init__(self, spark: SparkSession, config: Config | None = None):
-        self.spark, self.config = spark, config or Config()
+    def __init__(self, spark: SparkSession, config: Config | None = None, models: Models | None = None):
+        self.spark, self.config, self.models = spark, config or Config(), models or Models()
         self.passages: DataFrame | None = None
         self.vectors: DataFrame | None = None
 
+    def _embed(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+        return self.models.embedder.embed(rows, key, text)
+
     def _install(self, passages: DataFrame) -> Engine:
         passages = stored(passages, "passages")
         if passages.isEmpty():
             raise ValueError("nothing to index")
         self.passages = passages
-        self.vectors = stored(dense.hash_counts(passages, "passage_id", "text"), "vectors")
+        self.vectors = stored(self._embed(passages, "passage_id", "text"), "vectors")
         return self
 
     def index_dir(self, path: str, pattern: str = "*", sentences: DataFrame | None = None) -> Engine:
@@ -47,11 +52,11 @@ class Engine:
         return self._install(corpus.from_texts(texts, key, text))
 
     def save(self, path: str) -> None:
-        store.save_index(path, EMBEDDER, self.config.retrieval_mode, self._ready(), self.vectors if self.config.retrieval_mode != "sparse" else None)
+        store.save_index(path, self.models.embedder.name, self.config.retrieval_mode, self._ready(), self.vectors if self.config.retrieval_mode != "sparse" else None)
 
     def load(self, path: str) -> Engine:
-        _, self.passages, vectors = store.load_index(self.spark, path, EMBEDDER)
-        self.vectors = dense.hash_counts(self.passages, "passage_id", "text") if vectors is None else vectors
+        _, self.passages, vectors = store.load_index(self.spark, path, self.models.embedder.name)
+        self.vectors = self._embed(self.passages, "passage_id", "text") if vectors is None else vectors
         return self
 
     def _ready(self) -> DataFrame:
@@ -67,14 +72,14 @@ class Engine:
     def retrieve(self, questions: DataFrame | list[str], k: int | None = None, scorer=None) -> DataFrame:
         """qid, passage_id, score, rank, source, page, passage."""
         asked = self._asked(questions)
-        hits = answer.retrieve(self._ready(), self.vectors, asked, dense.hash_counts(asked, "qid", "question"), self.config, k, scorer)
+        hits = answer.retrieve(self._ready(), self.vectors, asked, self._embed(asked, "qid", "question"), self.config, k, scorer or self.models.scorer)
         return corpus.shown(hits, self.passages)
 
     def similarity(self, questions: DataFrame | list[str]) -> DataFrame:
         """qid, top_similarity: the gate's statistic, a cosine in every mode."""
         asked = self._asked(questions)
-        qvec = dense.hash_counts(asked, "qid", "question").withColumnRenamed("vec", "qvec")
-        hits = self.retrieve(asked).join(dense.hash_counts(self.passages.select("passage_id", F.col("source_text").alias("t")), "passage_id", "t"), "passage_id")
+        qvec = self._embed(asked, "qid", "question").withColumnRenamed("vec", "qvec")
+        hits = self.retrieve(asked).join(self._embed(self.passages.select("passage_id", F.col("source_text").alias("t")), "passage_id", "t"), "passage_id")
         return trust.relevance(asked.join(qvec, "qid", "left"), hits).select("qid", "top_similarity")
 
     def route(self, questions: DataFrame | list[str]) -> DataFrame:
@@ -84,10 +89,52 @@ class Engine:
 
     def answer(self, questions: DataFrame | list[str], answers: DataFrame | None = None) -> DataFrame:
         """Answers and their measures, one row a question; `answers` (qid, answer) are recorded ones."""
-        return answer.answer_all(self._ready(), self.vectors, self._asked(questions), self.config, answers)
+        return answer.answer_all(self._ready(), self.vectors, self._asked(questions), self.config, answers, self.models)
 
     def answer_iterative(self, questions: DataFrame | list[str], reformulate=agentic.alternate) -> tuple[DataFrame, DataFrame]:
-        return agentic.iterate(self._ready(), self.vectors, self._asked(questions), self.config, reformulate)
+        return agentic.iterate(self._ready(), self.vectors, self._asked(questions), self.config, reformulate, models=self.models)
+
+
+class Corpora:
+    """Uploaded corpora below a path, and the engines of those last asked for, at most `capacity`."""
+
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, models: Models | None = None, capacity: int = 4):
+        self.spark, self.path, self.config, self.models, self.capacity = spark, path, config, models or Models(), capacity
+        self._engines: OrderedDict[str, Engine] = OrderedDict()
+
+    def add(self, uploads: DataFrame, now: Column | None = None, **limits) -> DataFrame:
+        return store.add_corpus(self.path, uploads, self.models.embedder.name, F.current_timestamp() if now is None else now, **limits)
+
+    def list(self) -> DataFrame:
+        records = store._records(self.spark, self.path)
+        empty = "corpus_id string, filename string, bytes long, passages long, embed_model string, created_at timestamp"
+        return self.spark.createDataFrame([], empty) if records is None else store.list_corpora(records).drop("folder")
+
+    def get(self, corpus_id: str) -> DataFrame:
+        """The record; KeyError for an id that isn't listed."""
+        return store.get_corpus(self.spark, self.path, corpus_id)[0]
+
+    def delete(self, corpus_id: str) -> None:
+        self._engines.pop(corpus_id, None)
+        store.delete_corpus(self.spark, self.path, corpus_id)
+
+    def engine(self, corpus_id: str) -> Engine:
+        """The engine of a corpus; the one that wasn't asked for longest goes when there are too many."""
+        if corpus_id not in self._engines:
+            passages = store.get_corpus(self.spark, self.path, corpus_id)[1]
+            texts = passages.select("idx", "text")
+            self._engines[corpus_id] = Engine(self.spark, self.config, self.models).index_texts(texts, "idx")
+        self._engines.move_to_end(corpus_id)
+        while len(self._engines) > max(1, self.capacity):
+            self._engines.popitem(last=False)
+        return self._engines[corpus_id]
+
+    def sweep(self, now: Column, ttl_hours: float, cap: int) -> list[str]:
+        """Deletes what is too old or beyond the cap; returns the ids."""
+        gone = [r.corpus_id for r in traces.sweep(self.list(), now, ttl_hours, cap).filter("dropped").select("corpus_id").toLocalIterator()]
+        for corpus_id in gone:
+            self.delete(corpus_id)
+        return gone
 
 
 def summary(answered: DataFrame) -> DataFrame:

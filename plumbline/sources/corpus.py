@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import importlib.util
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,31 +18,39 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def pdf_pages(files: DataFrame) -> DataFrame:
-    """path, pages: text of each page of PDF files (path, content). Needs a PDF parser."""
+def has_pdf_parser() -> bool:
+    """Whether this machine has the optional package that reads PDF files."""
+    return importlib.util.find_spec("pdfplumber") is not None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
 
-        try:
-            import pdfplumber
-        except ImportError as e:
-            raise RuntimeError("reading PDF files needs the package pdfplumber") from e
+def pdf_pages(files: DataFrame, parse: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """path, pages: text of each page of PDF files (path, content), by `parse` or the package
+    pdfplumber."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = parse or _plumbed
         for batch in batches:
-            pages = []
-            for content in batch["content"]:
-                with pdfplumber.open(io.BytesIO(content)) as pdf:
-                    pages.append([p.extract_text() or "" for p in pdf.pages])
-            yield pd.DataFrame({"path": batch["path"], "pages": pages})
+            yield pd.DataFrame({"path": batch["path"], "pages": [read(bytes(c)) for c in batch["content"]]})
 
     return files.select("path", "content").mapInPandas(run, "path string, pages array<string>")
 
 
+def _plumbed(content: bytes) -> list[str]:
+    import io
+
+    try:
+        import pdfplumber
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs the package pdfplumber") from e
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        return [p.extract_text() or "" for p in pdf.pages]
+
+
 def pdf_text(files: DataFrame) -> DataFrame:
     return pdf_pages(files).select("path", F.array_join("pages", "\n").alias("text"))
 
 
-def read_corpus(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, parse: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """source (path below the folder, or the file's name), pages: one row a file.
 
     Other kinds of files in a folder are passed over; a path without any usable file is an error,
@@ -49,15 +58,16 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "*", recursive: b
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path)
     files = files.select("path", "content").withColumn("suffix", suffix(F.col("path")))
-    found = [r[0] for r in files.select("suffix").distinct().limit(100).collect()]
-    if found and not set(found) & set(SUFFIXES):
+    usable = files.filter(F.col("suffix").isin(*SUFFIXES))
+    found = [r[0] for r in usable.select("suffix").distinct().collect()]  # at most the three
+    if not found and files.select("path").limit(1).count():
         raise ValueError(f"unsupported file type; one of {', '.join(SUFFIXES)} is needed")
     if not found:
         raise FileNotFoundError(f"no file of a corpus at {path}")
     body = F.decode("content", "UTF-8")
     plain = files.filter(F.col("suffix").isin(".md", ".txt")).select("path", T.markdown_sections(body).alias("pages"))
     pdf = files.filter("suffix = '.pdf'")
-    out = plain.unionByName(pdf_pages(pdf)) if ".pdf" in found else plain
+    out = plain.unionByName(pdf_pages(pdf, parse)) if ".pdf" in found else plain
     root = path.rstrip("/").split("/")[-1]
     below = F.regexp_extract("path", rf"/\Q{root}\E/(.*)$", 1)
     name = F.when(below != "", below).otherwise(F.element_at(F.split("path", "/"), -1))
@@ -66,15 +76,12 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "*", recursive: b
 
 def passages(files: DataFrame, window: int = 8, stride: int = 4, min_chars: int = 30) -> DataFrame:
     """passage_id (from 0, by source, page and place), source, page, text, source_text."""
-    from pyspark.sql import Window
-
     from plumbline.operators.chunks import chunk_passages
+    from plumbline.operators.order import running
 
     found = chunk_passages(files, F.col("pages"), window, stride, min_chars, key="source")
     counts = found.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    # ids run over files, of which there are few next to passages
-    before = F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("source", before.alias("first"))
+    starts = running(counts, [F.col("source")], {"first": F.col("n")}).select("source", "first")
     out = found.join(starts, "source")
     return out.select((F.col("first") + F.col("idx")).alias("passage_id"), "source", "page", "text", F.col("text").alias("source_text"))
 
@@ -92,6 +99,16 @@ def contextualised(found: DataFrame, sentences: DataFrame) -> DataFrame:
     return out.withColumn("text", text).drop("s")
 
 
+def contextualise(found: DataFrame, make: Callable[[DataFrame], DataFrame], model: str, cache: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """passages with situating sentences by a model. make maps distinct passages that the cache
+    (key, value) lacks, as rows (key, text, source), to (key, value); `path` keeps what it makes."""
+    from plumbline.sources.store import with_cache
+
+    keyed = found.withColumn("key", T.cache_key(model, F.coalesce("text", F.lit(""))))
+    made = with_cache(keyed.select("passage_id", "key", "text", "source"), cache, "key", make, path)
+    return contextualised(found, made.select("passage_id", F.col("value").alias("sentence")))
+
+
 def shown(hits: DataFrame, found: DataFrame) -> DataFrame:
     """hits with the source text; after this nothing reads the indexed text."""
     texts = found.select("passage_id", "source", "page", F.coalesce("source_text", "text").alias("passage"))

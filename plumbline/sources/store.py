@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.sources.corpus import SUFFIXES, suffix
+from plumbline.sources.corpus import SUFFIXES, has_pdf_parser, pdf_pages, suffix
+from plumbline.sources.shared import stored
 
 
 def save_index(path: str, embedder: str, mode: str, passages: DataFrame, vectors: DataFrame | None) -> None:
@@ -32,7 +34,12 @@ def load_index(spark: SparkSession, path: str, embedder: str) -> tuple[str, Data
     return row.retrieval_mode, passages, spark.read.parquet(f"{path}/vectors") if row.has_vectors else None
 
 
-def reject_reason(name: Column, content: Column, most_bytes: int = 10 << 20) -> Column:
+def page_count(content: Column) -> Column:
+    """Pages that a PDF's plain objects declare; pages within compressed objects aren't seen."""
+    return F.regexp_count(F.decode(content, "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+
+
+def reject_reason(name: Column, content: Column, most_bytes: int = 10 << 20, most_pages: int = 100) -> Column:
     """Why an upload is refused, the cheapest checks first; null where it is accepted."""
     kind, size = suffix(name), F.octet_length(content)
     return (
@@ -40,38 +47,98 @@ def reject_reason(name: Column, content: Column, most_bytes: int = 10 << 20) ->
         .when(size == 0, "empty file")
         .when(size > most_bytes, F.concat(F.lit("larger than "), F.lit(str(most_bytes)), F.lit(" bytes")))
         .when((kind == ".pdf") & (F.substring(content, 1, 5) != F.lit(b"%PDF-")), "not a PDF")
+        .when((kind == ".pdf") & (page_count(content) > most_pages), F.lit(f"more than {most_pages} pages"))
         .when((kind != ".pdf") & ~F.is_valid_utf8(content.cast("string")), "not UTF-8 text")
     )
 
 
-def add_corpus(path: str, uploads: DataFrame, embedder: str, now: Column, most_bytes: int = 10 << 20) -> DataFrame:
-    """Indexes accepted uploads (filename, content) under new ids; returns what was decided on each.
+ID = "^[0-9a-f]{32}$"
+
+
+def add_corpus(
+    path: str, uploads: DataFrame, embedder: str, now: Column, most_bytes: int = 10 << 20, most_pages: int = 100, parse: Callable[[bytes], list[str]] | None = None
+) -> DataFrame:
+    """Indexes accepted uploads (filename, content) under ids of their own; returns what was decided
+    on each: filename, corpus_id, reason (null where it is listed).
 
-    Passages are written before the records that make a corpus visible, so a failure in between
-    leaves nothing that is listed.
+    An id is a digest of name and content, so the same upload again is the same corpus and adds
+    nothing. Passages are written before the records that make a corpus visible; if that fails,
+    what was written is removed, and nothing is listed. PDF files need `parse` or a parser package,
+    and are refused without.
     """
     from plumbline.operators.chunks import chunk_passages
 
     spark = uploads.sparkSession
-    ids = F.sha2(F.concat(F.encode("filename", "UTF-8"), F.lit(b"\0"), "content"), 256)
-    judged = uploads.withColumn("reason", reject_reason(F.col("filename"), F.col("content"), most_bytes)).withColumn("corpus_id", F.left(ids, F.lit(32)))
-    kept = judged.filter("reason is null and not endswith(lower(filename), '.pdf')")
-    pages = kept.select("corpus_id", T.markdown_sections(F.decode("content", "UTF-8")).alias("pages"))
-    found = chunk_passages(pages, F.col("pages"), key="corpus_id")
-    found.write.mode("append").partitionBy("corpus_id").parquet(f"{path}/passages")
+    ids = F.left(F.sha2(F.concat(F.encode("filename", "UTF-8"), F.lit(b"\0"), "content"), 256), F.lit(32))
+    judged = uploads.withColumn("reason", reject_reason(F.col("filename"), F.col("content"), most_bytes, most_pages)).withColumn("corpus_id", ids)
+    is_pdf = suffix(F.col("filename")) == ".pdf"
+    if parse is None and not has_pdf_parser():
+        judged = judged.withColumn("reason", F.coalesce("reason", F.when(is_pdf, "no PDF parser is installed")))
+    judged = stored(judged, "uploads")
+    kept = judged.filter("reason is null").dropDuplicates(["corpus_id"])
+    before = _records(spark, path)
+    if before is not None:
+        kept = kept.join(before.select("corpus_id"), "corpus_id", "left_anti")
+    texts = kept.filter(~is_pdf).select("corpus_id", T.markdown_sections(F.decode("content", "UTF-8")).alias("pages"))
+    pdfs = pdf_pages(kept.filter(is_pdf).select(F.col("corpus_id").alias("path"), "content"), parse).withColumnRenamed("path", "corpus_id")
+    found = stored(chunk_passages(texts.unionByName(pdfs), F.col("pages"), key="corpus_id"), "passages")
+    folder = F.concat(F.lit("c"), "corpus_id").alias("folder")  # a letter first, so that no id reads as a number
     counts = found.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("passages"))
     rows = kept.join(counts, "corpus_id").select(
-        "corpus_id", T.display_name(F.col("filename")).alias("filename"), F.octet_length("content").cast("long").alias("bytes"), "passages", F.lit(embedder).alias("embed_model"), now.alias("created_at")
+        "corpus_id", T.display_name(F.col("filename")).alias("filename"), F.octet_length("content").cast("long").alias("bytes"), "passages", F.lit(embedder).alias("embed_model"), now.alias("created_at"), folder
     )
-    rows.write.mode("append").parquet(f"{path}/corpora")
-    made = spark.read.parquet(f"{path}/corpora").select("corpus_id").distinct().withColumn("listed", F.lit(True))
-    out = judged.join(made, "corpus_id", "left")
+    rows = stored(rows, "records")
+    try:
+        found.select("*", folder).write.mode("append").partitionBy("folder").parquet(f"{path}/passages")
+        rows.write.mode("append").partitionBy("folder").parquet(f"{path}/corpora")
+    except Exception:
+        for r in rows.select("corpus_id").toLocalIterator():
+            _remove(spark, f"{path}/corpora/folder=c{r.corpus_id}")
+            _remove(spark, f"{path}/passages/folder=c{r.corpus_id}")
+        raise
+    listed = _records(spark, path)
+    names = spark.createDataFrame([], "corpus_id string") if listed is None else listed.select("corpus_id")
+    out = judged.join(names.distinct().withColumn("listed", F.lit(True)), "corpus_id", "left")
     return out.select("filename", "corpus_id", F.coalesce("reason", F.when(F.col("listed").isNull(), "no passages")).alias("reason"))
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records of corpora, if there are any."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{path}/corpora")
+    except AnalysisException:
+        return None
+
+
+def _remove(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def list_corpora(corpora: DataFrame) -> DataFrame:
-    """Records with a valid id, newest first."""
-    return corpora.filter(F.col("corpus_id").rlike("^[0-9a-f]{32}$")).orderBy(F.desc("created_at"), "corpus_id")
+    """Records with a valid id that stand in their own folder, newest first."""
+    own = F.col("folder") == F.concat(F.lit("c"), "corpus_id") if "folder" in corpora.columns else F.lit(True)
+    return corpora.filter(F.col("corpus_id").rlike(ID) & own).orderBy(F.desc("created_at"), "corpus_id")
+
+
+def get_corpus(spark: SparkSession, path: str, corpus_id: str) -> tuple[DataFrame, DataFrame]:
+    """The record and the passages of a corpus; KeyError for an id that isn't listed."""
+    records = _records(spark, path)
+    if not re.fullmatch(ID, corpus_id) or records is None:
+        raise KeyError(corpus_id)
+    record = list_corpora(records).filter(F.col("corpus_id") == corpus_id)
+    if record.isEmpty():
+        raise KeyError(corpus_id)
+    return record.drop("folder"), spark.read.parquet(f"{path}/passages").filter(F.col("folder") == f"c{corpus_id}").drop("folder")
+
+
+def delete_corpus(spark: SparkSession, path: str, corpus_id: str) -> None:
+    """Removes a corpus, the record first, so that it is listed no more whatever happens then."""
+    get_corpus(spark, path, corpus_id)
+    _remove(spark, f"{path}/corpora/folder=c{corpus_id}")
+    _remove(spark, f"{path}/passages/folder=c{corpus_id}")
 
 
 def with_cache(items: DataFrame, cache: DataFrame | None, key: str, score: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame:
@@ -93,3 +160,14 @@ def write_json(rows: DataFrame, path: str) -> None:
     """A result as JSON lines; NaN as null."""
     clean = [F.nanvl(F.col(f.name), F.lit(None)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in rows.schema.fields]
     rows.select(*clean).write.mode("overwrite").json(path)
+
+
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A small result as a Markdown table: numbers to four places, null as n/a. More than `most`
+    rows are no report, and an error."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for a report")
+    show = lambda v: "n/a" if v is None or v != v else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [rows.columns, ["---"] * len(rows.columns), *([show(v) for v in r] for r in found)]
+    return "".join("| " + " | ".join(x) + " |\n" for x in lines)

@@ -76,16 +76,27 @@ def two_level(events: DataFrame, key: str, at: str, order: str, client: tuple, e
     return both.select("key", "event_id", "at", verdict.alias("verdict"), F.coalesce(F.when(F.col("allowed"), F.col("later")), "retry_after").alias("retry_after"))
 
 
-def limit_stream(events: DataFrame, key: str, at: str, order: str, most: int, window: float) -> DataFrame:
-    """limit() for a streaming DataFrame: a client's live requests are its state."""
+def limit_stream(events: DataFrame, key: str, at: str, order: str, most: int, window: float, late: str = "1 hour") -> DataFrame:
+    """limit() for a streaming DataFrame: a client's live requests are its state.
+
+    Event time is when a request ceases to count. The state of a client goes once the watermark, which
+    follows the latest request by `late`, has passed that time of its last live request, as nothing
+    that may still come can meet it. Requests behind the watermark are left out. A trigger's requests of one client are ordered in one task.
+    """
     _check(window)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         live = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         out = [(k[0], e, t, *decide(live, t, most, window)) for e, t in zip(rows["event_id"], rows["at"], strict=True)]
         state.update((list(live),))
+        ends = ((live[-1] if live else float(rows["at"].iloc[-1])) + window) * 1000
+        state.setTimeoutTimestamp(max(int(ends), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "event_id", "at", "allowed", "retry_after"])
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("event_id"), F.col(at).cast("double").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(run, DECIDED, "live array<double>", "append", "NoTimeout")
+    rows = rows.withColumn("time", F.timestamp_micros(((F.col("at") + window) * 1_000_000).cast("long"))).withWatermark("time", late)
+    return rows.groupBy("key").applyInPandasWithState(run, DECIDED, "live array<double>", "append", "EventTimeTimeout")

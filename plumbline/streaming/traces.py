@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import question_hash
@@ -34,12 +34,26 @@ def statistics(traces: DataFrame, ms: str = "total_ms", trust: str = "trust_geom
 
 def sweep(corpora: DataFrame, now: Column, ttl_hours: float, cap: int, created: str = "created_at", key: str = "corpus_id") -> DataFrame:
     """corpora with `dropped`: older than the limit (where one is set and the date is known), then
-    the oldest beyond the cap."""
+    the oldest beyond the cap.
+
+    The cap-th newest of those that aren't too old is found by a top-n, and the others are compared
+    with it; no task orders them all.
+    """
     c = F.col(created)
     old = F.coalesce(c < now - F.make_interval(hours=F.lit(int(ttl_hours))), F.lit(False)) if ttl_hours > 0 else F.lit(False)
-    left = corpora.withColumn("_old", old)
-    place = F.row_number().over(Window.partitionBy("_old").orderBy(F.desc_nulls_last(created), F.desc(key)))
-    return left.withColumn("dropped", F.col("_old") | (place > cap)).drop("_old")
+    newest = corpora.filter(~old).select(c.alias("c"), F.col(key).alias("k")).orderBy(F.desc_nulls_last("c"), F.desc("k")).limit(max(cap, 0))
+    if cap <= 0:
+        return corpora.withColumn("dropped", F.lit(True))
+    if newest.count() < cap:
+        return corpora.withColumn("dropped", old)
+    least = newest.orderBy(F.asc_nulls_first("c"), F.asc("k")).first()
+    kinds = {f.name: f.dataType for f in corpora.schema.fields}
+    k, at = F.lit(least.k).cast(kinds[key]), F.lit(least.c).cast(kinds[created])
+    if least.c is None:
+        beyond = c.isNull() & (F.col(key) < k)
+    else:
+        beyond = c.isNull() | (c < at) | ((c == at) & (F.col(key) < k))
+    return corpora.withColumn("dropped", old | beyond)
 
 
 def windowed(traces: DataFrame, at: str, width: str, late: str | None = None, *keys: str) -> DataFrame:
