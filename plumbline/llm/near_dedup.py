@@ -319,9 +319,7 @@ def near_ties(classes: DataFrame, plan: Scheme) -> DataFrame:
     )
     met = stored(spark, met.filter("low < high").drop("high"), "met")
     hot = [(r.key,) for r in met.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()]
-    few = met.count() <= BROADCAST_NODES
-    ties = index.join(F.broadcast(met), "key") if few else salted_join(index, met, ["key"], "inner", hot=hot)
-    ties = stored(spark, ties.filter("node <> low"), "ties")
+    ties = stored(spark, salted_join(index, met, ["key"], "inner", hot=hot).filter("node <> low"), "ties")
     sigs = classes.select("node", "sig")
     pairs = ties.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
