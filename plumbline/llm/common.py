@@ -51,6 +51,13 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def taken(since: int) -> list[str]:
+    """What was stored after the mark, for the caller to remove: `discard` forgets it."""
+    paths = _made[since:]
+    del _made[since:]
+    return paths
+
+
 def made_so_far() -> int:
     """A mark for `discard`."""
     return len(_made)
@@ -59,10 +66,14 @@ def made_so_far() -> int:
 def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
     """Removes what was stored after the mark, but for the last `keep`: nothing may read it again."""
     stop = max(since, len(_made) - keep)
-    for path in _made[since:stop]:
+    remove(spark, _made[since:stop])
+    del _made[since:stop]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    del _made[since:stop]
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +125,7 @@ def free_prefix(columns: list[str]) -> str:
 
 #: A key of more rows may be hot; of these, the MOST_HOT largest are. Any other key then holds less
 #: than a MOST_HOT-th of all rows.
-HOT_ROWS, MOST_HOT = 10_000, 1000
+HOT_ROWS, MOST_HOT = 1000, 1000
 
 
 def hot_keys(left: DataFrame, keys: list[str]) -> list[tuple]:
