@@ -4,16 +4,27 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 documents without any letter (language ID), documents whose posterior of being good is under one
 half (quality), all but the smallest doc_id of each near-duplicate group, and what the mixture
 doesn't take; a document that the mixture takes twice occurs twice.
+
+A stage's result is written before the next stage begins, so each stage first removes what the one
+before it kept in the shared folder on its way.
+
+Cases, of all stages: a null doc_id is a document of its own, a null text an empty one (which the
+language stage drops), a null lang teaches nothing, a null source is a source of its own; equal rows
+are one document from the near-duplicate stage on, and so are rows of one doc_id, of which a
+defined one stays (the one of the least digest); long texts are read whole; an empty table
+gives an empty table; other columns, whatever their names, pass through up to the last stage.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import langid, mixing, near_dedup, quality, sentencepiece_codec
-from plumbline.llm.common import stored, table
+from plumbline.llm.common import made_so_far, remove, stored, table, taken
 
 #: Rows up to which the ids of dropped documents are broadcast.
 BROADCAST_DROPPED = 1_000_000
@@ -21,6 +32,24 @@ BROADCAST_DROPPED = 1_000_000
 NEAR = 80
 
 
+_before: list[str] = []
+
+
+def stage(step):
+    """A stage that removes what the stage before it stored on its way."""
+
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _before)
+        mark = made_so_far()
+        out = step(spark, docs, sf_dir)
+        _before[:] = taken(mark)
+        return out
+
+    return run_step
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told, as they hold no letter; without a labelled
     document there is no model, and the letter alone decides."""
@@ -30,31 +59,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).filter("lang_pred <> 'und'").select(docs.columns)
 
 
+@stage
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are more likely bad than good."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return quality.posterior(docs, labels, F.col("source"), F.col("lang")).filter("keep").select(docs.columns)
 
 
+@stage
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each near-duplicate group."""
     found = stored(spark, near_dedup.near_duplicates(docs, percent=NEAR), "near")
     dropped = found.filter("not kept").select("doc_id").distinct()
     few = dropped.count() <= BROADCAST_DROPPED
     left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if repeated.limit(1).count():  # rows of one doc_id are one document
-        rest = left.filter("doc_id is null")
-        left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest)
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    n = repeated.count()
+    if n:  # rows of one doc_id are one document
+        some = F.broadcast(repeated) if n <= BROADCAST_DROPPED else repeated
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = left.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(row)).alias("row"))
+        left = left.join(some, "doc_id", "left_anti").select(docs.columns).unionByName(one.select("row.*"))
     return left.select(docs.columns)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mixture of sources does."""
     mixed = mixing.mix_sources(docs, F.col("source")).filter("copies > 0")
     return mixed.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and the digests of ids and of their decoded text."""
     model = sentencepiece_codec.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
@@ -76,9 +112,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages in turn; each reads what its predecessor wrote."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    docs, kept = table(spark, sf_dir, "documents"), []
+    for i, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
+            mark = made_so_far()
             docs = stored(spark, docs, f"stage-{i}")
+            kept.append(taken(mark))
+            remove(spark, [p for paths in kept[:-1] for p in paths])
+            del kept[:-1]
     return docs
