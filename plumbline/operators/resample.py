@@ -108,6 +108,28 @@ def bootstrap_ratio(rows: DataFrame, a: str, b: str, n: int = 10_000, seed: int
     return interval(replicates(rows.sparkSession, n, seed, lambda rng: ratio(drawn(rng, n_of))), ratio(n_of), alpha)
 
 
+def bootstrap_sum_of_means(one: DataFrame, other: DataFrame, value: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """Interval of the sum of the means of two sets of rows that share none, resampled apart."""
+    (x, n_x), (y, n_y) = items(one, value), items(other, value)
+    if not len(x) or not len(y):
+        nan = float("nan")
+        return one.sparkSession.createDataFrame([(nan, nan, nan)], "point double, ci_lo double, ci_hi double")
+    mean = lambda v, times: float((v * times).sum() / times.sum())
+    return interval(replicates(one.sparkSession, n, seed, lambda rng: mean(x, drawn(rng, n_x)) + mean(y, drawn(rng, n_y))), mean(x, n_x) + mean(y, n_y), alpha)
+
+
+def bootstrap_ratio_difference(rows: DataFrame, part: str, a: str, b: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """Interval of sum(part * a) / sum(a) - sum(part * b) / sum(b), rows resampled together;
+    replicates in which a or b sums to 0 drop out."""
+    p, x, y, n_of = items(rows, part, a, b)
+
+    def difference(times: np.ndarray) -> float:
+        below_x, below_y = (x * times).sum(), (y * times).sum()
+        return float((p * x * times).sum() / below_x - (p * y * times).sum() / below_y) if below_x and below_y else float("nan")
+
+    return interval(replicates(rows.sparkSession, n, seed, lambda rng: difference(drawn(rng, n_of) if len(p) else n_of)), difference(n_of), alpha)
+
+
 def swapped(rows: DataFrame, x: np.ndarray, y: np.ndarray, n_of: np.ndarray, difference: Callable, n: int, seed: int) -> DataFrame:
     """difference, p of a test that swaps x and y of each row by a coin: of a distinct row that
     occurs often, as many are swapped as its coins say."""

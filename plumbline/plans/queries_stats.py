@@ -254,35 +254,6 @@ def label_permutation(spark, sf_dir):
     return resample.label_permutation_test(scored(spark, sf_dir), "score", "label", "toxic")
 
 
-@query("""with r as (select case doc_id % 3 when 0 then 'single' when 1 then 'iterative' else 'routed' end as arm, quality = 1 as answerable, toxic = 1 or n_chars < 1500 as abstained, n_chars / 20000.0 as trust, doc_id % 4 as calls from documents join labels using (doc_id))
-select arm, count(*) as n, round(avg(case when answerable then case when abstained then 0.0 else 1 end end), 6) as answered_rate, round(avg(case when not answerable then case when abstained then 1.0 else 0 end end), 6) as abstention_rate,
-  round(avg(case when abstained then case when answerable then 0.0 else 1 end end), 6) as abstention_precision, round(avg(case when not abstained then trust end), 6) as mean_trust, round(avg(calls), 6) as mean_calls,
-  round(avg(case when answerable then case when abstained then 0.0 else 1 end end) + avg(case when not answerable then case when abstained then 1.0 else 0 end end) - 1, 6) as youden_j from r group by arm""")
-def arm_comparison(spark, sf_dir):
-    from plumbline.plans.engine import arm_metrics
-
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    arm = F.when(F.col("doc_id") % 3 == 0, "single").when(F.col("doc_id") % 3 == 1, "iterative").otherwise("routed")
-    rows = d.select(
-        arm.alias("arm"), (F.col("quality") == 1).alias("answerable"), ((F.col("toxic") == 1) | (F.col("n_chars") < 1500)).alias("abstained"), (F.col("n_chars") / 20000.0).alias("trust"), (F.col("doc_id") % 4).alias("calls")
-    )
-    return arm_metrics(rows).select("arm", "n", *r6("answered_rate", "abstention_rate", "abstention_precision", "mean_trust", "mean_calls", "youden_j"))
-
-
-@query("""with r as (select case doc_id % 3 when 0 then 'in_corpus' when 1 then 'out_of_corpus' else 'adversarial' end as class, case when doc_id % 3 = 0 then 'answer' else 'abstain' end as expect, n_chars < 1500 as abstained, n_chars / 20000.0 as trust from documents),
-p as (select class, expect, trust, case when expect = 'answer' then not abstained else abstained end as ok from r)
-select class || '_pass_rate' as metric, round(avg(case when ok then 1.0 else 0 end), 6) as value from p group by class union all
-select 'overall_pass_rate', round(avg(case when ok then 1.0 else 0 end), 6) from p union all select 'mean_geometric_trust', round(avg(trust), 6) from p where expect = 'answer'""")
-def golden_pass_rates(spark, sf_dir):
-    from plumbline.plans.engine import pass_rates
-
-    kind = F.col("doc_id") % 3
-    rows = table(spark, sf_dir, "documents").select(
-        F.when(kind == 0, "in_corpus").when(kind == 1, "out_of_corpus").otherwise("adversarial").alias("class"), F.when(kind == 0, "answer").otherwise("abstain").alias("expect"), (F.col("n_chars") < 1500).alias("abstained"), (F.col("n_chars") / 20000.0).alias("trust_geometric")
-    )
-    return pass_rates(rows).select("metric", *r6("value"))
-
-
 @query("select source, question_class, count(*) as n from (select source, lang as question_class from documents) group by all")
 def class_tallies(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source", F.col("lang").alias("question_class")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.functions import ids
-from plumbline.operators import dense, perturb, resample, trust
-from plumbline.plans import agentic, answer
+from plumbline.operators import dense, judge, perturb, resample, trust
+from plumbline.plans import ablation, agentic, answer, sql_rounds
 from plumbline.plans import sql as S
+from plumbline.plans.engine import arm_metrics, pass_rates
 from plumbline.plans.queries_text import PASSAGES, passages_of, table
 from plumbline.sources.shared import stored
 
@@ -337,17 +338,82 @@ def perturbations(spark, sf_dir):
     return perturb.apply_all(rows)
 
 
+DECLINED = answer.DECLINED
+ROUNDS = sql_rounds.iterated(f"{PASSAGES}, {S.TALK}", "select qid, question from talk", declined=DECLINED)
+
+
 def _rounds(spark, sf_dir):
     p = passages_of(spark, sf_dir).select("passage_id", "text")
     v, t = dense.hash_counts(p, "passage_id", "text"), talk(spark, sf_dir)
     return agentic.iterate(p, v, t.select("qid", "question"), CONFIG)
 
 
-@query()
+@query(f"with {ROUNDS} select qid, round, query, round(top_similarity, 6) as top_similarity, n_passages, round(trust, 6) as trust, abstained, stop_reason, calls from rounds")
 def agentic_rounds(spark, sf_dir):
-    return _rounds(spark, sf_dir)[0]
+    return _rounds(spark, sf_dir)[0].withColumn("top_similarity", F.round("top_similarity", 6)).withColumn("trust", F.round("trust", 6))
 
 
-@query()
+@query(f"with {ROUNDS} select qid, best_round, round(best_trust, 6) as best_trust, abstained, answer, cast(calls as bigint) as calls from results")
 def agentic_results(spark, sf_dir):
-    return _rounds(spark, sf_dir)[1]
+    return _rounds(spark, sf_dir)[1].select("qid", "best_round", F.round("best_trust", 6).alias("best_trust"), "abstained", "answer", "calls")
+
+
+#: Benchmark items as questions: those that a document holds can be answered, the others can't.
+ASKED = "select item_id as qid, text as question from benchmark"
+RECORDS = f"""{sql_rounds.iterated(PASSAGES, ASKED, declined=DECLINED)}, answerables as (select distinct item_id as qid from benchmark b join documents d on contains(d.text, b.text)),
+arms as (select 'single' as arm, qid, abstained, trust, case when top_similarity >= 0.75 then 1 else 0 end as calls from row1 union all select 'iterative', qid, abstained, best_trust, calls from results
+  union all select 'routed', r.qid, case when top_similarity < 0.75 then true when top_similarity >= 0.9 then r.abstained else x.abstained end, case when top_similarity < 0.75 then 0 when top_similarity >= 0.9 then r.trust else best_trust end,
+    case when top_similarity < 0.75 then 0 when top_similarity >= 0.9 then 1 else x.calls end from row1 r join results x on x.qid = r.qid),
+records as (select arm, qid, qid in (select qid from answerables) as answerable, abstained, trust, calls from arms)"""
+
+
+def arms(spark, sf_dir):
+    p = stored(passages_of(spark, sf_dir).select("passage_id", "text"), "passages")
+    v = stored(dense.hash_counts(p, "passage_id", "text"), "vectors")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    held = judge.containing(table(spark, sf_dir, "documents"), items, qtext="question").select("qid").distinct().withColumn("held", F.lit(True))
+    asked = stored(items.join(held, "qid", "left").select("qid", "question", F.coalesce("held", F.lit(False)).alias("answerable")), "asked")
+    return stored(ablation.records(p, v, asked, CONFIG), "arms")
+
+
+@query(f"with {RECORDS} select arm, qid, answerable, abstained, round(trust, 6) as trust, cast(calls as bigint) as calls from records")
+def arm_records(spark, sf_dir):
+    """Every benchmark item by each of the three arms."""
+    return arms(spark, sf_dir).withColumn("trust", F.round("trust", 6))
+
+
+@query(f"""with {RECORDS} select arm, count(*) as n, round(avg(case when answerable then case when abstained then 0.0 else 1 end end), 6) as answered_rate, round(avg(case when not answerable then case when abstained then 1.0 else 0 end end), 6) as abstention_rate,
+  round(avg(case when abstained then case when answerable then 0.0 else 1 end end), 6) as abstention_precision, round(avg(case when not abstained then trust end), 6) as mean_trust, round(avg(calls), 6) as mean_calls,
+  round(avg(case when answerable then case when abstained then 0.0 else 1 end end) + avg(case when not answerable then case when abstained then 1.0 else 0 end end) - 1, 6) as youden_j from records group by arm""")
+def arm_comparison(spark, sf_dir):
+    names = ("answered_rate", "abstention_rate", "abstention_precision", "mean_trust", "mean_calls", "youden_j")
+    return arm_metrics(arms(spark, sf_dir)).select("arm", "n", *(F.round(c, 6).alias(c) for c in names))
+
+
+@query(f"""with {RECORDS}, p as (select case when answerable then 'in_corpus' else 'out_of_corpus' end as class, answerable, trust, case when answerable then not abstained else abstained end as ok from records where arm = 'single')
+select class || '_pass_rate' as metric, round(avg(case when ok then 1.0 else 0 end), 6) as value from p group by class union all
+select 'overall_pass_rate', round(avg(case when ok then 1.0 else 0 end), 6) from p union all select 'mean_geometric_trust', round(avg(trust), 6) from p where answerable""")
+def golden_pass_rates(spark, sf_dir):
+    one = arms(spark, sf_dir).filter("arm = 'single'")
+    yes = F.col("answerable")
+    cases = one.select(F.when(yes, "in_corpus").otherwise("out_of_corpus").alias("class"), F.when(yes, "answer").otherwise("abstain").alias("expect"), "abstained", F.col("trust").alias("trust_geometric"))
+    return pass_rates(cases).select("metric", F.round("value", 6).alias("value"))
+
+
+@query(f"""with {RECORDS}, paired as (select a.answerable, a.abstained as xa, b.abstained as xb, a.calls as ca, b.calls as cb from records a join records b on a.qid = b.qid where a.arm = 'iterative' and b.arm = 'single'),
+points as (select avg(case when answerable then (case when xb then 1.0 else 0 end) - (case when xa then 1.0 else 0 end) end) as a, avg(case when not answerable then (case when xa then 1.0 else 0 end) - (case when xb then 1.0 else 0 end) end) as d,
+  avg(case when xa then case when answerable then 0.0 else 1 end end) - avg(case when xb then case when answerable then 0.0 else 1 end end) as p, avg(ca - cb) as c from paired)
+select unnest(['answered_rate', 'abstention_rate', 'youden_j', 'abstention_precision', 'mean_calls']) as statistic, round(unnest([a, d, a + d, p, c]), 6) as point from points""")
+def arm_differences(spark, sf_dir):
+    """Of answering in rounds against once, the points alone; arm_intervals has their intervals."""
+    return _differences(spark, sf_dir).select("statistic", F.round("point", 6).alias("point"))
+
+
+def _differences(spark, sf_dir):
+    return ablation.differences(arms(spark, sf_dir), "iterative")
+
+
+@query()
+def arm_intervals(spark, sf_dir):
+    """arm_differences with bootstrap intervals of 10,000 replicates, which have no SQL."""
+    return _differences(spark, sf_dir)
