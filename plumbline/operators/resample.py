@@ -160,9 +160,13 @@ def label_permutation_test(rows: DataFrame, score: str, label_a: str, label_b: s
 
 
 def dirichlet_weights(spark: SparkSession, names: tuple, n: int = 10_000, seed: int = 0) -> DataFrame:
-    """sample, and a weight for each name: even draws from the simplex."""
-    drawn = np.random.default_rng(seed).dirichlet(np.ones(len(names)), n)
-    return spark.createDataFrame(pd.DataFrame(drawn, columns=list(names)).rename_axis("sample").reset_index())
+    """sample, and a weight for each name: even draws from the simplex, as exponential numbers that are
+    made to sum to 1. The numbers come from the MD5 of seed, sample and name."""
+    salt = lambda c: F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), F.lit(c))
+    first = lambda c: F.conv(F.substring(F.md5(salt(c).cast("binary")), 1, 8), 16, 10).cast("long")
+    drawn = spark.range(n).select(F.col("id").alias("sample"), *((-F.ln((first(c) + 0.5) / 4294967296.0)).alias(c) for c in names))
+    total = sum((F.col(c) for c in names), F.lit(0.0))
+    return drawn.select("sample", *((F.col(c) / total).alias(c) for c in names))
 
 
 def weight_sensitivity(rows: DataFrame, weights: DataFrame, names: tuple, key: str = "qid") -> DataFrame:

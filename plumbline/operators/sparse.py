@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.sources.shared import stored
 
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 200_000
+#: Postings of a term that one task joins, and tasks that a term is dealt to at most.
+HOT_POSTINGS, MOST_PARTS = 100_000, 64
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -55,15 +58,24 @@ def search(
     wanted = queries.select(qid, F.explode(T.tokens(F.col(qtext))).alias("term")).groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # bounds all three tables below
     mark = F.broadcast if few else lambda df: df
-    terms = mark(wanted.select("term").distinct())
+    terms = mark(wanted.select("term").distinct().withColumn("asked", F.lit(True)))
     found = passages.select(key, T.tokens(F.col(text)).alias("terms"))
-    each = found.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(terms, "term", "left_semi")
-    posted = each.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    totals = stats(passages, text)
+    # each text is cut into terms once; a row without term stands for it where texts are counted
+    none = F.array(F.lit(None).cast("string"))
+    each = found.select(key, F.size("terms").alias("dl"), F.explode(F.concat(none, "terms")).alias("term")).join(terms, "term", "left").filter("asked or term is null")
+    all_ = stored(each.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    texts, posted = all_.filter("term is null"), all_.filter("term is not null")
+    totals = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     weights = term_weights(posted, totals).join(F.broadcast(totals))
-    query_terms = wanted.join(mark(weights), "term").withColumn("w", F.col("qtf") * F.col("idf") * (k1 + 1))
+    query_terms = wanted.join(mark(weights), "term").withColumn("w", F.col("qtf") * F.col("idf") * (k1 + 1)).select(qid, "term", "w", "avgdl", "df")
     tf = F.col("tf")
-    scored = posted.join(mark(query_terms.select(qid, "term", "w", "avgdl")), "term")
+    if few:
+        scored = posted.join(F.broadcast(query_terms.drop("df")), "term")
+    else:  # postings of a frequent term are dealt to several tasks, against copies of the queries that ask for it
+        parts = F.least(F.ceil(F.col("df") / HOT_POSTINGS), F.lit(MOST_PARTS)).cast("long")
+        dealt = posted.join(weights.select("term", parts.alias("parts")), "term").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")))
+        copies = query_terms.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("df")
+        scored = dealt.drop("parts").join(copies, ["term", "part"])
     part = F.col("w") * tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = scored.groupBy(qid, key).agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
     return top(scores, k, qid, F.desc("score"), F.asc(key)).select(qid, key, "score", "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ids
 from plumbline.functions import text as T
-from plumbline.operators import dense, fusion, irmetrics, judge, reshape, sparse
+from plumbline.operators import dense, fusion, irmetrics, judge, sparse
 from plumbline.plans import sql as S
 from plumbline.plans.answer import lexical_pair_score
 from plumbline.plans.queries_text import PASSAGES, passages_of, table
@@ -248,16 +248,3 @@ def pair_assembly(spark, sf_dir):
     hard = irmetrics.hard_negatives(sparse_hits(spark, sf_dir, 20), rel, 5)
     tag = lambda df, tier, gain: df.select("qid", "doc_id", F.lit(tier).alias("tier"), F.lit(gain).alias("gain"))
     return tag(rel, "positive", 1).unionByName(tag(easy, "random", 0)).unionByName(tag(hard, "hard", 0))
-
-
-@query("""with c as (select 'dense' as metric, cast(0.5 as double) as value union all select 'mean_geometric_trust', 0.30 union all select 'overall_pass_rate', 0.9),
-b as (select 'mean_geometric_trust' as metric, cast(0.349 as double) as value union all select 'overall_pass_rate', 1.0 union all select 'other', 1.0),
-n as (select count(*) * 0 as z from benchmark)
-select metric, b.value + z as baseline, c.value + z as current, round(c.value - b.value, 6) as delta,
-  case when c.value is null or b.value is null then '--' when metric = 'mean_geometric_trust' then (case when c.value - b.value >= -0.05 then 'PASS' else 'FAIL' end)
-  when metric = 'overall_pass_rate' then (case when c.value >= b.value then 'PASS' else 'FAIL' end) else '--' end as verdict
-from c full outer join b using (metric), n""")
-def baseline_compare(spark, sf_dir):
-    now = spark.createDataFrame([("dense", 0.5), ("mean_geometric_trust", 0.30), ("overall_pass_rate", 0.9)], "metric string, value double")
-    then = spark.createDataFrame([("mean_geometric_trust", 0.349), ("overall_pass_rate", 1.0), ("other", 1.0)], "metric string, value double")
-    return reshape.compare(now, then).withColumn("delta", F.round("delta", 6))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.functions import ids
-from plumbline.operators import dense, judge, perturb, resample, trust
+from plumbline.operators import dense, judge, perturb, resample, reshape, trust
 from plumbline.plans import ablation, agentic, answer, sql_rounds
 from plumbline.plans import sql as S
 from plumbline.plans.engine import arm_metrics, pass_rates
@@ -208,14 +207,11 @@ def metric_summary_mean_median(spark, sf_dir):
     return long.groupBy("metric").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"))
 
 
-def _weights(n: int = 20):
-    return np.round(np.random.default_rng(0).dirichlet(np.ones(4), n), 6)
-
-
-_VALUES = ", ".join(f"({i}, {', '.join(f'cast({x!r} as double)' for x in map(float, row))})" for i, row in enumerate(_weights()))
-_ROWS = "r as (select doc_id as qid, least(1, n_chars / 4000.0) as a, (doc_id % 7) / 7.0 as b, (doc_id % 11 + 1) / 12.0 as c, (doc_id % 13 + 1) / 14.0 as d from documents join labels using (doc_id))"
-_SAMPLED = f"""w(sample, wa, wb, wc, wd) as (values {_VALUES}), {_ROWS},
-s as (select qid, sample, wa * a + wb * b + wc * c + wd * d as ta, case when least(a, b, c, d) <= 0 then 0 else exp(wa * ln(nullif(a, 0)) + wb * ln(nullif(b, 0)) + wc * ln(nullif(c, 0)) + wd * ln(nullif(d, 0))) end as tg from r, w)"""
+_ROWS = "rated as (select doc_id as qid, least(1, n_chars / 4000.0) as a, (doc_id % 7) / 7.0 as b, (doc_id % 11 + 1) / 12.0 as c, (doc_id % 13 + 1) / 14.0 as d from documents join labels using (doc_id))"
+_EXP = ", ".join(f"-ln((cast('0x' || left(md5('0|' || i || '|{n}'), 8) as bigint) + 0.5) / 4294967296.0) as e{x}" for x, n in zip("abcd", NAMES, strict=True))
+_SAMPLED = f"""drawn as (select i as sample, {_EXP} from range(10000) t(i)),
+w as (select sample, ea / (ea + eb + ec + ed) as wa, eb / (ea + eb + ec + ed) as wb, ec / (ea + eb + ec + ed) as wc, ed / (ea + eb + ec + ed) as wd from drawn), {_ROWS},
+s as (select qid, sample, wa * a + wb * b + wc * c + wd * d as ta, case when least(a, b, c, d) <= 0 then 0 else exp(wa * ln(nullif(a, 0)) + wb * ln(nullif(b, 0)) + wc * ln(nullif(c, 0)) + wd * ln(nullif(d, 0))) end as tg from rated, w)"""
 
 
 def rated(spark, sf_dir):
@@ -225,43 +221,31 @@ def rated(spark, sf_dir):
     return d.select(F.col("doc_id").alias("qid"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias(NAMES[0]), share(7, 0, 7).alias(NAMES[1]), share(11, 1, 12).alias(NAMES[2]), share(13, 1, 14).alias(NAMES[3]))
 
 
-def sampled(spark, sf_dir):
-    rows = rated(spark, sf_dir)
-    weights = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(_weights())], "sample int, " + ", ".join(f"{n} double" for n in NAMES))
-    return resample.weight_sensitivity(rows, weights, NAMES)
-
-
-@query(f"with {_SAMPLED} select sample, round(avg(ta), 6) as mean_arith, round(stddev_samp(ta), 6) as std_arith, round(avg(tg), 6) as mean_geom, round(avg(case when ta >= 0.5 and tg = 0 then 1.0 else 0 end), 6) as masked from s group by sample")
+@query(f"""with {_SAMPLED} select sample, round(avg(ta), 6) as mean_arith, round(stddev_samp(ta), 6) as std_arith, round(min(ta), 6) as least_arith, round(max(ta), 6) as most_arith, round(avg(tg), 6) as mean_geom,
+  round(avg(case when ta >= 0.5 and tg = 0 then 1.0 else 0 end), 6) as masked from s group by sample""")
 def weight_sensitivity(spark, sf_dir):
-    return _sensitivity(sampled(spark, sf_dir))
-
-
-@query()
-def weight_sensitivity_all(spark, sf_dir):
-    """weight_sensitivity under the operator's 10,000 draws."""
-    return _sensitivity(resample.weight_sensitivity(rated(spark, sf_dir), resample.dirichlet_weights(spark, NAMES), NAMES))
-
-
-def _sensitivity(s):
+    """All labelled documents under 10,000 weightings."""
+    s = resample.weight_sensitivity(rated(spark, sf_dir), resample.dirichlet_weights(spark, NAMES), NAMES)
     masked = ((F.col("t_arith") >= 0.5) & (F.col("t_geom") == 0)).cast("double")
-    return s.groupBy("sample").agg(F.round(F.avg("t_arith"), 6).alias("mean_arith"), F.round(F.stddev_samp("t_arith"), 6).alias("std_arith"), F.round(F.avg("t_geom"), 6).alias("mean_geom"), F.round(F.avg(masked), 6).alias("masked"))
+    out = s.groupBy("sample").agg(
+        F.avg("t_arith").alias("mean_arith"), F.stddev_samp("t_arith").alias("std_arith"), F.min("t_arith").alias("least_arith"), F.max("t_arith").alias("most_arith"), F.avg("t_geom").alias("mean_geom"), F.avg(masked).alias("masked")
+    )
+    return out.select("sample", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
-@query(f"""with {_SAMPLED}, g as (select qid % 40 as qid, sample, round(avg(ta), 9) as ta, round(avg(tg), 9) as tg from s group by all)
-select round(avg(case when (a.ta - b.ta) * (a.tg - b.tg) < 0 then 1.0 else 0 end), 6) as rate, count(*) as pairs from g a join g b on a.sample = b.sample and a.qid < b.qid""")
+@query(f"""with {_SAMPLED}, x as (select sample, qid, round(ta, 12) as ta, round(tg, 12) as tg from s),
+pairs as (select (a.ta - b.ta) * (a.tg - b.tg) < 0 as differ from x a join x b on a.sample = b.sample and a.qid < b.qid)
+select round(avg(case when differ then 1.0 else 0 end), 6) as rate, count(*) as pairs from pairs""")
 def ranking_disagreement(spark, sf_dir):
-    groups = sampled(spark, sf_dir).groupBy((F.col("qid") % 40).alias("qid"), "sample").agg(F.round(F.avg("t_arith"), 9).alias("t_arith"), F.round(F.avg("t_geom"), 9).alias("t_geom"))
-    return resample.disagreement(groups).select(F.round("rate", 6).alias("rate"), "pairs")
-
-
-@query()
-def ranking_disagreement_all(spark, sf_dir):
-    """All pairs of documents under the operator's 10,000 draws; ranking_disagreement, as its SQL,
-    has 40 averages of documents and 20 draws."""
+    """All pairs of labelled documents under 10,000 weightings."""
     found = resample.weight_disagreement(rated(spark, sf_dir), resample.dirichlet_weights(spark, NAMES), NAMES)
     return found.select(F.round("rate", 6).alias("rate"), "pairs")
 
 
+#: Names under which the queries over all draws stood beside smaller ones.
+ranking_disagreement_all, weight_sensitivity_all = ranking_disagreement, weight_sensitivity
+
+
 def _paraphrased() -> str:
     """CTEs that end in told(key, answer, text): each rule replaces its first match, with its capital."""
     steps, last = [], "answers_"
@@ -400,6 +384,24 @@ def golden_pass_rates(spark, sf_dir):
     return pass_rates(cases).select("metric", F.round("value", 6).alias("value"))
 
 
+def _rates(arm: str) -> str:
+    return f"""select case when answerable then 'in_corpus' else 'out_of_corpus' end || '_pass_rate' as metric, avg(case when abstained <> answerable then 1.0 else 0 end) as value from records where arm = '{arm}' group by 1
+  union all select 'overall_pass_rate', avg(case when abstained <> answerable then 1.0 else 0 end) from records where arm = '{arm}' union all select 'mean_geometric_trust', avg(trust) from records where arm = '{arm}' and answerable"""
+
+
+@query(f"""with {RECORDS}, c as ({_rates('single')}), b as ({_rates('iterative')})
+select metric, round(b.value, 6) as baseline, round(c.value, 6) as current, round(c.value - b.value, 6) as delta,
+  case when c.value is null or b.value is null then '--' when metric = 'mean_geometric_trust' then (case when c.value - b.value >= -0.05 then 'PASS' else 'FAIL' end)
+  else (case when c.value >= b.value then 'PASS' else 'FAIL' end) end as verdict from c full outer join b using (metric)""")
+def baseline_compare(spark, sf_dir):
+    """Answering once against answering in rounds, as a change is held against a baseline."""
+    found = arms(spark, sf_dir)
+    yes = F.col("answerable")
+    cases = found.select("arm", F.when(yes, "in_corpus").otherwise("out_of_corpus").alias("class"), F.when(yes, "answer").otherwise("abstain").alias("expect"), "abstained", F.col("trust").alias("trust_geometric"))
+    now, then = (pass_rates(cases.filter(F.col("arm") == x)) for x in ("single", "iterative"))
+    return reshape.compare(now, then).select("metric", *(F.round(c, 6).alias(c) for c in ("baseline", "current", "delta")), "verdict")
+
+
 @query(f"""with {RECORDS}, paired as (select a.answerable, a.abstained as xa, b.abstained as xb, a.calls as ca, b.calls as cb from records a join records b on a.qid = b.qid where a.arm = 'iterative' and b.arm = 'single'),
 points as (select avg(case when answerable then (case when xb then 1.0 else 0 end) - (case when xa then 1.0 else 0 end) end) as a, avg(case when not answerable then (case when xa then 1.0 else 0 end) - (case when xb then 1.0 else 0 end) end) as d,
   avg(case when xa then case when answerable then 0.0 else 1 end end) - avg(case when xb then case when answerable then 0.0 else 1 end end) as p, avg(ca - cb) as c from paired)
