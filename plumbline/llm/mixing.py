@@ -27,7 +27,7 @@ from collections import defaultdict, deque
 from collections.abc import Sequence
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import free_prefix, salted_join, stored
@@ -204,18 +204,18 @@ def cuts(spark: SparkSession, drawn: DataFrame, rest: dict) -> dict:
         inside = attach(drawn, table, len(missing)).filter(
             F.col("low").isNotNull() & (F.col("draw") >= F.col("low")) & (F.col("draw") - F.col("low") < width)
         )
-        bins = inside.groupBy("pattern", F.floor((F.col("draw") - F.col("low")) / F.lit(inner)).cast("long").alias("bin"))
-        sums = bins.agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).filter("size > 0").orderBy("pattern", "bin").toLocalIterator()
+        bins = inside.groupBy("pattern", F.expr(f"(draw - low) div {inner}").alias("bin"))
+        sums = bins.agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first("missing").alias("missing")).filter("size > 0")
+        upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("bin")) - F.col("size")  # at most RANGES + 1 rows
+        cut = sums.withColumn("before", upto).filter("before <= missing and before + size > missing")
         done = {}
-        for p, b, size, n in sums:  # at most RANGES + 1 rows a pattern
-            if p in done:
-                continue
-            if size <= missing[p]:
-                missing[p] -= size
-            else:
-                low[p] += b * inner
-                done[p] = n
-        missing = {p: m for p, m in missing.items() if done.get(p, 1) > 1}
+        for r in cut.select("pattern", "bin", "before", "n").collect():  # one row a pattern
+            missing[r["pattern"]] -= r["before"]
+            low[r["pattern"]] += r["bin"] * inner
+            done[r["pattern"]] = r["n"]
+        for p in set(missing) - set(done):  # all of what is left goes in
+            low[p] += width
+        missing = {p: missing[p] for p, n in done.items() if n > 1}
         width = inner
     return low
 
