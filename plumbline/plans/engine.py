@@ -137,6 +137,11 @@ class Corpora:
         return gone
 
 
+def published(answered: DataFrame, digits: int = 4) -> DataFrame:
+    """Measured answers as a demonstration shows them: numbers rounded, undefined ones left null."""
+    return answered.select([F.round(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in answered.schema.fields])
+
+
 def summary(answered: DataFrame) -> DataFrame:
     """One row over a batch of answers: counts, and mean and median of each measure that is defined."""
     measures = [c for c in ("faithfulness", "attribution", "relevance", "conciseness", "t_arith", "t_geom") if c in answered.columns]

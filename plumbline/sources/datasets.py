@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,24 @@ def beir_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("_id string, text string").parquet(path).dropna().select(F.col("_id").alias("qid"), F.col("text").alias("qtext"))
 
 
+def negative_queries(queries: DataFrame, n: int, seed: int = 0, text: str = "qtext") -> DataFrame:
+    """n of the queries with text, by digest: those that another corpus answers."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(text)).cast("binary"))
+    return queries.filter(F.col(text).isNotNull()).orderBy(digest, text).limit(max(n, 0))
+
+
+def presets(recorded: DataFrame, category: str | None = None) -> DataFrame:
+    """question, category: what a reader is offered to ask; answers stay where they are."""
+    return recorded.select("question", (F.col(category) if category else F.lit(None).cast("string")).alias("category")).dropDuplicates(["question"])
+
+
+def subset(rows: DataFrame, column: str, values: tuple) -> DataFrame:
+    """Rows of some tiers, classes or labels; asking for none is an error."""
+    if not values:
+        raise ValueError(f"no value of {column} is asked for")
+    return rows.filter(F.col(column).isin(*values))
+
+
 def qrels(spark: SparkSession, path: str) -> DataFrame:
     """qid, doc_id, gain, for positive judgments."""
     rows = spark.read.schema(QRELS).option("header", True).option("sep", "\t").csv(path)
@@ -81,10 +101,11 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """An earlier result, if it exists."""
+    """An earlier result, if it exists; a warning where it doesn't."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.json(path)
     except AnalysisException:
+        warnings.warn(f"no earlier result at {path}", stacklevel=2)
         return None

@@ -141,18 +141,21 @@ def delete_corpus(spark: SparkSession, path: str, corpus_id: str) -> None:
     _remove(spark, f"{path}/passages/folder=c{corpus_id}")
 
 
-def with_cache(items: DataFrame, cache: DataFrame | None, key: str, score: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame:
+def with_cache(items: DataFrame, cache: DataFrame | None, key: str, score: Callable[[DataFrame], DataFrame], path: str | None = None, usable: Column | None = None) -> DataFrame:
     """Scores of items by key: cached ones are looked up, each other distinct one is scored once.
 
     score maps distinct missing items to (key, value); with a path, new scores are appended there.
+    `usable` tells which cached rows may be used (of the right model, of the right shape); what
+    others hold is scored anew. Of several scores of a key, one of the least value counts.
     """
-    wanted = items.dropDuplicates([key])
-    missing = wanted if cache is None else wanted.join(cache.select(key), key, "left_anti")
-    new = score(missing).select(key, "value")
+    held = cache if cache is None or usable is None else cache.filter(usable)
+    held = None if held is None else held.groupBy(key).agg(F.min("value").alias("value"))
+    wanted = items.select(*items.columns).dropDuplicates([key])
+    missing = wanted if held is None else wanted.join(held.select(key), key, "left_anti")
+    new = stored(score(missing).select(key, "value"), "scores")
     if path:
         new.write.mode("append").parquet(path)
-        return items.join(items.sparkSession.read.parquet(path).dropDuplicates([key]), key, "left")
-    known = new if cache is None else cache.select(key, "value").unionByName(new)
+    known = new if held is None else held.unionByName(new)
     return items.join(known, key, "left")
 
 

@@ -109,3 +109,31 @@ def test_engine_without_models_of_its_own(spark):
 
     engine = Engine(spark, Config(k=1), Models()).index_texts(["bread needs flour and water", "boats need wind to sail"])
     assert engine.retrieve(["what do boats need"]).first().passage.startswith("boats")
+
+
+def test_caches_by_use_and_small_readers(spark, tmp_path):
+    from plumbline.plans.engine import published
+    from plumbline.sources import datasets
+
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    cache = spark.createDataFrame([("a", 1.0, "m"), ("b", 2.0, "old"), ("a", 5.0, "m")], "k string, value double, model string")
+    seen = []
+
+    def score(missing):
+        seen.extend(r.k for r in missing.collect())
+        return missing.select("k", F.lit(9.0).alias("value"))
+
+    got = {r.k: r.value for r in store.with_cache(items, cache, "k", score, str(tmp_path / "s"), F.col("model") == "m").collect()}
+    assert got == {"a": 1.0, "b": 9.0, "c": 9.0} and sorted(seen) == ["b", "c"] and spark.read.parquet(str(tmp_path / "s")).count() == 2
+    queries = spark.createDataFrame([(i, f"q{i}" if i % 4 else None) for i in range(20)], "qid long, qtext string")
+    some = datasets.negative_queries(queries, 5)
+    assert some.count() == 5 and sorted(map(tuple, some.collect())) == sorted(map(tuple, datasets.negative_queries(queries.repartition(3), 5).collect()))
+    assert datasets.negative_queries(queries, 99).count() == 15
+    told = spark.createDataFrame([("q", "t", "x"), ("q", "u", "x")], "question string, text string, kind string")
+    assert [tuple(r) for r in datasets.presets(told, "kind").collect()] == [("q", "x")]
+    with pytest.raises(ValueError):
+        datasets.subset(told, "kind", ())
+    with pytest.warns(UserWarning, match="no earlier result"):
+        assert datasets.if_there(spark, str(tmp_path / "none")) is None
+    row = published(spark.createDataFrame([(0.123456, None, "s")], "a double, b double, c string")).first()
+    assert tuple(row) == (0.1235, None, "s")
