@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,11 @@ class CharMap:
         return (unit >> 10) << ((unit & 512) >> 6)
 
 
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    """An array of at least n places that starts as held does."""
+    return held if n <= len(held) else np.concatenate([held, np.zeros(max(n, 2 * len(held)) - len(held), held.dtype)])
+
+
 class Codec:
     """One model; made once in each worker."""
 
@@ -199,21 +205,22 @@ class Codec:
         return key if key.startswith(MARK) else MARK + key
 
     def _learn(self, keys: list) -> None:
-        surfaces = [self.surface(k) for k in keys]
+        surfaces = list(map(self.surface, keys))
         found = self.plain.encode(surfaces, num_threads=1)
-        for key, surface, ids in zip(keys, surfaces, found, strict=True):
-            sizes = self.lengths[ids]
-            if self.unknown in ids:
-                sizes = np.array([len(p.encode()) for p in self.plain.encode(surface, out_type=str)], np.int32)
-            n, at = len(ids), len(self.index)
-            if at >= len(self.starts):
-                self.starts, self.counts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.counts))
-            while self.used + n > len(self.ids):
-                self.ids, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.ids, self.sizes))
-            self.ids[self.used : self.used + n], self.sizes[self.used : self.used + n] = ids, sizes
-            self.starts[at], self.counts[at] = self.used, n
-            self.index[key] = at
-            self.used += n
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+        sizes, starts = self.lengths[ids], np.cumsum(counts) - counts
+        odd = np.unique(np.searchsorted(starts, np.flatnonzero(ids == self.unknown), side="right") - 1)
+        for i in odd.tolist():  # a piece of its own length stands for what is unknown
+            own = [len(p.encode()) for p in self.plain.encode(surfaces[i], out_type=str)]
+            sizes[starts[i] : starts[i] + counts[i]] = own
+        at, n = len(self.index), len(keys)
+        self.starts, self.counts = (_room(x, at + n) for x in (self.starts, self.counts))
+        self.ids, self.sizes = (_room(x, self.used + len(ids)) for x in (self.ids, self.sizes))
+        self.starts[at : at + n], self.counts[at : at + n] = starts + self.used, counts
+        self.ids[self.used : self.used + len(ids)], self.sizes[self.used : self.used + len(ids)] = ids, sizes
+        self.index.update(zip(keys, range(at, at + n), strict=True))
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, begins and ends (source bytes) of all texts, and the ids in each text."""
@@ -225,10 +232,10 @@ class Codec:
         norm, bounds, align = self.normalise(data, offsets)
         raw, cuts = norm.tobytes(), bounds.tolist()
         keys = [self.segments(raw[a:b].decode()) for a, b in zip(cuts, cuts[1:], strict=False)]
-        new = dict.fromkeys(k for ks in keys for k in ks if k not in self.index)
+        new = [k for k in dict.fromkeys(chain.from_iterable(keys)) if k not in self.index]
         if new:
-            self._learn(list(new))
-        at = np.array([self.index[k] for ks in keys for k in ks], np.int64)
+            self._learn(new)
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(keys)), np.int64)
         counts = self.counts[at]
         total = int(counts.sum())
         where = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(total)
