@@ -48,7 +48,9 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, outlives executors."""
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
 
 
 def taken(since: int) -> list[str]:
@@ -70,6 +72,13 @@ def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
     del _made[since:stop]
 
 
+def discard_but(spark: SparkSession, since: int, *frames: DataFrame) -> None:
+    """Removes what was stored after the mark, but for these frames, as `stored` gave them."""
+    kept = [p for p in _made[since:] if p in {f._stored_at for f in frames}]
+    remove(spark, [p for p in _made[since:] if p not in kept])
+    _made[since:] = kept
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -30,7 +30,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import free_prefix, salted_join, stored
+from plumbline.llm.common import discard, free_prefix, made_so_far, salted_join, stored
 
 #: Weights that sources take in turn.
 WEIGHTS = (5, 2, 1)
@@ -264,7 +264,7 @@ def mix(
     target are sums over them. With `own`, one of them, it counts for that one alone; then equal
     texts of a pattern are one text, which the flow repeats only as far as it must.
     """
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, made_so_far()
     outputs = ("size", "source_size", "target", "copies", "taken")
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in outputs])
     named = lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~"))  # noqa: E731  "~" is after "="
@@ -339,6 +339,7 @@ def mix(
             for p, pick in picks:
                 extra[p].append(pick["draw"])
                 short[p] -= pick["size"]
+    discard(spark, mark)  # sizes and draws have been read for the last time
     rows = []
     for r in found:
         p, counted = r["pattern"], set(r["names"]) if own is None else [r["mine"]]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import HOT_ROWS, LOWER, MOST_HOT, mixed, salted_join, slices, stored, text_buffer, words
+from plumbline.llm.common import HOT_ROWS, LOWER, MOST_HOT, discard_but, made_so_far, mixed, salted_join, slices, stored, text_buffer, words
 from plumbline.llm.components import components
 
 SHINGLE = 5
@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     component_id is the smallest doc_id that a document reaches over links; it is kept where it
     is its own component_id.
     """
-    spark, plan = docs.sparkSession, scheme(percent)
+    spark, plan, mark = docs.sparkSession, scheme(percent), made_so_far()
     sketch = stored(spark, sketches(docs, text, key, plan.symbols), "sketches")
     whole = ["n_shingles", "f1", "f2"]
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
@@ -403,6 +403,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     owned = stored(spark, owned.select(*whole, "rows", F.coalesce("component", "node").alias("component_id")), "owned")
     hot = [tuple(r) for r in owned.filter(F.col("rows") > HOT_ROWS).orderBy(F.desc("rows"), *whole).limit(MOST_HOT).select(*whole).collect()]
     few = owned.count() <= BROADCAST_NODES
+    discard_but(spark, mark, sketch, owned)  # all else has been read for the last time
     owned, slim = owned.drop("rows"), sketch.drop("sig")
     out = slim.join(F.broadcast(owned), whole, "left") if few else salted_join(slim, owned, whole, hot=hot)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
