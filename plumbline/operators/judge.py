@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.sparse import small
+from plumbline.sources.shared import stored
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\r]+"), lambda w: w != "")
+    return F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\r]+")
 
 
 def anchored(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", qid: str = "qid", qtext: str = "qtext") -> DataFrame:
@@ -22,19 +23,16 @@ def anchored(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     """
     asked = items.select(F.col(qid).alias("qid"), F.col(qtext).alias("qtext"))
     inner = asked.select("qid", F.explode(F.array_distinct(_inner(F.col("qtext")))).alias("word"))
-    found = docs.select(F.col(key).alias("key"), F.array_distinct(words(F.col(text))).alias("w"))
+    found = docs.select(F.col(key).alias("key"), F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
     wanted = inner.select("word").distinct()
-    counts = found.select(F.explode("w").alias("word")).join(small(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.join(small(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("n", F.lit(0)), "word"))
-    anchors = inner.join(counts, "word", "left").withColumn("r", place).filter("r = 1").select("qid", "word").join(asked, "qid")
+    anchors = stored(inner.join(counts, "word", "left").withColumn("r", place).filter("r = 1").select("qid", "word"), "anchors")
+    # words meet first, then the texts of what has met
+    met = stored(found.join(small(anchors), "word").select("key", "qid"), "met")
     each = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     whole = F.contains("text", F.col("qtext"))
-    few = small(anchors)
-    if few is anchors:  # many items: words meet first, then the texts of what has met
-        met = found.select("key", F.explode("w").alias("word")).join(anchors, "word").join(each, "key")
-    else:
-        met = each.withColumn("word", F.explode(F.array_distinct(words(F.col("text"))))).join(few, "word")
-    out = met.select("qid", "key", whole.alias("whole"))
+    out = each.join(small(met), "key").join(small(asked), "qid").select("qid", "key", whole.alias("whole"))
     short = asked.filter(F.size(_inner(F.col("qtext"))) == 0).filter("qtext is not null")
     if short.limit(1).count():
         pairs = each.join(small(short), whole).select("qid", "key", F.lit(True).alias("whole"))
@@ -43,7 +41,7 @@ def anchored(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 
 def _inner(text: Column) -> Column:
-    w = words(text)
+    w = F.filter(words(text), lambda x: x != "")
     return F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
 
 

@@ -139,7 +139,11 @@ class FunctionNli:
 
 def lexical_pair_score(question: str = "qtext", text: str = "text") -> Column:
     """A model-free pair score: the share of the question's words that the passage has."""
-    q, p = T.word_set(F.col(question)), T.word_set(F.col(text))
+    return shared_words(T.word_set(F.col(question)), T.word_set(F.col(text)))
+
+
+def shared_words(q: Column, p: Column) -> Column:
+    """The share of q's words that p has, of two sets of words."""
     return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(q, p)).cast("double"), F.size(q).cast("double")), F.lit(0.0)), 9)
 
 

@@ -8,7 +8,7 @@ from plumbline.functions import ids
 from plumbline.functions import text as T
 from plumbline.operators import dense, fusion, irmetrics, judge, sparse
 from plumbline.plans import sql as S
-from plumbline.plans.answer import lexical_pair_score
+from plumbline.plans.models import lexical_pair_score, shared_words
 from plumbline.plans.queries_text import PASSAGES, passages_of, table
 from plumbline.sources.shared import stored
 
@@ -191,9 +191,13 @@ def ablation_grid(spark, sf_dir):
         part = hits.select(F.lit(name).alias("config"), "qid", "doc_id", "rank")
         legs = part if legs is None else legs.unionByName(part)
     legs = stored(legs, "legs")
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = legs.join(sparse.small(q), "qid").join(texts, "doc_id").withColumn("both", F.struct("config", "qid"))
-    again = fusion.rerank(pairs, lexical_pair_score(), 20, qid="both").select(F.concat("both.config", F.lit("+rerank")).alias("config"), "both.qid", "doc_id", "rank")
+    # each text becomes a set of words once, and each pair is scored once, in however many lists it is
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(sparse.small(legs.select("doc_id").distinct()), "doc_id", "left_semi")
+    pairs = legs.select("qid", "doc_id").distinct().join(texts.select("doc_id", T.word_set(F.col("text")).alias("p")), "doc_id")
+    pairs = pairs.join(sparse.small(q.select("qid", T.word_set(F.col("qtext")).alias("q"))), "qid")
+    score = stored(pairs.select("qid", "doc_id", shared_words(F.col("q"), F.col("p")).alias("score")), "scores")
+    again = fusion.rerank(legs.join(score, ["qid", "doc_id"]).withColumn("both", F.struct("config", "qid")), F.col("score"), 20, qid="both")
+    again = again.select(F.concat("both.config", F.lit("+rerank")).alias("config"), "both.qid", "doc_id", "rank")
     out = irmetrics.grid_metrics(q, stored(legs.unionByName(again), "ranked"), rel, KS)
     return out.groupBy("config", "k").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "recall", "mrr")), irmetrics.saturated(F.col("mrr")).alias("saturated"))
 

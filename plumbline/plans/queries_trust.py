@@ -276,9 +276,10 @@ def _values(pairs) -> str:
 
 EDITED = rf"""{HITS},
 lists as (select h.qid, list(p.text order by rank) as passages from hits h join passages p using (passage_id) group by h.qid),
-pool as (select list(text) as pool from (select distinct text from passages order by md5(text) limit 100)),
-edited as (select cast(talk.qid as varchar) as key, coalesce(answer, '') as answer, coalesce(passages, []) as passages, list_filter(pool, lambda x: not list_contains(coalesce(passages, []), x)) as others
-  from talk left join lists using (qid), pool),
+pool_texts as (select distinct text from passages order by md5(text) limit 100), {S.sentence_ctes('pool_s', 'pool_texts', 'text', 'text')},
+pool as (select list({{'t': text, 's': case when len(sentences) > 0 then sentences[1] else {S.strip('text')} end}}) as pool from pool_s),
+edited as (select cast(talk.qid as varchar) as key, coalesce(answer, '') as answer, coalesce(passages, []) as passages,
+  list_distinct(list_transform(list_filter(pool, lambda x: not list_contains(coalesce(passages, []), x.t)), lambda x: x.s)) as others from talk left join lists using (qid), pool),
 each as (select *, unnest([0, 1, 2]) as seed from edited),
 named as (select key, seed, answer, {_names('answer')} as own, {_names("array_to_string(passages, chr(10))")} as other from each),
 swaps as (select key, seed, answer, a, b from (select *, unnest(other) as b from (select *, unnest(own) as a from named)) where not contains(lower(a), lower(b)) and not contains(lower(b), lower(a))),
@@ -311,13 +312,16 @@ made as (
 
 @query(f"with {EDITED} select key as qid, operator, seed, text, operator in ('entity_swap', 'number_corruption', 'negation', 'unsupported_addition') as hallucinated from made")
 def perturbations(spark, sf_dir):
-    """Every edit of every recorded answer, with retrieved passages; what is padded comes from a
-    hundred passages of the corpus, chosen by digest, that weren't retrieved for the question."""
+    """Every edit of every recorded answer, with retrieved passages; what is padded comes from the
+    first sentences of a hundred passages of the corpus, chosen by digest, that weren't retrieved."""
     p, _, t, hits = setting(spark, sf_dir)
     lists = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "passage"))).alias("p"))
-    pool = [r.text for r in p.select("text").distinct().orderBy(F.md5(F.col("text").cast("binary"))).limit(100).collect()]
+    texts = p.select("text").distinct().orderBy(F.md5(F.col("text").cast("binary"))).limit(100)
+    pool = texts.select(F.md5(F.col("text").cast("binary")).alias("t"), answer.T.first_sentence(F.col("text")).alias("s")).collect()
     passages = F.coalesce("p.passage", F.array().cast("array<string>"))
-    others = F.array_except(F.array(*map(F.lit, pool)) if pool else F.array().cast("array<string>"), passages)
+    options = F.array(*(F.struct(F.lit(x.t).alias("t"), F.lit(x.s).alias("s")) for x in pool)) if pool else F.array().cast("array<struct<t:string,s:string>>")
+    known = F.transform(passages, lambda x: F.md5(x.cast("binary")))
+    others = answer.T.let(known, lambda k: F.array_distinct(F.transform(F.filter(options, lambda x: ~F.array_contains(k, x["t"])), lambda x: x["s"])))
     rows = t.join(lists, "qid", "left").select("qid", "answer", passages.alias("passages"), others.alias("distractors"))
     return perturb.apply_all(rows)
 
