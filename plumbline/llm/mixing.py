@@ -38,7 +38,7 @@ MOST_PATTERNS, BROADCAST_PATTERNS = 1_000_000, 50_000
 #: Texts of several sources up to which their patterns are broadcast.
 BROADCAST_TEXTS = 100_000
 #: Hash ranges that one level tells apart, and documents added beyond a cut.
-RANGES, FILLS = 4096, 3
+RANGES, FILLS = 256, 3
 #: Size of the ring of hashes; its upper 24 bits come from the text, the others from the row.
 RING, TEXT_BITS = 1 << 62, 24
 SEED = 20
