@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, langid, mixing, near_dedup, quality, sentencepiece_codec, telephony, topk, url_filter, warc
+from plumbline.llm import chat, langid, mixing, near_dedup, quality, sentencepiece_codec, simhash, telephony, topk, url_filter, warc
 from plumbline.llm.common import stored, table
 
 #: The rules of the URL query.
@@ -74,9 +74,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_topk_search, op3_url_filter, op4_warc, op5_mixing, op6_telephony, op7_quality, op8_near_dedup, op9_chat, op10_langid)
+    for f in (op1_sentencepiece, op2_topk_search, op3_url_filter, op4_warc, op5_mixing, op6_telephony, op7_quality, op8_near_dedup, op9_chat, op10_langid, op11_simhash)
 }
 
 ORACLES: dict[str, str] = {
