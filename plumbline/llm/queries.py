@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, langid, mixing, near_dedup, quality, sentencepiece_codec, simhash, telephony, topk, url_filter, warc
+from plumbline.llm import alignment, chat, langid, mixing, near_dedup, quality, repair, sentencepiece_codec, simhash, telephony, topk, url_filter, warc
 from plumbline.llm.common import stored, table
 
 #: The rules of the URL query.
@@ -78,9 +78,23 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def byte_bpe() -> str:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_codec.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe(), model)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_topk_search, op3_url_filter, op4_warc, op5_mixing, op6_telephony, op7_quality, op8_near_dedup, op9_chat, op10_langid, op11_simhash)
+    for f in (op1_sentencepiece, op2_topk_search, op3_url_filter, op4_warc, op5_mixing, op6_telephony, op7_quality, op8_near_dedup, op9_chat, op10_langid, op11_simhash, op12_alignment, op13_repair)
 }
 
 ORACLES: dict[str, str] = {
