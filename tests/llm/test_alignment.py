@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -104,15 +105,36 @@ def test_segments_are_as_whole_texts(own, texts):
         assert n[:3] == [sum(len(g) for g, _ in gs), sum(len(h) for _, h in gs), len(gs)]
 
 
-def test_transducer():
-    t = A.Transducer()
-    assert t.groups([b"ab", b"c", b"de"], [b"a", b"bc", b"de"]) == [(2, 2), (1, 1)]
-    assert t.groups([], []) == []
+def walked(t, a, b):
+    a_ids, b_ids = [t.bytes[0].index(x) for x in a], [t.bytes[1].index(x) for x in b]
+    of_a, of_b, n = t.groups(*(np.array(x, int) for x in (a_ids, [len(a)], b_ids, [len(b)])))
+    return [(int((of_a == g).sum()), int((of_b == g).sum())) for g in range(int(n[0]))]
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_transducer(monkeypatch, few):
+    monkeypatch.setattr(A, "FEW", few)
+    t = A.Transducer([b"ab", b"c", b"de"], [b"a", b"bc", b"de", b"x"])
+    assert walked(t, [b"ab", b"c", b"de"], [b"a", b"bc", b"de"]) == [(2, 2), (1, 1)]
+    assert walked(t, [], []) == []
     seen = len(t.memo)
-    assert t.groups([b"ab", b"c"], [b"a", b"bc"]) == [(2, 2)]
+    assert walked(t, [b"ab", b"c"], [b"a", b"bc"]) == [(2, 2)]
     assert len(t.memo) == seen
     with pytest.raises(ValueError, match="different bytes"):
-        t.groups([b"ab"], [b"x"])
+        walked(t, [b"ab"], [b"x"])
+
+
+def test_libraries_agree_on_ascii(own):
+    r = random.Random(3)
+    texts = ["".join(r.choices([chr(c) for c in range(128)], k=r.randint(1, 30))) for _ in range(20_000)]
+    texts += [" " + "".join(r.choices("abcdefghij0123456789'", k=r.randint(1, 40))) for _ in range(20_000)]
+    assert own.ascii.encode_ordinary_batch(texts) == [e.ids for e in TOK.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_crossed_groups_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(A, "CROSSED", 1)
+    rows = corpus(8)
+    assert result(spark, rows) == brute(rows)
 
 
 def test_forgetting_changes_nothing(own, monkeypatch):
