@@ -199,7 +199,7 @@ class Aligner:
 
     def encode(self, new: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         plain = list(map(str.isascii, new))
-        fast = iter(self.ascii.encode_ordinary_batch([s for s, p in zip(new, plain, strict=True) if p], num_threads=1))
+        fast = map(self.ascii.encode_ordinary, [s for s, p in zip(new, plain, strict=True) if p])
         slow = iter(self.a.encode_batch_fast([s for s, p in zip(new, plain, strict=True) if not p], add_special_tokens=False))
         left = [next(fast) if p else next(slow).ids for p in plain]
         right = self.b.plain.encode(new, num_threads=1) if self.split else self.b.whole.encode([s[1:] for s in new], num_threads=1)
