@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import inverted
 from plumbline.operators.sparse import small
 from plumbline.sources.shared import stored
 
@@ -45,6 +46,17 @@ def _inner(text: Column) -> Column:
     return F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
 
 
-def containing(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
-    """qid, key: documents that hold an item's text."""
-    return anchored(docs, items, **names).filter("whole").drop("whole")
+def containing(docs: DataFrame, items: DataFrame, index: inverted.Index | None = None, key: str = "doc_id", text: str = "text", qid: str = "qid", qtext: str = "qtext") -> DataFrame:
+    """qid, key: documents that hold an item's text. With an inverted index of docs, its postings say
+    which documents have an item's rarest inner term, and only their texts are searched."""
+    if index is None:
+        return anchored(docs, items, key, text, qid, qtext).filter("whole").drop("whole")
+    asked = items.select(F.col(qid).alias("qid"), F.col(qtext).alias("qtext")).filter("qtext is not null")
+    met, short = inverted.holding(index, asked)
+    met = stored(met, "met")
+    each = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    whole = F.contains("text", F.col("qtext"))
+    out = each.join(small(met), "key").join(small(asked), "qid").filter(whole).select("qid", "key")
+    if short.limit(1).count():
+        out = out.unionByName(each.join(small(asked.join(short, "qid", "left_semi")), whole).select("qid", "key"))
+    return out.select(F.col("qid").alias(qid), F.col("key").alias(key))

@@ -1,23 +1,20 @@
-"""Bootstrap intervals, permutation tests, weight draws: replicates are dealt to tasks.
+"""Bootstrap intervals, permutation tests, weight draws: replicates are dealt to tasks (`draws`).
 
-The rows that are resampled are tallied first: what is collected, once, is each distinct row and how
-often it occurs (at most MOST_ITEMS distinct ones, however many rows). Drawing rows is drawing how
-often each distinct one comes, so the replicates are those of the rows themselves. Replicates, which
-are many, are distributed. Replicate r of a seed always draws the same numbers, whichever task runs it.
+Rows without what a statistic needs drop out; a group without rows, or of one class, has NaN.
+Replicate r of a seed always draws the same numbers, whichever task runs it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct rows that are collected.
-MOST_ITEMS = 1_000_000
+from plumbline.operators import draws, stats
+from plumbline.operators.sparse import small
+from plumbline.sources.shared import stored
+
 #: Rows of a block of a ranking; a task counts the discordant pairs of two blocks.
 BLOCK_ROWS = 250_000
 
@@ -35,128 +32,91 @@ def auc(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None
     return float(((ranks * counts)[pos].sum() - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg))
 
 
-def items(rows: DataFrame, *columns: str) -> list[np.ndarray]:
-    """The columns of the distinct rows, in order, and how often each occurs."""
-    names = [f"c{i}" for i in range(len(columns))]
-    found = rows.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
-    found = found.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).limit(MOST_ITEMS + 1).toArrow()
-    if found.num_rows > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} distinct items to resample")
-    return [found.column(n).to_numpy() for n in (*names, "n")]
-
+NAN = float("nan")
 
-def drawn(rng: np.random.Generator, counts: np.ndarray) -> np.ndarray:
-    """How often each distinct row comes in as many draws as there are rows."""
-    return rng.multinomial(counts.sum(), counts / counts.sum())
 
+def _missing(c: str) -> Column:
+    return F.col(c).isNull() | F.isnan(c)
 
-def replicates(spark: SparkSession, n: int, seed: int, stat: Callable[[np.random.Generator], float], parts: int = 0) -> DataFrame:
-    """replicate, value: stat of a generator of each replicate's own."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"replicate": batch["id"], "value": [stat(np.random.default_rng([seed, r])) for r in batch["id"]]})
+def interval(values: DataFrame, alpha: float = 0.05, by: tuple = ()) -> DataFrame:
+    """by, point (replicate -1), ci_lo, ci_hi of the replicates that are defined; NaN without any."""
+    ok = F.when((F.col("replicate") >= 0) & ~_missing("value"), F.col("value"))
+    bounds = [F.coalesce(F.percentile(ok, F.lit(p)), F.lit(NAN)).alias(c) for c, p in (("ci_lo", alpha / 2), ("ci_hi", 1 - alpha / 2))]
+    return values.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("replicate") < 0, F.col("value"))), F.lit(NAN)).alias("point"), *bounds)
 
-    parts = parts or spark.sparkContext.defaultParallelism
-    return spark.range(0, n, 1, parts).mapInPandas(run, "replicate long, value double")
 
+def _p_value(values: DataFrame, n: int, by: tuple) -> DataFrame:
+    """by, difference, p: (as extreme + 1) / (n + 1); an undefined replicate counts as extreme."""
+    real = values.filter("replicate < 0").select(*by, F.col("value").alias("difference"))
+    both = values.filter("replicate >= 0").join(small(real), list(by)) if by else values.filter("replicate >= 0").join(small(real))
+    extreme = F.count_if(_missing("value") | (F.abs("value") >= F.abs("difference") - 1e-12))
+    found = both.groupBy(*by).agg(F.max("difference").alias("difference"), extreme.alias("extreme"))
+    p = F.when(_missing("difference"), F.lit(NAN)).otherwise((F.col("extreme") + 1) / (n + 1))
+    return found.select(*by, F.coalesce("difference", F.lit(NAN)).alias("difference"), p.alias("p"))
 
-def interval(values: DataFrame, point: float, alpha: float = 0.05) -> DataFrame:
-    """point, ci_lo, ci_hi of the replicates that are defined."""
-    ok = values.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    return ok.agg(F.percentile("value", F.lit(alpha / 2)).alias("ci_lo"), F.percentile("value", F.lit(1 - alpha / 2)).alias("ci_hi")).select(F.lit(point).alias("point"), "ci_lo", "ci_hi")
 
-
-def bootstrap_auc(rows: DataFrame, score: str = "score", label: str = "label", n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def bootstrap_auc(rows: DataFrame, score: str = "score", label: str = "label", n: int = 10_000, seed: int = 0, alpha: float = 0.05, by: tuple = ()) -> DataFrame:
     """Interval of the AUC; each class is resampled apart, so no replicate lacks one."""
-    s, y, n_of = items(rows, score, label)
-    pos = y == 1
+    return interval(draws.aucs(rows, score, label, n, seed, by), alpha, by)
 
-    def stat(rng: np.random.Generator) -> float:
-        now = np.empty_like(n_of)
-        now[pos], now[~pos] = drawn(rng, n_of[pos]), drawn(rng, n_of[~pos])
-        return auc(s, y, now)
 
-    if pos.all() or not pos.any():
-        nan = float("nan")
-        return rows.sparkSession.createDataFrame([(nan, nan, nan)], "point double, ci_lo double, ci_hi double")
-    return interval(replicates(rows.sparkSession, n, seed, stat), auc(s, y, n_of), alpha)
+def _of_sums(rows: DataFrame, amounts: dict[str, Column], value: Column, n: int, seed: int, alpha: float, by: tuple) -> DataFrame:
+    return interval(draws.sums(rows, amounts, n, seed, by).select(*by, "replicate", value.alias("value")), alpha, by)
 
 
-def bootstrap_mean(rows: DataFrame, value: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    v, n_of = items(rows.filter(F.col(value).isNotNull()), value)
-    mean = lambda times: float((v * times).sum() / times.sum()) if len(v) else float("nan")
-    return interval(replicates(rows.sparkSession, n, seed, lambda rng: mean(drawn(rng, n_of) if len(v) else n_of)), mean(n_of), alpha)
+def bootstrap_mean(rows: DataFrame, value: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05, by: tuple = ()) -> DataFrame:
+    return _of_sums(rows, {"_v": F.col(value)}, F.col("_v") / F.col("rows"), n, seed, alpha, by)
 
 
-def bootstrap_paired_difference(rows: DataFrame, a: str, b: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Interval of mean(a) - mean(b), rows resampled together."""
-    x, y, n_of = items(rows, a, b)
-    d = x - y
-    mean = lambda times: float((d * times).sum() / times.sum())
-    return interval(replicates(rows.sparkSession, n, seed, lambda rng: mean(drawn(rng, n_of))), mean(n_of), alpha)
+def bootstrap_paired_difference(rows: DataFrame, a: str, b: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05, by: tuple = ()) -> DataFrame:
+    """Interval of mean(a) - mean(b), rows resampled together; those that lack one of them drop out."""
+    return _of_sums(rows, {"_v": F.col(a).cast("double") - F.col(b).cast("double")}, F.col("_v") / F.col("rows"), n, seed, alpha, by)
 
 
-def bootstrap_ratio(rows: DataFrame, a: str, b: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def bootstrap_ratio(rows: DataFrame, a: str, b: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05, by: tuple = ()) -> DataFrame:
     """Interval of sum(a) / sum(b); replicates with an empty denominator drop out."""
-    x, y, n_of = items(rows, a, b)
-
-    def ratio(times: np.ndarray) -> float:
-        below = (y * times).sum()
-        return float((x * times).sum() / below) if below else float("nan")
-
-    return interval(replicates(rows.sparkSession, n, seed, lambda rng: ratio(drawn(rng, n_of))), ratio(n_of), alpha)
+    return _of_sums(rows, {"_a": F.col(a), "_b": F.col(b)}, F.try_divide("_a", "_b"), n, seed, alpha, by)
 
 
 def bootstrap_sum_of_means(one: DataFrame, other: DataFrame, value: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Interval of the sum of the means of two sets of rows that share none, resampled apart."""
-    (x, n_x), (y, n_y) = items(one, value), items(other, value)
-    if not len(x) or not len(y):
-        nan = float("nan")
-        return one.sparkSession.createDataFrame([(nan, nan, nan)], "point double, ci_lo double, ci_hi double")
-    mean = lambda v, times: float((v * times).sum() / times.sum())
-    return interval(replicates(one.sparkSession, n, seed, lambda rng: mean(x, drawn(rng, n_x)) + mean(y, drawn(rng, n_y))), mean(x, n_x) + mean(y, n_y), alpha)
+    both = one.select(F.col(value).alias("v"), F.lit(0).alias("s")).unionByName(other.select(F.col(value).alias("v"), F.lit(1).alias("s")))
+    found = draws.sums(both, {"_v": F.col("v")}, n, seed, stratum=F.col("s"))
+    means = found.groupBy("replicate").agg(F.when(F.count(F.lit(1)) == 2, F.sum(F.col("_v") / F.col("rows"))).alias("value"))
+    return interval(means, alpha)
 
 
-def bootstrap_ratio_difference(rows: DataFrame, part: str, a: str, b: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def bootstrap_ratio_difference(rows: DataFrame, part: str, a: str, b: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05, by: tuple = ()) -> DataFrame:
     """Interval of sum(part * a) / sum(a) - sum(part * b) / sum(b), rows resampled together;
     replicates in which a or b sums to 0 drop out."""
-    p, x, y, n_of = items(rows, part, a, b)
-
-    def difference(times: np.ndarray) -> float:
-        below_x, below_y = (x * times).sum(), (y * times).sum()
-        return float((p * x * times).sum() / below_x - (p * y * times).sum() / below_y) if below_x and below_y else float("nan")
-
-    return interval(replicates(rows.sparkSession, n, seed, lambda rng: difference(drawn(rng, n_of) if len(p) else n_of)), difference(n_of), alpha)
-
-
-def swapped(rows: DataFrame, x: np.ndarray, y: np.ndarray, n_of: np.ndarray, difference: Callable, n: int, seed: int) -> DataFrame:
-    """difference, p of a test that swaps x and y of each row by a coin: of a distinct row that
-    occurs often, as many are swapped as its coins say."""
-    x, y = np.concatenate([x, y]), np.concatenate([y, x])
-    real = difference(x, y, np.concatenate([n_of, np.zeros_like(n_of)]))
-
-    def stat(rng: np.random.Generator) -> float:
-        swap = rng.binomial(n_of, 0.5)
-        return difference(x, y, np.concatenate([n_of - swap, swap]))
-
-    found = replicates(rows.sparkSession, n, seed, stat).agg(F.count_if(F.abs("value") >= abs(real) - 1e-12).alias("extreme"))
-    return found.select(F.lit(real).alias("difference"), ((F.col("extreme") + 1) / (n + 1)).alias("p"))
+    p, x, y = (F.col(c).cast("double") for c in (part, a, b))
+    return _of_sums(rows, {"_px": p * x, "_x": x, "_py": p * y, "_y": y}, F.try_divide("_px", "_x") - F.try_divide("_py", "_y"), n, seed, alpha, by)
 
 
-def permutation_test(rows: DataFrame, a: str, b: str, label: str, n: int = 10_000, seed: int = 0) -> DataFrame:
-    """difference, p: is the AUC of score a from that of score b? Each item's two scores are swapped
+def permutation_test(rows: DataFrame, a: str, b: str, label: str, n: int = 10_000, seed: int = 0, by: tuple = ()) -> DataFrame:
+    """difference, p: is the AUC of score a from that of score b? Each row's two scores are swapped
     by a coin in each replicate; p is (as extreme + 1) / (n + 1)."""
-    x, y, lab, n_of = items(rows, a, b, label)
-    twice = np.concatenate([lab, lab])
-    return swapped(rows, x, y, n_of, lambda u, v, times: auc(u, twice, times) - auc(v, twice, times), n, seed)
+    return _p_value(draws.differences(rows, (F.col(a), F.col(label)), (F.col(b), F.col(label)), n, seed, by), n, by)
 
 
-def label_permutation_test(rows: DataFrame, score: str, label_a: str, label_b: str, n: int = 10_000, seed: int = 0) -> DataFrame:
+def label_permutation_test(rows: DataFrame, score: str, label_a: str, label_b: str, n: int = 10_000, seed: int = 0, by: tuple = ()) -> DataFrame:
     """As permutation_test, with one score and two labellings that are swapped."""
-    s, x, y, n_of = items(rows, score, label_a, label_b)
-    twice = np.concatenate([s, s])
-    return swapped(rows, x, y, n_of, lambda u, v, times: auc(twice, u, times) - auc(twice, v, times), n, seed)
+    return _p_value(draws.differences(rows, (F.col(score), F.col(label_a)), (F.col(score), F.col(label_b)), n, seed, by), n, by)
+
+
+def validation(rows: DataFrame, by: tuple, score: str, baseline: str, label: str, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """by, n_pos, n_neg, auc, ci_lo, ci_hi, baseline_auc, difference, p: how well a score does in each group,
+    and against a baseline there, which is turned round where it does worse than chance. All groups'
+    replicates are drawn in one pass."""
+    rows = stored(rows.select(*by, F.col(score).cast("double").alias("score"), F.col(baseline).cast("double").alias("baseline"), F.col(label).alias("label")), "scored")
+    usable = rows.filter(~_missing("score") & ~_missing("baseline") & F.col("label").isNotNull())
+    base = stats.roc_auc(usable, by, "baseline")
+    signs = stored(base.select(*by, stats.best_sign(F.col("auc")).alias("sign"), F.when(F.col("auc") < 0.5, 1 - F.col("auc")).otherwise(F.col("auc")).alias("baseline_auc"), "n_pos", "n_neg"), "signs")
+    turned = usable.join(small(signs.select(*by, "sign")), list(by)).withColumn("baseline", F.col("baseline") * F.col("sign"))
+    sure = bootstrap_auc(usable, n=n, seed=seed, alpha=alpha, by=by).withColumnRenamed("point", "auc")
+    tested = permutation_test(turned, "score", "baseline", "label", n, seed, by)
+    return signs.drop("sign").join(sure, list(by)).join(tested, list(by)).select(*by, "n_pos", "n_neg", "auc", "ci_lo", "ci_hi", "baseline_auc", "difference", "p")
 
 
 def dirichlet_weights(spark: SparkSession, names: tuple, n: int = 10_000, seed: int = 0) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.functions import text as T
-from plumbline.operators import dense, fusion, sparse, trust
+from plumbline.operators import dense, fusion, inverted, sparse, trust
+from plumbline.operators.sparse import small
 from plumbline.plans.models import Models, extractive, lexical_pair_score
 from plumbline.sources.shared import stored
 
@@ -17,10 +18,11 @@ DECLINED = "Not answerable from this corpus."
 __all__ = ["DECLINED", "extractive", "lexical_pair_score"]
 
 
-def retrieve(passages: DataFrame, vectors: DataFrame, questions: DataFrame, qvectors: DataFrame, config: Config, k: int | None = None, scorer: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+def retrieve(passages: DataFrame, vectors: DataFrame, questions: DataFrame, qvectors: DataFrame, config: Config, k: int | None = None, scorer: Callable[[DataFrame], Column] | None = None, index: inverted.Index | None = None) -> DataFrame:
     """qid, passage_id, score, rank by the configured mode, reranked if a pair scorer is given.
 
-    passages: passage_id, text; vectors: passage_id, vec; questions: qid, question.
+    passages: passage_id, text; vectors: passage_id, vec; questions: qid, question. With an inverted
+    index, the sparse leg reads no texts.
     """
     k = k or config.k
     ask = config.rerank_candidates if config.rerank else k
@@ -29,15 +31,26 @@ def retrieve(passages: DataFrame, vectors: DataFrame, questions: DataFrame, qvec
     if config.retrieval_mode != "sparse":
         d = dense.search(vectors, qvectors, deep, key="passage_id")
     if config.retrieval_mode != "dense":
-        s = sparse.search(passages, asked, deep, key="passage_id")
+        s = sparse.search(passages, asked, deep, key="passage_id") if index is None else inverted.search(index, asked, deep)
     hits = {"dense": lambda: d, "sparse": lambda: s, "hybrid": lambda: fusion.rrf(d, s, ask, key="passage_id")}[config.retrieval_mode]()
     if not config.rerank:
         return hits
-    pairs = hits.join(passages.select("passage_id", "text"), "passage_id").join(asked, "qid")
+    pairs = hit_rows(hits, passages.select("passage_id", "text")).join(asked, "qid")
     score = lexical_pair_score() if scorer is None else scorer(pairs)
     return fusion.rerank(pairs, score, k).select("qid", "passage_id", F.col("rerank_score").alias("score"), "rank")
 
 
+def hit_rows(hits: DataFrame, *tables: DataFrame) -> DataFrame:
+    """hits joined to tables by passage_id (the first must have the passage). Few hits name the rows before
+    anything moves, so of the tables what is hit alone is shuffled."""
+    ids = hits.select("passage_id").distinct()
+    marked = small(ids)
+    out = hits
+    for i, t in enumerate(tables):
+        out = out.join(t.join(marked, "passage_id", "left_semi"), "passage_id", "left" if i else "inner")
+    return out
+
+
 def own_citations(answers: DataFrame) -> DataFrame:
     """What the extractive generator cites: the top passage, for its one claim."""
     return answers.select("qid", F.lit(0).alias("claim_idx"), F.lit(1).alias("cited_rank"))
@@ -94,16 +107,17 @@ def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: C
 
 
 def answer_all(
-    passages: DataFrame, vectors: DataFrame, questions: DataFrame, config: Config | None = None, answers: DataFrame | None = None, models: Models | None = None
+    passages: DataFrame, vectors: DataFrame, questions: DataFrame, config: Config | None = None, answers: DataFrame | None = None, models: Models | None = None, index: inverted.Index | None = None
 ) -> DataFrame:
     """Answers and measures a table of questions (qid, question); `answers` (qid, answer) are
     recorded ones, otherwise the models' generator writes them, for questions that pass the gate."""
     config, models = config or Config(), models or Models()
     qvec = models.embedder.embed(questions, "qid", "question")
     asked = questions.join(qvec.withColumnRenamed("vec", "qvec"), "qid", "left")
-    hits = retrieve(passages, vectors, questions, qvec, config, scorer=models.scorer)
+    hits = retrieve(passages, vectors, questions, qvec, config, scorer=models.scorer, index=index)
+    hits = stored(hits, "ranked")
     texts = passages.select("passage_id", F.coalesce("source_text", "text").alias("passage") if "source_text" in passages.columns else F.col("text").alias("passage"))
-    full = stored(hits.join(texts, "passage_id").join(vectors, "passage_id", "left").join(questions, "qid"), "hits")
+    full = stored(hit_rows(hits, texts, vectors).join(questions, "qid"), "hits")
     gate = stored(gated(asked, full, config), "gate")
     made = models.generator.generate(full.join(gate.filter("passed").select("qid"), "qid", "left_semi")) if answers is None else answers
     cited = own_citations(made) if answers is None and models.generator.cites_first else None

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
-from plumbline.operators import fusion, trust
+from plumbline.operators import fusion, inverted, trust
 from plumbline.plans import agentic, answer
 from plumbline.plans.models import Models
 from plumbline.sources import corpus, store
-from plumbline.sources.shared import stored
+from plumbline.sources.shared import scratch, stored
 from plumbline.streaming import traces
 
 class Engine:
@@ -26,6 +26,7 @@ class Engine:
         self.spark, self.config, self.models = spark, config or Config(), models or Models()
         self.passages: DataFrame | None = None
         self.vectors: DataFrame | None = None
+        self.index: inverted.Index | None = None
 
     def _embed(self, rows: DataFrame, key: str, text: str) -> DataFrame:
         return self.models.embedder.embed(rows, key, text)
@@ -36,6 +37,8 @@ class Engine:
             raise ValueError("nothing to index")
         self.passages = passages
         self.vectors = stored(self._embed(passages, "passage_id", "text"), "vectors")
+        if self.config.retrieval_mode != "dense":
+            self.index = inverted.keep(inverted.build(passages), scratch(self.spark, "index"))
         return self
 
     def index_dir(self, path: str, pattern: str = "*", sentences: DataFrame | None = None) -> Engine:
@@ -52,10 +55,10 @@ class Engine:
         return self._install(corpus.from_texts(texts, key, text))
 
     def save(self, path: str) -> None:
-        store.save_index(path, self.models.embedder.name, self.config.retrieval_mode, self._ready(), self.vectors if self.config.retrieval_mode != "sparse" else None)
+        store.save_index(path, self.models.embedder.name, self.config.retrieval_mode, self._ready(), self.vectors if self.config.retrieval_mode != "sparse" else None, self.index)
 
     def load(self, path: str) -> Engine:
-        _, self.passages, vectors = store.load_index(self.spark, path, self.models.embedder.name)
+        _, self.passages, vectors, self.index = store.load_index(self.spark, path, self.models.embedder.name)
         self.vectors = self._embed(self.passages, "passage_id", "text") if vectors is None else vectors
         return self
 
@@ -72,7 +75,7 @@ class Engine:
     def retrieve(self, questions: DataFrame | list[str], k: int | None = None, scorer=None) -> DataFrame:
         """qid, passage_id, score, rank, source, page, passage."""
         asked = self._asked(questions)
-        hits = answer.retrieve(self._ready(), self.vectors, asked, self._embed(asked, "qid", "question"), self.config, k, scorer or self.models.scorer)
+        hits = answer.retrieve(self._ready(), self.vectors, asked, self._embed(asked, "qid", "question"), self.config, k, scorer or self.models.scorer, self.index)
         return corpus.shown(hits, self.passages)
 
     def similarity(self, questions: DataFrame | list[str]) -> DataFrame:
@@ -89,10 +92,10 @@ class Engine:
 
     def answer(self, questions: DataFrame | list[str], answers: DataFrame | None = None) -> DataFrame:
         """Answers and their measures, one row a question; `answers` (qid, answer) are recorded ones."""
-        return answer.answer_all(self._ready(), self.vectors, self._asked(questions), self.config, answers, self.models)
+        return answer.answer_all(self._ready(), self.vectors, self._asked(questions), self.config, answers, self.models, self.index)
 
     def answer_iterative(self, questions: DataFrame | list[str], reformulate=agentic.alternate) -> tuple[DataFrame, DataFrame]:
-        return agentic.iterate(self._ready(), self.vectors, self._asked(questions), self.config, reformulate, models=self.models)
+        return agentic.iterate(self._ready(), self.vectors, self._asked(questions), self.config, reformulate, models=self.models, index=self.index)
 
 
 class Corpora:

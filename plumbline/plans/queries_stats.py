@@ -8,6 +8,7 @@ from plumbline.operators import resample, reshape
 from plumbline.operators import stats as D
 from plumbline.operators.sparse import small
 from plumbline.plans import sql as S
+from plumbline.plans import sql_draws as Z
 from plumbline.plans.queries_text import table
 
 QUERIES, ORACLES = {}, {}
@@ -226,32 +227,71 @@ def nested_unnest_counts(spark, sf_dir):
     return out.groupBy(F.coalesce("dropped", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+INTERVAL = ("point", "ci_lo", "ci_hi")
+LABELLED = f"{S.SCORED}, labelled as (select *, label = 1 as pos, label::double as y from scored where score is not null and label is not null), {Z.replicates()}"
+
+
+@query(f"with {LABELLED}, {Z.drawn('d', 'labelled', 'score', 'case when pos then 0 else 1 end')}, {Z.auc('v', 'd', 'r', 'score', 'pos')} {Z.interval('v')}")
 def bootstrap_ci(spark, sf_dir):
-    return resample.bootstrap_auc(scored(spark, sf_dir))
+    return resample.bootstrap_auc(scored(spark, sf_dir)).select(*r6(*INTERVAL))
 
 
-@query()
+@query(f"""with {LABELLED}, diffs as (select score - y as d from labelled),
+{Z.drawn('a', 'labelled', 'score')}, {Z.drawn('b', 'diffs', 'd')}, {Z.drawn('c', 'labelled', 'score, y')},
+v as (select 'mean' as statistic, r, sum(score) / count(*) as value from a group by r union all select 'difference', r, sum(d) / count(*) from b group by r union all select 'ratio', r, sum(score) / nullif(sum(y), 0) from c group by r)
+{Z.interval('v', 'statistic, ')} group by statistic""")
 def bootstrap_means(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("y", F.col("label").cast("double"))
     parts = [resample.bootstrap_mean(rows, "score"), resample.bootstrap_paired_difference(rows, "score", "y"), resample.bootstrap_ratio(rows, "score", "y")]
     names = ("mean", "difference", "ratio")
     out = None
     for name, part in zip(names, parts, strict=True):
-        part = part.withColumn("statistic", F.lit(name))
+        part = part.select(F.lit(name).alias("statistic"), *r6(*INTERVAL))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query()
+P_VALUE = """reals as (select value as real from x where r = -1)
+select round(any_value(real), 6) as difference, round((count(*) filter (isnan(value) or abs(value) >= abs(real) - 1e-12) + 1) / 10001.0::double, 6) as p from x, reals where r >= 0"""
+
+
+@query(f"""with {LABELLED}, duo as (select score as x, 1 - score as y2, pos from labelled), {Z.coins('c', 'duo', 'x, pos, y2')},
+sides as (select r, 'a' as side, case when swap then y2 else x end as v, pos from c union all select r, 'b', case when swap then x else y2 end, pos from c), {Z.auc('u', 'sides', 'r, side', 'v', 'pos')},
+x as (select r, max(value) filter (side = 'a') - max(value) filter (side = 'b') as value from u group by r), {P_VALUE}""")
 def paired_permutation(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("other", 1 - F.col("score"))
-    return resample.permutation_test(rows, "score", "other", "label")
+    return resample.permutation_test(rows, "score", "other", "label").select(*r6("difference", "p"))
 
 
-@query()
+@query(f"""with {LABELLED}, duo as (select score, label, toxic from labelled where toxic is not null), {Z.coins('c', 'duo', 'score, label, toxic')},
+sides as (select r, 'a' as side, score, case when swap then toxic else label end = 1 as pos from c union all select r, 'b', score, case when swap then label else toxic end = 1 from c), {Z.auc('u', 'sides', 'r, side', 'score', 'pos')},
+x as (select r, max(value) filter (side = 'a') - max(value) filter (side = 'b') as value from u group by r), {P_VALUE}""")
 def label_permutation(spark, sf_dir):
-    return resample.label_permutation_test(scored(spark, sf_dir), "score", "label", "toxic")
+    return resample.label_permutation_test(scored(spark, sf_dir), "score", "label", "toxic").select(*r6("difference", "p"))
+
+
+#: A baseline that knows of a text the share of its digits alone.
+_BASE = "round(len(regexp_extract_all(coalesce(text, ''), '[0-9]')) / (length(coalesce(text, '')) + 1.0::double), 6)"
+_GROUPED = f"""grouped as (select lang, round(n_chars / (n_chars + 2000.0), 6) as score, {_BASE} as base, quality = 1 as pos from documents join labels using (doc_id) where quality is not null and n_chars is not null),
+{Z.replicates()}, {Z.drawn('d', 'grouped', 'score', 'case when pos then 0 else 1 end', 'lang')}, {Z.auc('v', 'd', 'r, lang', 'score', 'pos')},
+sure as ({Z.interval('v', 'lang, ')} group by lang), {Z.auc('g', 'grouped', 'lang', 'base', 'pos')},
+turned as (select lang, score, base * case when value < 0.5 then -1 else 1 end as base, pos from grouped join g using (lang)), {Z.coins('c', 'turned', 'score, pos, base', 'lang')},
+sides as (select r, lang, 'a' as side, case when swap then base else score end as v, pos from c union all select r, lang, 'b', case when swap then score else base end, pos from c), {Z.auc('u', 'sides', 'r, lang, side', 'v', 'pos')},
+x as (select r, lang, max(value) filter (side = 'a') - max(value) filter (side = 'b') as value from u group by r, lang),
+tested as (select x.lang, any_value(real) as difference, (count(*) filter (isnan(x.value) or abs(x.value) >= abs(real) - 1e-12) + 1) / 10001.0::double as p from x join (select lang, value as real from x where r = -1) using (lang) where r >= 0 group by x.lang),
+sizes as (select lang, count(*) filter (pos) as n_pos, count(*) filter (not pos) as n_neg from grouped group by lang)"""
+
+
+@query(f"""with {_GROUPED} select lang, n_pos, n_neg, point as auc, ci_lo, ci_hi, round(case when value < 0.5 then 1 - value else value end, 6) as baseline_auc, round(difference, 6) as difference, round(p, 6) as p
+from sizes join sure using (lang) join g using (lang) join tested using (lang)""")
+def grouped_validation(spark, sf_dir):
+    """One row a group: the score's AUC with its interval, and its test against a baseline of best sign."""
+    d = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    base = F.round(F.regexp_count(text, F.lit("[0-9]")) / (F.length(text) + 1.0), 6)
+    rows = d.select("doc_id", "lang", F.round(F.col("n_chars") / (F.col("n_chars") + 2000.0), 6).alias("score"), base.alias("base")).join(table(spark, sf_dir, "labels"), "doc_id")
+    out = resample.validation(rows, ("lang",), "score", "base", "quality")
+    return out.select("lang", "n_pos", "n_neg", *r6("auc", "ci_lo", "ci_hi", "baseline_auc", "difference", "p"))
 
 
 @query("select source, question_class, count(*) as n from (select source, lang as question_class from documents) group by all")

@@ -9,6 +9,7 @@ from plumbline.functions import ids
 from plumbline.operators import dense, judge, perturb, resample, reshape, trust
 from plumbline.plans import ablation, agentic, answer, sql_rounds
 from plumbline.plans import sql as S
+from plumbline.plans import sql_draws as Z
 from plumbline.plans.engine import arm_metrics, pass_rates
 from plumbline.plans.queries_text import PASSAGES, passages_of, table
 from plumbline.sources.shared import stored
@@ -43,7 +44,7 @@ def setting(spark, sf_dir):
     v = stored(dense.hash_counts(p, "passage_id", "text"), "vectors")
     questions = t.select("qid", "question")
     hits = answer.retrieve(p, v, questions, dense.hash_counts(questions, "qid", "question"), CONFIG)
-    full = hits.join(p.withColumnRenamed("text", "passage"), "passage_id").join(v, "passage_id").join(questions, "qid")
+    full = answer.hit_rows(stored(hits, "ranked"), p.withColumnRenamed("text", "passage"), v).join(questions, "qid")
     return p, v, t, stored(full, "hits")
 
 
@@ -419,7 +420,19 @@ def _differences(spark, sf_dir):
     return ablation.differences(arms(spark, sf_dir), "iterative")
 
 
-@query()
+_BIT = "(case when {} then 1.0 else 0 end)::double".format
+_MEAN = "select '{0}' as statistic, r, sum(d) / count(*) as value from {1} group by r".format
+
+
+@query(f"""with {RECORDS}, paired as (select a.answerable, a.abstained as xa, b.abstained as xb, a.calls as ca, b.calls as cb from records a join records b on a.qid = b.qid where a.arm = 'iterative' and b.arm = 'single'),
+gain as (select {_BIT('not xa')} - {_BIT('not xb')} as d, 0 as half from paired where answerable union all select {_BIT('xa')} - {_BIT('xb')}, 1 from paired where not answerable),
+sent as (select (ca - cb)::double as d from paired), held as (select d from gain where half = 0), kept as (select d from gain where half = 1),
+quads as (select {_BIT('not answerable')} * {_BIT('xa')} as px, {_BIT('xa')} as x1, {_BIT('not answerable')} * {_BIT('xb')} as py, {_BIT('xb')} as y1 from paired),
+{Z.replicates()}, {Z.drawn('h', 'held', 'd')}, {Z.drawn('k', 'kept', 'd')}, {Z.drawn('j', 'gain', 'd', 'half')}, {Z.drawn('q', 'quads', 'px, x1, py, y1')}, {Z.drawn('t', 'sent', 'd')},
+halves as (select r, s, sum(d) / count(*) as m from j group by r, s),
+v as ({_MEAN('answered_rate', 'h')} union all {_MEAN('abstention_rate', 'k')} union all {_MEAN('mean_calls', 't')}
+  union all select 'youden_j', r, sum(m) from halves group by r union all select 'abstention_precision', r, sum(px) / nullif(sum(x1), 0) - sum(py) / nullif(sum(y1), 0) from q group by r)
+{Z.interval('v', 'statistic, ')} group by statistic""")
 def arm_intervals(spark, sf_dir):
-    """arm_differences with bootstrap intervals of 10,000 replicates, which have no SQL."""
-    return _differences(spark, sf_dir)
+    """arm_differences with bootstrap intervals of 10,000 replicates."""
+    return _differences(spark, sf_dir).select("statistic", *(F.round(c, 6).alias(c) for c in ("point", "ci_lo", "ci_hi")))

@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import inverted
 from plumbline.sources.corpus import SUFFIXES, has_pdf_parser, pdf_pages, suffix
 from plumbline.sources.shared import stored
 
 
-def save_index(path: str, embedder: str, mode: str, passages: DataFrame, vectors: DataFrame | None) -> None:
-    """Passages, vectors (unless the mode is sparse) and a manifest, below path."""
+def save_index(path: str, embedder: str, mode: str, passages: DataFrame, vectors: DataFrame | None, index: inverted.Index | None = None) -> None:
+    """Passages, vectors (unless the mode is sparse), the inverted index (unless it is dense) and a
+    manifest, below path."""
     passages.write.mode("overwrite").parquet(f"{path}/passages")
+    if mode != "dense":
+        inverted.save(index or inverted.build(passages), f"{path}/postings")
     if vectors is not None:
         vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     spark = passages.sparkSession
@@ -23,15 +27,17 @@ def save_index(path: str, embedder: str, mode: str, passages: DataFrame, vectors
     row.write.mode("overwrite").json(f"{path}/manifest")
 
 
-def load_index(spark: SparkSession, path: str, embedder: str) -> tuple[str, DataFrame, DataFrame | None]:
-    """mode, passages, vectors; an index of another embedder is refused. Vectors are read back."""
+def load_index(spark: SparkSession, path: str, embedder: str) -> tuple[str, DataFrame, DataFrame | None, inverted.Index | None]:
+    """mode, passages, vectors, inverted index; an index of another embedder is refused. Vectors and
+    postings are read back."""
     row = spark.read.schema("embed_model string, retrieval_mode string, has_vectors boolean").json(f"{path}/manifest").first()
     if row.embed_model != embedder:
         raise ValueError(f"the index was made with {row.embed_model}, not {embedder}")
     passages = spark.read.parquet(f"{path}/passages")
     if "source_text" not in passages.columns:
         passages = passages.withColumn("source_text", F.col("text"))
-    return row.retrieval_mode, passages, spark.read.parquet(f"{path}/vectors") if row.has_vectors else None
+    vectors = spark.read.parquet(f"{path}/vectors") if row.has_vectors else None
+    return row.retrieval_mode, passages, vectors, None if row.retrieval_mode == "dense" else inverted.load(spark, f"{path}/postings")
 
 
 def page_count(content: Column) -> Column:

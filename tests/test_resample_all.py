@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import resample
+from plumbline.operators import draws, resample, stats
 from plumbline.plans import queries_stats, queries_trust
 
 
@@ -56,28 +56,106 @@ def test_query_compares_all_documents_under_all_draws(spark):
     assert queries_trust.weight_sensitivity_all(spark, data).count() == 10_000
 
 
-def test_more_rows_than_are_collected(spark, monkeypatch):
-    monkeypatch.setattr(resample, "MOST_ITEMS", 50)
-    rows = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(17)) / 10.0).alias("score"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).cast("int").alias("label"))
-    got = resample.bootstrap_auc(rows, n=200).first()
+def noise(spark, n=3000):
+    return spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(17)) / 10.0).alias("score"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).cast("int").alias("label"))
+
+
+def plain_auc(s, y, times=None):
+    return resample.auc(np.asarray(s), np.asarray(y), times)
+
+
+@pytest.mark.parametrize(("leaf", "digest"), [(100_000, 20_000), (100_000, 0), (200, 0)])
+def test_the_law_is_that_of_drawing_rows(spark, monkeypatch, leaf, digest):
+    """By digest, by one multinomial, and split over leaves."""
+    monkeypatch.setattr(draws, "LEAF", leaf)
+    monkeypatch.setattr(draws, "DIGEST_ROWS", digest)
+    rows = noise(spark)
+    got = resample.bootstrap_auc(rows, n=400).first()
     s, y = (np.array(x) for x in zip(*rows.collect()))
-    assert got.point == pytest.approx(resample.auc(s, y)) and got.ci_lo < got.point < got.ci_hi
-    # the spread is that of drawing the rows themselves
+    assert got.point == pytest.approx(plain_auc(s, y)) and got.ci_lo < got.point < got.ci_hi
     r = np.random.default_rng(5)
     pos, neg = s[y == 1], s[y != 1]
-    draws = [resample.auc(np.concatenate([r.choice(pos, len(pos)), r.choice(neg, len(neg))]), np.repeat([1, 0], [len(pos), len(neg)])) for _ in range(400)]
-    assert got.ci_hi - got.ci_lo == pytest.approx(np.quantile(draws, 0.975) - np.quantile(draws, 0.025), rel=0.25)
-    mean = resample.bootstrap_mean(rows, "score", 200).first()
+    plain = [plain_auc(np.concatenate([r.choice(pos, len(pos)), r.choice(neg, len(neg))]), np.repeat([1, 0], [len(pos), len(neg)])) for _ in range(400)]
+    assert got.ci_hi - got.ci_lo == pytest.approx(np.quantile(plain, 0.975) - np.quantile(plain, 0.025), rel=0.25)
+    mean = resample.bootstrap_mean(rows, "score", 400).first()
     assert mean.point == pytest.approx(s.mean()) and mean.ci_hi - mean.ci_lo == pytest.approx(2 * 1.96 * s.std() / len(s) ** 0.5, rel=0.25)
     both = rows.withColumn("other", 1.7 - F.col("score"))
-    assert resample.permutation_test(both, "score", "other", "label", 200).first().difference == pytest.approx(resample.auc(s, y) - resample.auc(1.7 - s, y))
+    tested = resample.permutation_test(both, "score", "other", "label", 200).first()
+    assert tested.difference == pytest.approx(plain_auc(s, y) - plain_auc(1.7 - s, y))
     assert 0 < resample.label_permutation_test(rows.withColumn("toxic", 1 - F.col("label")), "score", "label", "toxic", 200).first().p <= 1
 
 
+def test_splits_add_up_and_have_the_variance_of_a_binomial():
+    cuts = np.array([0, 10, 10, 400, 1000])
+    for r in range(20):
+        assert sum(draws.split(1, 0, r, cuts, leaf) for leaf in range(4)) == 1000
+        assert draws.split(1, 0, r, cuts, 1) == 0
+    x = np.array([draws.split(2, 1, r, cuts, 2) for r in range(2000)])
+    assert x.mean() == pytest.approx(390, abs=2) and x.var() == pytest.approx(1000 * 0.39 * 0.61, rel=0.15)
+
+
+def test_leaves_share_what_a_digest_draws(monkeypatch):
+    counts = np.array([3, 0, 5, 1, 11])
+    starts = np.cumsum(counts) - counts
+    r = np.arange(-1, 30)
+    whole = draws.times(7, 1, r, counts, starts, 20, None, 0)
+    assert (whole.sum(axis=1) == 20).all() and (whole[0] == counts).all()
+    parts = [draws.times(7, 1, r, counts[a:b], starts[a:b], 20, None, i) for i, (a, b) in enumerate([(0, 2), (2, 5)])]
+    assert (np.concatenate(parts, axis=1) == whole).all()
+    plain = np.array([[int(d) * 20 >> 32 for d in row] for row in draws.digest(7, r[1:], 2 * np.arange(20) + 1)])
+    assert (whole[1:] == [[((x >= s) & (x < s + c)).sum() for s, c in zip(starts, counts)] for x in plain]).all()
+    coins = draws.swaps(7, r, counts[counts > 0], starts[counts > 0])
+    bits = np.array([[int(w) >> i & 1 for w in row for i in range(32)] for row in draws.digest(7, r[1:], np.arange(1))])
+    assert (coins[1:] == [[x[s : s + c].sum() for s, c in zip(starts, counts) if c] for x in bits]).all() and not coins[0].any()
+
+
+def test_permutations_in_leaves_are_those_of_one(spark, monkeypatch):
+    rows = noise(spark, 700).withColumn("other", F.pmod(F.xxhash64("score", "label", F.rand(1)), F.lit(40)) / 20.0)
+    whole = draws.differences(rows, (F.col("score"), F.col("label")), (F.col("other"), F.col("label")), 60, 3)
+    want = {r.replicate: r.value for r in whole.collect()}
+    monkeypatch.setattr(draws, "LEAF", 50)
+    got = draws.differences(rows, (F.col("score"), F.col("label")), (F.col("other"), F.col("label")), 60, 3)
+    assert {r.replicate: pytest.approx(r.value) for r in got.collect()} == want and len(want) == 61
+
+
+def test_nulls_drop_out_everywhere(spark):
+    rows = spark.createDataFrame([(0.9, 1), (0.8, 1), (0.2, 0), (0.1, 0), (None, 1), (0.95, None), (float("nan"), 0)], "score double, label int")
+    assert resample.bootstrap_auc(rows, n=50).first().point == stats.roc_auc(rows).first().auc == 1.0
+    assert resample.bootstrap_mean(rows, "score", 50).first().point == pytest.approx((0.9 + 0.8 + 0.2 + 0.1 + 0.95) / 5)
+    assert resample.bootstrap_ratio(rows, "score", "label", 50).first().point == pytest.approx(2.0 / 2)
+    assert resample.permutation_test(rows.withColumn("o", 1 - F.col("score")), "score", "o", "label", 20).first().difference == 1.0
+
+
+def test_nothing_is_nan(spark):
+    none = spark.createDataFrame([], "score double, label int, other double, s int")
+    nan = lambda r: all(x != x for x in r)
+    for found in (
+        resample.bootstrap_auc(none, n=5), resample.bootstrap_mean(none, "score", 5), resample.bootstrap_paired_difference(none, "score", "other", 5), resample.bootstrap_ratio(none, "score", "other", 5),
+        resample.bootstrap_sum_of_means(none, none, "score", 5), resample.bootstrap_ratio_difference(none, "score", "score", "other", 5), resample.permutation_test(none, "score", "other", "label", 5),
+    ):
+        rows = found.collect()
+        assert len(rows) <= 1 and all(nan(r) for r in rows)
+
+
+def test_groups_are_as_each_alone(spark, monkeypatch):
+    rows = noise(spark, 900).withColumn("g", F.when(F.rand(2) < 0.2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("g"), F.pmod(F.xxhash64(F.rand(3)), F.lit(3)))))
+    rows = rows.withColumn("other", F.round(F.rand(4), 1)).filter("g is not null")
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    got = {r.g: r for r in resample.validation(rows, ("g",), "score", "other", "label", 100).collect()}
+    assert sorted(got) == ["g0", "g1", "g2"]
+    for g, r in got.items():
+        one = rows.filter(F.col("g") == g)
+        alone = resample.bootstrap_auc(one, n=100).first()
+        assert (r.auc, r.ci_lo, r.ci_hi) == tuple(alone)
+        base = stats.roc_auc(one, score="other").first().auc
+        assert r.baseline_auc == pytest.approx(max(base, 1 - base)) and r.difference == pytest.approx(r.auc - r.baseline_auc)
+        assert (r.n_pos, r.n_neg) == (one.filter("label = 1").count(), one.filter("label = 0").count())
+
+
 def test_queries_have_the_operators_draws(spark, monkeypatch):
     seen = []
-    real = resample.replicates
-    monkeypatch.setattr(resample, "replicates", lambda spark, n, *a: (seen.append(n), real(spark, n, *a))[1])
+    real = draws._each
+    monkeypatch.setattr(draws, "_each", lambda units, by, n, *a: (seen.append(n), real(units, by, n, *a))[1])
     for q in (queries_stats.bootstrap_ci, queries_stats.bootstrap_means, queries_stats.paired_permutation, queries_stats.label_permutation):
         q(spark, "/root/testdata/sf0.001")
     assert seen == [10_000] * 6
