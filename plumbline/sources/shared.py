@@ -36,6 +36,11 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file(spark, path)
+    return fs.exists(target)
+
+
 #: By thread, the folders that open scopes have made, the innermost last.
 _scopes = threading.local()
 
