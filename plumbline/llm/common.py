@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources import shared
+from plumbline.sources.shared import shared_dir
+
+__all__ = ["shared_dir"]
 #: Bytes of text that one numpy step holds at once (a longer text comes alone).
 SLICE_BYTES = 2 << 20
 
@@ -21,27 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local session without one gets a folder of its
-    own; a cluster without one is refused, as no folder of one machine serves it."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = os.path.join(tempfile.gettempdir(), "plumbline-checkpoints")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
+class _Made(threading.local):
+    """Folders that `stored` and `scratch` made in this thread and `discard` hasn't removed, in order."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
 
-#: Folders that `stored` and `scratch` made and `discard` hasn't removed, in order.
-_made: list[str] = []
+_made = _Made()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; nothing is there yet."""
-    _made.append(f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    """A new path in the shared folder; nothing is there yet. What is left there goes with the session."""
+    path = shared.scratch(spark, name)
+    _made.paths.append(path)
+    return path
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -55,34 +51,33 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def taken(since: int) -> list[str]:
     """What was stored after the mark, for the caller to remove: `discard` forgets it."""
-    paths = _made[since:]
-    del _made[since:]
+    paths = _made.paths[since:]
+    del _made.paths[since:]
     return paths
 
 
 def made_so_far() -> int:
-    """A mark for `discard`."""
-    return len(_made)
+    """A mark for `discard`, which holds in this thread."""
+    return len(_made.paths)
 
 
 def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
     """Removes what was stored after the mark, but for the last `keep`: nothing may read it again."""
-    stop = max(since, len(_made) - keep)
-    remove(spark, _made[since:stop])
-    del _made[since:stop]
+    stop = max(since, len(_made.paths) - keep)
+    remove(spark, _made.paths[since:stop])
+    del _made.paths[since:stop]
 
 
 def discard_but(spark: SparkSession, since: int, *frames: DataFrame) -> None:
     """Removes what was stored after the mark, but for these frames, as `stored` gave them."""
-    kept = [p for p in _made[since:] if p in {f._stored_at for f in frames}]
-    remove(spark, [p for p in _made[since:] if p not in kept])
-    _made[since:] = kept
+    kept = [p for p in _made.paths[since:] if p in {f._stored_at for f in frames}]
+    remove(spark, [p for p in _made.paths[since:] if p not in kept])
+    _made.paths[since:] = kept
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        shared.remove(spark, path)
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import alignment, chat, langid, mixing, near_dedup, quality, repair, sentencepiece_codec, simhash, telephony, topk, url_filter, warc
-from plumbline.llm.common import stored, table
+from plumbline.llm.common import table
 
 #: The rules of the URL query.
 URL_RULES = (
@@ -50,7 +50,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return telephony.digests(telephony.read(stored(spark, telephony.store(docs, "text"), "media")))
+    return telephony.in_shards(telephony.store(docs, "text"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ samples) and kept as PCM; `digests` stores that PCM and computes features from w
 
 Cases: a null payload counts as empty; payloads are padded with bytes 255 to a positive multiple
 of UNIT, so no file is empty; equal payloads give equal files; long payloads are decoded in
-windows of blocks; a file with a broken container raises ValueError; columns named like an
-output are replaced, others pass through.
+windows of blocks; a file with a broken container raises ValueError; an empty table gives an empty
+result; columns named like an output are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import slices, stored
+from plumbline.llm.common import discard, made_so_far, remove, scratch, slices, stored
+from plumbline.sources.shared import exists
 
 UNIT = 576
 #: Bytes of an ADPCM block: a header of 4 and two samples in each other byte.
 BLOCK = 36
 #: Rate of the telephone sound, and of the PCM that is stored unless the caller says otherwise.
-RATE, PCM_RATE = 8000, 1000
+RATE, PCM_RATE = 8000, 4000
 #: The resampling filter: zero crossings on either side, bits of its weights, samples made at once.
 CROSSINGS, WEIGHT_BITS, MADE = 6, 15, 1 << 14
 #: WAVE format tags.
@@ -42,6 +43,8 @@ NAMES = {tag: name for name, tag in TAGS.items()}
 CODECS = tuple(TAGS)
 #: ADPCM blocks that are decoded at once.
 WINDOW = 1 << 13
+#: Parts of the rows whose sound is on disk one after the other.
+SHARDS = 8
 #: Bytes of files that one step reads.
 SLICE = 1 << 19
 
@@ -264,3 +267,23 @@ def digests(rows: DataFrame) -> DataFrame:
     kept = stored(rows.sparkSession, sound, "sound")
     kept = kept.withColumn("pcm_bytes", F.octet_length("pcm").cast("long")).withColumn("pcm_sha256", F.sha2("pcm", 256))
     return heard(kept)
+
+
+def in_shards(files: DataFrame, rate: int = PCM_RATE, shards: int = SHARDS) -> DataFrame:
+    """As digests(read(files)), of stored files, shard by shard: a shard's PCM, which is larger than its
+    file, is removed once its features are there, and so is its part of the files."""
+    spark = files.sparkSession
+    media, found = scratch(spark, "media"), scratch(spark, "features")
+    shard = F.pmod(F.xxhash64(*files.columns), F.lit(shards)).alias("_shard")
+    files.select("*", shard).write.option("compression", "zstd").partitionBy("_shard").parquet(media)
+    schema = None
+    for i in range(shards):
+        part = f"{media}/_shard={i}"
+        mark = made_so_far()
+        rows = spark.read.schema(files.schema).parquet(part) if exists(spark, part) else spark.createDataFrame([], files.schema)
+        out = digests(read(rows, rate=rate))
+        schema = out.schema
+        out.write.mode("append").parquet(found)
+        discard(spark, mark)
+        remove(spark, [part])
+    return spark.read.schema(schema).parquet(found)

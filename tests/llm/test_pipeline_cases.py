@@ -42,7 +42,7 @@ def test_stage_handles_odd_rows(spark, tmp_path, name):
 
 
 def test_no_stage_leaves_its_tables(spark, tmp_path, monkeypatch):
-    """What a stage stored on its way is gone once the next has run."""
+    """What a stage stored on its way is gone once its result is written."""
     import os
 
     from plumbline.llm import common
@@ -50,10 +50,31 @@ def test_no_stage_leaves_its_tables(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     shared = common.shared_dir(spark).removeprefix("file://") + "/plumbline"
     os.makedirs(shared, exist_ok=True)
-    P.remove(spark, P._before)
-    P._before.clear()
     before = set(os.listdir(shared))
     frame(spark, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() > 0
     left = set(os.listdir(shared)) - before
     assert len(left) == 1 and next(iter(left)).startswith("stage-3")  # what the last stage reads
+
+
+def test_results_are_lazy(spark, tmp_path):
+    """A stage's result can be read after other stages, and other threads, have begun."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, ROWS)
+    first = P.good(spark, docs, str(tmp_path))
+    with ThreadPoolExecutor(3) as pool:
+        others = list(pool.map(lambda n: P.once(spark, docs.limit(n), str(tmp_path)), (4, 7, 10)))
+    assert first.count() == P.good(spark, docs, str(tmp_path)).count() > 0
+    assert [o.count() for o in others] == [P.once(spark, docs.limit(n), str(tmp_path)).count() for n in (4, 7, 10)]
+
+
+def test_the_language_that_was_told_goes_on(spark, tmp_path):
+    english = "the quick brown fox jumps over the lazy dog and then it runs away from the farm with all of the hens number"
+    german = "der schnelle braune fuchs springt ueber den faulen hund und dann laeuft er mit allen huehnern vom hof nummer"
+    rows = [(i, f"{english if i % 2 else german} {i}", "en" if i % 2 else "de", "a", 1) for i in range(60)]
+    rows[10] = (10, rows[10][1], "en", "a", 1)  # wrongly labelled
+    rows[11] = (11, rows[11][1], None, "a", 1)
+    got = {r.doc_id: r.lang for r in P.language(spark, frame(spark, rows), str(tmp_path)).collect()}
+    assert got == {i: "en" if i % 2 else "de" for i in range(60)}

@@ -110,3 +110,13 @@ def test_operator_equals_plain_version(spark):
         got = {k: float(v) for k, v in (x.split("=") for x in rest)}
         assert (name, got["n"]) == (codec, n)
         assert got["rms"] == pytest.approx(rms, abs=1) and abs(got["peak"] - peak) <= 1 and abs(got["turns"] - turns) <= 2
+
+
+def test_shards_are_as_all_at_once(spark):
+    rows = [(i, "x" * (i % 7) * 100 + f" {i % 5}") for i in range(40)] + [(99, None), (99, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = A.digests(A.read(A.store(docs, "text")))
+    parts = A.in_shards(A.store(docs, "text"), shards=3)
+    assert parts.columns == whole.columns and sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    assert A.in_shards(A.store(docs.limit(0), "text")).count() == 0
+    assert A.PCM_RATE == 4000
