@@ -5,8 +5,8 @@ documents without any letter (language ID), documents whose posterior of being g
 half (quality), all but the smallest doc_id of each near-duplicate group, and what the mixture
 doesn't take; a document that the mixture takes twice occurs twice.
 
-A stage's result is written before the next stage begins, so each stage first removes what the one
-before it kept in the shared folder on its way.
+`run` writes a stage's result before the next stage begins, and removes then what the stage kept in the
+shared folder on its way, and the result of the stage before.
 
 Cases, of all stages: a null doc_id is a document of its own, a null text an empty one (which the
 language stage drops), a null lang teaches nothing, a null source is a source of its own; equal rows
@@ -32,18 +32,15 @@ BROADCAST_DROPPED = 1_000_000
 NEAR = 80
 
 
-_before: list[str] = []
-
-
 def stage(step):
-    """A stage that removes what the stage before it stored on its way."""
+    """A stage whose result names, as `_on_its_way`, the tables that it is read from. They go when `run`
+    has written the result, or with the session."""
 
     @wraps(step)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _before)
         mark = made_so_far()
         out = step(spark, docs, sf_dir)
-        _before[:] = taken(mark)
+        out._on_its_way = taken(mark)
         return out
 
     return run_step
@@ -51,12 +48,15 @@ def stage(step):
 
 @stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told, as they hold no letter; without a labelled
+    """Drops documents whose language can't be told, as they hold no letter. What was told takes the place of
+    `lang`, which the next stage reads; where it is ambiguous, of a null lang alone. Without a labelled
     document there is no model, and the letter alone decides."""
     model = langid.fit(docs, ~langid.held_out())
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return langid.identify(docs, model).filter("lang_pred <> 'und'").select(docs.columns)
+    told = langid.identify(docs, model).filter("lang_pred <> 'und'")
+    lang = F.when(F.col("lang_ambiguous") & F.col("lang").isNotNull(), F.col("lang")).otherwise(F.col("lang_pred"))
+    return told.withColumn("lang", lang).select(docs.columns)
 
 
 @stage
@@ -112,13 +112,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages in turn; each reads what its predecessor wrote."""
-    docs, kept = table(spark, sf_dir, "documents"), []
+    docs, written = table(spark, sf_dir, "documents"), []
     for i, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            mark = made_so_far()
-            docs = stored(spark, docs, f"stage-{i}")
-            kept.append(taken(mark))
-            remove(spark, [p for paths in kept[:-1] for p in paths])
-            del kept[:-1]
+        found = step(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return found
+        mark = made_so_far()
+        docs = stored(spark, found, f"stage-{i}")
+        remove(spark, found._on_its_way + written)
+        written = taken(mark)
     return docs
