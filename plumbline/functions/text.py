@@ -13,8 +13,9 @@ ABBREVIATIONS = (
     "mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "vs.", "etc.", "e.g.", "i.e.", "fig.", "eq.", "eqs.", "al.", "no.",
     "nos.", "vol.", "pp.", "p.", "st.", "approx.", "cf.", "inc.", "ltd.", "co.", "corp.", "a.m.", "p.m.", "u.s.", "u.k.",
 )
-#: Stands between pieces of a text while they are put together.
-CUT = "\u0001"
+#: Stands between pieces of a text while they are put together, and what stands for it, and for itself,
+#: where the text holds either.
+CUT, ESCAPE = "\u0001", "\u0002"
 
 
 def let(x: Column, body) -> Column:
@@ -22,6 +23,15 @@ def let(x: Column, body) -> Column:
     return F.transform(F.array(x), body)[0]
 
 
+def escaped(c: Column) -> Column:
+    """Without CUT; `unescaped` gives the text back."""
+    return F.replace(F.replace(c, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(CUT), F.lit(ESCAPE + "a"))
+
+
+def unescaped(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit(ESCAPE + "a"), F.lit(CUT)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -35,8 +45,9 @@ def _cut_again(pieces: Column, glued) -> Column:
     """Joins each piece for which glued(piece, the piece before) holds to the piece before it."""
     def joined(ps: Column) -> Column:
         before = F.concat(F.array(F.lit("")), ps)
-        marked = F.zip_with(ps, F.slice(before, 1, F.size(ps)), lambda p, b: F.concat(F.when(glued(p, b), F.lit(" ")).otherwise(F.lit(CUT)), p))
-        return F.when(F.size(ps) == 0, F.array().cast("array<string>")).otherwise(F.split(F.substring(F.array_join(marked, ""), 2, 1 << 30), CUT))
+        marked = F.zip_with(ps, F.slice(before, 1, F.size(ps)), lambda p, b: F.concat(F.when(glued(p, b), F.lit(" ")).otherwise(F.lit(CUT)), escaped(p)))
+        again = F.transform(F.split(F.substring(F.array_join(marked, ""), 2, 1 << 30), CUT), unescaped)
+        return F.when(F.size(ps) == 0, F.array().cast("array<string>")).otherwise(again)
 
     return let(pieces, joined)
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.functions import ids
-from plumbline.operators import dense, judge, perturb, resample, reshape, trust
+from plumbline.operators import dense, irmetrics, judge, perturb, resample, reshape, trust
+from plumbline.operators.sparse import small
 from plumbline.plans import ablation, agentic, answer, sql_rounds
 from plumbline.plans import sql as S
 from plumbline.plans import sql_draws as Z
@@ -275,23 +276,34 @@ def _values(pairs) -> str:
     return ", ".join("(" + ", ".join("'" + x + "'" for x in (p if isinstance(p, tuple) else (p,))) + ")" for p in pairs)
 
 
+#: Passages that a question's padding is chosen from.
+DISTRACTORS = 8
 EDITED = rf"""{HITS},
 lists as (select h.qid, list(p.text order by rank) as passages from hits h join passages p using (passage_id) group by h.qid),
-pool_texts as (select distinct text from passages order by md5(text) limit 100), {S.sentence_ctes('pool_s', 'pool_texts', 'text', 'text')},
-pool as (select list({{'t': text, 's': case when len(sentences) > 0 then sentences[1] else {S.strip('text')} end}}) as pool from pool_s),
+ring as (select passage_id, row_number() over (order by md5('0|' || passage_id), passage_id) - 1 as p from passages), ring_size as (select count(*) as n from passages),
+ring_from as (select qid, coalesce(r, 0) as r, cast('0x' || left(md5('1|' || qid), 8) as bigint) % n as s, n from (select distinct qid from talk) left join (select qid, count(distinct passage_id) as r from hits group by qid) using (qid), ring_size),
+ring_want as (select qid, i, (s + i) % n as p from (select *, unnest(range(0, least({DISTRACTORS} + r, n))) as i from ring_from)),
+ring_free as (select w.qid, i, ring.passage_id from ring_want w join ring using (p) where (w.qid, ring.passage_id) not in (select qid, passage_id from hits)),
+ring_best as (select *, row_number() over (partition by qid order by i) as place from ring_free),
+pool_texts as (select distinct text from passages where passage_id in (select passage_id from ring_best where place <= {DISTRACTORS})), {S.sentence_ctes('pool_s', 'pool_texts', 'text', 'text')},
+pool as (select qid, list({{'t': text, 's': case when len(sentences) > 0 then sentences[1] else {S.strip('text')} end}}) as pool from ring_best join passages using (passage_id) join pool_s using (text) where place <= {DISTRACTORS} group by qid),
 edited as (select cast(talk.qid as varchar) as key, coalesce(answer, '') as answer, coalesce(passages, []) as passages,
-  list_distinct(list_transform(list_filter(pool, lambda x: not list_contains(coalesce(passages, []), x.t)), lambda x: x.s)) as others from talk left join lists using (qid), pool),
+  list_distinct(list_transform(list_filter(coalesce(pool, []), lambda x: not list_contains(coalesce(passages, []), x.t)), lambda x: x.s)) as others from talk left join lists using (qid) left join pool using (qid)),
 each as (select *, unnest([0, 1, 2]) as seed from edited),
 named as (select key, seed, answer, {_names('answer')} as own, {_names("array_to_string(passages, chr(10))")} as other from each),
 swaps as (select key, seed, answer, a, b from (select *, unnest(other) as b from (select *, unnest(own) as a from named)) where not contains(lower(a), lower(b)) and not contains(lower(b), lower(a))),
 swapped as (select key, seed, answer, min_by({{'a': a, 'b': b}}, {_digest('entity_swap', "a || '|' || b")}) as c from swaps group by all),
-pieces as (select key, seed, string_split(regexp_replace(answer, '({perturb.NUMBER})', chr(1) || '\1' || chr(1), 'g'), chr(1)) as p from each),
-places as (select *, list_filter(range(1, len(p), 2), lambda i: length(p[i + 1]) <= {perturb.NUMBER_CHARS}) as spots from pieces),
+pieces as (select key, seed, string_split(regexp_replace({S.esc('answer')}, '({perturb.NUMBER})', chr(1) || '\1' || chr(1), 'g'), chr(1)) as p from each),
+places as (select *, range(1, len(p), 2) as spots from pieces),
 numbers as (select key, seed, p, spots[cast({_drawn('number_corruption', 'len(spots)', 'place')} as integer) + 1] as i from places where len(spots) > 0),
-parts as (select *, p[i + 1] as old, cast(replace(p[i + 1], '.', '') as hugeint) as n, case when contains(p[i + 1], '.') then length(p[i + 1]) - position('.' in p[i + 1]) else 0 end as d from numbers),
-scaled as (select *, cast(power(10, d) as hugeint) as unit, case {_drawn('number_corruption', '4', 'factor')} when 0 then n * 10 when 1 then n * 100 when 2 then (n + 5) // 10 else (n + 50) // 100 end as m from parts),
-jumped as (select *, case when n = 0 then (50 + {_drawn('number_corruption', '949', 'zero')}) * unit when abs(m - n) < 2 * unit then n + (50 + {_drawn('number_corruption', '450', 'jump')}) * unit else m end as new from scaled),
-shown as (select key, seed, p, i, cast(new // unit as varchar) || case when d > 0 then '.' || lpad(cast(new % unit as varchar), cast(d as integer), '0') else '' end as new from jumped),
+parts as (select *, p[i + 1] as old, case when length(p[i + 1]) <= {perturb.NUMBER_CHARS} then cast(left(replace(p[i + 1], '.', ''), 15) as hugeint) end as n, case when contains(p[i + 1], '.') then length(p[i + 1]) - position('.' in p[i + 1]) else 0 end as d,
+  {_drawn('number_corruption', '4', 'factor')} as how, {_drawn('number_corruption', '949', 'zero')} as zero, replace(p[i + 1], '.', '') as digits from numbers),
+scaled as (select *, case when n is not null then cast(power(10, d) as hugeint) end as unit, case how when 0 then n * 10 when 1 then n * 100 when 2 then (n + 5) // 10 else (n + 50) // 100 end as m,
+  case when regexp_full_match(digits, '0+') then (50 + zero) || repeat('0', d) when how = 0 then digits || '0' when how = 1 then digits || '00' when how = 2 then left(digits, length(digits) - 1) else left(digits, length(digits) - 2) end as raw from parts),
+jumped as (select *, case when n = 0 then (50 + zero) * unit when abs(m - n) < 2 * unit then n + (50 + {_drawn('number_corruption', '450', 'jump')}) * unit else m end as new,
+  case when length(raw) > d then raw else lpad(raw, cast(d + 1 as integer), '0') end as long from scaled),
+shown as (select key, seed, p, i, case when n is null then regexp_replace(left(long, length(long) - d), '^0+([0-9])', '\1') || case when d > 0 then '.' || right(long, d) else '' end
+  else cast(new // unit as varchar) || case when d > 0 then '.' || lpad(cast(new % unit as varchar), cast(d as integer), '0') else '' end end as new from jumped),
 reversals(phrase, new) as (values {_values(perturb.REVERSALS)}),
 reversed as (select key, seed, answer, min_by({{'p': phrase, 'n': new}}, {_digest('negation', "phrase || '|' || new")}) as c from each, reversals where regexp_matches(answer, '(?i)\b' || phrase || '\b') group by all),
 stock as (select [{", ".join("'" + x + "'" for x in perturb.UNSUPPORTED)}] as s),
@@ -303,7 +315,7 @@ far as (select key, seed, answer, min_by(o, {_digest('off_topic_padding', 'o')})
 made as (
   select key, 'original' as operator, cast(null as bigint) as seed, answer as text from edited
   union all select key, 'entity_swap', seed, regexp_replace(answer, '\b\Q' || c.a || '\E\b', c.b) from swapped
-  union all select key, 'number_corruption', seed, array_to_string(list_transform(p, lambda x, j: case when j = i + 1 then new else x end), '') from shown
+  union all select key, 'number_corruption', seed, array_to_string(list_transform(p, lambda x, j: case when j = i + 1 then new else {S.unesc('x')} end), '') from shown
   union all select key, 'negation', seed, regexp_replace(answer, '(?i)\b' || c.p || '\b', c.n) from reversed
   union all select key, 'unsupported_addition', seed, {_CLOSED} || ' ' || s[cast({_drawn('unsupported_addition', str(len(perturb.UNSUPPORTED)))} as integer) + 1] from each, stock where {S.strip('answer')} <> ''
   union all select told.key, 'paraphrase', seed, told.text from told join each using (key)
@@ -313,17 +325,17 @@ made as (
 
 @query(f"with {EDITED} select key as qid, operator, seed, text, operator in ('entity_swap', 'number_corruption', 'negation', 'unsupported_addition') as hallucinated from made")
 def perturbations(spark, sf_dir):
-    """Every edit of every recorded answer, with retrieved passages; what is padded comes from the
-    first sentences of a hundred passages of the corpus, chosen by digest, that weren't retrieved."""
+    """Every edit of every recorded answer, with retrieved passages; what is padded comes from first
+    sentences of passages that weren't retrieved, drawn from the whole corpus for each question."""
     p, _, t, hits = setting(spark, sf_dir)
     lists = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "passage"))).alias("p"))
-    texts = p.select("text").distinct().orderBy(F.md5(F.col("text").cast("binary"))).limit(100)
-    pool = texts.select(F.md5(F.col("text").cast("binary")).alias("t"), answer.T.first_sentence(F.col("text")).alias("s")).collect()
+    free = stored(irmetrics.random_negatives(t.select("qid").distinct(), p, hits.select("qid", "passage_id"), DISTRACTORS, key="passage_id"), "free")
+    texts = p.join(small(free.select("passage_id").distinct()), "passage_id", "left_semi").select("passage_id", F.struct("text", answer.T.first_sentence(F.col("text")).alias("s")).alias("x"))
+    pools = free.join(texts, "passage_id").groupBy("qid").agg(F.collect_list("x").alias("pool"))
     passages = F.coalesce("p.passage", F.array().cast("array<string>"))
-    options = F.array(*(F.struct(F.lit(x.t).alias("t"), F.lit(x.s).alias("s")) for x in pool)) if pool else F.array().cast("array<struct<t:string,s:string>>")
-    known = F.transform(passages, lambda x: F.md5(x.cast("binary")))
-    others = answer.T.let(known, lambda k: F.array_distinct(F.transform(F.filter(options, lambda x: ~F.array_contains(k, x["t"])), lambda x: x["s"])))
-    rows = t.join(lists, "qid", "left").select("qid", "answer", passages.alias("passages"), others.alias("distractors"))
+    unlike = lambda own: F.array_distinct(F.transform(F.filter("pool", lambda x: ~F.array_contains(own, x["text"])), lambda x: x["s"]))
+    others = F.coalesce(answer.T.let(passages, unlike), F.array().cast("array<string>"))
+    rows = t.join(lists, "qid", "left").join(pools, "qid", "left").select("qid", "answer", passages.alias("passages"), others.alias("distractors"))
     return perturb.apply_all(rows)
 
 

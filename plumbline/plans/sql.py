@@ -23,14 +23,22 @@ def word_set(x: str) -> str:
     return rf"list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+'))"
 
 
+def esc(x: str) -> str:
+    return f"replace(replace({x}, chr(2), chr(2) || 'b'), chr(1), chr(2) || 'a')"
+
+
+def unesc(x: str) -> str:
+    return f"replace(replace({x}, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))"
+
+
 def sentence_ctes(name: str, source: str, keys: str, text: str, min_chars: int = 20) -> str:
     """CTEs that end in name(keys, sentences)."""
     return rf"""
-{name}_1 as (select {keys}, list_filter(string_split(regexp_replace({squeeze(text)}, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)), lambda p: p <> '') as p from {source}),
+{name}_1 as (select {keys}, list_filter(string_split(regexp_replace({esc(squeeze(text))}, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)), lambda p: p <> '') as p from {source}),
 {name}_2 as (select {keys}, case when len(p) = 0 then [] else string_split(array_to_string(list_transform(p, lambda x, i:
     case when i = 1 then '' when lower(regexp_extract(p[i - 1], '[^ ]*$')) in ({ABBREVIATED}) then ' ' else chr(1) end || x), ''), chr(1)) end as w from {name}_1),
-{name} as (select {keys}, case when len(w) = 0 then [] else string_split(array_to_string(list_transform(w, lambda x, i:
-    case when i = 1 then '' when length(x) < {min_chars} then ' ' else chr(1) end || x), ''), chr(1)) end as sentences from {name}_2)"""
+{name} as (select {keys}, case when len(w) = 0 then [] else list_transform(string_split(array_to_string(list_transform(w, lambda x, i:
+    case when i = 1 then '' when length({unesc('x')}) < {min_chars} then ' ' else chr(1) end || x), ''), chr(1)), lambda x: {unesc('x')}) end as sentences from {name}_2)"""
 
 
 def chunk_ctes(name: str = "chunks", source: str = "documents", key: str = "doc_id", text: str = "text", w: int = 8, s: int = 4) -> str:

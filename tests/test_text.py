@@ -1,11 +1,31 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import chunks
-from plumbline.operators.perturb import sentences
+from plumbline.operators import chunks, perturb
+
+
+def sentences(text, min_chars=20):
+    """One piece after the other: what ends in an abbreviation takes the next, and a short one goes to the last."""
+    pieces = [p for p in re.split(r"(?<=[.!?]) ", " ".join((text or "").split())) if p]
+    found = []
+    for piece in pieces:
+        if found and found[-1][1].rsplit(" ", 1)[-1].lower() in T.ABBREVIATIONS:
+            found[-1] = (f"{found[-1][0]} {piece}", piece)
+        else:
+            found.append((piece, piece))
+    out = []
+    for whole, _ in found:
+        if out and len(whole) < min_chars:
+            out[-1] += f" {whole}"
+        else:
+            out.append(whole)
+    return out
+
 
 
 def each(spark, values, expr, kind="string"):
@@ -65,3 +85,25 @@ def test_names_and_lines(spark):
     assert sections == [["One\ntext", "Two"], ["no heading"], []]
     assert each(spark, ["Café au lait, 2x!"], T.tokens) == [["caf", "au", "lait", "2x"]]
     assert each(spark, ["Café café 2x!"], T.word_set) == [["café", "2x"]]
+
+
+def test_control_characters_cut_no_sentence(spark):
+    texts = ["First one is a sentence\u0001with a control character in it. The second one is a sentence, too.", "\u0001\u0002a\u0002b. And here \u0002\u0001\u0001 are more of them, yes! Short.", "\u0001", "a\u0002"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.sentences(F.col("t")).alias("s")).collect()
+    assert {r.i: r.s for r in rows} == {i: sentences(t) for i, t in enumerate(texts)}
+
+
+def test_numbers_of_any_length_are_edited(spark):
+    texts = ["Pi is 3.14159265358979323846264338327950288 or so.", "\u0001There are 12345678901234567890123456789012345678901234567890 of \u0002them.", "Zero 0000000000000000000.000 it is.", "Plain 42 here\u0001."]
+    df = spark.createDataFrame([(i, t, [], []) for i, t in enumerate(texts)], "qid long, answer string, passages array<string>, distractors array<string>")
+    got = {}
+    for r in perturb.apply_all(df, seeds=tuple(range(8))).filter("operator = 'number_corruption'").collect():
+        got.setdefault(int(r.qid), []).append(r.text)
+    for i, t in enumerate(texts):
+        old = re.search(r"[0-9]+(?:\.[0-9]+)?", t)
+        assert len(got[i]) == 8
+        for text in got[i]:
+            assert text.startswith(t[: old.start()]) and text.endswith(t[old.end() :])
+            new = text[old.start() : len(text) - len(t) + old.end()]
+            assert new != old[0] and re.fullmatch(r"(0|[1-9][0-9]*)(\.[0-9]+)?", new), new
+            assert len(new.partition(".")[2]) == len(old[0].partition(".")[2])
