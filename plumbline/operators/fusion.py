@@ -42,8 +42,3 @@ def collapse(hits: DataFrame, parent: str, k: int, qid: str = "qid") -> DataFram
 def route(similarity: Column, gate: float = 0.30, margin: float = 0.15) -> Column:
     return F.when(similarity < gate, "abstain").when(similarity >= gate + margin, "single").otherwise("iterative")
 
-
-def first_seen(rows: DataFrame, qid: str, key: str, *order: str) -> DataFrame:
-    """Each (qid, key) once, as it came first."""
-    place = F.row_number().over(Window.partitionBy(qid, key).orderBy(*order))
-    return rows.withColumn("_n", place).filter("_n = 1").drop("_n")

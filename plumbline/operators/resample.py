@@ -214,7 +214,7 @@ def disagreement(sampled: DataFrame, key: str = "qid") -> DataFrame:
     """
     rows = sampled.select("sample", F.col(key).cast("long").alias("key"), "t_arith", "t_geom").dropna()
     sizes = rows.groupBy("sample").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
-    tiled = _tiles(rows.join(F.broadcast(sizes), "sample").withColumnRenamed("blocks", "n"), F.col("n"))
+    tiled = _tiles(rows.join(small(sizes), "sample").withColumnRenamed("blocks", "n"), F.col("n"))
 
     def count(table: pa.Table) -> pa.Table:
         keys, a, g, block = (table.column(c).to_numpy() for c in ("key", "t_arith", "t_geom", "block"))

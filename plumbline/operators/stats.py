@@ -146,14 +146,38 @@ def recommended_threshold(retention: DataFrame, floor: float) -> DataFrame:
     return retention.agg(F.coalesce(F.max(F.when(F.col("rate") >= floor, F.col("tau"))), F.min("tau")).alias("tau"))
 
 
-def percentiles(value: Column, points: tuple) -> list[Column]:
-    """Linear interpolation between order statistics."""
-    return [F.percentile(value, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in points]
+def linear(p: float) -> tuple[str, float]:
+    """Between order statistics, by linear interpolation."""
+    return "linear", p
 
 
-def nearest_rank(value: str, p: float) -> Column:
+def nearest(p: float) -> tuple[str, float]:
     """The smallest value that at least a share p of the values doesn't exceed."""
-    return F.expr(f"percentile_disc({p}) within group (order by {value})")
+    return "nearest", p
+
+
+def order_statistics(rows: DataFrame, value: Column, wanted: dict[str, tuple[str, float]], by: tuple = ()) -> DataFrame:
+    """by, and a column for each name in wanted (`linear` or `nearest`), exactly; nulls drop out.
+
+    Distinct values are counted and their places found by running sums over ranges of them
+    (`order.running`), so no task holds the values of a group.
+    """
+    t = rows.select(*by, value.cast("double").alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    t = running(t, [F.col("_v")], {"_before": F.col("_n")}, by)
+    totals = small(t.groupBy(*by).agg(F.sum("_n").alias("_total")))
+    t = t.join(totals, list(by)) if by else t.join(totals)
+    before, upto, total = F.col("_before"), F.col("_before") + F.col("_n"), F.col("_total")
+    at = lambda place: F.max(F.when((before <= place) & (place < upto), F.col("_v")))
+    found, shown = [], []
+    for name, (kind, p) in wanted.items():
+        place = F.lit(p) * (total - 1)
+        if kind == "linear":
+            found += [at(F.floor(place)).alias(f"_{name}_low"), at(F.ceil(place)).alias(f"_{name}_high"), F.max(place - F.floor(place)).alias(f"_{name}_part")]
+            shown.append((F.col(f"_{name}_low") * (1 - F.col(f"_{name}_part")) + F.col(f"_{name}_high") * F.col(f"_{name}_part")).alias(name))
+        else:
+            found.append(at(F.greatest(F.ceil(F.lit(p) * total) - 1, F.lit(0))).alias(f"_{name}"))
+            shown.append(F.col(f"_{name}").alias(name))
+    return t.groupBy(*by).agg(*found).select(*by, *shown)
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -15,11 +15,6 @@ def entailment(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
-def lexical_nli(pairs: DataFrame, premise: str, hypothesis: str) -> DataFrame:
-    """pairs with entailment, and the rest split between neutral and contradiction."""
-    return _all_three(pairs, entailment(T.word_set(F.col(premise)), T.word_set(F.col(hypothesis))))
-
-
 def _all_three(pairs: DataFrame, e: Column) -> DataFrame:
     out = pairs.withColumn("entailment", e)
     return out.withColumn("neutral", (1 - F.col("entailment")) / 2).withColumn("contradiction", (1 - F.col("entailment")) / 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,27 @@ from plumbline.operators.sparse import small
 from plumbline.plans.models import Models, extractive, lexical_pair_score
 from plumbline.sources.shared import stored
 
+class Stages:
+    """Milliseconds that the stages of a batch of answers took, each until its table was written."""
+
+    def __init__(self) -> None:
+        self.took: list[tuple[str, float]] = []
+
+    def keep(self, df: DataFrame, stage: str) -> DataFrame:
+        began = time.perf_counter()
+        out = stored(df, stage)
+        self.took.append((stage, 1000 * (time.perf_counter() - began)))
+        return out
+
+    def told(self) -> list[dict]:
+        return [{"stage": s, "ms": round(ms, 3)} for s, ms in self.took]
+
+    def column(self) -> Column:
+        """For traces: the stages as an array of (stage, ms)."""
+        kind = "array<struct<stage:string,ms:double>>"
+        return F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(float(ms)).alias("ms")) for s, ms in self.took)).cast(kind)
+
+
 DECLINED = "Not answerable from this corpus."
 __all__ = ["DECLINED", "extractive", "lexical_pair_score"]
 
@@ -68,7 +90,7 @@ def gated(questions: DataFrame, hits: DataFrame, config: Config) -> DataFrame:
     return found.withColumn("passed", F.col("top_similarity") >= config.retrieval_gate)
 
 
-def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: Config, generated: DataFrame | None = None, citations: DataFrame | None = None, gate: DataFrame | None = None, models: Models | None = None) -> DataFrame:
+def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: Config, generated: DataFrame | None = None, citations: DataFrame | None = None, gate: DataFrame | None = None, models: Models | None = None, stages: Stages | None = None) -> DataFrame:
     """One wide row of metrics, aggregates and verdicts a question; null is undefined.
 
     questions: qid, question, qvec; hits: qid, rank, passage, vec; answers: qid, answer. The
@@ -84,7 +106,9 @@ def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: C
     passed = gate.filter("passed").select("qid")
     live, answers = questions.join(passed, "qid", "left_semi"), answers.join(passed, "qid", "left_semi")
     claims = answers.select("qid", F.posexplode(T.sentences(F.col("answer"))).alias("claim_idx", "claim"))
+    claims = claims if stages is None else stages.keep(claims, "decompose")
     nli = models.nli.matrix(claims, hits.join(passed, "qid", "left_semi"))
+    nli = nli if stages is None else stages.keep(nli, "entail")
     support = trust.claim_support(nli)
     vectors = models.embedder.embed(claims.select(F.struct("qid", "claim_idx").alias("id"), "claim"), "id", "claim")
     vectors = vectors.select("id.qid", "id.claim_idx", "vec")
@@ -107,20 +131,24 @@ def measure(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: C
 
 
 def answer_all(
-    passages: DataFrame, vectors: DataFrame, questions: DataFrame, config: Config | None = None, answers: DataFrame | None = None, models: Models | None = None, index: inverted.Index | None = None
+    passages: DataFrame, vectors: DataFrame, questions: DataFrame, config: Config | None = None, answers: DataFrame | None = None, models: Models | None = None, index: inverted.Index | None = None, stages: Stages | None = None
 ) -> DataFrame:
     """Answers and measures a table of questions (qid, question); `answers` (qid, answer) are
-    recorded ones, otherwise the models' generator writes them, for questions that pass the gate."""
+    recorded ones, otherwise the models' generator writes them, for questions that pass the gate.
+    `stages` is told how long retrieving, the gate, generating, decomposing, entailment and scoring took."""
     config, models = config or Config(), models or Models()
+    keep = stored if stages is None else stages.keep
     qvec = models.embedder.embed(questions, "qid", "question")
     asked = questions.join(qvec.withColumnRenamed("vec", "qvec"), "qid", "left")
     hits = retrieve(passages, vectors, questions, qvec, config, scorer=models.scorer, index=index)
-    hits = stored(hits, "ranked")
+    hits = keep(hits, "retrieve")
     texts = passages.select("passage_id", F.coalesce("source_text", "text").alias("passage") if "source_text" in passages.columns else F.col("text").alias("passage"))
     full = stored(hit_rows(hits, texts, vectors).join(questions, "qid"), "hits")
-    gate = stored(gated(asked, full, config), "gate")
+    gate = keep(gated(asked, full, config), "gate")
     made = models.generator.generate(full.join(gate.filter("passed").select("qid"), "qid", "left_semi")) if answers is None else answers
+    made = made if stages is None else stages.keep(made, "generate")
     cited = own_citations(made) if answers is None and models.generator.cites_first else None
     generated = models.back_questions(made, config) if config.answer_relevance else None
-    out = measure(asked, full, made.select("qid", "answer"), config, generated, cited, gate, models).join(made.select("qid", "answer"), "qid", "left")
-    return out.withColumn("answer", F.when(F.col("abstained"), F.lit(DECLINED)).otherwise(F.col("answer")))
+    out = measure(asked, full, made.select("qid", "answer"), config, generated, cited, gate, models, stages).join(made.select("qid", "answer"), "qid", "left")
+    out = out.withColumn("answer", F.when(F.col("abstained"), F.lit(DECLINED)).otherwise(F.col("answer")))
+    return out if stages is None else stages.keep(out, "score")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 from collections import OrderedDict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
-from plumbline.operators import fusion, inverted, trust
+from plumbline.operators import fusion, inverted, stats, trust
 from plumbline.plans import agentic, answer
 from plumbline.plans.models import Models
 from plumbline.sources import corpus, store
@@ -90,9 +91,10 @@ class Engine:
         c = self.config
         return self.similarity(questions).withColumn("route", fusion.route(F.col("top_similarity"), c.retrieval_gate, c.route_iterate_margin))
 
-    def answer(self, questions: DataFrame | list[str], answers: DataFrame | None = None) -> DataFrame:
-        """Answers and their measures, one row a question; `answers` (qid, answer) are recorded ones."""
-        return answer.answer_all(self._ready(), self.vectors, self._asked(questions), self.config, answers, self.models, self.index)
+    def answer(self, questions: DataFrame | list[str], answers: DataFrame | None = None, stages: answer.Stages | None = None) -> DataFrame:
+        """Answers and their measures, one row a question; `answers` (qid, answer) are recorded ones, and
+        `stages` is told how long each stage took."""
+        return answer.answer_all(self._ready(), self.vectors, self._asked(questions), self.config, answers, self.models, self.index, stages)
 
     def answer_iterative(self, questions: DataFrame | list[str], reformulate=agentic.alternate) -> tuple[DataFrame, DataFrame]:
         return agentic.iterate(self._ready(), self.vectors, self._asked(questions), self.config, reformulate, models=self.models, index=self.index)
@@ -104,6 +106,7 @@ class Corpora:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, models: Models | None = None, capacity: int = 4):
         self.spark, self.path, self.config, self.models, self.capacity = spark, path, config, models or Models(), capacity
         self._engines: OrderedDict[str, Engine] = OrderedDict()
+        self._lock = threading.RLock()
 
     def add(self, uploads: DataFrame, now: Column | None = None, **limits) -> DataFrame:
         return store.add_corpus(self.path, uploads, self.models.embedder.name, F.current_timestamp() if now is None else now, **limits)
@@ -118,19 +121,24 @@ class Corpora:
         return store.get_corpus(self.spark, self.path, corpus_id)[0]
 
     def delete(self, corpus_id: str) -> None:
-        self._engines.pop(corpus_id, None)
+        with self._lock:
+            self._engines.pop(corpus_id, None)
         store.delete_corpus(self.spark, self.path, corpus_id)
 
     def engine(self, corpus_id: str) -> Engine:
         """The engine of a corpus; the one that wasn't asked for longest goes when there are too many."""
-        if corpus_id not in self._engines:
-            passages = store.get_corpus(self.spark, self.path, corpus_id)[1]
-            texts = passages.select("idx", "text")
-            self._engines[corpus_id] = Engine(self.spark, self.config, self.models).index_texts(texts, "idx")
-        self._engines.move_to_end(corpus_id)
-        while len(self._engines) > max(1, self.capacity):
-            self._engines.popitem(last=False)
-        return self._engines[corpus_id]
+        with self._lock:
+            if corpus_id in self._engines:
+                self._engines.move_to_end(corpus_id)
+                return self._engines[corpus_id]
+        passages = store.get_corpus(self.spark, self.path, corpus_id)[1]  # other corpora can be asked meanwhile
+        made = Engine(self.spark, self.config, self.models).index_texts(passages.select("idx", "text"), "idx")
+        with self._lock:
+            own = self._engines.setdefault(corpus_id, made)
+            self._engines.move_to_end(corpus_id)
+            while len(self._engines) > max(1, self.capacity):
+                self._engines.popitem(last=False)
+            return own
 
     def sweep(self, now: Column, ttl_hours: float, cap: int) -> list[str]:
         """Deletes what is too old or beyond the cap; returns the ids."""
@@ -149,8 +157,15 @@ def summary(answered: DataFrame) -> DataFrame:
     """One row over a batch of answers: counts, and mean and median of each measure that is defined."""
     measures = [c for c in ("faithfulness", "attribution", "relevance", "conciseness", "t_arith", "t_geom") if c in answered.columns]
     live = lambda c: F.when(~F.col("abstained"), F.col(c)) if c.startswith("t_") else F.col(c)
-    stats: list[Column] = [f(live(c)).alias(f"{name}_{c}") for c in measures for name, f in (("mean", F.avg), ("median", F.median))]
-    return answered.agg(F.count(F.lit(1)).alias("count"), F.count_if(~F.col("abstained")).alias("answered"), F.count_if("abstained").alias("abstained"), *stats)
+    means: list[Column] = [F.avg(live(c)).alias(f"mean_{c}") for c in measures]
+    whole = answered.agg(F.count(F.lit(1)).alias("count"), F.count_if(~F.col("abstained")).alias("answered"), F.count_if("abstained").alias("abstained"), *means)
+    if not measures:
+        return whole
+    # one row a measure and answer, so that all medians are found in one pass over ranges of values
+    each = answered.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), live(c).cast("double").alias("value")) for c in measures))).alias("m")).select("m.*")
+    middle = stats.order_statistics(each, F.col("value"), {"median": stats.linear(0.5)}, ("measure",))
+    wide = middle.agg(*(F.max(F.when(F.col("measure") == c, F.col("median"))).alias(f"median_{c}") for c in measures))
+    return whole.join(F.broadcast(wide)).select("count", "answered", "abstained", *(f"{f}_{c}" for c in measures for f in ("mean", "median")))  # a row each
 
 
 def arm_metrics(records: DataFrame) -> DataFrame:

@@ -142,21 +142,22 @@ _P = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 @query("select event_type, " + ", ".join(f"round(quantile_cont(value, {p}), 6) as p{round(p * 100):02d}" for p in _P) + " from events group by event_type")
 def percentile_linear(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(*D.percentiles(F.col("value"), _P)).select("event_type", *r6(*[f"p{round(p * 100):02d}" for p in _P]))
+    names = {f"p{round(p * 100):02d}": D.linear(p) for p in _P}
+    return D.order_statistics(table(spark, sf_dir, "events"), F.col("value"), names, ("event_type",)).select("event_type", *r6(*names))
 
 
 @query("select event_type, round(quantile_disc(value, 0.5), 6) as p50, round(quantile_disc(value, 0.95), 6) as p95 from events group by event_type")
 def percentile_nearest_rank(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(D.nearest_rank("value", 0.5).alias("p50"), D.nearest_rank("value", 0.95).alias("p95")).select("event_type", *r6("p50", "p95"))
+    names = {"p50": D.nearest(0.5), "p95": D.nearest(0.95)}
+    return D.order_statistics(table(spark, sf_dir, "events"), F.col("value"), names, ("event_type",)).select("event_type", *r6(*names))
 
 
 @query(f"with {S.SCORED} select label, count(*) as n, round(avg(score), 6) as mean, round(min(score), 6) as least, round(max(score), 6) as most, round(quantile_cont(score, 0.5), 6) as p50 from scored group by label")
 def score_distribution(spark, sf_dir):
-    return scored(spark, sf_dir).groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"), F.round(F.percentile("score", F.lit(0.5)), 6).alias("p50")
-    )
+    rows = scored(spark, sf_dir)
+    middle = D.order_statistics(rows, F.col("score"), {"p50": D.linear(0.5)}, ("label",)).select("label", *r6("p50"))
+    found = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.round(f("score"), 6).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max))))
+    return found.join(small(middle), "label")
 
 
 @query("""with x as (select label, cast(unnest(embedding) as double) as v from embeddings)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.functions import ids
-from plumbline.operators import dense, irmetrics, judge, perturb, resample, reshape, trust
+from plumbline.operators import dense, irmetrics, judge, perturb, resample, reshape, stats, trust
 from plumbline.operators.sparse import small
 from plumbline.plans import ablation, agentic, answer, sql_rounds
 from plumbline.plans import sql as S
@@ -205,8 +205,9 @@ def abstention_gates(spark, sf_dir):
 select metric, count(v) as n, round(avg(v), 6) as mean, round(median(v), 6) as median from l group by metric""")
 def metric_summary_mean_median(spark, sf_dir):
     names = ["faithfulness", "contradiction_rate", "relevance", "conciseness"]
-    long = scorecard(spark, sf_dir).select(*names).unpivot([], names, "metric", "v")
-    return long.groupBy("metric").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"))
+    long = stored(scorecard(spark, sf_dir).select(*names).unpivot([], names, "metric", "v"), "measures")
+    middle = stats.order_statistics(long, F.col("v"), {"median": stats.linear(0.5)}, ("metric",)).select("metric", F.round("median", 6).alias("median"))
+    return long.groupBy("metric").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean")).join(middle, "metric", "left")
 
 
 _ROWS = "rated as (select doc_id as qid, least(1, n_chars / 4000.0) as a, (doc_id % 7) / 7.0 as b, (doc_id % 11 + 1) / 12.0 as c, (doc_id % 13 + 1) / 14.0 as d from documents join labels using (doc_id))"
@@ -244,10 +245,6 @@ def ranking_disagreement(spark, sf_dir):
     return found.select(F.round("rate", 6).alias("rate"), "pairs")
 
 
-#: Names under which the queries over all draws stood beside smaller ones.
-ranking_disagreement_all, weight_sensitivity_all = ranking_disagreement, weight_sensitivity
-
-
 def _paraphrased() -> str:
     """CTEs that end in told(key, answer, text): each rule replaces its first match, with its capital."""
     steps, last = [], "answers_"

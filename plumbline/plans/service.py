@@ -15,9 +15,12 @@ from collections import deque
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from threading import Lock
+from urllib.parse import parse_qsl, urlsplit
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.plans.answer import Stages
 from plumbline.plans.engine import Corpora, Engine
 from plumbline.streaming.limiter import decide
 
@@ -49,13 +52,14 @@ class Service:
     def handle(self, method: str, path: str, headers: dict | None = None, body: bytes = b"", host: str | None = None) -> tuple[int, object]:
         """The status and the JSON value (None for no content) of a request."""
         headers = {k.lower(): v for k, v in (headers or {}).items()}
-        parts = [p for p in path.split("?")[0].split("/") if p]
+        place = urlsplit(path)
+        parts, asked = [p for p in place.path.split("/") if p], dict(parse_qsl(place.query))
         try:
-            return self._route(method, parts, headers, body, host)
+            return self._route(method, parts, headers, body, host, asked)
         except Refused as e:
             return e.status, {"detail": str(e), **({"retry_after": e.retry} if e.retry is not None else {})}
 
-    def _route(self, method: str, parts: list[str], headers: dict, body: bytes, host: str | None) -> tuple[int, object]:
+    def _route(self, method: str, parts: list[str], headers: dict, body: bytes, host: str | None, asked: dict) -> tuple[int, object]:
         if (method, parts) == ("GET", ["health"]):
             return 200, {"status": "ok", "ready": self.engine is not None}
         if (method, parts) == ("GET", ["corpora", "limits"]):
@@ -77,7 +81,7 @@ class Service:
             return 200, self._answer(self._json(body))
         if parts[0] == "corpora" and self.corpora is not None:
             if (method, len(parts)) == ("GET", 1):
-                return 200, [r.asDict() | {"created_at": str(r.created_at)} for r in self.corpora.list().limit(1000).collect()]
+                return 200, [r.asDict() | {"created_at": str(r.created_at)} for r in self._page(self.corpora.list(), asked).toLocalIterator()]
             if (method, len(parts)) == ("POST", 1):
                 self._admit(headers, host)
                 return 201, self._upload(self._json(body))
@@ -89,6 +93,18 @@ class Service:
                 return 204, None
         raise Refused(404, "no such path")
 
+    @staticmethod
+    def _page(rows: DataFrame, asked: dict) -> DataFrame:
+        """All rows, or those that ?offset= and ?limit= ask for."""
+        try:
+            skip, most = int(asked.get("offset", 0)), int(asked["limit"]) if "limit" in asked else None
+        except ValueError as e:
+            raise Refused(422, "offset and limit are numbers") from e
+        if skip < 0 or (most is not None and most < 0):
+            raise Refused(422, "offset and limit aren't negative")
+        rows = rows.offset(skip) if skip else rows
+        return rows if most is None else rows.limit(most)
+
     def _ready(self, corpus_id: str | None) -> Engine:
         if corpus_id is not None:
             try:
@@ -132,11 +148,12 @@ class Service:
         if len(question) > QUESTION_CHARS:
             raise Refused(413, f"a question has at most {QUESTION_CHARS} characters")
         engine, began = self._ready(asked.get("corpus_id")), self.clock()
-        row = engine.answer([question]).first().asDict()
+        stages = Stages()
+        row = engine.answer([question], stages=stages).first().asDict()
         clean = {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in row.items() if k != "qid"}
         hashed = engine.spark.range(1).select(F.left(F.sha2(F.lit(question).cast("binary"), 256), F.lit(12))).first()[0]
-        self.traces.append({"question_hash": hashed, "abstained": row["abstained"], "trust_geometric": None if row["abstained"] else row["t_geom"], "total_ms": 1000 * (self.clock() - began)})
-        return {"question": question} | clean
+        self.traces.append({"question_hash": hashed, "abstained": row["abstained"], "trust_geometric": None if row["abstained"] else row["t_geom"], "corpus_id": asked.get("corpus_id"), "stages": stages.told(), "total_ms": 1000 * (self.clock() - began)})
+        return {"question": question, "stage_timings": stages.told()} | clean
 
     def _upload(self, sent: dict) -> dict:
         name, content = sent.get("filename"), sent.get("content")

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.sparse import small
+from plumbline.sources.shared import stored
+
 DECIDED = "key string, event_id long, at double, allowed boolean, retry_after long"
 
 
@@ -34,11 +37,19 @@ def _check(window: float) -> None:
         raise ValueError("window is positive")
 
 
+#: Requests of a client beyond which its history is folded in pieces, and of a piece, about.
+PIECE = 200_000
+
+
+def _folded(rows: pd.DataFrame, live: deque, most: int, window: float) -> list[tuple]:
+    return [decide(live, t, most, window) for t in rows["at"]]
+
+
 def limit(events: DataFrame, key: str, at: str, order: str, most: int, window: float) -> DataFrame:
     """key, event_id, at (seconds), allowed, retry_after: each client's requests by (at, order).
 
-    Requests are dealt by client and sorted by Spark, and folded as they stream by: a task holds
-    the live requests of one client, never a client's whole history.
+    Requests are dealt by client and sorted by Spark, and folded as they stream by: a task holds the live
+    requests of one client. Clients of more than PIECE requests are folded in pieces (`_in_pieces`).
     """
     _check(window)
 
@@ -53,12 +64,65 @@ def limit(events: DataFrame, key: str, at: str, order: str, most: int, window: f
             yield pd.DataFrame(out, columns=["key", "event_id", "at", "allowed", "retry_after"])
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("event_id"), F.col(at).cast("double").alias("at"))
-    dealt = rows.repartition("key").sortWithinPartitions("key", "at", "event_id")
-    return dealt.mapInPandas(run, DECIDED)
+    rows = stored(rows, "requests")
+    busy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PIECE)
+    busy = stored(busy, "busy")
+    total = busy.agg(F.sum("n")).first()[0]
+    quiet = rows.join(small(busy.select("key")), "key", "left_anti") if total else rows
+    dealt = quiet.repartition("key").sortWithinPartitions("key", "at", "event_id")
+    done = dealt.mapInPandas(run, DECIDED)
+    return done.unionByName(_in_pieces(rows.join(small(busy.select("key")), "key", "left_semi"), total, most, window)) if total else done
+
+
+def _in_pieces(rows: DataFrame, total: int, most: int, window: float) -> DataFrame:
+    """limit() of clients whose histories no task should fold alone.
+
+    A history is cut into ranges of time. All pieces are folded at once, as if nothing were live before
+    them; then each again whose predecessor's end says otherwise, until none does. After a gap of
+    the window, or where enough requests were denied, a piece ends as it did before, so this takes a few
+    rounds; it never takes more than a client has pieces, and what it ends with is the fold itself.
+    What is live at the ends of pieces, at most `most` times each, comes to the driver.
+    """
+    order = ["key", "at", "event_id"]
+    ranged = rows.repartitionByRange(max(1, -(-total // PIECE)), *order).withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "pieces")
+    entries: dict[tuple, list[float]] = {}
+
+    def ends(pieces: DataFrame, known: dict[tuple, list[float]]) -> DataFrame:
+        def run(k: tuple, piece: pd.DataFrame) -> pd.DataFrame:
+            piece, live = piece.sort_values(["at", "event_id"]), deque(known.get(k, []))
+            _folded(piece, live, most, window)
+            return pd.DataFrame({"key": [k[0]], "part": [k[1]], "first": [piece["at"].iloc[0]], "live": [list(live)]})
+
+        return pieces.groupBy("key", "part").applyInPandas(run, "key string, part int, first double, live array<double>")
+
+    found = {(r.key, r.part): (r.first, list(r.live)) for r in ends(ranged, {}).collect()}
+    changed = True
+    while changed:
+        changed = {}
+        for (k, part), before in zip(sorted(found)[1:], sorted(found), strict=False):
+            if before[0] != k:
+                continue
+            first = found[k, part][0]
+            live = [t for t in found[before][1] if t > first - window]
+            if live != entries.get((k, part), []):
+                changed[k, part] = live
+        entries |= changed
+        if changed:
+            which = rows.sparkSession.createDataFrame(list(changed), "key string, part int")
+            again = ends(ranged.join(small(which), ["key", "part"], "left_semi"), entries)
+            found |= {(r.key, r.part): (r.first, list(r.live)) for r in again.collect()}
+
+    def run(k: tuple, piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values(["at", "event_id"])
+        piece[["allowed", "retry_after"]] = _folded(piece, deque(entries.get(k, [])), most, window)
+        return piece[["key", "event_id", "at", "allowed", "retry_after"]]
+
+    return ranged.groupBy("key", "part").applyInPandas(run, DECIDED)
 
 
 def limit_all(events: DataFrame, at: str, order: str, most: int, window: float) -> DataFrame:
-    """One limit over all requests: a fold of the whole stream, in one task by its nature."""
+    """One limit over all requests, as of one client."""
     return limit(events.withColumn("_all", F.lit("all")), "_all", at, order, most, window)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from plumbline.functions.text import question_hash
-from plumbline.operators.stats import nearest_rank
+from plumbline.operators.stats import nearest, order_statistics
+from plumbline.sources.shared import _file, exists, remove
 
 
 def records(results: DataFrame, question: str, total_ms: Column, *more: str) -> DataFrame:
@@ -21,15 +23,49 @@ def latest(traces: DataFrame, capacity: int, *order: str) -> DataFrame:
     return traces.orderBy(*[F.desc(c) for c in order]).limit(max(capacity, 0))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The rings that were written whole, the oldest first."""
+    fs, target = _file(spark, path)
+    if not fs.exists(target):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(target)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def ring(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """The newest traces as `ring_stream` last kept them (before a batch), if it has."""
+    found = [v for v in _versions(spark, path) if below is None or v < below]
+    return spark.read.parquet(f"{path}/batch={found[-1]}") if found else None
+
+
+def ring_stream(traces: DataFrame, path: str, checkpoint: str, capacity: int, *order: str, at: str | None = None, max_age: str | None = None) -> DataStreamWriter:
+    """Keeps the newest `capacity` traces of a stream below path: what `latest` finds in all of them.
+
+    Each batch writes a ring of its own from the last one and what is new, so a batch that runs again
+    after a failure gives the same ring, and readers see one ring or the next, never half of it. A trace
+    that comes late stands where its time puts it, or nowhere. With max_age, traces that are that much
+    older than the newest one (by `at`) expire. Two rings are kept.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = ring(spark, path, number)
+        both = batch if before is None else before.unionByName(batch)
+        if max_age is not None:
+            newest = both.agg(F.max(at)).first()[0]
+            both = both.filter(F.col(at) > F.lit(newest) - F.expr(f"interval {max_age}"))
+        latest(both, capacity, *order).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old in [v for v in _versions(spark, path) if v < number][:-1]:
+            remove(spark, f"{path}/batch={old}")
+
+    return traces.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
 def statistics(traces: DataFrame, ms: str = "total_ms", trust: str = "trust_geometric") -> DataFrame:
     """count, abstention_rate, p50_ms, p95_ms (nearest rank), mean_trust; null without traces."""
-    return traces.agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg(F.col("abstained").cast("double")).alias("abstention_rate"),
-        nearest_rank(ms, 0.5).alias("p50_ms"),
-        nearest_rank(ms, 0.95).alias("p95_ms"),
-        F.avg(trust).alias("mean_trust"),
-    )
+    counts = traces.agg(F.count(F.lit(1)).alias("count"), F.avg(F.col("abstained").cast("double")).alias("abstention_rate"), F.avg(trust).alias("mean_trust"))
+    times = order_statistics(traces, F.col(ms), {"p50_ms": nearest(0.5), "p95_ms": nearest(0.95)})
+    return counts.join(F.broadcast(times)).select("count", "abstention_rate", "p50_ms", "p95_ms", "mean_trust")  # a row each
 
 
 def sweep(corpora: DataFrame, now: Column, ttl_hours: float, cap: int, created: str = "created_at", key: str = "corpus_id") -> DataFrame:

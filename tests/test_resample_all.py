@@ -52,8 +52,8 @@ def test_disagreement_of_all_rows(spark, monkeypatch, block):
 def test_query_compares_all_documents_under_all_draws(spark):
     data = "/root/testdata/sf0.001"
     n = queries_trust.rated(spark, data).count()
-    assert queries_trust.ranking_disagreement_all(spark, data).first().pairs == 10_000 * n * (n - 1) // 2
-    assert queries_trust.weight_sensitivity_all(spark, data).count() == 10_000
+    assert queries_trust.ranking_disagreement(spark, data).first().pairs == 10_000 * n * (n - 1) // 2
+    assert queries_trust.weight_sensitivity(spark, data).count() == 10_000
 
 
 def noise(spark, n=3000):

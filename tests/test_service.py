@@ -32,6 +32,8 @@ def test_answers_and_traces(engine):
     assert status == 200 and row["answer"].startswith("Boats") and row["abstained"] is False
     status, traces = s.handle("GET", "/traces")
     assert status == 200 and len(traces) == 1 and "what do boats" not in json.dumps(traces) and len(traces[0]["question_hash"]) == 12
+    assert [x["stage"] for x in traces[0]["stages"]] == ["retrieve", "gate", "generate", "decompose", "entail", "score"] and all(x["ms"] > 0 for x in traces[0]["stages"])
+    assert row["stage_timings"] == traces[0]["stages"] and traces[0]["corpus_id"] is None
     assert s.handle("GET", "/config")[1]["k"] == 1
     assert [ask(s, q)[0] for q in ("", None, "x" * 3000)] == [422, 422, 413]
     assert s.handle("POST", "/answer", {}, b"{", "h")[0] == 400 and s.handle("POST", "/answer", {}, b"[]", "h")[0] == 400
@@ -73,3 +75,15 @@ def test_over_a_socket(engine):
             assert got.status == 200 and json.load(got)["answer"].startswith("Bread")
     finally:
         server.shutdown()
+
+
+def test_corpora_are_paged(spark):
+    class Many:
+        def list(self):
+            return spark.range(2500).selectExpr("cast(id as string) as corpus_id", "timestamp_seconds(id) as created_at").orderBy("id")
+
+    s = Service(None, Many())
+    assert len(s.handle("GET", "/corpora")[1]) == 2500
+    page = s.handle("GET", "/corpora?offset=2000&limit=300")[1]
+    assert [page[0]["corpus_id"], page[-1]["corpus_id"]] == ["2000", "2299"]
+    assert s.handle("GET", "/corpora?limit=x")[0] == s.handle("GET", "/corpora?offset=-1")[0] == 422

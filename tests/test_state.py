@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,37 @@ def test_two_levels(spark):
     assert got == {e: "client" if not client[e] else "allowed" if everyone[e] else "global" for _, e, _ in EVENTS}
 
 
+@pytest.mark.parametrize(("most", "window", "spread"), [(3, 40.0, 3000.0), (50, 400.0, 300.0), (2, 5.0, 30.0)])
+def test_a_busy_client_is_folded_in_pieces(spark, monkeypatch, most, window, spread):
+    """Dense and sparse histories, ties, and pieces shorter than the window."""
+    monkeypatch.setattr(limiter, "PIECE", 60)
+    r = random.Random(int(window))
+    events = [(k, i, round(r.uniform(0, spread), r.choice([0, 2]))) for i, k in enumerate(r.choices("aaaaab", k=900))] + [("c", 10_000, 1.0)]
+    df = spark.createDataFrame(events, "key string, event_id long, at double")
+    got = {x.event_id: (x.allowed, x.retry_after) for x in limiter.limit(df, "key", "at", "event_id", most, window).collect()}
+    assert {i: a for i, (a, _) in got.items()} == plain(events, most, window)
+    monkeypatch.setattr(limiter, "PIECE", 10**9)
+    whole = {x.event_id: (x.allowed, x.retry_after) for x in limiter.limit(df, "key", "at", "event_id", most, window).collect()}
+    assert got == whole
+
+
+def test_pieces_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(limiter, "PIECE", 100)
+    df = spark.range(1000).selectExpr("'hot' as key", "id as event_id", "id * 1.0 as at")
+    sizes = []
+    real = limiter.stored
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "pieces":
+            sizes.extend(r["count"] for r in out.groupBy("key", "part").count().collect())
+        return out
+
+    monkeypatch.setattr(limiter, "stored", spy)
+    assert limiter.limit(df, "key", "at", "event_id", 5, 10.0).filter("allowed").count() == 500
+    assert len(sizes) == 10 and max(sizes) < 250
+
+
 def test_limiter_as_a_stream(spark, tmp_path):
     schema = "key string, event_id long, at double"
     source = tmp_path / "in"
@@ -76,3 +109,41 @@ def test_windows_as_a_stream(spark, tmp_path):
     query = live.writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [r["count"] for r in spark.table("windows").collect()] == [2]  # the watermark has passed the first alone
+
+
+def traced(r, n, start=0):
+    return [(start + i, f"2024-01-0{r.randint(1, 9)} 0{r.randint(0, 9)}:00:00", r.random() < 0.3, float(r.randint(1, 50)), None if r.random() < 0.5 else 0.5) for i in range(n)]
+
+
+@pytest.mark.parametrize("max_age", [None, "3 days"])
+def test_trace_ring_as_a_stream(spark, tmp_path, max_age):
+    """Late rows, a restart from the checkpoint, and a batch that runs again."""
+    schema = "event_id long, ts timestamp, abstained boolean, total_ms double, trust_geometric double"
+    r, source, ring, done = random.Random(4), str(tmp_path / "in"), str(tmp_path / "ring"), []
+    for i in range(4):
+        part = traced(r, 40, 40 * i)
+        done += part
+        spark.createDataFrame(part, "event_id long, ts string, abstained boolean, total_ms double, trust_geometric double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").json(source)
+        if i == 2:
+            continue  # the next start finds two parts
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+        stream = traces.ring_stream(rows, ring, str(tmp_path / "state"), 25, "ts", "event_id", at="ts", max_age=max_age).trigger(availableNow=True).start()
+        stream.awaitTermination(120)
+        assert stream.exception() is None
+    everything = spark.read.schema(schema).json(source)
+    if max_age:
+        everything = everything.filter(F.col("ts") > F.lit(everything.agg(F.max("ts")).first()[0]) - F.expr("interval 3 days"))
+    want = [tuple(x) for x in traces.latest(everything, 25, "ts", "event_id").collect()]
+    kept = traces.ring(spark, ring)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    assert len(traces._versions(spark, ring)) == 2
+    assert traces.statistics(kept).first()["count"] == len(want)
+    before = traces.ring(spark, ring, traces._versions(spark, ring)[-1])
+    assert before is not None and before.count() <= 25
+
+
+def test_an_unfinished_ring_is_not_read(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "batch=0"))
+    (tmp_path / "batch=1").mkdir()
+    assert traces._versions(spark, str(tmp_path)) == [0] and traces.ring(spark, str(tmp_path)).count() == 3
+    assert traces.ring(spark, str(tmp_path / "none")) is None

@@ -51,12 +51,31 @@ def test_thresholds(spark):
 
 def test_percentiles(spark):
     v = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 10)], "v double")
-    got = v.agg(*D.percentiles(F.col("v"), (0.95,)), D.nearest_rank("v", 0.95).alias("n")).first()
+    got = D.order_statistics(v, F.col("v"), {"p95": D.linear(0.95), "n": D.nearest(0.95)}).first()
     assert got.p95 == pytest.approx(8.8) and got.n == 10
     bins = {r.bin: r.n for r in D.histogram(v, "v", 1.0, 10.0, 3).collect()}
     assert bins == {1: 3, 2: 1, 3: 1}
 
 
+def test_order_statistics_in_ranges(spark, monkeypatch):
+    """Of groups that no task holds, as numpy finds them."""
+    from plumbline.operators import order
+
+    r = np.random.default_rng(3)
+    rows = [(g, float(x)) for g in "ab" for x in np.round(r.normal(size=700), 2)] + [("c", 1.5), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    wanted = {"p05": D.linear(0.05), "p50": D.linear(0.5), "p99": D.linear(0.99), "d00": D.nearest(0.0), "d95": D.nearest(0.95), "d100": D.nearest(1.0)}
+    for most in (1_000_000, 50):
+        monkeypatch.setattr(order, "ONE_TASK", most)
+        got = {x.g: x for x in D.order_statistics(df, F.col("v"), wanted, ("g",)).collect()}
+        for g in "abc":
+            v = [x for k, x in rows if k == g and x is not None]
+            for name, (kind, p) in wanted.items():
+                want = np.quantile(v, p, method="linear" if kind == "linear" else "inverted_cdf")
+                assert got[g][name] == pytest.approx(want), (g, name)
+    assert D.order_statistics(df.limit(0), F.col("v"), wanted).first().p50 is None
+
+
 def test_resampling(spark):
     r = np.random.default_rng(1)
     rows = [(float(r.normal(y)), int(y)) for y in (r.random(120) < 0.5)]
