@@ -32,12 +32,12 @@ class Engine:
     def _embed(self, rows: DataFrame, key: str, text: str) -> DataFrame:
         return self.models.embedder.embed(rows, key, text)
 
-    def _install(self, passages: DataFrame) -> Engine:
+    def _install(self, passages: DataFrame, vectors: DataFrame | None = None) -> Engine:
         passages = stored(passages, "passages")
         if passages.isEmpty():
             raise ValueError("nothing to index")
         self.passages = passages
-        self.vectors = stored(self._embed(passages, "passage_id", "text"), "vectors")
+        self.vectors = stored(self._embed(passages, "passage_id", "text"), "vectors") if vectors is None else vectors
         if self.config.retrieval_mode != "dense":
             self.index = inverted.keep(inverted.build(passages), scratch(self.spark, "index"))
         return self
@@ -59,7 +59,8 @@ class Engine:
         store.save_index(path, self.models.embedder.name, self.config.retrieval_mode, self._ready(), self.vectors if self.config.retrieval_mode != "sparse" else None, self.index)
 
     def load(self, path: str) -> Engine:
-        _, self.passages, vectors, self.index = store.load_index(self.spark, path, self.models.embedder.name)
+        _, self.passages, vectors = store.load_index(self.spark, path, self.models.embedder.name)
+        self.index = store.load_postings(self.spark, path)
         self.vectors = self._embed(self.passages, "passage_id", "text") if vectors is None else vectors
         return self
 
@@ -103,13 +104,15 @@ class Engine:
 class Corpora:
     """Uploaded corpora below a path, and the engines of those last asked for, at most `capacity`."""
 
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, models: Models | None = None, capacity: int = 4):
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, models: Models | None = None, capacity: int = 4, grace: float = 3600.0):
+        #: Seconds for which a deleted corpus can still be read by who has it.
+        self.grace = grace
         self.spark, self.path, self.config, self.models, self.capacity = spark, path, config, models or Models(), capacity
         self._engines: OrderedDict[str, Engine] = OrderedDict()
         self._lock = threading.RLock()
 
     def add(self, uploads: DataFrame, now: Column | None = None, **limits) -> DataFrame:
-        return store.add_corpus(self.path, uploads, self.models.embedder.name, F.current_timestamp() if now is None else now, **limits)
+        return store.add_corpus(self.path, uploads, self.models.embedder.name, F.current_timestamp() if now is None else now, embed=self.models.embedder.embed, **limits)
 
     def list(self) -> DataFrame:
         records = store._records(self.spark, self.path)
@@ -132,7 +135,10 @@ class Corpora:
                 self._engines.move_to_end(corpus_id)
                 return self._engines[corpus_id]
         passages = store.get_corpus(self.spark, self.path, corpus_id)[1]  # other corpora can be asked meanwhile
-        made = Engine(self.spark, self.config, self.models).index_texts(passages.select("idx", "text"), "idx")
+        vectors = store.corpus_vectors(self.spark, self.path, corpus_id)
+        if vectors is not None:
+            vectors = vectors.select(F.col("idx").cast("long").alias("passage_id"), "vec")
+        made = Engine(self.spark, self.config, self.models)._install(corpus.from_texts(passages, "idx", "text"), vectors)
         with self._lock:
             own = self._engines.setdefault(corpus_id, made)
             self._engines.move_to_end(corpus_id)
@@ -145,8 +151,13 @@ class Corpora:
         gone = [r.corpus_id for r in traces.sweep(self.list(), now, ttl_hours, cap).filter("dropped").select("corpus_id").toLocalIterator()]
         for corpus_id in gone:
             self.delete(corpus_id)
+        self.vacuum()
         return gone
 
+    def vacuum(self) -> list[str]:
+        """Removes what corpora held that were deleted longer ago than `grace`; their ids."""
+        return store.vacuum(self.spark, self.path, self.grace)
+
 
 def published(answered: DataFrame, digits: int = 4) -> DataFrame:
     """Measured answers as a demonstration shows them: numbers rounded, undefined ones left null."""

@@ -41,6 +41,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where there is no folder."""
+    fs, target = _file(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file or folder in one step."""
+    fs, source = _file(spark, path)
+    target = _file(spark, to)[1]
+    if not fs.mkdirs(target.getParent()) or not fs.rename(source, target):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 #: By thread, the folders that open scopes have made, the innermost last.
 _scopes = threading.local()
 

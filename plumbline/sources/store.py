@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import inverted
 from plumbline.sources.corpus import SUFFIXES, has_pdf_parser, pdf_pages, suffix
-from plumbline.sources.shared import stored
+from plumbline.sources.shared import exists, listed, move, remove, stored
 
 
 def save_index(path: str, embedder: str, mode: str, passages: DataFrame, vectors: DataFrame | None, index: inverted.Index | None = None) -> None:
@@ -27,17 +29,20 @@ def save_index(path: str, embedder: str, mode: str, passages: DataFrame, vectors
     row.write.mode("overwrite").json(f"{path}/manifest")
 
 
-def load_index(spark: SparkSession, path: str, embedder: str) -> tuple[str, DataFrame, DataFrame | None, inverted.Index | None]:
-    """mode, passages, vectors, inverted index; an index of another embedder is refused. Vectors and
-    postings are read back."""
+def load_index(spark: SparkSession, path: str, embedder: str) -> tuple[str, DataFrame, DataFrame | None]:
+    """mode, passages, vectors; an index of another embedder is refused. Vectors are read back."""
     row = spark.read.schema("embed_model string, retrieval_mode string, has_vectors boolean").json(f"{path}/manifest").first()
     if row.embed_model != embedder:
         raise ValueError(f"the index was made with {row.embed_model}, not {embedder}")
     passages = spark.read.parquet(f"{path}/passages")
     if "source_text" not in passages.columns:
         passages = passages.withColumn("source_text", F.col("text"))
-    vectors = spark.read.parquet(f"{path}/vectors") if row.has_vectors else None
-    return row.retrieval_mode, passages, vectors, None if row.retrieval_mode == "dense" else inverted.load(spark, f"{path}/postings")
+    return row.retrieval_mode, passages, spark.read.parquet(f"{path}/vectors") if row.has_vectors else None
+
+
+def load_postings(spark: SparkSession, path: str) -> inverted.Index | None:
+    """The inverted index of a saved index, unless its mode is dense."""
+    return inverted.load(spark, f"{path}/postings") if exists(spark, f"{path}/postings") else None
 
 
 def page_count(content: Column) -> Column:
@@ -62,50 +67,57 @@ ID = "^[0-9a-f]{32}$"
 
 
 def add_corpus(
-    path: str, uploads: DataFrame, embedder: str, now: Column, most_bytes: int = 10 << 20, most_pages: int = 100, parse: Callable[[bytes], list[str]] | None = None
-) -> DataFrame:
-    """Indexes accepted uploads (filename, content) under ids of their own; returns what was decided
+    path: str, uploads: DataFrame, embedder: str, now: Column, most_bytes: int = 10 << 20, most_pages: int = 100, parse: Callable[[bytes], list[str]] | None = None,
+    embed: Callable[[DataFrame, str, str], DataFrame] | None = None,
+) -> DataFrame:
+    """Indexes accepted uploads (filename, content), each under an id of its own; returns what was decided
     on each: filename, corpus_id, reason (null where it is listed).
 
-    An id is a digest of name and content, so the same upload again is the same corpus and adds
-    nothing. Passages are written before the records that make a corpus visible; if that fails,
-    what was written is removed, and nothing is listed. PDF files need `parse` or a parser package,
-    and are refused without.
+    All is written aside first. Then each corpus's passages, its vectors (by `embed`, once for all) and at
+    last its record are moved to their places, a folder at a time, which is atomic: a corpus that is listed
+    is whole, whoever else adds or reads meanwhile. If anything fails, what was moved is removed.
+    PDF files need `parse` or a parser package, and are refused without.
     """
     from plumbline.operators.chunks import chunk_passages
 
     spark = uploads.sparkSession
-    ids = F.left(F.sha2(F.concat(F.encode("filename", "UTF-8"), F.lit(b"\0"), "content"), 256), F.lit(32))
-    judged = uploads.withColumn("reason", reject_reason(F.col("filename"), F.col("content"), most_bytes, most_pages)).withColumn("corpus_id", ids)
+    judged = uploads.withColumn("reason", reject_reason(F.col("filename"), F.col("content"), most_bytes, most_pages)).withColumn("corpus_id", F.replace(F.uuid(), F.lit("-"), F.lit("")))
     is_pdf = suffix(F.col("filename")) == ".pdf"
     if parse is None and not has_pdf_parser():
         judged = judged.withColumn("reason", F.coalesce("reason", F.when(is_pdf, "no PDF parser is installed")))
-    judged = stored(judged, "uploads")
-    kept = judged.filter("reason is null").dropDuplicates(["corpus_id"])
-    before = _records(spark, path)
-    if before is not None:
-        kept = kept.join(before.select("corpus_id"), "corpus_id", "left_anti")
+    judged = stored(judged, "uploads")  # ids are drawn once
+    kept = judged.filter("reason is null")
     texts = kept.filter(~is_pdf).select("corpus_id", T.markdown_sections(F.decode("content", "UTF-8")).alias("pages"))
     pdfs = pdf_pages(kept.filter(is_pdf).select(F.col("corpus_id").alias("path"), "content"), parse).withColumnRenamed("path", "corpus_id")
     found = stored(chunk_passages(texts.unionByName(pdfs), F.col("pages"), key="corpus_id"), "passages")
     folder = F.concat(F.lit("c"), "corpus_id").alias("folder")  # a letter first, so that no id reads as a number
     counts = found.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("passages"))
     rows = kept.join(counts, "corpus_id").select(
-        "corpus_id", T.display_name(F.col("filename")).alias("filename"), F.octet_length("content").cast("long").alias("bytes"), "passages", F.lit(embedder).alias("embed_model"), now.alias("created_at"), folder
+        "corpus_id", T.display_name(F.col("filename")).alias("filename"), F.octet_length("content").cast("long").alias("bytes"), "passages", F.lit(embedder).alias("embed_model"), now.alias("created_at")
     )
     rows = stored(rows, "records")
+    aside, moved = f"{path}/aside/{uuid.uuid4().hex}", []
     try:
-        found.select("*", folder).write.mode("append").partitionBy("folder").parquet(f"{path}/passages")
-        rows.write.mode("append").partitionBy("folder").parquet(f"{path}/corpora")
+        parts = {"passages": found}
+        if embed is not None:
+            vectors = embed(found.select(F.struct("corpus_id", "idx").alias("id"), "text"), "id", "text")
+            parts["vectors"] = vectors.select("id.corpus_id", "id.idx", "vec")
+        parts["corpora"] = rows  # the records last: what they name is there
+        for kind, df in parts.items():
+            df.select("*", folder).write.partitionBy("folder").parquet(f"{aside}/{kind}")
+        for kind in parts:
+            for name in listed(spark, f"{aside}/{kind}"):
+                if name.startswith("folder="):
+                    move(spark, f"{aside}/{kind}/{name}", f"{path}/{kind}/{name}")
+                    moved.append(f"{path}/{kind}/{name}")
     except Exception:
-        for r in rows.select("corpus_id").toLocalIterator():
-            _remove(spark, f"{path}/corpora/folder=c{r.corpus_id}")
-            _remove(spark, f"{path}/passages/folder=c{r.corpus_id}")
+        for place in reversed(moved):
+            remove(spark, place)
         raise
-    listed = _records(spark, path)
-    names = spark.createDataFrame([], "corpus_id string") if listed is None else listed.select("corpus_id")
-    out = judged.join(names.distinct().withColumn("listed", F.lit(True)), "corpus_id", "left")
-    return out.select("filename", "corpus_id", F.coalesce("reason", F.when(F.col("listed").isNull(), "no passages")).alias("reason"))
+    finally:
+        remove(spark, aside)
+    known = rows.select("corpus_id", F.lit(True).alias("listed"))
+    return judged.join(known, "corpus_id", "left").select("filename", "corpus_id", F.coalesce("reason", F.when(F.col("listed").isNull(), "no passages")).alias("reason"))
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame | None:
@@ -118,11 +130,6 @@ def _records(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _remove(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def list_corpora(corpora: DataFrame) -> DataFrame:
     """Records with a valid id that stand in their own folder, newest first."""
     own = F.col("folder") == F.concat(F.lit("c"), "corpus_id") if "folder" in corpora.columns else F.lit(True)
@@ -140,11 +147,28 @@ def get_corpus(spark: SparkSession, path: str, corpus_id: str) -> tuple[DataFram
     return record.drop("folder"), spark.read.parquet(f"{path}/passages").filter(F.col("folder") == f"c{corpus_id}").drop("folder")
 
 
+def corpus_vectors(spark: SparkSession, path: str, corpus_id: str) -> DataFrame | None:
+    """idx, vec of a listed corpus's passages, if they were stored."""
+    folder = f"{path}/vectors/folder=c{corpus_id}"
+    return spark.read.parquet(folder).select("idx", "vec") if exists(spark, folder) else None
+
+
 def delete_corpus(spark: SparkSession, path: str, corpus_id: str) -> None:
-    """Removes a corpus, the record first, so that it is listed no more whatever happens then."""
+    """Takes a corpus off the list, at once. Who reads it by then reads on: what it holds goes by `vacuum`."""
     get_corpus(spark, path, corpus_id)
-    _remove(spark, f"{path}/corpora/folder=c{corpus_id}")
-    _remove(spark, f"{path}/passages/folder=c{corpus_id}")
+    move(spark, f"{path}/corpora/folder=c{corpus_id}", f"{path}/deleted/c{corpus_id}@{int(1000 * time.time())}")
+
+
+def vacuum(spark: SparkSession, path: str, grace: float = 0.0) -> list[str]:
+    """Removes what corpora held that were deleted over `grace` seconds ago; their ids."""
+    gone = []
+    for name in listed(spark, f"{path}/deleted"):
+        corpus_id, _, at = name[1:].partition("@")
+        if re.fullmatch(ID, corpus_id) and at.isdigit() and int(at) <= 1000 * (time.time() - grace):
+            for place in (f"passages/folder=c{corpus_id}", f"vectors/folder=c{corpus_id}", f"deleted/{name}"):
+                remove(spark, f"{path}/{place}")
+            gone.append(corpus_id)
+    return gone
 
 
 def with_cache(items: DataFrame, cache: DataFrame | None, key: str, score: Callable[[DataFrame], DataFrame], path: str | None = None, usable: Column | None = None) -> DataFrame:

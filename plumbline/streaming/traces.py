@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from plumbline.functions.text import question_hash
 from plumbline.operators.stats import nearest, order_statistics
-from plumbline.sources.shared import _file, exists, remove
+from plumbline.sources.shared import exists, listed, remove
 
 
 def records(results: DataFrame, question: str, total_ms: Column, *more: str) -> DataFrame:
@@ -25,10 +25,7 @@ def latest(traces: DataFrame, capacity: int, *order: str) -> DataFrame:
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """The rings that were written whole, the oldest first."""
-    fs, target = _file(spark, path)
-    if not fs.exists(target):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(target)]
+    names = listed(spark, path)
     return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and exists(spark, f"{path}/{n}/_SUCCESS"))
 
 

@@ -33,9 +33,11 @@ def test_corpora_live_and_die(spark, tmp_path):
     kept = Corpora(spark, str(tmp_path / "c"), Config(retrieval_mode="dense"), capacity=1)
     assert kept.list().count() == 0
     two = uploads(spark, ("a.md", TEXT.encode()), ("b.md", (TEXT + "\nother").encode()), ("a.md", TEXT.encode()))
-    first = {r.filename: r.corpus_id for r in kept.add(two, F.lit("2024-01-01").cast("timestamp")).collect()}
-    again = kept.add(two, F.lit("2025-01-01").cast("timestamp")).collect()  # the same uploads: nothing is added
-    assert {r.reason for r in again} == {None} and kept.list().count() == 2
+    first = {r.filename: r.corpus_id for r in kept.add(two.dropDuplicates(), F.lit("2024-01-01").cast("timestamp")).collect()}
+    again = kept.add(two, F.lit("2025-01-01").cast("timestamp")).collect()  # each upload is a corpus of its own
+    assert {r.reason for r in again} == {None} and len({r.corpus_id for r in again}) == 3 and kept.list().count() == 5
+    for r in again:
+        kept.delete(r.corpus_id)
     n = kept.get(first["a.md"]).first().passages
     assert store.get_corpus(spark, kept.path, first["a.md"])[1].count() == n
     one = kept.engine(first["a.md"])
@@ -51,6 +53,38 @@ def test_corpora_live_and_die(spark, tmp_path):
     assert kept.sweep(F.lit("2024-01-03").cast("timestamp"), 24, 10) == [first["b.md"]] and kept.list().count() == 0
 
 
+def test_deleted_corpora_are_readable_for_a_while(spark, tmp_path):
+    kept = Corpora(spark, str(tmp_path / "c"), Config(retrieval_mode="dense"), grace=3600)
+    made = kept.add(uploads(spark, ("a.md", TEXT.encode()))).first()
+    reader = store.get_corpus(spark, kept.path, made.corpus_id)[1]
+    kept.delete(made.corpus_id)
+    assert kept.list().count() == 0 and kept.vacuum() == [] and reader.count() > 1
+    kept.grace = 0.0
+    assert kept.vacuum() == [made.corpus_id]
+    assert not list((tmp_path / "c").glob("*/folder=*")) and not list((tmp_path / "c/deleted").iterdir())
+
+
+def test_writers_at_once_and_vectors_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    kept = Corpora(spark, str(tmp_path / "c"), Config(retrieval_mode="dense"))
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda i: kept.add(uploads(spark, (f"{i}.md", f"{TEXT}\nof file {i}".encode()))).first(), range(4)))
+    listed = {r.corpus_id: r.passages for r in kept.list().collect()}
+    assert set(listed) == {m.corpus_id for m in made} and len(listed) == 4
+    for m in made:
+        record, passages = store.get_corpus(spark, kept.path, m.corpus_id)
+        assert passages.count() == listed[m.corpus_id] == store.corpus_vectors(spark, kept.path, m.corpus_id).count()
+    assert not list((tmp_path / "c/aside").iterdir())
+    asked = []
+    embedder = kept.models.embedder
+    kept.models.embedder = type("Spy", (), {"name": embedder.name, "embed": lambda self, rows, *a: (asked.append(rows.columns), embedder.embed(rows, *a))[1]})()
+    engine = kept.engine(made[0].corpus_id)
+    assert asked == [] and engine.vectors.count() == engine.passages.count()
+    own = embedder.embed(engine.passages, "passage_id", "text")
+    assert sorted(map(str, engine.vectors.collect())) == sorted(map(str, own.select("passage_id", "vec").collect()))
+
+
 def test_failure_leaves_nothing(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "c")
     real = store.stored
