@@ -180,10 +180,10 @@ class Forest:
         return True
 
 
-def confirm(sets: list[np.ndarray], sigs: np.ndarray, split: int, percent: int) -> list[tuple[int, int]]:
+def confirm(sets: list[np.ndarray], sigs: np.ndarray, split: int, percent: int, plan: Scheme | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets: those before split against those after, or,
     with split 0, all among each other."""
-    n, plan = len(sets), scheme(percent)
+    n, plan = len(sets), plan or scheme(percent)
     forest, links = Forest(n), []
     right = np.arange(split, n)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -355,13 +355,16 @@ def near_ties(classes: DataFrame, plan: Scheme) -> DataFrame:
     return near.union(tile_links(members, lambda held, split: near_forest(signed(held.column("sig"), plan), split, plan.far)))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links where 100 * shared >= percent * union.
 
+    With `exact`, no pair that meets under a key is ruled out by its signatures' distance; all are
+    compared in full, which costs more.
     component_id is the smallest doc_id that a document reaches over links; it is kept where it
     is its own component_id.
     """
     spark, plan, mark = docs.sparkSession, scheme(percent), made_so_far()
+    plan = plan._replace(far=plan.symbols) if exact else plan
     sketch = stored(spark, sketches(docs, text, key, plan.symbols), "sketches")
     whole = ["n_shingles", "f1", "f2"]
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
@@ -395,7 +398,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
 
     def confirmed(held: pa.Table, split: int) -> list[tuple[int, int]]:
         shingles = [np.frombuffer(x, np.uint64) for x in held.column("shingles").to_pylist()]
-        return confirm(shingles, signed(held.column("sig"), plan), split, percent)
+        return confirm(shingles, signed(held.column("sig"), plan), split, percent, plan)
 
     labels = stored(spark, components(tile_links(members, confirmed)), "labels")
     # only classes of several rows, and those that a link leads from, say more than a row's own id

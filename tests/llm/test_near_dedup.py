@@ -107,3 +107,14 @@ def test_components(spark):
     want = {k: v for k, v in want.items() if any(m != k for m in near[k])}
     got = {x.node: x.component for x in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
+
+
+def test_exact_compares_all_that_meet(spark, monkeypatch):
+    """With a distance that rules out nearly all, links are lost, unless all that meet are compared."""
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    monkeypatch.setitem(N.SCHEMES, 85, N.SCHEMES[85]._replace(far=1))
+    shown = lambda found: sorted(tuple(r) for r in found.collect() if r.doc_id is not None)
+    assert shown(N.near_duplicates(df)) != want
+    assert shown(N.near_duplicates(df, exact=True)) == want
