@@ -72,7 +72,7 @@ def test_search_reads_no_texts_and_only_its_buckets(spark, tmp_path, monkeypatch
     assert " text#" not in plan and "(text#" not in plan and "[text#" not in plan
     blocks = inverted.bounds(index, *inverted._asked(index, asked.filter("qid = 53"), "qid", "qtext", 1.5), 1.5, 0.75)
     plan = blocks._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<term:string,grp:bigint,most:double>" in plan and "PartitionFilters: [bucket" in plan
+    assert "ReadSchema: struct<term:string,grp:bigint,most:double>" in plan and "PartitionFilters: [isnotnull(bucket#" in plan
 
 
 def test_nothing(spark, tmp_path):
