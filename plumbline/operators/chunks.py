@@ -27,7 +27,16 @@ def windows(pages: Column, window: int, stride: int, min_chars: int, min_line_ch
         return T.let(lines, lambda own: of_lines(own, number))
 
     def once(found: Column) -> Column:
-        return T.let(F.transform(found, lambda x: x["text"]), lambda texts: F.filter(found, lambda x, i: F.array_position(texts, x["text"]) == i + 1))
+        """The first of equal texts, by two sorts. Sorted by text and place, a text that differs from the
+        one before it is the first of its kind; these, sorted by place, are what stays."""
+        placed = F.array_sort(F.transform(found, lambda x, i: F.struct(x["text"].alias("text"), i.alias("i"), x["page"].alias("page"), x["start"].alias("start"))))
+
+        def firsts(own: Column) -> Column:
+            new = F.filter(own, lambda x, i: (i == 0) | (x["text"] != F.get(own, F.greatest(i - 1, F.lit(0)))["text"]))
+            back = F.array_sort(F.transform(new, lambda x: F.struct(x["i"].alias("i"), x["page"].alias("page"), x["start"].alias("start"), x["text"].alias("text"))))
+            return F.transform(back, lambda x: F.struct(x["page"].alias("page"), x["start"].alias("start"), x["text"].alias("text")))
+
+        return T.let(placed, firsts)
 
     return T.let(F.filter(F.flatten(F.transform(pages, of_page)), lambda x: F.length(x["text"]) >= min_chars), once)
 

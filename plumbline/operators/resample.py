@@ -6,6 +6,8 @@ Replicate r of a seed always draws the same numbers, whichever task runs it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,8 @@ from plumbline.operators import draws, stats
 from plumbline.operators.sparse import small
 from plumbline.sources.shared import stored
 
+#: Numbers that a step of a matrix product holds.
+CELLS = 1 << 22
 #: Rows of a block of a ranking; a task counts the discordant pairs of two blocks.
 BLOCK_ROWS = 250_000
 
@@ -139,6 +143,53 @@ def weight_sensitivity(rows: DataFrame, weights: DataFrame, names: tuple, key: s
     return both.select(key, "sample", arith.alias("t_arith"), geom.alias("t_geom"))
 
 
+MOMENTS = "sample long, n long, sum_a double, squares_a double, least_a double, most_a double, sum_g double, masked long"
+
+
+def weight_moments(rows: DataFrame, weights: DataFrame, names: tuple, floor: float = 0.5) -> DataFrame:
+    """sample, n, mean_arith, std_arith, least_arith, most_arith, mean_geom, masked: over all rows, under each
+    weighting; masked is how often t_arith reaches the floor where t_geom is 0.
+
+    Each batch of rows is multiplied with the matrix of weightings (which is collected: as many rows as
+    samples), and a task hands on one row of moments a weighting, whatever rows it read. Means are merged
+    by their counts, spreads about one centre, so no digits cancel.
+    """
+    drawn = weights.orderBy("sample").select("sample", *names).toPandas()
+    samples, w = drawn["sample"].to_numpy(), drawn[list(names)].to_numpy().T
+    slim = rows.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna()
+    middle = slim.agg(*(F.avg(c) for c in names)).first()
+    centre = np.array([x or 0.0 for x in middle]) @ w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, masked = 0, np.zeros(len(samples), np.int64)
+        sum_a, squares, sum_g = (np.zeros(len(samples)) for _ in range(3))
+        least, most = np.full(len(samples), np.inf), np.full(len(samples), -np.inf)
+        step = max(1, CELLS // max(len(samples), 1))
+        for batch in batches:
+            m = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            for x in (m[a : a + step] for a in range(0, len(m), step)):
+                arith = x @ w
+                some = x.min(axis=1) > 0
+                n += len(x)
+                off = arith - centre
+                sum_a, squares = sum_a + off.sum(axis=0), squares + (off * off).sum(axis=0)
+                least, most = np.minimum(least, arith.min(axis=0)), np.maximum(most, arith.max(axis=0))
+                sum_g += np.exp(np.log(x[some]) @ w).sum(axis=0)
+                masked += (arith[~some] >= floor).sum(axis=0)
+        if n:
+            columns = [samples, np.full(len(samples), n), sum_a, squares, least, most, sum_g, masked]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in MOMENTS.split(", ")])
+
+    parts = slim.mapInArrow(run, MOMENTS)
+    sums = parts.groupBy("sample").agg(*(F.sum(c).alias(c) for c in ("n", "sum_a", "squares_a", "sum_g", "masked")), F.min("least_a").alias("least_arith"), F.max("most_a").alias("most_arith"))
+    centres = rows.sparkSession.createDataFrame([(int(s), float(c)) for s, c in zip(samples, centre, strict=True)], "sample long, centre double")
+    spread = F.greatest(F.col("squares_a") - F.col("sum_a") * F.col("sum_a") / F.col("n"), F.lit(0.0))
+    return sums.join(small(centres), "sample").select(
+        "sample", "n", (F.col("centre") + F.col("sum_a") / F.col("n")).alias("mean_arith"), F.sqrt(F.try_divide(spread, F.col("n") - 1)).alias("std_arith"), "least_arith", "most_arith",
+        (F.col("sum_g") / F.col("n")).alias("mean_geom"), (F.col("masked") / F.col("n")).alias("masked"),
+    )
+
+
 def inversions(ranks: np.ndarray) -> int:
     """Pairs of which the earlier one is larger, by a stable partition for each bit from the top."""
     total, r, n = 0, np.asarray(ranks, np.int32), len(ranks)

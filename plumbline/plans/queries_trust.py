@@ -228,12 +228,8 @@ def rated(spark, sf_dir):
   round(avg(case when ta >= 0.5 and tg = 0 then 1.0 else 0 end), 6) as masked from s group by sample""")
 def weight_sensitivity(spark, sf_dir):
     """All labelled documents under 10,000 weightings."""
-    s = resample.weight_sensitivity(rated(spark, sf_dir), resample.dirichlet_weights(spark, NAMES), NAMES)
-    masked = ((F.col("t_arith") >= 0.5) & (F.col("t_geom") == 0)).cast("double")
-    out = s.groupBy("sample").agg(
-        F.avg("t_arith").alias("mean_arith"), F.stddev_samp("t_arith").alias("std_arith"), F.min("t_arith").alias("least_arith"), F.max("t_arith").alias("most_arith"), F.avg("t_geom").alias("mean_geom"), F.avg(masked).alias("masked")
-    )
-    return out.select("sample", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+    out = resample.weight_moments(rated(spark, sf_dir), resample.dirichlet_weights(spark, NAMES), NAMES)
+    return out.select("sample", *(F.round(c, 6).alias(c) for c in ("mean_arith", "std_arith", "least_arith", "most_arith", "mean_geom", "masked")))
 
 
 @query(f"""with {_SAMPLED}, x as (select sample, qid, round(ta, 12) as ta, round(tg, 12) as tg from s),

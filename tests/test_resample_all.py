@@ -49,6 +49,26 @@ def test_disagreement_of_all_rows(spark, monkeypatch, block):
     assert tuple(resample.weight_disagreement(rows.limit(0), weights, names).first()) == (None, 0)
 
 
+def test_moments_of_all_weightings(spark, monkeypatch):
+    monkeypatch.setattr(resample, "CELLS", 100)
+    r = np.random.default_rng(7)
+    m = np.round(r.random((90, 3)), 1)
+    names = ("x", "y", "z")
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(m)] + [(99, None, 0.5, 0.5)], "qid long, x double, y double, z double").repartition(4)
+    weights = resample.dirichlet_weights(spark, names, 30)
+    found = resample.weight_moments(rows, weights, names)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    s = resample.weight_sensitivity(rows.dropna(), weights, names)
+    masked = ((F.col("t_arith") >= 0.5) & (F.col("t_geom") == 0)).cast("double")
+    want = {x["sample"]: x for x in s.groupBy("sample").agg(F.avg("t_arith").alias("a"), F.stddev_samp("t_arith").alias("s"), F.min("t_arith").alias("l"), F.max("t_arith").alias("m"), F.avg("t_geom").alias("g"), F.avg(masked).alias("k")).collect()}
+    got = {x["sample"]: x for x in found.collect()}
+    assert set(got) == set(want) == set(range(30))
+    for i, x in got.items():
+        w = want[i]
+        assert (x.n, x.mean_arith, x.std_arith, x.least_arith, x.most_arith, x.mean_geom, x.masked) == pytest.approx((90, w.a, w.s, w.l, w.m, w.g, w.k))
+    assert resample.weight_moments(rows.limit(0), weights, names).count() == 0
+
+
 def test_query_compares_all_documents_under_all_draws(spark):
     data = "/root/testdata/sf0.001"
     n = queries_trust.rated(spark, data).count()
