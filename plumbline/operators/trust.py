@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import dense
+from plumbline.operators.sparse import small
+from plumbline.sources.shared import stored
 
 
 def entailment(a: Column, b: Column) -> Column:
@@ -81,15 +85,50 @@ def answer_relevance(questions: DataFrame, generated: DataFrame, qid: str = "qid
     return questions.select(qid).join(found, qid, "left")
 
 
+#: Claims of an answer up to which its pairs are joined; claims of a block of a longer one.
+PAIRED, BLOCK_CLAIMS = 200, 1000
+
+
 def conciseness(questions: DataFrame, claim_vectors: DataFrame, qid: str = "qid") -> DataFrame:
-    """qid, conciseness: 1 less the mean positive cosine of claim pairs; null under two claims."""
-    a = claim_vectors.select(qid, F.col("claim_idx").alias("i"), F.col("vec").alias("a"))
-    b = claim_vectors.select(qid, F.col("claim_idx").alias("j"), F.col("vec").alias("b"))
+    """qid, conciseness: 1 less the mean positive cosine of claim pairs; null under two claims.
+
+    The claims of a long answer are dealt to blocks, and each two blocks, as matrices, to a task: its
+    pairs are summed where they are made.
+    """
+    vectors = stored(claim_vectors.select(qid, "claim_idx", "vec"), "claims")
+    sizes = vectors.groupBy(qid).agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLAIMS).alias("blocks"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRED)
+    sizes = stored(sizes.select(qid, "blocks"), "long")
+    some_long = not sizes.isEmpty()
+    short = vectors.join(small(sizes.select(qid)), qid, "left_anti") if some_long else vectors
+    a = short.select(qid, F.col("claim_idx").alias("i"), F.col("vec").alias("a"))
+    b = short.select(qid, F.col("claim_idx").alias("j"), F.col("vec").alias("b"))
     pairs = a.join(b, qid).filter("i < j").select(qid, F.greatest(F.lit(0.0), dense.cosine(F.col("a"), F.col("b"))).alias("cos"))
     found = pairs.groupBy(qid).agg((1 - F.avg("cos")).alias("conciseness"))
+    if some_long:
+        found = found.unionByName(_long_answers(vectors.join(small(sizes), qid), qid))
     return questions.select(qid).join(found, qid, "left")
 
 
+def _long_answers(claims: DataFrame, qid: str) -> DataFrame:
+    """qid, conciseness, of claims with the blocks of their answer."""
+    dealt = claims.withColumn("block", F.pmod(F.xxhash64("claim_idx"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = dealt.select(qid, F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "vec")
+
+    def gram(table: pa.Table) -> pa.Table:
+        x = np.array(table.column("vec").to_pylist(), float).reshape(table.num_rows, -1)
+        x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+        left = table.column("block").to_numpy() == table.column("row")[0].as_py()
+        own = table.column("row")[0] == table.column("col")[0]
+        y, z = (x, x) if own else (x[left], x[~left])
+        total = np.maximum(y @ z.T, 0).sum()
+        n, cos = (len(x) * (len(x) - 1) // 2, (total - np.maximum((x * x).sum(axis=1), 0).sum()) / 2) if own else (len(y) * len(z), total)
+        return pa.table({qid: table.column(qid)[:1], "cos": [float(cos)], "n": [n]})
+
+    kind = claims.schema[qid].dataType.simpleString()
+    sums = tiles.groupBy(qid, "row", "col").applyInArrow(gram, f"`{qid}` {kind}, cos double, n long").groupBy(qid).agg(F.sum("cos").alias("cos"), F.sum("n").alias("n"))
+    return sums.select(qid, (1 - F.try_divide("cos", "n")).alias("conciseness"))
+
+
 def aggregates(metrics: DataFrame, weights: dict, qid: str = "qid") -> DataFrame:
     """qid, t_arith, t_geom over the metrics that are defined, weights made to sum to 1 among them.
 

@@ -91,3 +91,30 @@ def test_config_is_checked():
         with pytest.raises(ValueError):
             Config(**bad)
     assert math.isclose(sum(WEIGHTS.values()), 1)
+
+
+def test_conciseness_of_long_answers_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from plumbline.operators import trust as M
+
+    r = np.random.default_rng(2)
+    rows = [(q, i, [float(x) for x in r.normal(size=6)] if i % 17 else [0.0] * 6) for q, n in ((1, 700), (2, 40), (3, 1), (4, 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "qid long, claim_idx int, vec array<double>")
+    asked = spark.range(1, 6).withColumnRenamed("id", "qid")
+
+    def plain(q):
+        x = np.array([v for k, _, v in rows if k == q])
+        if len(x) < 2:
+            return None
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        return 1 - np.maximum(x @ x.T, 0)[np.triu_indices(len(x), 1)].mean()
+
+    for paired, block in ((200, 1000), (50, 64), (0, 30)):
+        monkeypatch.setattr(M, "PAIRED", paired)
+        monkeypatch.setattr(M, "BLOCK_CLAIMS", block)
+        got = {x.qid: x.conciseness for x in M.conciseness(asked, df).collect()}
+        assert set(got) == {1, 2, 3, 4, 5} and got[5] is None
+        for q in (1, 2, 4):
+            assert got[q] == pytest.approx(plain(q))
+        assert got[3] is None
