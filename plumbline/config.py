@@ -9,6 +9,8 @@ MODES = ("dense", "sparse", "hybrid")
 
 @dataclass(frozen=True)
 class Config:
+    """The names and defaults say what the measures mean."""
+
     k: int = 5
     retrieval_mode: str = "hybrid"
     rerank: bool = False

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-import threading
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,16 +52,9 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} can't be moved to {to}")
 
 
-#: By thread, the folders that open scopes have made, the innermost last.
-_scopes = threading.local()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, told to the innermost open scope. What is still there when the
-    session ends goes then."""
+    """A new path in the shared folder. What is still there when the session ends goes then."""
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    for made in getattr(_scopes, "open", [])[-1:]:
-        made.append(path)
     fs, target = _file(spark, path)
     fs.deleteOnExit(target)
     return path
@@ -76,26 +66,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what this thread stored within it, so that nothing may read that later: a result
-    that outlives the scope is collected, or stored after it."""
-    stack = _scopes.__dict__.setdefault("open", [])
-    stack.append([])
-    try:
-        yield
-    finally:
-        for path in stack.pop():
-            remove(spark, path)
-
-
-def kept(df: DataFrame, make, name: str) -> DataFrame:
-    """make() as a stored table, without the tables that were stored on the way to it."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    with scope(spark):
-        out = make()
-        schema = out.schema
-        out.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
