@@ -1,0 +1,62 @@
+"""The screen of vector searches: it leaves out pairs, and no hit."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from plumbline.operators import dense
+
+
+def batches(keys, m, size=700):
+    for a in range(0, len(m), size):
+        x = m[a : a + size]
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * m.shape[1]), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + size]), vec], names=["key", "vec"])
+
+
+def brute(q, names, m, keys, k, metric, skip_same):
+    out = []
+    for x, name in zip(q, names, strict=True):
+        s = dense.scored(x[None], m, metric)[0]
+        order = [j for j in np.lexsort((keys, s if metric == "l2" else -s)) if not (skip_same and keys[j] == name)]
+        out += [(name, keys[j]) for j in order[:k]]
+    return out
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+@pytest.mark.parametrize("skip_same", [False, True])
+@pytest.mark.parametrize("scale", [1.0, 2.0**40, 2.0**-40])
+def test_hits_are_those_of_scoring_all(metric, skip_same, scale):
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 6, (3000, 16)).astype(float)
+    m[rng.random(3000) < 0.2] = m[7]  # copies
+    m[:3] = 0
+    m[1500:] *= 1000  # unlike lengths
+    keys = rng.permutation(3000)
+    got = dense.nearest(m[:300] * scale, keys[:300], batches(keys, m * scale), 5, metric, skip_same)
+    if scale < 1 and metric != "cosine":
+        return  # all scores round to 0 there
+    want = brute(m[:300] * scale, keys[:300], m * scale, keys, 5, metric, skip_same)
+    assert sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) == sorted(want)
+
+
+def test_few_pairs_are_scored(monkeypatch):
+    pairs = []
+    for name in ("scored", "_pairs_scored"):
+        real = getattr(dense, name, None)
+        if real:
+            monkeypatch.setattr(dense, name, lambda q, m, metric, real=real, name=name: (pairs.append(len(q) * len(m) if name == "scored" else len(q)), real(q, m, metric))[1])
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(20_000, 16))
+    dense.nearest(rng.normal(size=(200, 16)), np.arange(200), batches(np.arange(20_000), m), 5, "cosine", False)
+    assert sum(pairs) < 200 * 20_000 / 20  # all 4,000,000 before
+
+
+def test_copies_are_passed_over(monkeypatch):
+    pairs = []
+    real = dense._pairs_scored
+    monkeypatch.setattr(dense, "_pairs_scored", lambda q, m, metric: (pairs.append(len(q)), real(q, m, metric))[1])
+    m = np.ones((20_000, 8))
+    got = dense.nearest(np.ones((50, 8)), np.arange(50), batches(np.arange(20_000)[::-1].copy(), m), 3, "cosine", False)
+    assert got.column(1).to_pylist() == [0, 1, 2] * 50
+    assert sum(pairs) < 50 * 20_000 / 20
