@@ -60,3 +60,35 @@ def test_copies_are_passed_over(monkeypatch):
     got = dense.nearest(np.ones((50, 8)), np.arange(50), batches(np.arange(20_000)[::-1].copy(), m), 3, "cosine", False)
     assert got.column(1).to_pylist() == [0, 1, 2] * 50
     assert sum(pairs) < 50 * 20_000 / 20
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+@pytest.mark.parametrize("room", [1 << 30, 8 * 16 * 150])
+def test_many_queries_know_their_bars(spark, monkeypatch, metric, room):
+    monkeypatch.setattr(dense, "SAMPLE", 200)
+    monkeypatch.setattr(dense, "QUERY_BYTES", room)
+    rng = np.random.default_rng(5)
+    m = rng.integers(0, 6, (1500, 16)).astype(float)
+    m[rng.random(1500) < 0.2] = m[7]  # copies
+    m[:3] = 0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "doc_id long, vec array<double>")
+    for skip_same in (False, True):
+        got = dense.search(rows, rows.filter("doc_id < 300").withColumnRenamed("doc_id", "qid"), 5, metric, skip_same=skip_same)
+        want = brute(m[:300], np.arange(300), m, np.arange(1500), 5, metric, skip_same)
+        assert sorted((r.qid, r.doc_id) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_bars_leave_out_pairs_and_no_hit(monkeypatch, metric):
+    pairs = []
+    real = dense._pairs_scored
+    monkeypatch.setattr(dense, "_pairs_scored", lambda q, m, metric: (pairs.append(len(q)), real(q, m, metric))[1])
+    rng = np.random.default_rng(6)
+    q, m, keys = rng.normal(size=(200, 16)), rng.normal(size=(20_000, 16)), np.arange(20_000)
+    plain = dense.nearest(q, keys[:200], batches(keys, m), 5, metric, False)
+    before, some = sum(pairs), slice(0, None, 10)
+    pairs.clear()
+    bars = dense.reached(q, keys[:200], m[some], keys[some], 5, metric, False)
+    assert dense.nearest(q, keys[:200], batches(keys, m), 5, metric, False, bars).equals(plain)
+    assert sum(pairs) < before / 1.3
+    assert np.isinf(dense.reached(q, keys[:200], m[:4], keys[:4], 5, metric, False)).all()  # too few rows tell nothing
