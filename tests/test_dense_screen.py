@@ -92,3 +92,31 @@ def test_bars_leave_out_pairs_and_no_hit(monkeypatch, metric):
     assert dense.nearest(q, keys[:200], batches(keys, m), 5, metric, False, bars).equals(plain)
     assert sum(pairs) < before / 1.3
     assert np.isinf(dense.reached(q, keys[:200], m[:4], keys[:4], 5, metric, False)).all()  # too few rows tell nothing
+
+
+@pytest.mark.parametrize("rows", [1, 2, 333, 512])
+@pytest.mark.parametrize("least", [-np.inf, 0.0, 0.5, 0.9, 1.0])
+def test_counts_are_screened_two_rows_to_a_number(rows, least):
+    rng = np.random.default_rng(7)
+    q, m = rng.poisson(rng.uniform(0.05, 4, (3000, 1)), (3000, 64)).astype(float), rng.poisson(rng.uniform(0, 6, (rows, 1)), (rows, 64)).astype(float)
+    q[:300] = m[rng.integers(0, rows, 300)]  # all that a score can be
+    screens = dense._Screens(q, "cosine")
+    packed = sum(len(at) for at, screen in screens.of(m) if isinstance(screen, dense._Packed))
+    assert packed > 2500  # single precision had them all before
+    found = {(int(i), int(j)) for r, c in screens.reached(m, np.full(len(q), least)) for i, j in zip(r, c, strict=True)}
+    scores = dense.scored(q, m, "cosine")
+    want = set(zip(*(x.tolist() for x in np.nonzero(scores >= least)), strict=True))
+    assert want <= found and all(i < 3000 and j < rows for i, j in found)
+    if least == 0.9:
+        assert len(found) - len(want) < 3000 * rows / 10
+
+
+def test_rows_that_are_no_counts_are_screened_as_before():
+    rng = np.random.default_rng(8)
+    q = rng.integers(0, 3, (600, 16)).astype(float)
+    kinds = lambda m, metric="cosine": {type(s) for _, s in dense._Screens(q, metric).of(m)}
+    m = rng.integers(0, 3, (100, 16)).astype(float)
+    assert dense._Packed in kinds(m) and dense._Packed not in kinds(m, "dot")
+    for bad in (-1.0, np.nan, np.inf, 1e100, 1e-100):
+        m[5] = bad
+        assert kinds(m) == {dense._Screen}
