@@ -22,3 +22,22 @@ def test_keys_of_one_row_make_no_arrays(monkeypatch):
     monkeypatch.setattr(np, "split", split)
     assert resample._repeated(np.arange(1000)) == []
     assert [x.tolist() for x in resample._repeated(np.array([5, 3, 5, 4, 3, 5]))] == [[1, 4], [0, 2, 5]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 1000, 70_000])
+def test_values_are_ordered_by_sorts_of_whole_numbers(n):
+    rng = np.random.default_rng(n)
+    for x in (rng.normal(size=n), rng.integers(-3, 3, n) * 1.0, 0.5 + rng.integers(0, 99, n) * 2.0**-50, np.where(rng.random(n) < 0.5, -0.0, 0.0)):
+        assert (x[resample._order(x)] == np.sort(x)).all()
+
+
+@pytest.mark.parametrize("merged", [1 << 16, 300])
+@pytest.mark.parametrize("add", [0, 1 << 29, -2000])
+def test_groups_are_merged_apart(monkeypatch, merged, add):
+    monkeypatch.setattr(resample, "MERGED", merged)
+    r = np.random.default_rng(2).integers(0, 3000, 5000) + add
+    assert resample.inversions(r) == sum(int((r[:i] > x).sum()) for i, x in enumerate(r))
+
+
+def test_two_million_rows_are_one_block():
+    assert resample.BLOCK_ROWS == 2_000_000  # two blocks, as of over 1,250,000 before, are counted more than twice
